@@ -32,6 +32,11 @@ def round_tenth(value: Column) -> Column:
     return (whole * 10 + digit + up.cast("int")).cast("double") / F.lit(10.0)
 
 
+def steady_mean(value: Column) -> Column:
+    """Aggregate: mean over an exact sum, so the order of the rows cannot move a tie."""
+    return F.sum(value.cast("decimal(30,10)")).cast("double") / F.count(value)
+
+
 def to_number(text: Column) -> Column:
     """Text to double; anything that is not a plain finite number becomes null."""
     parsed = F.when(text.rlike(NUMBER_PATTERN), strip(text).try_cast("double"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreflow.functions import rules
-from scoreflow.functions.numbers import as_number, round_tenth
+from scoreflow.functions.numbers import as_number, round_tenth, steady_mean
 from scoreflow.functions.text import split_list, strip_bullets
 
 NO_RISK = "—"
@@ -31,7 +31,7 @@ def dashboard(analytics: DataFrame) -> DataFrame:
     """Indicators of each student over their subjects."""
     score = as_number(analytics, "latest_score")
     per_student = analytics.groupBy("student_id").agg(
-        F.coalesce(round_tenth(F.avg(score)), F.lit(0.0)).alias("overall_average"),
+        F.coalesce(round_tenth(steady_mean(score)), F.lit(0.0)).alias("overall_average"),
         worst_risk(F.col("risk_flag")).alias("overall_risk"),
         modal_trend(F.col("trend")).alias("trend_colour"),
         F.count(F.lit(1)).alias("subject_count"),

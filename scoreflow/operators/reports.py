@@ -16,6 +16,20 @@ from scoreflow.schemas import CONSOLIDATED_FIELDS, SUMMARIES
 PERFORMANCE = ["subject", "average_score", "latest_score", "trend", "risk_flag"]
 
 
+def load_tables(
+    validated: DataFrame, analytics: DataFrame, insights: DataFrame, summaries: DataFrame, consolidated: DataFrame
+) -> dict[str, DataFrame]:
+    """The five tables the read side works on, ids trimmed. Nothing is read until used."""
+    tables = {
+        "validated_results": validated,
+        "subject_analytics": analytics,
+        "subject_insights": insights,
+        "subject_summaries": summaries,
+        "student_consolidated_latest": consolidated,
+    }
+    return {n: df.withColumn("student_id", clean_id(F.col("student_id"))) for n, df in tables.items()}
+
+
 # --- lookups ------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreflow.functions import rules
-from scoreflow.functions.numbers import as_number, round_tenth
+from scoreflow.functions.numbers import as_number, round_tenth, steady_mean
 from scoreflow.functions.text import clean_id, strip
 from scoreflow.operators.consolidation import first_names, processed_flags
 from scoreflow.operators.dashboard import NO_RISK, worst_risk
@@ -30,7 +30,7 @@ def class_roster(analytics: DataFrame, validated: DataFrame, consolidated: DataF
     rows = analytics.withColumn("student_id", clean_id(F.col("student_id")))
     per_student = rows.groupBy("student_id").agg(
         F.coalesce(F.min("grade").cast("string"), F.lit(NO_RISK)).alias("grade"),
-        F.coalesce(round_tenth(F.avg(as_number(rows, "average_score"))), F.lit(0.0)).alias("overall_avg"),
+        F.coalesce(round_tenth(steady_mean(as_number(rows, "average_score"))), F.lit(0.0)).alias("overall_avg"),
         worst_risk(F.col("risk_flag")).alias("risk_level"),
         roster_trend().alias("trend"),
         F.array_sort(F.collect_set(strip(F.col("subject")))).alias("subjects"),
@@ -53,7 +53,7 @@ def class_indicators(roster: DataFrame, analytics: DataFrame) -> DataFrame:
 
     Both parts are one-row aggregates; they are stacked and merged, not joined.
     """
-    average = F.avg(F.when(F.col("overall_avg") > 0, F.col("overall_avg")))
+    average = steady_mean(F.when(F.col("overall_avg") > 0, F.col("overall_avg")))
     counts = roster.agg(
         F.count(F.lit(1)).alias("total_students"),
         F.coalesce(round_tenth(average), F.lit(0.0)).alias("class_average"),

@@ -186,4 +186,7 @@ def usable_attempts(df: DataFrame) -> DataFrame:
             "attempt_number": as_int(df, "attempt_number"),
         }
     )
-    return typed.na.drop(subset=[*GROUP_KEY, "score", "exam_date"])
+    # Separate conditions reach the scan as pushed filters.
+    for column in (*GROUP_KEY, "score", "exam_date"):
+        typed = typed.filter(F.col(column).isNotNull())
+    return typed

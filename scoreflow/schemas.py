@@ -7,8 +7,20 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+}
+
+
+def _schema(columns: str) -> T.StructType:
+    """Schema of ``name type`` pairs; unlike a DDL parse it needs no running session."""
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
 ATTEMPT_COLUMNS = [
@@ -21,7 +33,7 @@ GROUP_KEY = ["student_id", "grade", "subject"]
 SUBJECT_KEY = ["student_id", "subject"]
 
 # Raw tables hold text only; nothing is inferred.
-RAW = _schema(", ".join(f"`{c}` string" for c in ATTEMPT_COLUMNS))
+RAW = _schema(", ".join(f"{c} string" for c in ATTEMPT_COLUMNS))
 
 VALIDATED = _schema(
     "student_id string, Name string, grade int, subject string, exam_id string, "
@@ -51,14 +63,23 @@ CONSOLIDATED = _schema(
     "areas_to_improve string, recommended_next_steps string, confidence_note string, "
     "llm_provider string"
 )
-HISTORY = T.StructType([*CONSOLIDATED.fields, T.StructField("run_ts", T.TimestampType())])
+HISTORY = T.StructType([*CONSOLIDATED.fields, T.StructField("run_ts", TYPES["timestamp"])])
 USERS = _schema(
     "id string, full_name string, email string, password_hash string, role string, "
     "student_id string, created_at string, last_login string, is_active string"
 )
-INTAKE = _schema(
-    "student_id string, name string, grade int, "
-    "subjects array<struct<name: string, scores: array<double>, max_score: double>>"
+INTAKE_SUBJECT = T.StructType(
+    [
+        T.StructField("name", T.StringType()),
+        T.StructField("scores", T.ArrayType(T.DoubleType())),
+        T.StructField("max_score", T.DoubleType()),
+    ]
+)
+INTAKE = T.StructType(
+    [
+        *_schema("student_id string, name string, grade int").fields,
+        T.StructField("subjects", T.ArrayType(INTAKE_SUBJECT)),
+    ]
 )
 SUBJECT_RESPONSES = _schema(
     "student_id string, grade int, subject string, attempt int, response string"

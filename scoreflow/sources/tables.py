@@ -11,7 +11,13 @@ from pyspark.sql import types as T
 from scoreflow.functions.numbers import finite
 
 # RFC 4180: quotes inside a field are doubled.
-CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+CSV_OPTIONS = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -125,6 +131,11 @@ class TableStore:
             raise LookupError(f"no table {name} under {self.root}")
         return self.spark.createDataFrame([], schema)
 
+    def scratch(self, name: str, df: DataFrame) -> DataFrame:
+        """The frame as stored rows: for results that several later steps read."""
+        self.overwrite(name, df)
+        return self.read(name)
+
     # --- writes
 
     def overwrite(self, name: str, df: DataFrame, sort_by: list[str] | None = None) -> None:
