@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreflow.functions.text import strip
-
 # Accepted number texts. Spark alone would also take suffixes such as 1.5d.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# Whole dates only: a plain cast would also take 2024 and 2024-02.
+MOMENT_PATTERN = r"^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?\s*$"
 
 
 def round_even(value: Column, digits: int) -> Column:
@@ -38,9 +38,8 @@ def steady_mean(value: Column) -> Column:
 
 
 def to_number(text: Column) -> Column:
-    """Text to double; anything that is not a plain finite number becomes null."""
-    parsed = F.when(text.rlike(NUMBER_PATTERN), strip(text).try_cast("double"))
-    return F.when(F.abs(parsed) < F.lit(float("inf")), parsed)
+    """Text to double; anything that is not a plain number becomes null."""
+    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
 def as_number(df: DataFrame, name: str) -> Column:
@@ -60,12 +59,7 @@ def as_int(df: DataFrame, name: str) -> Column:
 
 def to_moment(text: Column) -> Column:
     """ISO date, with an optional time, to timestamp; null when it is not a real date."""
-    day = strip(text)
-    return F.coalesce(
-        F.try_to_timestamp(day, F.lit("yyyy-MM-dd")),
-        F.try_to_timestamp(day, F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(day, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-    )
+    return F.when(text.rlike(MOMENT_PATTERN), text.try_cast("timestamp"))
 
 
 def finite(value: Column) -> Column:

@@ -61,10 +61,32 @@ def present(*items: Column) -> Column:
 # --- JSON ---------------------------------------------------------------------------
 
 
+# A scalar JSON value (fixed pattern).
+JSON_SCALAR = r"^(-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?|true|false|null)$"
+
+
+def _looks_like_json(text: Column) -> Column:
+    """Cheap test before parsing: a failed parse costs far more than a look at both ends."""
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return ends.isin("{}", "[]", '""') | text.rlike(JSON_SCALAR)
+
+
+def parse_json_text(text: Column) -> Column:
+    """VARIANT of a text that is exactly one JSON value, else null.
+
+    The parser stops after the first value, so the text is parsed as the only element of
+    an array; a second value or trailing text then shows.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    values = F.when(_looks_like_json(text), F.try_variant_get(wrapped, "$", "array<variant>"))
+    only = F.transform(F.array(values), lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
+    return F.get(only, F.lit(0))
+
+
 def recover_json(text: Column) -> Column:
     """VARIANT of a JSON text; else of the part from its first ``{`` to its last ``}``."""
-    braces = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(braces))
+    braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.coalesce(parse_json_text(strip(text)), parse_json_text(braces))
 
 
 def is_filled_object(value: Column) -> Column:
@@ -89,18 +111,18 @@ def field_text(value: Column, key: str, default: str = "") -> Column:
 def normalize_cell(text: Column) -> Column:
     """Cell as VARIANT: parsed where it is JSON, else its trimmed text; null is empty text."""
     cell = F.coalesce(strip(text), F.lit(""))
-    return F.coalesce(F.try_parse_json(cell), cell.cast("variant"))
+    return F.coalesce(parse_json_text(cell), cell.cast("variant"))
 
 
 def next_steps(text: Column) -> Column:
     """Free text, JSON list or JSON object as an array of step texts."""
     blank = F.coalesce(text, F.lit("")) == ""
     trimmed = strip(text)
-    parsed = F.try_parse_json(text)
+    parsed = parse_json_text(trimmed)
     shape = F.schema_of_variant(parsed)
     empty = F.array().cast("array<string>")
     steps = F.transform(
-        F.map_entries(F.from_json(text, "map<string,string>")),
+        F.map_entries(F.from_json(trimmed, "map<string,string>")),
         lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None"))),
     )
     return (

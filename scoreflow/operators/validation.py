@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreflow.functions.numbers import as_int, as_number, to_moment
+from scoreflow.functions.rows import with_values
 from scoreflow.functions.text import clean_id, is_blank
 from scoreflow.schemas import ATTEMPT_COLUMNS, ATTEMPT_KEY, EXAM_TYPES, GROUP_KEY, VALIDATED
 from scoreflow.sources.tables import conform
@@ -34,11 +35,13 @@ def check_columns(df: DataFrame, ignore: tuple[str, ...] = ("row_index",)) -> Da
 
 def coerce_types(df: DataFrame) -> DataFrame:
     """Numbers to double and dates to timestamp; what cannot be read becomes null."""
-    numbers = {c: as_number(df, c) for c in ("grade", "attempt_number", "score", "max_score")}
-    texts = {c: F.col(c).cast("string") for c in ("student_id", "Name", "subject", "exam_id", "exam_type")}
+    values = {c: as_number(df, c) for c in ("grade", "attempt_number", "score", "max_score")}
     is_text = df.schema["exam_date"].dataType.typeName() == "string"
-    date = to_moment(F.col("exam_date")) if is_text else F.col("exam_date").cast("timestamp")
-    return df.withColumns({**texts, **numbers, "exam_date": date})
+    values["exam_date"] = to_moment(F.col("exam_date")) if is_text else F.col("exam_date").cast("timestamp")
+    for name in ("student_id", "Name", "subject", "exam_id", "exam_type"):
+        if df.schema[name].dataType.typeName() != "string":
+            values[name] = F.col(name).cast("string")
+    return with_values(df, values)
 
 
 def row_error(as_of: Column) -> Column:

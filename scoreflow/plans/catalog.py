@@ -32,6 +32,12 @@ def query(build: Callable[["Data"], DataFrame]) -> Callable[["Data"], DataFrame]
     return build
 
 
+def stored_query(build: Callable[["Data"], DataFrame]) -> Callable[["Data"], DataFrame]:
+    """Register a query that reads the phase tables several times: they are stored first."""
+    QUERIES[build.__name__] = lambda spark, sf_dir: build(Stored(spark, sf_dir))
+    return build
+
+
 def scratch_root(spark: SparkSession) -> str:
     """New folder on the shared storage the cluster names; a local one only where none is named."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -116,6 +122,24 @@ class Data:
         return R.Run(A.AS_OF, A.subject_responses, A.student_responses, run_id)
 
 
+class Stored(Data):
+    """The same frames with the phase tables written and read back, as a refresh does."""
+
+    @cached_property
+    def analytics(self) -> DataFrame:
+        return self.store.scratch(R.ANALYTICS, metrics.subject_analytics(self.attempts))
+
+    @cached_property
+    def insights(self) -> DataFrame:
+        return self.store.scratch(R.INSIGHTS, insights.subject_insights(self.analytics))
+
+    @cached_property
+    def summaries(self) -> DataFrame:
+        prompts = narrative.subject_prompts(self.insights)
+        told = narrative.subject_summaries(prompts, A.subject_responses(prompts))
+        return self.store.scratch(R.SUMMARIES, told)
+
+
 def joined(column: str, separator: str = "|"):
     return F.array_join(column, separator).alias(column)
 
@@ -179,7 +203,7 @@ def aligned_users(d: Data) -> DataFrame:
     return TB.align_columns(A.registrations_from_orders(d.spark, d.sf_dir), S.USERS.names)
 
 
-@query
+@stored_query
 def shared_tables(d: Data) -> DataFrame:
     loaded = reports.load_tables(
         d.attempts, d.analytics, d.insights, d.summaries, d.consolidated
@@ -330,7 +354,7 @@ def prompt_first_rows(d: Data) -> DataFrame:
     return narrative.subject_prompts(d.insights, 200)
 
 
-@query
+@stored_query
 def student_prompts(d: Data) -> DataFrame:
     return narrative.student_prompts(
         d.gathered, consolidation.ANALYTICS_FIELDS, consolidation.SUMMARY_COLUMNS
@@ -390,7 +414,7 @@ def nested_to_text(d: Data) -> DataFrame:
     return d.table("events").select("event_id", *fields, X.field_text(value, "absent", "low").alias("f_absent"))
 
 
-@query
+@stored_query
 def consolidated_rows(d: Data) -> DataFrame:
     asked = student_prompts(d)
     return narrative.consolidated_rows(asked, A.student_responses(asked))[0]
@@ -409,7 +433,7 @@ def ready_students(d: Data) -> DataFrame:
     return consolidation.ready_students(d.analytics, metrics.subject_analytics(d.event_attempts))
 
 
-@query
+@stored_query
 def student_gather(d: Data) -> DataFrame:
     averages = F.transform("analytics", lambda r: r["average_score"].cast("string"))
     plans = F.transform("summaries", lambda r: F.concat(r["subject"], F.lit(":"), r["improvement_plan"]))
@@ -438,7 +462,7 @@ def latest_from_history(d: Data) -> DataFrame:
     return consolidation.latest_from_history(_history(d))
 
 
-@query
+@stored_query
 def explained_summaries(d: Data) -> DataFrame:
     """Insights of the real exams only, so some subjects lack an explanation."""
     found = insights.subject_insights(metrics.subject_analytics(d.attempts.filter("exam_type = 'real'")))
@@ -458,7 +482,7 @@ def first_names(d: Data) -> DataFrame:
 # --- reports ------------------------------------------------------------------------
 
 
-@query
+@stored_query
 def id_match_modes(d: Data) -> DataFrame:
     parts = [
         reports.rows_of_requests(d.analytics, d.requests, mode).select(
@@ -469,7 +493,7 @@ def id_match_modes(d: Data) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query
+@stored_query
 def table_lookups(d: Data) -> DataFrame:
     """Per student: the first consolidated row and how many rows the other tables hold."""
     counts = [
@@ -485,12 +509,12 @@ def student_metadata(d: Data) -> DataFrame:
     return reports.student_metadata(d.attempts)
 
 
-@query
+@stored_query
 def report_rows(d: Data) -> DataFrame:
     return reports.report_rows(d.attempts, d.analytics, d.insights, d.summaries, d.consolidated)
 
 
-@query
+@stored_query
 def report_documents(d: Data) -> DataFrame:
     return reports.report_documents(d.attempts, d.analytics, d.insights, d.summaries, d.consolidated)
 
@@ -517,7 +541,7 @@ def existence_flags(d: Data) -> DataFrame:
     return reports.existence_flags(ids, d.attempts, metrics.subject_analytics(d.event_attempts))
 
 
-@query
+@stored_query
 def report_status(d: Data) -> DataFrame:
     ids = d.requests.select(F.col("requested").alias("student_id"))
     real = metrics.subject_analytics(d.attempts.filter("exam_type = 'real'"))
@@ -598,7 +622,7 @@ def class_roster(d: Data) -> DataFrame:
     return d.roster.withColumn("subjects", F.array_join("subjects", ","))
 
 
-@query
+@stored_query
 def class_kpis(d: Data) -> DataFrame:
     return roster.class_indicators(d.roster, d.analytics).withColumn("subjects", F.array_join("subjects", ","))
 
