@@ -57,7 +57,7 @@ class Data:
 
     @cached_property
     def store(self) -> TB.TableStore:
-        return TB.TableStore(self.spark, scratch_root(self.spark))
+        return TB.TableStore(self.spark, scratch_root(self.spark), parts=8)
 
     @cached_property
     def attempts(self) -> DataFrame:
@@ -200,7 +200,7 @@ def registration_rejects(d: Data) -> DataFrame:
 
 @query
 def aligned_users(d: Data) -> DataFrame:
-    return TB.align_columns(A.registrations_from_orders(d.spark, d.sf_dir), S.USERS.names)
+    return keyed.align_columns(A.registrations_from_orders(d.spark, d.sf_dir), S.USERS.names)
 
 
 @stored_query
@@ -690,7 +690,7 @@ def keyed_refresh(d: Data) -> DataFrame:
 def _event_records(d: Data) -> DataFrame:
     """Every event as the intake record of a new student."""
     value, event = F.col("value"), F.col("event_id")
-    scores = F.array(F.floor(value / 5).cast("double"), F.floor(value / 7).cast("double"))
+    scores = F.array(*[F.least(F.floor(value / n), F.lit(100)).cast("double") for n in (5, 7)])
     subject = F.struct(F.col("event_type").alias("name"), scores.alias("scores"), F.lit(100.0).alias("max_score"))
     return d.table("events").select(
         F.concat(F.lit("E"), event.cast("string")).alias("student_id"),

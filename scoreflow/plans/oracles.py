@@ -338,7 +338,7 @@ def score_colour(x: str) -> str:
 NEW_RECORDS = """records AS (
   SELECT 'E' || event_id AS student_id, 'User ' || user_id AS "Name", CAST(1 + user_id % 12 AS INTEGER) AS grade,
     event_type AS subject, upper(event_type[1:3]) || '_MOCK_' || i AS exam_id, 'mock' AS exam_type,
-    CAST(i AS INTEGER) AS attempt_number, CAST(floor(value / (CASE i WHEN 1 THEN 5 ELSE 7 END)) AS DOUBLE) AS score,
+    CAST(i AS INTEGER) AS attempt_number, CAST(least(floor(value / (CASE i WHEN 1 THEN 5 ELSE 7 END)), 100) AS DOUBLE) AS score,
     CAST(100 AS DOUBLE) AS max_score, DATE '2024-06-01' AS exam_date
   FROM events, (SELECT unnest([1, 2]) AS i))"""
 

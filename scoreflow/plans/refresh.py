@@ -65,7 +65,7 @@ def _stage_valid(store: TableStore, raw: DataFrame, run: Run, everything: bool)
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("error").isNotNull()).alias("rejected"),
     )
-    version = store.stage(VALIDATED, validation.accepted(counted), S.ATTEMPT_KEY)
+    version = store.stage(VALIDATED, validation.accepted(counted), S.ATTEMPT_KEY if everything else None)
     try:
         if seen.get["total"] == 0:
             raise RuntimeError(f"{RAW} is empty")
@@ -132,10 +132,14 @@ def full_refresh(store: TableStore, raw: DataFrame, run: Run) -> None:
 
 
 def keyed_refresh(store: TableStore, raw: DataFrame, ids: DataFrame, run: Run) -> None:
-    """All phases for the given students; the rows of all others stay as they are."""
-    ids = consolidation.ids_of(ids)
+    """All phases for the given students; the rows of all others stay as they are.
+
+    Only the table parts of these students are read and rewritten.
+    """
+    ids = store.scratch("refresh_ids", consolidation.ids_of(ids))
+    parts = store.parts_of(ids)
     chosen = validation.of_students(raw, ids)
-    unknown = ids.join(consolidation.ids_of(raw), "student_id", "left_anti").limit(5).collect()
+    unknown = ids.join(consolidation.ids_of(chosen), "student_id", "left_anti").limit(5).collect()
     if unknown:
         raise ValueError(f"No raw data found for student {[r.student_id for r in unknown]} in {RAW}")
     version = _stage_valid(store, chosen, run, everything=False)
@@ -143,22 +147,19 @@ def keyed_refresh(store: TableStore, raw: DataFrame, ids: DataFrame, run: Run) -
     store.upsert(VALIDATED, fresh, S.VALIDATED, S.ATTEMPT_KEY, S.ATTEMPT_KEY)
     store.discard(VALIDATED, version)
 
+    def current(name: str, schema) -> DataFrame:
+        return validation.of_students(store.read_parts(name, schema, parts), ids)
+
     def put(name: str, df: DataFrame, schema) -> DataFrame:
         store.overwrite(f"{name}_delta", df)
         delta = _require(store, f"{name}_delta", schema, f"no rows for {name}")
         store.upsert(name, delta, schema, S.SUBJECT_KEY, S.GROUP_KEY)
         return delta
 
-    attempts = validation.of_students(store.read(VALIDATED, S.VALIDATED), ids)
-    analytics = put(ANALYTICS, metrics.subject_analytics(attempts), S.ANALYTICS)
+    analytics = put(ANALYTICS, metrics.subject_analytics(current(VALIDATED, S.VALIDATED)), S.ANALYTICS)
     found = put(INSIGHTS, insights.subject_insights(analytics), S.INSIGHTS)
     put(SUMMARIES, _answered(store, narrative.subject_prompts(found), run), S.SUMMARIES)
-    _consolidate(
-        store,
-        run,
-        validation.of_students(store.read(ANALYTICS, S.ANALYTICS), ids),
-        validation.of_students(store.read(SUMMARIES, S.SUMMARIES), ids),
-    )
+    _consolidate(store, run, current(ANALYTICS, S.ANALYTICS), current(SUMMARIES, S.SUMMARIES))
 
 
 def intake_refresh(store: TableStore, records: DataFrame, exam_date, run: Run) -> None:
@@ -167,8 +168,9 @@ def intake_refresh(store: TableStore, records: DataFrame, exam_date, run: Run) -
     The rows are filed under the run's id: repeating a run replaces them.
     """
     rows = as_text(intake_attempts(records, exam_date)).select(S.ATTEMPT_COLUMNS)
-    store.append(RAW, rows, S.RAW, run.run_id)
+    store.append(RAW, rows, S.RAW, run.run_id, S.ATTEMPT_KEY)
     added = require_rows(
         store.read_batch(RAW, run.run_id, S.RAW), "No exam records to write: no subject has scores"
     )
-    keyed_refresh(store, store.read(RAW, S.RAW), added, run)
+    raw = store.read_parts(RAW, S.RAW, store.parts_of(added))
+    keyed_refresh(store, raw, added, run)

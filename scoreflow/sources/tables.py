@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreflow.functions.numbers import finite
+from scoreflow.functions.text import clean_id
+from scoreflow.operators.keyed import upsert_rows
 
 # RFC 4180: quotes inside a field are doubled.
 CSV_OPTIONS = {
@@ -44,12 +46,6 @@ def sanitize(df: DataFrame) -> DataFrame:
     return df.select([finite(F.col(f"`{c}`")).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns])
 
 
-def align_columns(df: DataFrame, columns: list[str], fill: str = "") -> DataFrame:
-    """Canonical columns first, then the others; missing ones filled with a constant."""
-    known = [F.col(c) if c in df.columns else F.lit(fill).alias(c) for c in columns]
-    return df.select(*known, *[F.col(c) for c in df.columns if c not in columns])
-
-
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The columns of ``schema`` in its order and types; raises if one is missing or extra."""
     missing = [f.name for f in schema.fields if f.name not in df.columns]
@@ -59,104 +55,159 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def part_of(student_id: Column, parts: int) -> Column:
+    """Part of a student: a hash bucket, so that a few students touch few parts."""
+    return F.pmod(F.xxhash64(clean_id(student_id)), F.lit(parts)).cast("int")
+
+
 class TableStore:
-    """Parquet tables under one root, each a set of version folders and a current mark.
+    """Parquet tables under one root: each a list of folders named in a small mark file.
 
-    A write goes to a new folder and becomes visible by replacing the small mark file, so
-    a table may be rewritten from itself and a failed job leaves the old table in place.
-    The root must be on storage that all executors share.
+    A write goes to new folders and becomes visible by replacing the mark, so a table may
+    be rewritten from itself and a failed job leaves the old rows in place. Tables kept
+    per student are split into ``parts`` by student: an upsert rewrites, and a lookup
+    reads, only the parts of the students it names. Choose ``parts`` so that a part of the
+    largest table is some gigabytes. The root must be on storage all executors share.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, parts: int = 16):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.parts = parts
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    # --- versions
-
-    def _mark(self, name: str):
-        return self._path(f"{self.root}/{name}/_current")
+    # --- folders
 
-    def _folder(self, name: str, version: str) -> str:
-        return f"{self.root}/{name}/{version}"
+    def _folder(self, name: str, folder: str = "") -> str:
+        return f"{self.root}/{name}/{folder}".rstrip("/")
 
-    def _current(self, name: str) -> str | None:
-        mark = self._mark(name)
+    def _folders(self, name: str) -> list[str]:
+        mark = self._path(self._folder(name, "_current"))
         if not self._fs.exists(mark):
-            return None
+            return []
         stream = self._fs.open(mark)
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return bytes(stream.readAllBytes()).decode().split()
         finally:
             stream.close()
 
+    def _part_folders(self, name: str, version: str) -> list[str]:
+        inner = [f.getPath().getName() for f in self._fs.listStatus(self._path(self._folder(name, version)))]
+        parts = [f"{version}/{n}" for n in sorted(inner) if n.startswith("part=")]
+        return parts or [version]
+
     def exists(self, name: str) -> bool:
-        return self._current(name) is not None
+        return bool(self._folders(name))
+
+    # --- versions
+
+    def _write(self, name: str, folder: str, df: DataFrame, sort_by: list[str] | None) -> None:
+        if sort_by is None:
+            writer = df.write
+        else:
+            # Rebalancing groups the rows of a part and splits a part that is too large.
+            placed = df.withColumn("part", part_of(F.col("student_id"), self.parts)).hint("rebalance", "part")
+            writer = placed.sortWithinPartitions("part", *sort_by).write.partitionBy("part")
+        writer.mode("overwrite").parquet(self._folder(name, folder))
 
     def stage(self, name: str, df: DataFrame, sort_by: list[str] | None = None) -> str:
-        """Write a new version without showing it; returns its label."""
-        version = f"v-{uuid.uuid4().hex}"
-        rows = df.sortWithinPartitions(*sort_by) if sort_by else df
-        rows.write.mode("errorifexists").parquet(self._folder(name, version))
+        """Write a new version without showing it; returns its label.
+
+        With ``sort_by`` the rows are split by student and sorted inside their part;
+        without it they are written as they come, with no shuffle.
+        """
+        version = f"v={uuid.uuid4().hex}"
+        self._write(name, version, sanitize(df), sort_by)
         return version
 
-    def publish(self, name: str, version: str) -> None:
-        stream = self._fs.create(self._mark(name), True)
+    def _show(self, name: str, folders: list[str]) -> None:
+        stream = self._fs.create(self._path(self._folder(name, "_current")), True)
         try:
-            stream.write(bytearray(version.encode()))
+            stream.write(bytearray("\n".join(folders).encode()))
         finally:
             stream.close()
 
+    def publish(self, name: str, version: str) -> None:
+        self._show(name, self._part_folders(name, version))
+
     def discard(self, name: str, version: str) -> None:
         """Remove a staged version that is not to be published."""
         self._fs.delete(self._path(self._folder(name, version)), True)
 
     # --- reads
 
+    def _load(self, name: str, folders: list[str], schema: T.StructType | None) -> DataFrame:
+        if not folders:
+            if schema is None:
+                raise LookupError(f"no table {name} under {self.root}")
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.option("basePath", self._folder(name))
+        if schema is not None:
+            reader = reader.schema(schema)
+        return reader.parquet(*[self._folder(name, f) for f in folders])
+
+    def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
+        """All rows; an absent table is an empty frame of the given schema."""
+        return self._load(name, self._folders(name), schema).drop("v", "part")
+
+    def read_version(self, name: str, version: str, schema: T.StructType) -> DataFrame:
+        return self._load(name, [version], schema).drop("v", "part")
+
     def read_batch(self, name: str, batch: str, schema: T.StructType) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self._folder(name, self._current(name))}/batch-{batch}")
+        return self.read_version(name, f"v={batch}", schema)
 
-    def read_version(self, name: str, version: str, schema: T.StructType | None = None) -> DataFrame:
-        reader = self.spark.read.option("recursiveFileLookup", True)
-        return (reader.schema(schema) if schema else reader).parquet(self._folder(name, version))
+    def parts_of(self, ids: DataFrame) -> list[int]:
+        """Parts that hold the given students; never more than ``parts`` numbers."""
+        return [r.part for r in ids.select(part_of(F.col("student_id"), self.parts).alias("part")).distinct().collect()]
 
-    def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
-        """Current version; an absent table is an empty frame of the given schema."""
-        version = self._current(name)
-        if version is not None:
-            return self.read_version(name, version, schema)
-        if schema is None:
-            raise LookupError(f"no table {name} under {self.root}")
-        return self.spark.createDataFrame([], schema)
+    def read_parts(self, name: str, schema: T.StructType, parts: list[int]) -> DataFrame:
+        """Rows of the given parts; the other parts are pruned before the scan."""
+        rows = self._load(name, self._folders(name), schema)
+        return (rows.filter(F.col("part").isin(parts)) if "part" in rows.columns else rows).drop("v", "part")
 
-    def scratch(self, name: str, df: DataFrame) -> DataFrame:
-        """The frame as stored rows: for results that several later steps read."""
-        self.overwrite(name, df)
-        return self.read(name)
+    def read_student(self, name: str, schema: T.StructType, student_id: str) -> DataFrame:
+        """Rows of one student (id compared trimmed)."""
+        wanted = student_id.strip()
+        one = self.spark.range(1).select(F.lit(wanted).alias("student_id"))
+        rows = self.read_parts(name, schema, self.parts_of(one))
+        return rows.filter(clean_id(F.col("student_id")) == wanted)
 
     # --- writes
 
     def overwrite(self, name: str, df: DataFrame, sort_by: list[str] | None = None) -> None:
-        self.publish(name, self.stage(name, sanitize(df), sort_by))
+        self.publish(name, self.stage(name, df, sort_by))
 
-    def append(self, name: str, df: DataFrame, schema: T.StructType, batch: str) -> None:
+    def scratch(self, name: str, df: DataFrame) -> DataFrame:
+        """The frame as stored rows: for results that several later steps read."""
+        self.overwrite(name, df)
+        return self.read(name)
+
+    def append(
+        self, name: str, df: DataFrame, schema: T.StructType, batch: str, sort_by: list[str] | None = None
+    ) -> None:
         """Add rows under a batch label; writing the same label again replaces its rows.
 
         A header that differs from ``schema`` raises and leaves the table as it is.
         """
-        rows = sanitize(conform(df, schema))
-        version = self._current(name) or "appended"
-        rows.write.mode("overwrite").parquet(f"{self._folder(name, version)}/batch-{batch}")
-        self.publish(name, version)
+        folder = f"v={batch}"
+        self._write(name, folder, sanitize(conform(df, schema)), sort_by)
+        folders = self._folders(name)
+        if folder not in folders:
+            self._show(name, [*folders, folder])
 
     def upsert(
-        self, name: str, df: DataFrame, schema: T.StructType, keys: list[str], sort_by: list[str] | None = None
+        self, name: str, df: DataFrame, schema: T.StructType, keys: list[str], sort_by: list[str]
     ) -> None:
-        from scoreflow.operators.keyed import upsert_rows
-
+        """Replace the rows whose key occurs in ``df``, a stored frame with a student id."""
         new = conform(df, schema)
-        if self.exists(name):
-            new = upsert_rows(self.read(name, schema), new, keys)
-        self.overwrite(name, new, sort_by)
+        folders = self._folders(name)
+        if not folders:
+            self.overwrite(name, new, sort_by)
+            return
+        touched = {f"part={p}" for p in self.parts_of(new)}
+        hit = [f for f in folders if f.split("/")[-1] in touched]
+        version = self.stage(name, upsert_rows(self._load(name, hit, schema).drop("v", "part"), new, keys), sort_by)
+        kept = [f for f in folders if f not in hit]
+        self._show(name, [*kept, *self._part_folders(name, version)])
