@@ -58,17 +58,13 @@ def _stage_valid(store: TableStore, raw: DataFrame, run: Run, everything: bool)
 
     Rejected rows are counted while the rows are written, so the raw table is read once.
     """
+    if raw.isEmpty():
+        raise RuntimeError(f"{RAW} is empty")
     classified = validation.classify(raw, run.as_of)
     seen = Observation()
-    counted = classified.observe(
-        seen,
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("error").isNotNull()).alias("rejected"),
-    )
+    counted = classified.observe(seen, F.count_if(F.col("error").isNotNull()).alias("rejected"))
     version = store.stage(VALIDATED, validation.accepted(counted), S.ATTEMPT_KEY if everything else None)
     try:
-        if seen.get["total"] == 0:
-            raise RuntimeError(f"{RAW} is empty")
         if seen.get["rejected"]:
             report = validation.error_report(classified)
             store.overwrite(REJECTED, report)

@@ -1,0 +1,98 @@
+import json
+
+from pyspark.sql import functions as F
+
+from scoreflow import schemas as S
+from scoreflow.operators import consolidation as C
+from scoreflow.operators import narrative as L
+
+KEY = ("S1", 5, "Math")
+
+
+def responses(spark, *rows):
+    return spark.createDataFrame(list(rows), S.SUBJECT_RESPONSES)
+
+
+def told(text, **more):
+    return json.dumps({"performance_summary": text, **more})
+
+
+def test_first_usable_attempt_wins(spark):
+    df = responses(
+        spark,
+        (*KEY, 3, told("third")),
+        (*KEY, 1, "no json"),
+        (*KEY, 2, "so: " + told("second", confidence_note="high") + " end"),
+        ("S2", 5, "Math", 1, "{}"),
+        ("S2", 5, "Math", 4, told("too late")),
+        ("S3", 5, "Math", 1, "[]"),
+    )
+    rows = L.first_usable(df, S.GROUP_KEY, S.SUMMARY_FIELDS).collect()
+    assert [(r.student_id, r.attempt, r.performance_summary, r.improvement_plan, r.confidence_note) for r in rows] == [
+        ("S1", 2, "second", "", "high")
+    ]
+
+
+def test_absent_keys_get_defaults(spark):
+    r = L.first_usable(responses(spark, (*KEY, 1, '{"other": 1}')), S.GROUP_KEY, S.SUMMARY_FIELDS).first()
+    assert (r.performance_summary, r.motivation_note, r.confidence_note) == ("", "", "low")
+
+
+def test_summaries_fall_back(spark):
+    prompts = spark.createDataFrame([(*KEY, "p"), ("S2", 5, "Math", "p")], "student_id string, grade int, subject string, prompt string")
+    rows = {r.student_id: r for r in L.subject_summaries(prompts, responses(spark, (*KEY, 1, told("fine"))), "claude").collect()}
+    assert rows["S1"].performance_summary == "fine" and rows["S1"].llm_provider == "claude"
+    assert rows["S2"].improvement_plan == L.FALLBACK["improvement_plan"] and rows["S2"].confidence_note == "low"
+
+
+def insight(student="S1", grade=5, subject="Math"):
+    return (student, grade, subject, "p", "s", "root", "low", "low", "focus", "no", "p", "- x", "low", "sig")
+
+
+def test_subject_prompt(spark):
+    df = spark.createDataFrame([insight(subject="Français 100%")], S.INSIGHTS)
+    prompt = L.subject_prompts(df).first().prompt
+    assert prompt.startswith("\nStudent Academic Context\n") and prompt.endswith("}\n")
+    assert "Grade: 5\nSubject: Français 100%\n" in prompt
+    assert "Primary issue: p\nSecondary issue: s\nRoot cause category: root\n" in prompt
+
+
+def test_row_limit_takes_the_first_rows_in_table_order(spark):
+    df = spark.createDataFrame([insight("S2"), insight("S1", 10), insight("S1", 9)], S.INSIGHTS)
+    assert [(r.student_id, r.grade) for r in L.subject_prompts(df, 2).collect()] == [("S1", 9), ("S1", 10)]
+    assert L.subject_prompts(df).count() == 3
+
+
+def test_student_prompt_holds_both_record_lists(spark):
+    analytics = spark.createDataFrame(
+        [("S1", 5, s, 2, 80.0, 81.5, 80.0, "stable", 0.5, 0.3, "low", g, "high", "low", "low") for s, g in (("Math", None), ("Art", 1.0))],
+        S.ANALYTICS,
+    )
+    summaries = spark.createDataFrame([("S1", 5, "Math", 'say "é"\n', "b", "c", "low", "x"), ("S2", 5, "Math", "a", "b", "c", "low", "x")], S.SUMMARIES)
+    gathered = C.gather_students(analytics, summaries)
+    prompt = L.student_prompts(gathered, C.ANALYTICS_FIELDS, C.SUMMARY_COLUMNS).collect()
+    assert len(prompt) == 1
+    text = prompt[0].prompt
+    body = text.split("Numerical subject analytics:\n")[1]
+    first, rest = body.split("\n\nSubject-level AI summaries:\n")
+    second = rest.split("\n\nReturn JSON ONLY")[0]
+    records = [{n: ("" if v is None else v) for n, v in r.asDict().items()} for r in analytics.orderBy("subject").collect()]
+    assert first == json.dumps(records, indent=2)
+    # The escapes of other letters may differ in the case of their digits.
+    assert second.lower() == json.dumps([summaries.first().asDict()], indent=2).lower()
+
+
+def test_students_without_usable_response_are_reported(spark):
+    students = spark.createDataFrame([("S1", 5), ("S2", 6)], "student_id string, grade int")
+    answer = '{"overall_summary": "ok", "recommended_next_steps": {"a": "b"}, "key_strengths": null}'
+    given = spark.createDataFrame([("S1", 1, answer), ("S2", 1, "nothing")], S.STUDENT_RESPONSES)
+    done, failed = L.consolidated_rows(students, given, "claude")
+    assert [tuple(r) for r in done.select(S.CONSOLIDATED.names).collect()] == [("S1", 5, "ok", "", "", '{"a":"b"}', "low", "claude")]
+    assert [tuple(r) for r in failed.collect()] == [("S2", 6, "LLM failed to produce valid JSON")]
+
+
+def test_explanations_keep_the_last_grade(spark):
+    df = spark.createDataFrame([insight(grade=9), insight(grade=10)], S.INSIGHTS).withColumn(
+        "explanation_summary", F.concat(F.lit("grade "), F.col("grade"))
+    )
+    assert [r.explanation_summary for r in C.explanations(df).collect()] == ["grade 10"]

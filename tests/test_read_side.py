@@ -1,0 +1,171 @@
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import attempts
+from scoreflow import schemas as S
+from scoreflow.operators import consolidation as C
+from scoreflow.operators import dashboard, insights, metrics, reports, roster
+
+
+def analytics_rows(seed=4, students=60):
+    rng = random.Random(seed)
+    rows = []
+    for s in range(students):
+        for subject in rng.sample(["Art", "Math", "PE", "Science"], rng.randrange(1, 5)):
+            rows.append(
+                (
+                    f"S{s}", rng.randrange(1, 13), subject, 3, round(rng.uniform(30, 99), 2), rng.randrange(0, 401) / 4, 70.0,
+                    rng.choice(["improving", "declining", "stable", "insufficient_data"]), 0.0, 0.5, "low", None, "low",
+                    rng.choice(["low", "medium", "high"]), "low",
+                )
+            )
+    return rows
+
+
+@pytest.fixture
+def rows():
+    return analytics_rows()
+
+
+def by_student(rows):
+    groups = {}
+    for r in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        groups.setdefault(r[0], []).append(r)
+    return groups
+
+
+RANK = {"low": 1, "medium": 2, "high": 3}
+
+
+def test_roster_against_brute_force(spark, rows):
+    names = attempts(spark, [("S1", 5, "Art", "E2", "mock", 2, 1, "2024-01-02"), ("S1", 5, "Art", "E1", "mock", 1, 1, "2024-01-02")])
+    names = names.withColumn("Name", F.concat(F.lit("Ann "), F.col("exam_id")))
+    done = spark.createDataFrame([(" S2 ",), ("S5",)], "student_id string")
+    df = spark.createDataFrame(rows, S.ANALYTICS)
+    got = {r.student_id: r for r in roster.class_roster(df, names, done).collect()}
+    wanted = by_student(rows)
+    assert set(got) == set(wanted)
+    for sid, items in wanted.items():
+        r, trends = got[sid], [i[7] for i in items]
+        assert r.overall_avg == pytest.approx(round(sum(i[4] for i in items) / len(items), 1), abs=0.1000001)
+        assert r.risk_level == max((i[13] for i in items), key=RANK.get)
+        first = "Declining" if "declining" in trends else "Improving" if "improving" in trends else trends[0]
+        assert (r.trend, r.grade) == (first, str(min(i[1] for i in items)))
+        assert r.subjects == sorted(i[2] for i in items)
+        assert r.processed == (sid in ("S2", "S5"))
+    assert got["S1"].name == "Ann E1" and got["S2"].name == "—"
+
+    board = roster.class_roster(df, names, done)
+    kpi = roster.class_indicators(board, df).first()
+    averages = [r.overall_avg for r in got.values() if r.overall_avg > 0]
+    assert (kpi.total_students, kpi.processed, kpi.subject_count) == (60, 2, 4)
+    assert kpi.class_average == round(sum(averages) / len(averages), 1)
+    assert kpi.at_risk == sum(r.risk_level == "high" for r in got.values())
+    assert kpi.subjects == ["Art", "Math", "PE", "Science"]
+
+    assert {r.student_id for r in roster.search(board, " ANN").collect()} == {"S1"}
+    assert roster.search(board, "  ").count() == 60
+    assert tuple(roster.search_counts(board, "s5").first()) == (11, 60)
+    assert [r.student_id for r in roster.top_rows(board, 3).collect()] == ["S0", "S1", "S10"]
+
+
+def test_dashboard_against_brute_force(spark, rows):
+    got = {r.student_id: r for r in dashboard.dashboard(spark.createDataFrame(rows, S.ANALYTICS)).collect()}
+    colour = {"improving": "green", "declining": "red"}
+    for sid, items in by_student(rows).items():
+        r = got[sid]
+        assert r.overall_average == round(sum(i[5] for i in items) / len(items), 1)
+        assert r.overall_risk == max((i[13] for i in items), key=RANK.get)
+        counts = {c: [colour.get(i[7], "amber") for i in items].count(c) for c in ("green", "red", "amber")}
+        assert r.trend_colour == max(counts, key=counts.get)
+        assert r.subject_count == len(items)
+
+
+def test_dashboard_skips_bad_numbers_and_blank_risks(spark):
+    df = spark.createDataFrame(
+        [("S1", "x", "", "stable"), ("S1", "80", "Medium", "up"), ("S1", "71", "Critical", "up"), ("S2", "", None, None)],
+        "student_id string, latest_score string, risk_flag string, trend string",
+    )
+    got = {r.student_id: (r.overall_average, r.overall_risk, r.risk_colour, r.trend_word) for r in dashboard.dashboard(df).collect()}
+    assert got == {"S1": (75.5, "Critical", "red", "Improving"), "S2": (0.0, "—", "green", "Stable")}
+
+
+def test_radar_needs_two_subjects(spark):
+    base = (5, "Art", 1, 50.0, 60.0, 50.0, "stable", 0.0, 1.0, "low", None, "low", "low", "low")
+    df = spark.createDataFrame([("S1", *base), ("S2", *base), ("S2", 5, "Math", *base[2:])], S.ANALYTICS)
+    got = {r.student_id: r for r in dashboard.chart_series(df).collect()}
+    assert got["S1"].radar is None and len(got["S1"].points) == 1
+    assert [p.subject for p in got["S2"].radar] == ["Art", "Math", "Art"]
+
+
+@pytest.fixture
+def tables(spark):
+    rows = [(s, 5, sub, f"E{i}", k, 1, 40 + 9 * i, f"2024-01-0{i + 1}") for s in ("S1", "S2") for sub in ("Math", "Art") for i, k in enumerate(("mock", "real"))]
+    validated = attempts(spark, [*rows, ("S3", 7, "Art", "E9", "mock", 1, 50, "2024-01-01")])
+    analytics = metrics.subject_analytics(validated.filter("student_id <> 'S3'"))
+    found = insights.subject_insights(analytics).filter("subject = 'Math'")
+    summaries = analytics.select(
+        "student_id", "grade", "subject", F.lit('["a"]').alias("performance_summary"), F.lit("p").alias("improvement_plan"),
+        F.lit("").alias("motivation_note"), F.lit("low").alias("confidence_note"), F.lit("x").alias("llm_provider"),
+    )
+    done = spark.createDataFrame([("S1", 5, "all well", "s", "i", '{"do": "it"}', "high", "claude")], S.CONSOLIDATED)
+    return validated, analytics, found, summaries, done
+
+
+def test_report_document(spark, tables):
+    docs = reports.report_documents(*tables).collect()
+    assert [d.student_id for d in docs] == ["S1"]
+    doc = json.loads(docs[0].report)
+    assert (doc["student_name"], doc["grade"], doc["mode"], doc["llm_provider_used"]) == ("Name S1", 5, "cached", "claude")
+    assert doc["recommended_next_steps"] == {"do": "it"} and doc["overall_summary"] == "all well"
+    assert [p["subject"] for p in doc["numerical_performance"]] == ["Art", "Math"]
+    art, math = doc["subject_summaries"]
+    assert art["explainability"] == {} and art["performance_summary"] == ["a"] and art["motivation_note"] == ""
+    assert math["explainability"]["confidence_in_insight"] == "low"
+    assert math["explainability"]["key_evidence_points"].startswith("- Average score is")
+    flat = reports.report_rows(*tables).collect()
+    assert sorted(r.subject for r in flat) == ["Art", "Math"] and {r.student_name for r in flat} == {"Name S1"}
+
+
+def test_status_and_flags(spark, tables):
+    validated, analytics, _, summaries, done = tables
+    ids = spark.createDataFrame([("s1",), (" S2",), ("S3 ",), ("S4",)], "student_id string")
+    status = {r.student_id: r.status for r in reports.report_status(ids, validated, analytics, summaries, done).collect()}
+    assert status == {"S1": "ok", "S2": "NOT_FOUND:True", "S3": "NOT_FOUND:True", "S4": "NOT_FOUND:False"}
+    flags = {r.student_id: (r.in_validated_results, r.in_subject_analytics) for r in reports.existence_flags(ids, validated, analytics).collect()}
+    assert flags == {"s1": (False, False), "S2": (True, True), "S3": (True, False), "S4": (False, False)}
+    assert reports.base_status(analytics, summaries) == "ok"
+    assert reports.base_status(analytics.limit(0), summaries) == "NO_DATA"
+
+
+def test_lookup_modes(spark):
+    df = spark.createDataFrame([("S1 ",), ("s1",), ("S1",)], "student_id string")
+    assert [reports.rows_of_student(df, "S1", m).count() for m in ("exact", "trim", "ci")] == [1, 2, 3]
+    asked = spark.createDataFrame([("s1",), ("S1",)], "requested string")
+    assert [reports.rows_of_requests(df, asked, m).count() for m in ("exact", "trim", "ci")] == [2, 3, 6]
+
+
+def test_record_export(spark):
+    df = spark.createDataFrame([("S1", '{"a": 1}', 2.5), ("S2", None, 3.0)], "student_id string, note string, score double")
+    got = [json.loads(r.record) for r in reports.record_export(df, ["note"]).collect()]
+    assert got == [{"student_id": "S1", "note": {"a": 1}, "score": 2.5}, {"student_id": "S2", "note": "", "score": 3.0}]
+
+
+def test_live_report(spark, tables):
+    validated, _, _, _, done = tables
+    r = reports.live_reports(done, validated).first()
+    assert (r.student_id, r.student_name, r.grade, r.mode, r.llm_provider_used) == ("S1", "Name S1", 5, "live", "claude")
+
+
+def test_history_and_ready(spark, tables):
+    _, analytics, _, summaries, done = tables
+    history = done.withColumn("run_ts", F.lit("2024-01-01").cast("timestamp")).unionByName(
+        done.withColumn("overall_summary", F.lit("newer")).withColumn("run_ts", F.lit("2024-02-01").cast("timestamp"))
+    )
+    assert [r.overall_summary for r in C.latest_from_history(history).collect()] == ["newer"]
+    some = summaries.filter("student_id = 'S1'").withColumn("student_id", F.lit(" S1"))
+    assert [r.student_id for r in C.ready_students(analytics, some).collect()] == ["S1"]
+    assert reports.first_consolidated(done.union(done)).count() == 1
