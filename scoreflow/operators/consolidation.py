@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreflow.functions.rows import own_shuffle
 from scoreflow.functions.text import clean_id
 from scoreflow.operators.metrics import attempt_order
 from scoreflow.schemas import ANALYTICS, CONSOLIDATED, SUBJECT_KEY, SUMMARIES
@@ -64,12 +65,13 @@ def explanations(insights: DataFrame) -> DataFrame:
 
 def explained_summaries(summaries: DataFrame, insights: DataFrame) -> DataFrame:
     """Summaries with the explanation of their subject, null where there is none."""
-    return summaries.join(explanations(insights), SUBJECT_KEY, "left")
+    found = explanations(insights).withColumn("subject", own_shuffle(F.col("subject")))
+    return summaries.join(found, SUBJECT_KEY, "left")
 
 
 def processed_flags(students: DataFrame, consolidated: DataFrame) -> DataFrame:
     """Rows of ``students`` with ``processed``: the id occurs in the consolidated table."""
-    done = ids_of(consolidated).withColumn("_done", F.lit(True))
+    done = ids_of(consolidated).select(own_shuffle(F.col("student_id")).alias("student_id"), F.lit(True).alias("_done"))
     return students.join(done, "student_id", "left").withColumn(
         "processed", F.coalesce(F.col("_done"), F.lit(False))
     ).drop("_done")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreflow.functions.rows import own_shuffle
 from scoreflow.functions.text import email_key, strip
 
 
@@ -25,8 +26,12 @@ def typed_like(df: DataFrame, keys: list[str], target: DataFrame) -> DataFrame:
 
 
 def without_keys(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows whose key tuple does not occur in ``new`` (null keys compare equal)."""
-    replaced = typed_like(new, keys, existing).select(keys).distinct()
+    """Existing rows whose key tuple does not occur in ``new`` (null keys compare equal).
+
+    The keys are not made distinct first: the anti join does not need it, and a side that
+    comes straight from its shuffle lets the planner split a hot key of the other side.
+    """
+    replaced = typed_like(new, keys, existing).select(keys)
     same = [existing[k].eqNullSafe(replaced[k]) for k in keys]
     condition = same[0]
     for part in same[1:]:
@@ -66,7 +71,7 @@ def update_by_email(
     full = _with_column_after(users, column, "role")
     keyed = full.withColumn("_email", email_key(F.col("email")))
     return (
-        keyed.join(last, "_email", "left")
+        keyed.join(last.withColumn("_email", own_shuffle(F.col("_email"))), "_email", "left")
         .withColumn(column, F.coalesce("_value", column))
         .select(full.columns)
     )
@@ -86,7 +91,7 @@ def insert_if_absent(
         first.join(taken.withColumn("_taken", F.lit(True)), "_email", "left")
         .select("_email", F.when(F.col("_taken").isNull(), F.col("_first")).alias("_first"))
     )
-    judged = keyed.join(winner, "_email", "left").withColumn(
+    judged = keyed.join(winner.withColumn("_email", own_shuffle(F.col("_email"))), "_email", "left").withColumn(
         "_ok", F.coalesce(F.col(order) == F.col("_first"), F.lit(False))
     )
     names = [c for c in new.columns if c != order or c in columns]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreflow.functions.rows import own_shuffle
 from scoreflow.functions.text import email_key, strip
 
 REPORT_LIMIT = 50
@@ -59,6 +60,7 @@ def linked_ids(users: DataFrame, students: DataFrame) -> DataFrame:
         students.select(named.alias("m"), found.alias("_found"))
         .groupBy(email_key(F.col("m.mail")).alias("_email"))
         .agg(F.min_by("_found", F.struct("m.at", "_found")).alias("_found"))
+        .withColumn("_email", own_shuffle(F.col("_email")))
     )
     return accounts.join(lookup, "_email", "left").select(
         "email", F.coalesce(F.nullif(own, F.lit("")), F.col("_found"), F.lit("")).alias("student_id")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreflow.functions.rows import own_shuffle
 from scoreflow.functions.text import clean_id, is_blank, match_id, normalize_cell
 from scoreflow.operators.consolidation import EXPLANATION, explained_summaries, ids_of
 from scoreflow.operators.metrics import attempt_order
@@ -42,6 +43,7 @@ def rows_of_student(df: DataFrame, student_id: str, match: str = "trim") -> Data
 def rows_of_requests(df: DataFrame, requests: DataFrame, match: str = "trim") -> DataFrame:
     """Rows of every requested id (column ``requested``), for many lookups at once."""
     keyed = requests.select("requested", match_id(F.col("requested"), match).alias("_id")).distinct()
+    keyed = keyed.withColumn("_id", own_shuffle(F.col("_id")))
     return keyed.join(df.withColumn("_id", match_id(F.col("student_id"), match)), "_id").drop("_id")
 
 

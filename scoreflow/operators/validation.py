@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreflow.functions.numbers import as_int, as_number, to_moment
-from scoreflow.functions.rows import with_values
+from scoreflow.functions.rows import own_shuffle, with_values
 from scoreflow.functions.text import clean_id, is_blank
 from scoreflow.schemas import ATTEMPT_COLUMNS, ATTEMPT_KEY, EXAM_TYPES, GROUP_KEY, VALIDATED
 from scoreflow.sources.tables import conform
@@ -106,7 +106,7 @@ def split_rows(raw: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """Quarantine mode: (valid rows with unique keys, report of all others)."""
     classified = classify(raw, as_of)
     good = accepted(classified)
-    doubled = duplicate_keys(good).select(ATTEMPT_KEY)
+    doubled = duplicate_keys(good).select(ATTEMPT_KEY).withColumn("exam_id", own_shuffle(F.col("exam_id")))
     same = [F.col(f"g.{k}").eqNullSafe(F.col(f"d.{k}")) for k in ATTEMPT_KEY]
     condition = same[0] & same[1] & same[2]
     unique = good.alias("g").join(doubled.alias("d"), condition, "left_anti")
@@ -166,13 +166,13 @@ def validate(raw: DataFrame, as_of) -> DataFrame:
 
 
 def canonical_order(df: DataFrame) -> DataFrame:
-    """Full sort by the attempt key, for exports."""
+    """Full sort by the attempt key, for exports of rows whose keys are unique."""
     return df.orderBy(*ATTEMPT_KEY)
 
 
 def of_students(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of the students in ``ids``; ids are compared trimmed and stored trimmed."""
-    wanted = ids.select(clean_id(F.col("student_id")).alias("student_id")).distinct()
+    wanted = ids.select(clean_id(F.col("student_id")).alias("student_id"))
     trimmed = df.withColumn("student_id", clean_id(F.col("student_id")))
     return trimmed.join(wanted, "student_id", "left_semi").select(df.columns)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scoreflow import schemas as S
 from scoreflow.functions import text as X
+from scoreflow.functions.rows import with_values
 from scoreflow.operators import (
     consolidation, dashboard, insights, keyed, listings, metrics, narrative, reports, roster, validation,
 )
@@ -265,7 +266,7 @@ def error_histogram(d: Data) -> DataFrame:
 
 @query
 def validated_rows(d: Data) -> DataFrame:
-    return validation.canonical_order(validation.accepted(validation.classify(d.dirty, A.AS_OF)))
+    return validation.accepted(validation.classify(d.dirty, A.AS_OF))
 
 
 @query
@@ -280,7 +281,7 @@ def quarantine_report(d: Data) -> DataFrame:
 
 @query
 def quarantine_rows(d: Data) -> DataFrame:
-    return validation.split_rows(d.dirty, A.AS_OF)[0]
+    return validation.canonical_order(validation.split_rows(d.dirty, A.AS_OF)[0])
 
 
 @query
@@ -373,8 +374,9 @@ def json_recovery(d: Data) -> DataFrame:
         .when(rest == 4, F.lit("{}"))
         .otherwise(F.concat(F.lit('x {"k": "'), F.col("event_type"), F.lit('"} y')))
     )
-    value = X.recover_json(told)
-    return d.table("events").select(
+    parsed = with_values(d.table("events").select("event_id", told.alias("told")), {"parsed": X.recover_json(F.col("told"))})
+    value = F.col("parsed")
+    return parsed.select(
         "event_id",
         X.is_filled_object(value).alias("usable"),
         F.try_variant_get(value, "$.k", "string").alias("k"),
