@@ -194,7 +194,10 @@ def consolidated_rows(
     answers = first_usable(responses, ["student_id"], CONSOLIDATED_FIELDS).drop("attempt")
     base = students.select("student_id", "grade")
     done = base.join(answers, "student_id").withColumn("llm_provider", F.lit(provider))
-    failed = base.join(answers, "student_id", "left_anti").withColumn(
-        "error", F.lit("LLM failed to produce valid JSON")
-    )
-    return done, failed
+    return done, unanswered(base, answers)
+
+
+def unanswered(students: DataFrame, answered: DataFrame) -> DataFrame:
+    """Students without a consolidated row, as error rows."""
+    missing = students.select("student_id", "grade").join(answered, "student_id", "left_anti")
+    return missing.withColumn("error", F.lit("LLM failed to produce valid JSON"))

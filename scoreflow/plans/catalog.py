@@ -25,6 +25,8 @@ from scoreflow.streaming.intake_stream import record_stream, start_intake
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 INTAKE_DAY = "2024-06-01"
+# Local folders live as long as the process, since query results read them later.
+LOCAL_FOLDERS: list[tempfile.TemporaryDirectory] = []
 
 
 def query(build: Callable[["Data"], DataFrame]) -> Callable[["Data"], DataFrame]:
@@ -44,7 +46,9 @@ def scratch_root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/scoreflow-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="scoreflow-")
+    folder = tempfile.TemporaryDirectory(prefix="scoreflow-")
+    LOCAL_FOLDERS.append(folder)
+    return folder.name
 
 
 class Data:
@@ -316,6 +320,12 @@ def subject_analytics_events(d: Data) -> DataFrame:
     return metrics.subject_analytics(d.event_attempts)
 
 
+@query
+def subject_analytics_one_pass(d: Data) -> DataFrame:
+    """The plan with a single exchange, chosen after a look at the group sizes."""
+    return metrics.subject_analytics(d.event_attempts, bounded=metrics.groups_are_bounded(d.event_attempts))
+
+
 @query
 def recent_average_k3(d: Data) -> DataFrame:
     return metrics.recent_average(d.event_attempts, 3)

@@ -424,6 +424,7 @@ ORACLES: dict[str, str] = {
     # metrics and insights
     "subject_analytics": with_(*BASE) + "SELECT * FROM analytics",
     "subject_analytics_events": with_(EVENT_ATTEMPTS, analytics("event_attempts")) + "SELECT * FROM analytics",
+    "subject_analytics_one_pass": with_(EVENT_ATTEMPTS, analytics("event_attempts")) + "SELECT * FROM analytics",
     "recent_average_k3": with_(EVENT_ATTEMPTS, analytics("event_attempts", k=3))
     + "SELECT student_id, grade, subject, latest_score, recent_avg_score FROM analytics",
     "mock_real_gap": with_(*BASE) + "SELECT student_id, grade, subject, mock_vs_real_gap FROM analytics",

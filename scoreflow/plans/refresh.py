@@ -86,18 +86,22 @@ def _validate_all(store: TableStore, raw: DataFrame, run: Run) -> None:
         store.publish(VALIDATED, _stage_valid(store, raw, run, everything=True))
 
 
+def _analytics(attempts: DataFrame) -> DataFrame:
+    return metrics.subject_analytics(attempts, bounded=metrics.groups_are_bounded(attempts))
+
+
 def _consolidate(store: TableStore, run: Run, analytics: DataFrame, summaries: DataFrame) -> None:
     gathered = consolidation.gather_students(analytics, summaries)
     prompts = narrative.student_prompts(gathered, consolidation.ANALYTICS_FIELDS, consolidation.SUMMARY_COLUMNS)
     store.overwrite("student_prompts", prompts)
     asked = store.read("student_prompts")
     store.overwrite("student_responses", run.student_model(asked))
-    done, failed = narrative.consolidated_rows(asked, store.read("student_responses"), run.provider)
+    done, _ = narrative.consolidated_rows(asked, store.read("student_responses"), run.provider)
     stamped = done.withColumn("run_ts", F.lit(str(run.as_of)).cast("timestamp"))
     store.append(HISTORY, stamped, S.HISTORY, run.run_id)
     latest = store.read_batch(HISTORY, run.run_id, S.HISTORY).drop("run_ts")
     store.upsert(LATEST, latest, S.CONSOLIDATED, ["student_id"], ["student_id"])
-    store.overwrite(FAILURES, failed)
+    store.overwrite(FAILURES, narrative.unanswered(asked, latest))
     if run.strict_consolidation and not store.read(FAILURES).isEmpty():
         raise RuntimeError("LLM failed to produce valid JSON")
 
@@ -114,7 +118,7 @@ def full_refresh(store: TableStore, raw: DataFrame, run: Run) -> None:
     _validate_all(store, raw, run)
 
     validated = store.read(VALIDATED, S.VALIDATED)
-    store.overwrite(ANALYTICS, metrics.subject_analytics(validated), S.GROUP_KEY)
+    store.overwrite(ANALYTICS, _analytics(validated), S.GROUP_KEY)
     analytics = _require(store, ANALYTICS, S.ANALYTICS, "Phase 1 produced no analytics records")
 
     store.overwrite(INSIGHTS, insights.subject_insights(analytics), S.GROUP_KEY)
@@ -152,7 +156,7 @@ def keyed_refresh(store: TableStore, raw: DataFrame, ids: DataFrame, run: Run) -
         store.upsert(name, delta, schema, S.SUBJECT_KEY, S.GROUP_KEY)
         return delta
 
-    analytics = put(ANALYTICS, metrics.subject_analytics(current(VALIDATED, S.VALIDATED)), S.ANALYTICS)
+    analytics = put(ANALYTICS, _analytics(current(VALIDATED, S.VALIDATED)), S.ANALYTICS)
     found = put(INSIGHTS, insights.subject_insights(analytics), S.INSIGHTS)
     put(SUMMARIES, _answered(store, narrative.subject_prompts(found), run), S.SUMMARIES)
     _consolidate(store, run, current(ANALYTICS, S.ANALYTICS), current(SUMMARIES, S.SUMMARIES))

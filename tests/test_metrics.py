@@ -139,6 +139,21 @@ def test_against_brute_force_with_a_group_of_a_third(spark, seed, hot, k):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_force(rows, k)
 
 
+def test_one_pass_plan_gives_the_same_rows(spark):
+    rows = random_rows(2, 300)
+    df = attempts(spark, rows).repartition(9)
+    got = metrics.subject_analytics(df, window=3, bounded=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_force(rows, 3)
+
+
+def test_large_groups_are_noticed(spark):
+    df = attempts(spark, random_rows(2, 300)).repartition(9)
+    assert metrics.groups_are_bounded(df) and not metrics.groups_are_bounded(df, 200)
+    assert metrics.groups_are_bounded(df.limit(0))
+
+
 def test_input_order_does_not_matter(spark):
     rows = random_rows(5, 300)
     first = table(metrics.subject_analytics(attempts(spark, rows)).na.fill(-99.0))
