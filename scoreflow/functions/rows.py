@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def with_values(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline(F.array(row)))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` for a costly value that is needed several times inside one expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def own_shuffle(key: Column) -> Column:
     """Text key of an aggregated join side, written so that the join shuffles that side again.
 

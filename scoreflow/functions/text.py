@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scoreflow.functions.rows import once
+
 # Characters removed around ids and names (fixed value).
 BLANKS = " \t\n\r\x0b\x0c"
 
@@ -79,8 +81,7 @@ def parse_json_text(text: Column) -> Column:
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     values = F.when(_looks_like_json(text), F.try_variant_get(wrapped, "$", "array<variant>"))
-    only = F.transform(F.array(values), lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
-    return F.get(only, F.lit(0))
+    return once(values, lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
 
 
 def recover_json(text: Column) -> Column:
@@ -118,17 +119,20 @@ def next_steps(text: Column) -> Column:
     """Free text, JSON list or JSON object as an array of step texts."""
     blank = F.coalesce(text, F.lit("")) == ""
     trimmed = strip(text)
-    parsed = parse_json_text(trimmed)
-    shape = F.schema_of_variant(parsed)
     empty = F.array().cast("array<string>")
     steps = F.transform(
         F.map_entries(F.from_json(trimmed, "map<string,string>")),
         lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None"))),
     )
-    return (
-        F.when(blank, empty)
-        .when(parsed.isNull(), F.array(text))
-        .when(shape.startswith("ARRAY<"), F.from_json(trimmed, "array<string>"))
-        .when(shape.startswith("OBJECT<"), steps)
-        .otherwise(empty)
-    )
+    listed = F.from_json(trimmed, "array<string>")
+
+    def by_shape(shape: Column) -> Column:
+        return (
+            F.when(shape.isNull(), F.array(text))
+            .when(shape.startswith("ARRAY<"), listed)
+            .when(shape.startswith("OBJECT<"), steps)
+            .otherwise(empty)
+        )
+
+    shape = F.schema_of_variant(parse_json_text(trimmed))
+    return F.when(blank, empty).otherwise(once(shape, by_shape))

@@ -234,9 +234,9 @@ def intake_rows(d: Data) -> DataFrame:
 @query
 def score_list_parse(d: Data) -> DataFrame:
     per_subject = d.forms.select("form_id", F.posexplode("subjects").alias("place", "s"))
-    scores = intake.parse_scores(F.col("s.scores_text"))
-    text = F.array_join(F.transform(scores, lambda n: n.cast("string")), ",")
-    return per_subject.select("form_id", "place", text.alias("scores"), F.size(scores).alias("score_count"))
+    parsed = with_values(per_subject, {"scores": intake.parse_scores(F.col("s.scores_text"))})
+    text = F.array_join(F.transform("scores", lambda n: n.cast("string")), ",")
+    return parsed.select("form_id", "place", text.alias("scores"), F.size("scores").alias("score_count"))
 
 
 @query
@@ -594,10 +594,8 @@ def next_steps(d: Data) -> DataFrame:
         .when(rest == 3, F.lit(""))
         .when(rest == 4, user)
     )
-    steps = X.next_steps(told)
-    return d.table("events").select(
-        "event_id", F.array_join(steps, "|").alias("steps"), F.size(steps).alias("step_count")
-    )
+    rows = with_values(d.table("events").select("event_id", told.alias("told")), {"steps": X.next_steps(F.col("told"))})
+    return rows.select("event_id", joined("steps"), F.size("steps").alias("step_count"))
 
 
 # --- dashboard and roster -----------------------------------------------------------

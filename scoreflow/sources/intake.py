@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreflow.functions.numbers import to_number
+from scoreflow.functions.rows import once, with_values
 from scoreflow.functions.text import is_blank, present, split_list, strip
 
 
@@ -13,21 +14,16 @@ def parse_scores(text: Column) -> Column:
     """Comma-separated scores to doubles; null where a token is not a number."""
     tokens = split_list(F.coalesce(text, F.lit("")))
     numbers = F.transform(tokens, to_number)
-    return F.when(~F.exists(numbers, lambda n: n.isNull()), numbers)
+    return once(numbers, lambda all_: F.when(~F.exists(all_, lambda n: n.isNull()), all_))
 
 
 def _subject_error(subject: Column, index: Column) -> Column:
     label = F.concat(F.lit("Subject "), (index + 1).cast("string"))
     text = F.coalesce(subject["scores_text"], F.lit(""))
-    scores = parse_scores(text)
-    return (
-        F.when(is_blank(subject["name"]), F.concat(label, F.lit(" name is required.")))
-        .when(
-            scores.isNull(),
-            F.concat(label, F.lit(" scores must be numbers (e.g. 85, 90, 78). Got: '"), text, F.lit("'")),
-        )
-        .when(F.size(scores) == 0, F.concat(label, F.lit(" ("), subject["name"], F.lit(") has no scores.")))
-    )
+    wrong = F.concat(label, F.lit(" scores must be numbers (e.g. 85, 90, 78). Got: '"), text, F.lit("'"))
+    none = F.concat(label, F.lit(" ("), subject["name"], F.lit(") has no scores."))
+    by_scores = once(parse_scores(text), lambda s: F.when(s.isNull(), wrong).when(F.size(s) == 0, none))
+    return F.when(is_blank(subject["name"]), F.concat(label, F.lit(" name is required."))).otherwise(by_scores)
 
 
 def form_errors(forms: DataFrame) -> Column:
@@ -47,13 +43,14 @@ def form_errors(forms: DataFrame) -> Column:
         ),
     )
     found = F.concat(heads, F.array_compact(F.transform(subjects, _subject_error)))
-    nothing = (F.size(found) == 0) & (F.size(subjects) == 0)
-    return F.when(nothing, F.array(F.lit("At least one subject with scores is required."))).otherwise(found)
+    alone = F.array(F.lit("At least one subject with scores is required."))
+    no_subject = F.size(subjects) == 0
+    return once(found, lambda e: F.when((F.size(e) == 0) & no_subject, alone).otherwise(e))
 
 
 def check_forms(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split forms into nested intake records and rejected forms with their messages."""
-    checked = forms.withColumn("errors", form_errors(forms))
+    checked = with_values(forms, {"errors": form_errors(forms)})
     subjects = F.transform(
         F.col("subjects"),
         lambda s: F.struct(
