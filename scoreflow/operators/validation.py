@@ -45,7 +45,7 @@ def coerce_types(df: DataFrame) -> DataFrame:
 
 
 def row_error(as_of: Column) -> Column:
-    """Message of the first broken rule of a coerced row, null for a valid row."""
+    """Message (fixed texts) of the first broken rule of a coerced row, null for a valid row."""
     grade, attempt = F.col("grade"), F.col("attempt_number")
     score, top, date = F.col("score"), F.col("max_score"), F.col("exam_date")
 

@@ -27,7 +27,7 @@ def _subject_error(subject: Column, index: Column) -> Column:
 
 
 def form_errors(forms: DataFrame) -> Column:
-    """All messages of a form row, in the order of the form.
+    """All messages (fixed texts) of a form row, in the order of the form.
 
     Columns: student_id, name, grade (text) and
     subjects array<struct<name, scores_text, max_score>>.
