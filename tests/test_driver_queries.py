@@ -15,7 +15,7 @@ def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(entry_points.oracle_sql()))
 def test_query_equals_its_sql(spark, sql, name):
     statement = entry_points.oracle_sql()[name]
     df = entry_points.queries()[name](spark, SF)
