@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreflow.llm import decontaminate, embeddings, licenses, nearcopies, packing, secrets, substrings
+from scoreflow.llm import (
+    chat, decontaminate, embeddings, language, licenses, nearcopies, packing, secretscan, substrings, toxicity,
+)
 from scoreflow.llm.common import table
 
 QUERIES = {}
@@ -22,6 +24,20 @@ def sha256(value: Column) -> Column:
     return F.sha2(F.encode(value, "UTF-8"), 256)
 
 
+def id_remainder(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scorer = toxicity.fitted(docs, labels.where(id_remainder(3) != 1))
+    return toxicity.scored(docs, scorer).select(
+        "doc_id", (id_remainder(3) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"), "neighbours", "evidence",
+    )
+
+
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.deduplicated(table(spark, sf_dir, "documents"))
@@ -50,6 +66,18 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts hold the control strings."""
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), "turn", "role", "text")
+    return chat.read_back(chat.formatted(rows.union(own)))
+
+
 @query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -60,6 +88,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fitted(docs, id_remainder(5) != 0)
+    return language.identified(docs, model).select(
+        "doc_id", (id_remainder(5) == 0).alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
@@ -74,9 +111,9 @@ def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.found_secrets(table(spark, sf_dir, "documents"))
+    found = secretscan.found_secrets(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
-        sha256(secrets.span_text(F.col("base"))).alias("base_sha256"),
-        secrets.span_text(F.col("spans")).alias("spans"),
+        sha256(secretscan.span_text(F.col("base"))).alias("base_sha256"),
+        secretscan.span_text(F.col("spans")).alias("spans"),
     )
