@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreflow.functions.numbers import finite
 from scoreflow.functions.text import clean_id
-from scoreflow.operators.keyed import upsert_rows
+from scoreflow.operators.keyed import typed_like, without_keys
 
 # RFC 4180: quotes inside a field are doubled.
 CSV_OPTIONS = {
@@ -60,38 +62,67 @@ def part_of(student_id: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(clean_id(student_id)), F.lit(parts)).cast("int")
 
 
-class TableStore:
-    """Parquet tables under one root: each a list of folders named in a small mark file.
+class ChangedTable(RuntimeError):
+    """Another run has published a version of the table since it was read."""
+
 
-    A write goes to new folders and becomes visible by replacing the mark, so a table may
-    be rewritten from itself and a failed job leaves the old rows in place. Tables kept
-    per student are split into ``parts`` by student: an upsert rewrites, and a lookup
-    reads, only the parts of the students it names. Choose ``parts`` so that a part of the
-    largest table is some gigabytes. The root must be on storage all executors share.
+class TableStore:
+    """Parquet tables under one root: each a list of folders named in numbered mark files.
+
+    A write goes to new folders and becomes visible with the next mark, which is written under
+    another name and renamed without overwriting: a reader sees a whole mark, and of two runs that
+    start from one version the second gets :class:`ChangedTable` (appends and upserts then start
+    again from the new version). Tables kept per student are split into ``parts`` by student: an
+    upsert rewrites, and a lookup reads, only the parts of the students it names. Choose ``parts``
+    so that a part of the largest table is some gigabytes. With ``retain``, folders named only in
+    marks older than the last ``retain`` are removed after each write. The root must be on storage
+    all executors share.
     """
 
-    def __init__(self, spark: SparkSession, root: str, parts: int = 16):
+    RETRIES = 5
+    END = "."
+
+    def __init__(self, spark: SparkSession, root: str, parts: int = 16, retain: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.parts = parts
+        self.retain = retain
         jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._path(self.root).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._keep = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
 
-    # --- folders
+    # --- folders and marks
 
     def _folder(self, name: str, folder: str = "") -> str:
         return f"{self.root}/{name}/{folder}".rstrip("/")
 
-    def _folders(self, name: str) -> list[str]:
-        mark = self._path(self._folder(name, "_current"))
-        if not self._fs.exists(mark):
+    def _marks(self, name: str) -> list[int]:
+        top = self._path(self._folder(name))
+        if not self._fs.exists(top):
             return []
-        stream = self._fs.open(mark)
+        names = [f.getPath().getName() for f in self._fs.listStatus(top)]
+        return sorted(int(n[len("_mark.") :]) for n in names if n.startswith("_mark.") and n[len("_mark.") :].isdigit())
+
+    def _marked(self, name: str, number: int) -> list[str]:
+        stream = self._fs.open(self._path(self._folder(name, f"_mark.{number}")))
         try:
-            return bytes(stream.readAllBytes()).decode().split()
+            lines = bytes(stream.readAllBytes()).decode().split("\n")
         finally:
             stream.close()
+        if len(lines) < 2 or lines[-1] != self.END:
+            raise RuntimeError(f"mark {number} of table {name} under {self.root} is broken")
+        return lines[:-1]
+
+    def _current(self, name: str) -> tuple[int, list[str]]:
+        """Number and folders of the newest mark; (0, none) for an absent table."""
+        marks = self._marks(name)
+        return (marks[-1], self._marked(name, marks[-1])) if marks else (0, [])
+
+    def _folders(self, name: str) -> list[str]:
+        return self._current(name)[1]
 
     def _part_folders(self, name: str, version: str) -> list[str]:
         inner = [f.getPath().getName() for f in self._fs.listStatus(self._path(self._folder(name, version)))]
@@ -110,32 +141,77 @@ class TableStore:
             # Rebalancing groups the rows of a part and splits a part that is too large.
             placed = df.withColumn("part", part_of(F.col("student_id"), self.parts)).hint("rebalance", "part")
             writer = placed.sortWithinPartitions("part", *sort_by).write.partitionBy("part")
-        writer.mode("overwrite").parquet(self._folder(name, folder))
+        writer.parquet(self._folder(name, folder))
 
-    def stage(self, name: str, df: DataFrame, sort_by: list[str] | None = None) -> str:
+    def stage(self, name: str, df: DataFrame, sort_by: list[str] | None = None, label: str | None = None) -> str:
         """Write a new version without showing it; returns its label.
 
         With ``sort_by`` the rows are split by student and sorted inside their part;
         without it they are written as they come, with no shuffle.
         """
-        version = f"v={uuid.uuid4().hex}"
+        version = f"v={label + '~' if label else ''}{uuid.uuid4().hex}"
         self._write(name, version, sanitize(df), sort_by)
         return version
 
-    def _show(self, name: str, folders: list[str]) -> None:
-        stream = self._fs.create(self._path(self._folder(name, "_current")), True)
+    def _show(self, name: str, folders: list[str], seen: int) -> None:
+        """Make ``folders`` the table, if mark ``seen`` is still its newest."""
+        written = self._path(self._folder(name, f"_new-{uuid.uuid4().hex}"))
+        stream = self._fs.create(written, False)
         try:
-            stream.write(bytearray("\n".join(folders).encode()))
+            stream.write(bytearray("\n".join([*folders, self.END]).encode()))
         finally:
             stream.close()
+        if self._current(name)[0] == seen:
+            try:
+                self._context.rename(written, self._path(self._folder(name, f"_mark.{seen + 1}")), self._keep)
+            except Py4JJavaError as error:
+                if "FileAlreadyExists" not in str(error.java_exception):
+                    raise
+            else:
+                if self.retain:
+                    self.vacuum(name, self.retain)
+                return
+        self._fs.delete(written, False)
+        raise ChangedTable(f"table {name} under {self.root} has a newer version than {seen}")
 
     def publish(self, name: str, version: str) -> None:
-        self._show(name, self._part_folders(name, version))
+        """Make a staged version the whole table, whatever it held."""
+        folders = self._part_folders(name, version)
+        self._again(lambda: self._show(name, folders, self._current(name)[0]))
+
+    def _again(self, action: Callable[[], None]) -> None:
+        for left in range(self.RETRIES, -1, -1):
+            try:
+                return action()
+            except ChangedTable:
+                if not left:
+                    raise
 
     def discard(self, name: str, version: str) -> None:
         """Remove a staged version that is not to be published."""
         self._fs.delete(self._path(self._folder(name, version)), True)
 
+    def drop(self, name: str) -> None:
+        self._fs.delete(self._path(self._folder(name)), True)
+
+    def vacuum(self, name: str, retain: int = 1) -> None:
+        """Remove all marks but the last ``retain`` and the folders that only they name."""
+        marks = self._marks(name)
+        old, kept = marks[:-retain], marks[-retain:]
+        used = {f for number in kept for f in self._marked(name, number)}
+        for number in old:
+            gone = set(self._marked(name, number)) - used
+            self._fs.delete(self._path(self._folder(name, f"_mark.{number}")), False)
+            for folder in gone:
+                self.discard(name, folder)
+
+    def compact(self, name: str, schema: T.StructType, sort_by: list[str] | None = None) -> None:
+        """Rewrite an appended table as one version; its batch labels are lost."""
+        seen, folders = self._current(name)
+        if folders:
+            version = self.stage(name, self._load(name, folders, schema).drop("v", "part"), sort_by)
+            self._show(name, self._part_folders(name, version), seen)
+
     # --- reads
 
     def _load(self, name: str, folders: list[str], schema: T.StructType | None) -> DataFrame:
@@ -156,7 +232,8 @@ class TableStore:
         return self._load(name, [version], schema).drop("v", "part")
 
     def read_batch(self, name: str, batch: str, schema: T.StructType) -> DataFrame:
-        return self.read_version(name, f"v={batch}", schema)
+        own = [f for f in self._folders(name) if f.startswith(f"v={batch}~")]
+        return self._load(name, own, schema).drop("v", "part")
 
     def parts_of(self, ids: DataFrame) -> list[int]:
         """Parts that hold the given students; never more than ``parts`` numbers."""
@@ -187,27 +264,35 @@ class TableStore:
     def append(
         self, name: str, df: DataFrame, schema: T.StructType, batch: str, sort_by: list[str] | None = None
     ) -> None:
-        """Add rows under a batch label; writing the same label again replaces its rows.
+        """Add rows under a batch label; writing the same label again replaces its rows at once.
 
         A header that differs from ``schema`` raises and leaves the table as it is.
         """
-        folder = f"v={batch}"
-        self._write(name, folder, sanitize(conform(df, schema)), sort_by)
-        folders = self._folders(name)
-        if folder not in folders:
-            self._show(name, [*folders, folder])
+        version = self.stage(name, conform(df, schema), sort_by, batch)
+
+        def add() -> None:
+            seen, folders = self._current(name)
+            self._show(name, [*(f for f in folders if not f.startswith(f"v={batch}~")), version], seen)
+
+        self._again(add)
 
     def upsert(
-        self, name: str, df: DataFrame, schema: T.StructType, keys: list[str], sort_by: list[str]
+        self, name: str, df: DataFrame, schema: T.StructType, keys: list[str], sort_by: list[str],
+        gone: DataFrame | None = None,
     ) -> None:
-        """Replace the rows whose key occurs in ``df``, a stored frame with a student id."""
+        """Replace the rows whose key occurs in ``df``, a stored frame with a student id.
+
+        ``gone``: stored keys whose old rows go, in place of those of ``df``.
+        """
         new = conform(df, schema)
-        folders = self._folders(name)
-        if not folders:
-            self.overwrite(name, new, sort_by)
-            return
-        touched = {f"part={p}" for p in self.parts_of(new)}
-        hit = [f for f in folders if f.split("/")[-1] in touched]
-        version = self.stage(name, upsert_rows(self._load(name, hit, schema).drop("v", "part"), new, keys), sort_by)
-        kept = [f for f in folders if f not in hit]
-        self._show(name, [*kept, *self._part_folders(name, version)])
+        leaving = new if gone is None else gone
+        touched = {f"part={p}" for p in {*self.parts_of(new), *self.parts_of(leaving)}}
+
+        def replace() -> None:
+            seen, folders = self._current(name)
+            hit = [f for f in folders if f.split("/")[-1] in touched or "/" not in f]
+            old = self._load(name, hit, schema).drop("v", "part")
+            version = self.stage(name, without_keys(old, leaving, keys).unionByName(typed_like(new, keys, old)), sort_by)
+            self._show(name, [*(f for f in folders if f not in hit), *self._part_folders(name, version)], seen)
+
+        self._again(replace)

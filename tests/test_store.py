@@ -86,3 +86,60 @@ def test_header_only_csv_has_columns_and_no_rows(spark, tmp_path):
 def test_conform(spark):
     with pytest.raises(ValueError, match="missing \\['exam_id'\\]"):
         TB.conform(rows(spark, "S1").drop("exam_id"), S.VALIDATED)
+
+
+def test_broken_mark_raises_and_nothing_is_lost(spark, store, tmp_path):
+    store.overwrite("t", rows(spark, "S1"))
+    (tmp_path / "tables" / "t" / "_mark.2").write_text("")
+    for action in (lambda: store.read("t", S.VALIDATED), lambda: store.upsert("t", rows(spark, "S2"), S.VALIDATED, S.ATTEMPT_KEY, S.ATTEMPT_KEY)):
+        with pytest.raises(RuntimeError, match="mark 2 of table t .* is broken"):
+            action()
+    (tmp_path / "tables" / "t" / "_mark.2").unlink()
+    assert [r.student_id for r in store.read("t", S.VALIDATED).collect()] == ["S1"]
+
+
+def test_two_writers_of_one_version(spark, store):
+    store.overwrite("t", rows(spark, "S1"), S.ATTEMPT_KEY)
+    seen, folders = store._current("t")
+    store.append("t", rows(spark, "S2"), S.VALIDATED, "b", S.ATTEMPT_KEY)
+    with pytest.raises(TB.ChangedTable):
+        store._show("t", folders, seen)
+    assert sorted(r.student_id for r in store.read("t", S.VALIDATED).collect()) == ["S1", "S2"]
+
+
+def test_an_upsert_that_loses_the_race_starts_again(spark, store, monkeypatch):
+    store.overwrite("t", rows(spark, "S1"), S.ATTEMPT_KEY)
+    stage, raced = store.stage, []
+
+    def slow(name, df, *rest, **more):
+        version = stage(name, df, *rest, **more)
+        if name == "t" and not raced:
+            raced.append(1)
+            store.append("t", rows(spark, "S3"), S.VALIDATED, "other", S.ATTEMPT_KEY)
+        return version
+
+    monkeypatch.setattr(store, "stage", slow)
+    store.upsert("t", rows(spark, "S2"), S.VALIDATED, S.ATTEMPT_KEY, S.ATTEMPT_KEY)
+    assert sorted(r.student_id for r in store.read("t", S.VALIDATED).collect()) == ["S1", "S2", "S3"]
+
+
+def test_a_repeated_label_leaves_earlier_readers_their_rows(spark, store):
+    store.append("t", rows(spark, "S1"), S.VALIDATED, "a")
+    before = store.read("t", S.VALIDATED)
+    store.append("t", rows(spark, "S2"), S.VALIDATED, "a")
+    assert [r.student_id for r in before.collect()] == ["S1"]
+    assert [r.student_id for r in store.read("t", S.VALIDATED).collect()] == ["S2"]
+    assert [r.student_id for r in store.read_batch("t", "a", S.VALIDATED).collect()] == ["S2"]
+
+
+def test_retention_and_compaction(spark, tmp_path):
+    store = TB.TableStore(spark, f"{tmp_path}/r", 2, retain=1)
+    for n in range(3):
+        store.overwrite("t", rows(spark, f"S{n}"))
+    assert len([d for d in os.listdir(tmp_path / "r" / "t") if d.startswith("v=")]) == 1
+    store.append("h", rows(spark, "S1"), S.VALIDATED, "a")
+    store.append("h", rows(spark, "S2"), S.VALIDATED, "b")
+    store.compact("h", S.VALIDATED)
+    assert len(store._folders("h")) == 1 and store.read("h", S.VALIDATED).count() == 2
+    store.drop("h")
+    assert not store.exists("h")
