@@ -104,7 +104,11 @@ def duplicate_keys(df: DataFrame) -> DataFrame:
 
 def split_rows(raw: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """Quarantine mode: (valid rows with unique keys, report of all others)."""
-    classified = classify(raw, as_of)
+    return split_classified(classify(raw, as_of))
+
+
+def split_classified(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of classified rows; store them first, since both results read them."""
     good = accepted(classified)
     doubled = duplicate_keys(good).select(ATTEMPT_KEY).withColumn("exam_id", own_shuffle(F.col("exam_id")))
     same = [F.col(f"g.{k}").eqNullSafe(F.col(f"d.{k}")) for k in ATTEMPT_KEY]
@@ -136,20 +140,23 @@ def gate(raw: DataFrame, as_of) -> DataFrame:
     return rows.unionByName(repeats).agg(*[F.sum(c).alias(c) for c in names]).withColumn("passed", ok)
 
 
-def first_errors(report: DataFrame, limit: int | None = 5) -> list[dict]:
+def first_errors(report: DataFrame, limit: int = 5) -> list[dict]:
+    """A sample of the report; the report itself is a table of any size."""
     order = [c for c in ("row_index", "student_id", "error") if c in report.columns]
-    rows = report.orderBy(*order)
-    return [r.asDict() for r in (rows.limit(limit) if limit else rows).collect()]
+    return [r.asDict() for r in report.orderBy(*order).limit(limit).collect()]
 
 
-def raise_rejected(report: DataFrame, limit: int = 5) -> None:
-    raise ValueError(f"Row validation failed: {first_errors(report, limit)}")
+def raise_rejected(report: DataFrame, where: str = "", sample: int = 5) -> None:
+    """Total, the place of the full report and a few rows of it."""
+    place = f", all in {where}" if where else ""
+    raise ValueError(f"Row validation failed: {report.count()} rows{place}; first {first_errors(report, sample)}")
 
 
-def raise_if_repeated(validated: DataFrame) -> None:
-    sample = [r.asDict() for r in duplicate_keys(validated).limit(5).collect()]
-    if sample:
-        raise ValueError(f"{DUPLICATE}: {sample}")
+def raise_if_repeated(validated: DataFrame, sample: int = 5) -> None:
+    repeated = duplicate_keys(validated)
+    some = [r.asDict() for r in repeated.limit(sample).collect()]
+    if some:
+        raise ValueError(f"{DUPLICATE}: {repeated.count()} keys; first {some}")
 
 
 def validate(raw: DataFrame, as_of) -> DataFrame:

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreflow import schemas as S
@@ -47,130 +47,177 @@ class Run:
     row_limit: int | None = None
     quarantine: bool = False
     strict_consolidation: bool = False
+    window: int = 2
+    thresholds: S.Thresholds = S.DEFAULTS
+
+    def work(self, name: str) -> str:
+        """Name of a work table of this run; runs do not share them."""
+        return f"work-{self.run_id}/{name}"
 
 
 def _require(store: TableStore, name: str, schema, message: str) -> DataFrame:
     return require_rows(store.read(name, schema), message)
 
 
-def _stage_valid(store: TableStore, raw: DataFrame, run: Run, everything: bool) -> str:
-    """Write valid rows as an unpublished version; raise unless the whole batch is clean.
+def _reports(df: DataFrame) -> DataFrame:
+    """Rejected rows in the columns of their table."""
+    index = F.col("row_index").cast("bigint") if "row_index" in df.columns else F.lit(None).cast("bigint")
+    return df.select(index.alias("row_index"), "student_id", "error")
+
+
+def _file_rejects(store: TableStore, rejected: DataFrame, run: Run, ids: DataFrame | None) -> DataFrame:
+    """Store the rejects of this run: as the whole table, or in place of those of the students in ``ids``."""
+    if ids is None:
+        store.overwrite(REJECTED, _reports(rejected), ["student_id"])
+        return store.read(REJECTED, S.REJECTS)
+    own = store.scratch(run.work("rejected"), _reports(rejected))
+    store.upsert(REJECTED, own, S.REJECTS, ["student_id"], ["student_id"], gone=ids)
+    return own
+
 
-    Rejected rows are counted while the rows are written, so the raw table is read once.
+def _validated(store: TableStore, raw: DataFrame, run: Run, ids: DataFrame | None = None) -> DataFrame:
+    """Stored valid rows of the batch.
+
+    Strict: raises unless every row is valid and every key unique. Quarantine: all other rows go to
+    the rejects, repeated keys included. The raw rows are parsed once.
     """
     if raw.isEmpty():
         raise RuntimeError(f"{RAW} is empty")
-    classified = validation.classify(raw, run.as_of)
-    seen = Observation()
-    counted = classified.observe(seen, F.count_if(F.col("error").isNotNull()).alias("rejected"))
-    version = store.stage(VALIDATED, validation.accepted(counted), S.ATTEMPT_KEY if everything else None)
-    try:
-        if seen.get["rejected"]:
-            report = validation.error_report(classified)
-            store.overwrite(REJECTED, report)
-            validation.raise_rejected(report, 5 if everything else 100)
-        validation.raise_if_repeated(store.read_version(VALIDATED, version, S.VALIDATED))
-    except Exception:
-        store.discard(VALIDATED, version)
-        raise
-    return version
-
-
-def _validate_all(store: TableStore, raw: DataFrame, run: Run) -> None:
+    classified = store.scratch(run.work("classified"), validation.classify(raw, run.as_of))
     if run.quarantine:
-        good, rejected = validation.split_rows(raw, run.as_of)
-        store.overwrite(VALIDATED, good, S.ATTEMPT_KEY)
-        store.overwrite(REJECTED, rejected)
-        _require(store, VALIDATED, S.VALIDATED, f"{RAW} has no valid row")
-    else:
-        store.publish(VALIDATED, _stage_valid(store, raw, run, everything=True))
+        good, rejected = validation.split_classified(classified)
+        _file_rejects(store, rejected, run, ids)
+        return store.scratch(run.work("valid"), good)
+    report = _file_rejects(store, validation.error_report(classified), run, ids)
+    if not report.isEmpty():
+        validation.raise_rejected(report, REJECTED)
+    good = store.scratch(run.work("valid"), validation.accepted(classified))
+    validation.raise_if_repeated(good)
+    return good
 
 
-def _analytics(attempts: DataFrame) -> DataFrame:
-    return metrics.subject_analytics(attempts, bounded=metrics.groups_are_bounded(attempts))
+def _analytics(attempts: DataFrame, run: Run) -> DataFrame:
+    return metrics.subject_analytics(attempts, run.window, run.thresholds)
 
 
-def _consolidate(store: TableStore, run: Run, analytics: DataFrame, summaries: DataFrame) -> None:
+def _consolidate(store: TableStore, run: Run, analytics: DataFrame, summaries: DataFrame, everybody: bool) -> None:
     gathered = consolidation.gather_students(analytics, summaries)
     prompts = narrative.student_prompts(gathered, consolidation.ANALYTICS_FIELDS, consolidation.SUMMARY_COLUMNS)
-    store.overwrite("student_prompts", prompts)
-    asked = store.read("student_prompts")
-    store.overwrite("student_responses", run.student_model(asked))
-    done, _ = narrative.consolidated_rows(asked, store.read("student_responses"), run.provider)
+    asked = store.scratch(run.work("student_prompts"), prompts)
+    told = store.scratch(run.work("student_responses"), run.student_model(asked))
+    done, _ = narrative.consolidated_rows(asked, told, run.provider)
     stamped = done.withColumn("run_ts", F.lit(str(run.as_of)).cast("timestamp"))
     store.append(HISTORY, stamped, S.HISTORY, run.run_id)
     latest = store.read_batch(HISTORY, run.run_id, S.HISTORY).drop("run_ts")
     store.upsert(LATEST, latest, S.CONSOLIDATED, ["student_id"], ["student_id"])
-    store.overwrite(FAILURES, narrative.unanswered(asked, latest))
-    if run.strict_consolidation and not store.read(FAILURES).isEmpty():
+    failed = store.scratch(run.work("failures"), narrative.unanswered(asked, latest))
+    if everybody:
+        store.overwrite(FAILURES, failed, ["student_id"])
+    else:
+        store.upsert(FAILURES, failed, S.FAILED, ["student_id"], ["student_id"], gone=asked)
+    if run.strict_consolidation and not failed.isEmpty():
         raise RuntimeError("LLM failed to produce valid JSON")
 
 
 def _answered(store: TableStore, prompts: DataFrame, run: Run) -> DataFrame:
-    store.overwrite("subject_prompts", prompts)
-    asked = store.read("subject_prompts")
-    store.overwrite("subject_responses", run.subject_model(asked))
-    return narrative.subject_summaries(asked, store.read("subject_responses"), run.provider)
+    asked = store.scratch(run.work("subject_prompts"), prompts)
+    told = store.scratch(run.work("subject_responses"), run.subject_model(asked))
+    return narrative.subject_summaries(asked, told, run.provider)
 
 
 def full_refresh(store: TableStore, raw: DataFrame, run: Run) -> None:
-    """All phases over the whole raw table; every output but the history is replaced."""
-    _validate_all(store, raw, run)
+    """All phases over the whole raw table.
 
-    validated = store.read(VALIDATED, S.VALIDATED)
-    store.overwrite(ANALYTICS, _analytics(validated), S.GROUP_KEY)
-    analytics = _require(store, ANALYTICS, S.ANALYTICS, "Phase 1 produced no analytics records")
+    Every output is replaced but the history, which grows, and the latest reports, which are upserted:
+    a student who is no longer in the raw table keeps the last report.
+    """
+    try:
+        store.overwrite(VALIDATED, _validated(store, raw, run), S.ATTEMPT_KEY)
+        validated = _require(store, VALIDATED, S.VALIDATED, f"{RAW} has no valid row")
+        store.overwrite(ANALYTICS, _analytics(validated, run), S.GROUP_KEY)
+        analytics = _require(store, ANALYTICS, S.ANALYTICS, "Phase 1 produced no analytics records")
 
-    store.overwrite(INSIGHTS, insights.subject_insights(analytics), S.GROUP_KEY)
-    found = _require(store, INSIGHTS, S.INSIGHTS, "Phase 2 failed: no insights generated")
+        store.overwrite(INSIGHTS, insights.subject_insights(analytics, run.thresholds), S.GROUP_KEY)
+        found = _require(store, INSIGHTS, S.INSIGHTS, "Phase 2 failed: no insights generated")
 
-    prompts = narrative.subject_prompts(found, run.row_limit)
-    store.overwrite(SUMMARIES, _answered(store, prompts, run), S.GROUP_KEY)
-    summaries = _require(store, SUMMARIES, S.SUMMARIES, "Phase 3 produced no summaries")
+        prompts = narrative.subject_prompts(found, run.row_limit)
+        store.overwrite(SUMMARIES, _answered(store, prompts, run), S.GROUP_KEY)
+        summaries = _require(store, SUMMARIES, S.SUMMARIES, "Phase 3 produced no summaries")
 
-    _consolidate(store, run, analytics, summaries)
+        _consolidate(store, run, analytics, summaries, everybody=True)
+    finally:
+        store.drop(run.work("")[:-1])
 
 
 def keyed_refresh(store: TableStore, raw: DataFrame, ids: DataFrame, run: Run) -> None:
     """All phases for the given students; the rows of all others stay as they are.
 
-    Only the table parts of these students are read and rewritten.
+    Only the table parts of these students are read and rewritten. In quarantine mode the rejects
+    of these students replace those of their runs before.
     """
-    ids = store.scratch("refresh_ids", consolidation.ids_of(ids))
+    try:
+        _keyed(store, raw, ids, run)
+    finally:
+        store.drop(run.work("")[:-1])
+
+
+def _keyed(store: TableStore, raw: DataFrame, ids: DataFrame, run: Run) -> None:
+    ids = store.scratch(run.work("ids"), consolidation.ids_of(ids))
     parts = store.parts_of(ids)
     chosen = validation.of_students(raw, ids)
-    unknown = ids.join(consolidation.ids_of(chosen), "student_id", "left_anti").limit(5).collect()
-    if unknown:
-        raise ValueError(f"No raw data found for student {[r.student_id for r in unknown]} in {RAW}")
-    version = _stage_valid(store, chosen, run, everything=False)
-    fresh = store.read_version(VALIDATED, version, S.VALIDATED)
+    unknown = ids.join(consolidation.ids_of(chosen), "student_id", "left_anti")
+    some = unknown.limit(5).collect()
+    if some:
+        names = [r.student_id for r in some]
+        raise ValueError(f"No raw data found for student {names} in {RAW}; {unknown.count()} students in all")
+    fresh = _validated(store, chosen, run, ids)
     store.upsert(VALIDATED, fresh, S.VALIDATED, S.ATTEMPT_KEY, S.ATTEMPT_KEY)
-    store.discard(VALIDATED, version)
+    good = store.scratch(run.work("good_ids"), consolidation.ids_of(fresh))
+    if good.isEmpty():
+        return
 
     def current(name: str, schema) -> DataFrame:
-        return validation.of_students(store.read_parts(name, schema, parts), ids)
+        return validation.of_students(store.read_parts(name, schema, parts), good)
 
     def put(name: str, df: DataFrame, schema) -> DataFrame:
-        store.overwrite(f"{name}_delta", df)
-        delta = _require(store, f"{name}_delta", schema, f"no rows for {name}")
+        delta = require_rows(store.scratch(run.work(name), df), f"no rows for {name}")
         store.upsert(name, delta, schema, S.SUBJECT_KEY, S.GROUP_KEY)
         return delta
 
-    analytics = put(ANALYTICS, _analytics(current(VALIDATED, S.VALIDATED)), S.ANALYTICS)
-    found = put(INSIGHTS, insights.subject_insights(analytics), S.INSIGHTS)
+    analytics = put(ANALYTICS, _analytics(current(VALIDATED, S.VALIDATED), run), S.ANALYTICS)
+    found = put(INSIGHTS, insights.subject_insights(analytics, run.thresholds), S.INSIGHTS)
     put(SUMMARIES, _answered(store, narrative.subject_prompts(found), run), S.SUMMARIES)
-    _consolidate(store, run, current(ANALYTICS, S.ANALYTICS), current(SUMMARIES, S.SUMMARIES))
+    _consolidate(store, run, current(ANALYTICS, S.ANALYTICS), current(SUMMARIES, S.SUMMARIES), everybody=False)
 
 
 def intake_refresh(store: TableStore, records: DataFrame, exam_date, run: Run) -> None:
     """Add nested intake records to the raw table, then refresh their students.
 
-    The rows are filed under the run's id: repeating a run replaces them.
+    The batch is validated before anything is filed: strict mode raises and files nothing, quarantine
+    mode files the good rows and stores the others as rejects. Subject and run id are part of the exam
+    id, so a second series of a student and subject stands beside the first, and repeating a run
+    replaces its rows.
     """
-    rows = as_text(intake_attempts(records, exam_date)).select(S.ATTEMPT_COLUMNS)
-    store.append(RAW, rows, S.RAW, run.run_id, S.ATTEMPT_KEY)
-    added = require_rows(
-        store.read_batch(RAW, run.run_id, S.RAW), "No exam records to write: no subject has scores"
-    )
-    raw = store.read_parts(RAW, S.RAW, store.parts_of(added))
-    keyed_refresh(store, raw, added, run)
+    rows = intake_attempts(records, exam_date)
+    exam = F.concat_ws("@", "exam_id", "subject", F.lit(run.run_id))
+    rows = as_text(rows.withColumn("exam_id", exam)).select(S.ATTEMPT_COLUMNS)
+    checking = replace(run, run_id=f"{run.run_id}-intake")
+    try:
+        filed = require_rows(
+            store.scratch(checking.work("rows"), rows), "No exam records to write: no subject has scores"
+        )
+        ids = store.scratch(checking.work("ids"), consolidation.ids_of(filed))
+        good = _validated(store, filed, checking, ids)
+        store.append(RAW, as_text(good).select(S.ATTEMPT_COLUMNS), S.RAW, run.run_id, S.ATTEMPT_KEY)
+        rejected = store.scratch(checking.work("kept"), store.read_parts(REJECTED, S.REJECTS, store.parts_of(ids)))
+        added = store.read_batch(RAW, run.run_id, S.RAW)
+        if added.isEmpty():
+            return
+        keyed_refresh(store, store.read_parts(RAW, S.RAW, store.parts_of(added)), added, run)
+        # The refresh has judged filed rows only: the rejects of this batch stay beside its own.
+        own = validation.of_students(rejected, ids)
+        later = validation.of_students(store.read_parts(REJECTED, S.REJECTS, store.parts_of(ids)), ids)
+        both = store.scratch(checking.work("both"), own.unionByName(later).distinct())
+        store.upsert(REJECTED, both, S.REJECTS, ["student_id"], ["student_id"], gone=ids)
+    finally:
+        store.drop(checking.work("")[:-1])

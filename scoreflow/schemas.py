@@ -23,6 +23,7 @@ def _schema(columns: str) -> T.StructType:
     return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
+# Names of columns and values that tables share with other programs.
 ATTEMPT_COLUMNS = [
     "student_id", "Name", "grade", "subject", "exam_id", "exam_type",
     "attempt_number", "score", "max_score", "exam_date",
@@ -64,6 +65,8 @@ CONSOLIDATED = _schema(
     "llm_provider string"
 )
 HISTORY = T.StructType([*CONSOLIDATED.fields, T.StructField("run_ts", TYPES["timestamp"])])
+REJECTS = _schema("row_index bigint, student_id string, error string")
+FAILED = _schema("student_id string, grade int, error string")
 USERS = _schema(
     "id string, full_name string, email string, password_hash string, role string, "
     "student_id string, created_at string, last_login string, is_active string"

@@ -60,11 +60,11 @@ def test_failed_batch_leaves_tables_and_names_rows(spark, store):
     bad = data.withColumn("score", F.when(F.col("exam_id") == "E3", "x").otherwise(F.col("score")))
     with pytest.raises(ValueError, match="Row validation failed.*score out of range"):
         R.full_refresh(store, bad, run("r2"))
-    with pytest.raises(ValueError, match="Duplicate exam attempts"):
+    with pytest.raises(ValueError, match="Duplicate exam attempts.*1 keys"):
         R.full_refresh(store, data.union(data.limit(1)), run("r3"))
     with pytest.raises(RuntimeError, match="is empty"):
         R.full_refresh(store, data.limit(0), run("r4"))
-    with pytest.raises(ValueError, match="No raw data found for student \\['S99'\\]"):
+    with pytest.raises(ValueError, match="No raw data found for student \\['S99'\\].*1 students"):
         R.keyed_refresh(store, data, spark.createDataFrame([("S99",)], "student_id string"), run("r5"))
     assert state(store) == before
 
@@ -113,3 +113,96 @@ def test_repeated_intake_run_adds_nothing(spark, store):
         R.intake_refresh(store, records, "2024-06-01", run("same"))
     assert store.read(R.RAW, S.RAW).count() == 2
     assert table(store.read(R.ANALYTICS, S.ANALYTICS))[0][3] == 2
+
+
+def record(student, *subjects):
+    return (student, "N", 5, [(name, [float(x) for x in scores], 100.0) for name, scores in subjects])
+
+
+def records(spark, *rows):
+    return spark.createDataFrame(list(rows), S.INTAKE)
+
+
+def counts(store):
+    return {(r.student_id, r.subject): r.attempt_count for r in store.read(R.ANALYTICS, S.ANALYTICS).collect()}
+
+
+def test_subjects_that_share_a_prefix(spark, store):
+    R.intake_refresh(store, records(spark, record("S1", ("Physics", [50]), ("Physical Education", [60, 70]))), "2024-06-01", run("a"))
+    assert counts(store) == {("S1", "Physics"): 1, ("S1", "Physical Education"): 2}
+
+
+def test_second_series_of_a_student_and_subject(spark, store):
+    R.intake_refresh(store, records(spark, record("S1", ("Math", [50, 60]))), "2024-06-01", run("a"))
+    R.intake_refresh(store, records(spark, record("S1", ("Math", [70])), record("S3", ("Art", [10]))), "2024-06-02", run("b"))
+    R.intake_refresh(store, records(spark, record("S1", ("Art", [80]))), "2024-06-03", run("c"))
+    assert counts(store) == {("S1", "Math"): 3, ("S3", "Art"): 1, ("S1", "Art"): 1}
+
+
+def test_bad_record_in_a_batch(spark, store):
+    batch = records(spark, record("S1", ("Math", [50, 170])), record("S2", ("Math", [60])))
+    with pytest.raises(ValueError, match="Row validation failed: 1 rows, all in rejected_rows"):
+        R.intake_refresh(store, batch, "2024-06-01", run("a"))
+    assert store.read(R.RAW, S.RAW).isEmpty()
+    for _ in range(2):
+        R.intake_refresh(store, batch, "2024-06-01", run("a", quarantine=True))
+    assert counts(store) == {("S1", "Math"): 1, ("S2", "Math"): 1}
+    assert [(r.student_id, r.error) for r in store.read(R.REJECTED, S.REJECTS).collect()] == [("S1", "score out of range")]
+    R.intake_refresh(store, records(spark, record("S4", ("Math", [500]))), "2024-06-01", run("b", quarantine=True))
+    assert sorted(r.student_id for r in store.read(R.REJECTED, S.REJECTS).collect()) == ["S1", "S4"]
+
+
+def test_stream_goes_on_after_a_bad_record(spark, store, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def drop(name, student, scores):
+        subject = {"name": "Math", "scores": scores, "max_score": 100}
+        (folder / name).write_text(json.dumps({"student_id": student, "name": "N", "grade": 5, "subjects": [subject]}))
+
+    def process():
+        settings = run("s", quarantine=True)
+        start_intake(store, record_stream(spark, str(folder), 1), f"{tmp_path}/check", settings, "2024-06-01").awaitTermination()
+
+    drop("a.json", "S1", [170])
+    process()
+    drop("b.json", "S2", [70])
+    process()
+    process()
+    assert counts(store) == {("S2", "Math"): 1}
+    assert [r.student_id for r in store.read(R.REJECTED, S.REJECTS).collect()] == ["S1"]
+
+
+def test_all_errors_of_a_keyed_run_are_kept(spark, store):
+    bad = attempts(spark, [("S1", 5, "Math", f"E{i}", "mock", 1, 150, "2024-01-01") for i in range(150)])
+    ids = spark.createDataFrame([("S1",)], "student_id string")
+    with pytest.raises(ValueError, match="Row validation failed: 150 rows"):
+        R.keyed_refresh(store, as_text(bad), ids, run("r"))
+    assert store.read(R.REJECTED, S.REJECTS).count() == 150
+
+
+def test_rejects_and_failures_of_others_stay(spark, store):
+    data = as_text(attempts(spark, [
+        (s, g, "Art", f"E{s}{i}", "mock", 1, v, "2024-01-01") for s, g in (("S1", 11), ("S2", 11), ("S3", 5)) for i, v in enumerate((50, 150))
+    ]))
+    R.full_refresh(store, data, run("r1", quarantine=True))
+    assert sorted(r.student_id for r in store.read(R.FAILURES).collect()) == ["S1", "S2"]
+    R.keyed_refresh(store, data, spark.createDataFrame([("S3",)], "student_id string"), run("r2", quarantine=True))
+    assert sorted(r.student_id for r in store.read(R.FAILURES).collect()) == ["S1", "S2"]
+    assert sorted(r.student_id for r in store.read(R.REJECTED, S.REJECTS).collect()) == ["S1", "S2", "S3"]
+    good = data.filter("cast(score as double) < 100 or student_id <> 'S2'").withColumn("grade", F.when(F.col("student_id") == "S2", "5").otherwise(F.col("grade")))
+    R.keyed_refresh(store, good, spark.createDataFrame([("S2",)], "student_id string"), run("r3", quarantine=True))
+    assert sorted(r.student_id for r in store.read(R.FAILURES).collect()) == ["S1"]
+    assert sorted(r.student_id for r in store.read(R.REJECTED, S.REJECTS).collect()) == ["S1", "S3"]
+
+
+def test_work_tables_go(spark, store, tmp_path):
+    R.full_refresh(store, raw(spark, 20), run("r1"))
+    assert not [d for d in (tmp_path / "tables").iterdir() if d.name.startswith("work")]
+
+
+def test_thresholds_and_window_of_a_run(spark, store):
+    data = as_text(attempts(spark, [("S1", 5, "Art", f"E{i}", "mock", 1, v, f"2024-01-0{i + 1}") for i, v in enumerate((10, 40, 70))]))
+    R.full_refresh(store, data, run("r", window=3, thresholds=S.Thresholds(low_score=30.0, high_score=35.0)))
+    r = store.read(R.ANALYTICS, S.ANALYTICS).first()
+    assert (r.recent_avg_score, r.performance_band) == (40.0, "high")
