@@ -7,10 +7,8 @@ attempts reaches its reducer as a few rows per map task:
 * the last ``k`` attempts go through ``row_number() <= k``, which Spark turns into a
   group limit on the map side.
 
-Both are hash-partitioned by the same keys, so joining them adds no exchange.
-
-Where :func:`groups_are_bounded` finds no large group, one window over the attempts gives
-the same values with a single exchange and a single scan (``bounded=True``).
+Both are hash-partitioned by the same keys, so joining them adds no exchange. All sums are
+exact, so no order of rows or tasks moves a result.
 """
 
 from __future__ import annotations
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from scoreflow.functions import rules
-from scoreflow.functions.numbers import round_even
+from scoreflow.functions.numbers import exact_deviation, round_even, steady_mean
 from scoreflow.operators.validation import usable_attempts
 from scoreflow.schemas import ANALYTICS, DEFAULTS, GROUP_KEY, Thresholds
 
@@ -50,7 +48,7 @@ def recent_average(df: DataFrame, k: int = 2) -> DataFrame:
         .groupBy(*GROUP_KEY)
         .agg(
             F.max(F.when(F.col("recency") == 1, F.col("score"))).alias("latest_score"),
-            round_even(F.avg("score"), 2).alias("recent_avg_score"),
+            round_even(steady_mean(F.col("score")), 2).alias("recent_avg_score"),
         )
     )
 
@@ -59,62 +57,28 @@ def _totals(df: DataFrame) -> DataFrame:
     score = F.col("score")
     return df.groupBy(*GROUP_KEY).agg(
         F.count(F.lit(1)).alias("attempt_count"),
-        round_even(F.avg(score), 2).alias("average_score"),
+        round_even(steady_mean(score), 2).alias("average_score"),
         F.min_by(score, attempt_order()).alias("first_score"),
-        rules.settled(F.stddev_pop(score)).alias("deviation"),
+        rules.settled(exact_deviation(score)).alias("deviation"),
         _gap().alias("mock_vs_real_gap"),
     )
 
 
 def _gap() -> Column:
     score = F.col("score")
-    real, mock = (F.avg(F.when(F.col("exam_type") == kind, score)) for kind in ("real", "mock"))
+    real, mock = (steady_mean(F.when(F.col("exam_type") == kind, score)) for kind in ("real", "mock"))
     return round_even(real - mock, 2)
 
 
-def _in_one_pass(df: DataFrame, k: int) -> DataFrame:
-    """Totals, first, latest and recent scores over numbered attempts; sorts whole groups."""
-    score, recency = F.col("score"), F.col("recency")
-    numbered = df.withColumn("recency", F.row_number().over(_latest_first()))
-    return numbered.groupBy(*GROUP_KEY).agg(
-        F.count(F.lit(1)).alias("attempt_count"),
-        round_even(F.avg(score), 2).alias("average_score"),
-        F.max_by(score, recency).alias("first_score"),
-        F.max(F.when(recency == 1, score)).alias("latest_score"),
-        round_even(F.avg(F.when(recency <= k, score)), 2).alias("recent_avg_score"),
-        rules.settled(F.stddev_pop(score)).alias("deviation"),
-        _gap().alias("mock_vs_real_gap"),
-    )
-
-
-def groups_are_bounded(df: DataFrame, limit: int = 1_000_000) -> bool:
-    """Whether the largest group has about ``limit`` attempts at most.
-
-    Reads the key columns once and keeps a sketch of fixed size per task; the answer only
-    chooses between two plans with equal results.
-    """
-    key = F.xxhash64(*GROUP_KEY)
-    top = df.agg(F.call_function("approx_top_k", key, F.lit(1), F.lit(10_000)).alias("top")).first().top
-    return not top or top[0]["count"] <= limit
-
-
 def mock_real_gap(df: DataFrame) -> DataFrame:
     """Mean of real minus mean of mock scores; null where one kind is missing."""
     return _totals(usable_attempts(df)).select(*GROUP_KEY, "mock_vs_real_gap")
 
 
-def subject_analytics(
-    df: DataFrame, window: int = 2, thresholds: Thresholds = DEFAULTS, bounded: bool = False
-) -> DataFrame:
-    """One analytics row per student, grade and subject.
-
-    ``bounded`` says that every group fits one task, see :func:`groups_are_bounded`.
-    """
+def subject_analytics(df: DataFrame, window: int = 2, thresholds: Thresholds = DEFAULTS) -> DataFrame:
+    """One analytics row per student, grade and subject."""
     attempts = usable_attempts(df)
-    if bounded:
-        merged = _in_one_pass(attempts, window)
-    else:
-        merged = _totals(attempts).join(recent_average(attempts, window), GROUP_KEY)
+    merged = _totals(attempts).join(recent_average(attempts, window), GROUP_KEY)
     count, first, last = F.col("attempt_count"), F.col("first_score"), F.col("latest_score")
     average, deviation = F.col("average_score"), F.col("deviation")
     return (
