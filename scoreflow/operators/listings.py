@@ -35,6 +35,12 @@ def report_list(reports: DataFrame, limit: int = REPORT_LIMIT) -> DataFrame:
     return top.withColumnsRenamed({c: REPORT_CAPTIONS[c] for c in shown})
 
 
+def report_total(reports: DataFrame) -> DataFrame:
+    """How many reports the list shows of how many there are."""
+    total = F.count(F.lit(1))
+    return reports.agg(F.least(total, F.lit(REPORT_LIMIT).cast("bigint")).alias("shown"), total.alias("total"))
+
+
 def student_accounts(users: DataFrame) -> DataFrame:
     """Accounts with the role Student: name, e-mail and linked id."""
     linked = F.coalesce("student_id", F.lit("")) if "student_id" in users.columns else F.lit("")

@@ -165,9 +165,11 @@ def parse_responses(responses: DataFrame, keys: list[str], fields: list[str]) ->
     )
 
 
-def first_usable(responses: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Fields of the first usable response of each key among the allowed attempts."""
-    tries = responses.filter(F.col("attempt").between(1, MAX_ATTEMPTS))
+def first_usable(
+    responses: DataFrame, keys: list[str], fields: list[str], max_attempts: int = MAX_ATTEMPTS
+) -> DataFrame:
+    """Fields of the first usable response of each key among its first ``max_attempts`` attempts."""
+    tries = responses.filter(F.col("attempt").between(1, max_attempts))
     usable = parse_responses(tries, keys, fields)
     return (
         usable.groupBy(*keys)

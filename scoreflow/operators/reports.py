@@ -90,26 +90,38 @@ def existence_flags(ids: DataFrame, validated: DataFrame, analytics: DataFrame)
 def report_status(
     ids: DataFrame, validated: DataFrame, analytics: DataFrame, summaries: DataFrame, consolidated: DataFrame
 ) -> DataFrame:
-    """``ok``, ``NOT_FOUND:True`` (known, not processed) or ``NOT_FOUND:False`` per id.
+    """Status (fixed words) per requested id.
 
-    Ids are matched without regard to letter case. Whether any analytics and summaries
-    exist at all is :func:`base_status`.
+    ``NO_DATA`` for all while there are no validated rows, analytics or summaries; else ``ok``,
+    ``NOT_FOUND:True`` (known, not processed) or ``NOT_FOUND:False``. Ids are matched without regard to
+    letter case. All tables are stacked with a flag each and reduced by id in one exchange.
     """
-
-    def upper_ids(df: DataFrame, flag: str) -> DataFrame:
-        key = match_id(F.col("student_id"), "ci").alias("student_id")
-        return df.select(key).distinct().withColumn(flag, F.lit(True))
-
-    joined = ids.select(match_id(F.col("student_id"), "ci").alias("student_id")).distinct()
-    for df, flag in ((validated, "_v"), (analytics, "_a"), (summaries, "_s"), (consolidated, "_c")):
-        joined = joined.join(upper_ids(df, flag), "student_id", "left")
+    flags = {"_r": ids, "_v": validated, "_a": analytics, "_s": summaries, "_c": consolidated}
+    stacked = None
+    for flag, df in flags.items():
+        marks = [F.lit(f == flag).alias(f) for f in flags]
+        part = df.select(match_id(F.col("student_id"), "ci").alias("student_id"), *marks)
+        stacked = part if stacked is None else stacked.unionByName(part)
+    known = stacked.groupBy("student_id").agg(*[F.bool_or(f).alias(f) for f in flags]).filter("_r")
     complete = F.col("_a") & F.col("_s") & F.col("_c")
-    return joined.select(
+    return known.select(
         "student_id",
-        F.when(complete, "ok").when(F.col("_v"), "NOT_FOUND:True").otherwise("NOT_FOUND:False").alias("status"),
+        F.when(_no_data(validated, analytics, summaries), "NO_DATA")
+        .when(complete, "ok")
+        .when(F.col("_v"), "NOT_FOUND:True")
+        .otherwise("NOT_FOUND:False")
+        .alias("status"),
     )
 
 
+def _no_data(*tables: DataFrame) -> Column:
+    """Whether one of the tables has no row: each is asked for one row by a scalar subquery."""
+    empty = F.lit(False)
+    for df in tables:
+        empty = empty | (df.select(F.lit(1).alias("one")).limit(1).agg(F.count("one")).scalar() == 0)
+    return empty
+
+
 def base_status(analytics: DataFrame, summaries: DataFrame) -> str:
     """``NO_DATA`` while the pipeline has produced nothing, else ``ok``."""
     return "NO_DATA" if analytics.isEmpty() or summaries.isEmpty() else "ok"
@@ -140,9 +152,8 @@ def report_rows(
         "student_id", "overall_summary", "recommended_next_steps", F.col("llm_provider").alias("llm_provider_used")
     )
     analysed = ids_of(analytics)
-    trimmed = summaries.withColumn("student_id", clean_id(F.col("student_id"))).drop("grade", "llm_provider")
     return (
-        explained_summaries(trimmed, insights)
+        _explained(summaries.drop("grade", "llm_provider"), insights)
         .join(overall, "student_id")
         .join(analysed, "student_id", "left_semi")
         .join(meta, "student_id", "left")
@@ -150,6 +161,12 @@ def report_rows(
     )
 
 
+def _explained(summaries: DataFrame, insights: DataFrame) -> DataFrame:
+    """Summaries with explanations, ids of both sides trimmed."""
+    trimmed = (df.withColumn("student_id", clean_id(F.col("student_id"))) for df in (summaries, insights))
+    return explained_summaries(*trimmed)
+
+
 def _explanation() -> Column:
     """Explanation of a summary row as JSON text: ``{}`` where it has none."""
     cells = {c: normalize_cell(F.col(c)) for c in EXPLANATION}
@@ -157,10 +174,20 @@ def _explanation() -> Column:
     cells["key_evidence_points"] = F.when(no_points, F.parse_json(F.lit("[]"))).otherwise(
         cells["key_evidence_points"]
     )
-    filled = F.to_json(F.struct(*[cell.alias(c) for c, cell in cells.items()]))
+    filled = F.to_json(F.struct(*[cells[c].alias(c) for c in sorted(cells)]))
     return F.when(F.col("explanation_summary").isNotNull(), filled).otherwise(F.lit("{}"))
 
 
+def _with_json_field(text: Column, name: str, value: Column) -> Column:
+    """A JSON object text with one more field at its end, given as JSON text."""
+    return F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(f',"{name}":'), value, F.lit("}"))
+
+
+def _joined_json(first: Column, second: Column) -> Column:
+    """Two JSON object texts, neither empty, as one."""
+    return F.concat(F.substring(first, F.lit(1), F.length(first) - 1), F.lit(","), F.substring(second, F.lit(2), F.length(second)))
+
+
 def report_documents(
     validated: DataFrame, analytics: DataFrame, insights: DataFrame, summaries: DataFrame, consolidated: DataFrame
 ) -> DataFrame:
@@ -170,17 +197,16 @@ def report_documents(
     reuse the partitioning by student.
     """
     texts = [c for c in SUMMARIES.names if c not in ("student_id", "grade", "subject")]
-    rows = explained_summaries(
-        summaries.withColumn("student_id", clean_id(F.col("student_id"))),
-        insights.withColumn("student_id", clean_id(F.col("student_id"))),
-    )
+    rows = _explained(summaries, insights)
     per_subject = rows.select(
         "student_id", "grade", "subject",
         *[normalize_cell(F.col(c)).alias(c) for c in texts],
-        F.parse_json(_explanation()).alias("explainability"),
+        _explanation().alias("explainability"),
     )
-    # The variants cannot be compared, so each record is sorted by its place and kept as text.
-    record = F.to_json(F.struct("student_id", "grade", "subject", *texts, "explainability"))
+    # Records are JSON texts that are put together, never parsed again.
+    names = sorted(["student_id", "grade", "subject", *texts])
+    head, tail = (F.to_json(F.struct(*[n for n in names if (n < "explainability") == first])) for first in (True, False))
+    record = _joined_json(_with_json_field(head, "explainability", F.col("explainability")), tail)
     listed = per_subject.groupBy("student_id").agg(
         F.array_sort(F.collect_list(F.struct("grade", "subject", record.alias("json")))).alias("l")
     )
@@ -197,7 +223,7 @@ def report_documents(
         .join(summaries_json, "student_id")
         .join(student_metadata(validated), "student_id", "left")
     )
-    document = F.to_json(
+    head = F.to_json(
         F.struct(
             "student_id",
             F.coalesce("student_name", F.lit("")).alias("student_name"),
@@ -205,11 +231,13 @@ def report_documents(
             normalize_cell(F.col("overall_summary")).alias("overall_summary"),
             normalize_cell(F.col("recommended_next_steps")).alias("recommended_next_steps"),
             "numerical_performance",
-            F.parse_json("subject_summaries").alias("subject_summaries"),
-            F.lit("cached").alias("mode"),
-            F.coalesce("llm_provider", F.lit("ollama")).alias("llm_provider_used"),
         )
     )
+    tail = F.to_json(
+        F.struct(F.lit("cached").alias("mode"), F.coalesce("llm_provider", F.lit("ollama")).alias("llm_provider_used"))
+    )
+    listed = _with_json_field(head, "subject_summaries", F.col("subject_summaries"))
+    document = _joined_json(listed, tail)
     return joined.select("student_id", document.alias("report"))
 
 

@@ -48,8 +48,10 @@ def class_subjects(analytics: DataFrame) -> DataFrame:
     return analytics.select(strip(F.col("subject")).alias("subject")).distinct()
 
 
-def class_indicators(roster: DataFrame, analytics: DataFrame) -> DataFrame:
-    """One row: size, mean of positive averages, at-risk and processed counts, subjects.
+def class_indicators(roster: DataFrame, analytics: DataFrame, list_subjects: bool = True) -> DataFrame:
+    """One row: size, mean of positive averages, at-risk and processed counts, number of subjects.
+
+    ``list_subjects`` adds all of them in one cell; :func:`class_subjects` has them as rows.
 
     Both parts are one-row aggregates; they are stacked and merged, not joined.
     """
@@ -60,10 +62,8 @@ def class_indicators(roster: DataFrame, analytics: DataFrame) -> DataFrame:
         F.count_if(F.lower("risk_level").isin("high", "critical")).alias("at_risk"),
         F.count_if("processed").alias("processed"),
     )
-    subjects = class_subjects(analytics).agg(
-        F.count(F.lit(1)).alias("subject_count"),
-        F.array_sort(F.collect_list("subject")).alias("subjects"),
-    )
+    listed = [F.array_sort(F.collect_list("subject")).alias("subjects")] if list_subjects else []
+    subjects = class_subjects(analytics).agg(F.count(F.lit(1)).alias("subject_count"), *listed)
     stacked = counts.unionByName(subjects, allowMissingColumns=True)
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 

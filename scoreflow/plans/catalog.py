@@ -46,6 +46,8 @@ def scratch_root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/scoreflow-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.TemporaryDirectory(prefix="scoreflow-")
     LOCAL_FOLDERS.append(folder)
     return folder.name
@@ -62,7 +64,7 @@ class Data:
 
     @cached_property
     def store(self) -> TB.TableStore:
-        return TB.TableStore(self.spark, scratch_root(self.spark), parts=8)
+        return TB.TableStore(self.spark, scratch_root(self.spark), parts=int(self.spark.conf.get("spark.scoreflow.parts", "8")))
 
     @cached_property
     def attempts(self) -> DataFrame:
@@ -123,8 +125,8 @@ class Data:
         typed = F.when(key % 3 == 0, F.concat(F.lit(" "), sid)).when(key % 3 == 1, F.lower(sid)).otherwise(sid)
         return self.table("customer").select(typed.alias("requested"))
 
-    def run(self, run_id: str) -> R.Run:
-        return R.Run(A.AS_OF, A.subject_responses, A.student_responses, run_id)
+    def run(self, run_id: str, **settings) -> R.Run:
+        return R.Run(A.AS_OF, A.subject_responses, A.student_responses, run_id, **settings)
 
 
 class Stored(Data):
@@ -187,7 +189,9 @@ def keyed_update(d: Data) -> DataFrame:
 
 
 def _registered(d: Data) -> tuple[DataFrame, DataFrame]:
-    existing = d.users.filter("student_id = ''")
+    """Accounts with an id have changed their e-mail, so only the others are known already."""
+    email = F.when(F.col("student_id") == "", F.col("email")).otherwise(F.concat(F.lit("old."), "email"))
+    existing = d.users.withColumn("email", email)
     return keyed.insert_if_absent(
         existing, A.registrations_from_orders(d.spark, d.sf_dir), "seq", S.USERS.names
     )
@@ -321,9 +325,9 @@ def subject_analytics_events(d: Data) -> DataFrame:
 
 
 @query
-def subject_analytics_one_pass(d: Data) -> DataFrame:
-    """The plan with a single exchange, chosen after a look at the group sizes."""
-    return metrics.subject_analytics(d.event_attempts, bounded=metrics.groups_are_bounded(d.event_attempts))
+def subject_analytics_decimals(d: Data) -> DataFrame:
+    """Scores with two decimals in groups of many attempts."""
+    return metrics.subject_analytics(A.decimal_attempts_from_orders(d.spark, d.sf_dir))
 
 
 @query
@@ -476,9 +480,9 @@ def latest_from_history(d: Data) -> DataFrame:
 
 @stored_query
 def explained_summaries(d: Data) -> DataFrame:
-    """Insights of the real exams only, so some subjects lack an explanation."""
-    found = insights.subject_insights(metrics.subject_analytics(d.attempts.filter("exam_type = 'real'")))
-    return consolidation.explained_summaries(d.summaries, found)
+    """Insights of every third grade name another subject, so their summaries lack an explanation."""
+    subject = F.when(F.col("grade") % 3 == 0, F.concat("subject", F.lit(" (old)"))).otherwise(F.col("subject"))
+    return consolidation.explained_summaries(d.summaries, d.insights.withColumn("subject", subject))
 
 
 @query
@@ -556,8 +560,16 @@ def existence_flags(d: Data) -> DataFrame:
 @stored_query
 def report_status(d: Data) -> DataFrame:
     ids = d.requests.select(F.col("requested").alias("student_id"))
-    real = metrics.subject_analytics(d.attempts.filter("exam_type = 'real'"))
-    return reports.report_status(ids, d.attempts, real, d.summaries, d.consolidated)
+    moved = F.when(F.col("grade") % 3 == 0, F.concat(F.lit("X"), "student_id")).otherwise(F.col("student_id"))
+    return reports.report_status(ids, d.attempts, d.analytics.withColumn("student_id", moved), d.summaries, d.consolidated)
+
+
+@stored_query
+def report_status_no_data(d: Data) -> DataFrame:
+    """The same while no summary has been written: all of them lack their text."""
+    ids = d.requests.select(F.col("requested").alias("student_id"))
+    none = d.summaries.filter(F.col("performance_summary").isNull())
+    return reports.report_status(ids, d.attempts, d.analytics, none, d.consolidated)
 
 
 @query
@@ -627,7 +639,7 @@ def chart_series(d: Data) -> DataFrame:
     return dashboard.chart_series(d.analytics).select("student_id", text("points"), text("radar"))
 
 
-@query
+@stored_query
 def class_roster(d: Data) -> DataFrame:
     return d.roster.withColumn("subjects", F.array_join("subjects", ","))
 
@@ -642,24 +654,32 @@ def class_subjects(d: Data) -> DataFrame:
     return roster.class_subjects(d.analytics)
 
 
-@query
+@stored_query
 def roster_search(d: Data) -> DataFrame:
     return roster.top_rows(roster.search(d.roster, " S12 ")).select("student_id", "name", "overall_avg", "risk_level")
 
 
-@query
+@stored_query
 def roster_search_counts(d: Data) -> DataFrame:
     return roster.search_counts(d.roster, "s12")
 
 
 @query
 def report_list(d: Data) -> DataFrame:
-    reports_ = d.table("documents").select(
+    return listings.report_list(_stored_reports(d))
+
+
+@query
+def report_list_total(d: Data) -> DataFrame:
+    return listings.report_total(_stored_reports(d))
+
+
+def _stored_reports(d: Data) -> DataFrame:
+    return d.table("documents").select(
         F.col("doc_id").cast("string").alias("student_id"),
         F.col("text").alias("overall_summary"),
         F.col("source").alias("llm_provider"),
     )
-    return listings.report_list(reports_)
 
 
 @query
@@ -670,8 +690,9 @@ def student_accounts(d: Data) -> DataFrame:
 @query
 def linked_ids(d: Data) -> DataFrame:
     key = F.col("c_custkey")
-    lookup = d.table("customer").filter("c_acctbal < 1000").select(
-        A.school_mail(key).alias("Email"), F.concat(F.lit("L"), key.cast("string")).alias("Student ID")
+    mail = F.when(F.col("c_acctbal") < 1000, A.school_mail(key)).otherwise(F.concat(F.lit("old."), A.school_mail(key)))
+    lookup = d.table("customer").select(
+        mail.alias("Email"), F.concat(F.lit("L"), key.cast("string")).alias("Student ID")
     )
     return listings.linked_ids(d.users, lookup)
 
@@ -685,18 +706,35 @@ def full_refresh(d: Data) -> DataFrame:
     return d.store.read(R.LATEST, S.CONSOLIDATED)
 
 
-@query
-def keyed_refresh(d: Data) -> DataFrame:
-    """Real exams first, for everybody; then all exams of the building-segment students."""
-    R.full_refresh(d.store, TB.as_text(d.attempts.filter("exam_type = 'real'")), d.run("all"))
-    ids = d.table("customer").filter("c_mktsegment = 'BUILDING'").select(
-        A.student(F.col("c_custkey")).alias("student_id")
+def _chosen_refresh(d: Data, first: DataFrame, then: DataFrame, **settings) -> DataFrame:
+    """A full refresh, then one of the building-segment students.
+
+    Customers without orders are not asked for: an unknown id raises.
+    """
+    R.full_refresh(d.store, TB.as_text(first), d.run("all", **settings))
+    segment = d.table("customer").select(
+        A.student(F.col("c_custkey")).alias("student_id"), (F.col("c_mktsegment") == "BUILDING").alias("wanted")
     )
-    known = ids.join(consolidation.ids_of(d.attempts), "student_id", "left_semi")
-    R.keyed_refresh(d.store, TB.as_text(d.attempts), known, d.run("some"))
+    ids = d.attempts.join(segment, "student_id").filter("wanted").select("student_id").distinct()
+    R.keyed_refresh(d.store, TB.as_text(then), ids, d.run("some", **settings))
     return d.store.read(R.ANALYTICS, S.ANALYTICS)
 
 
+@query
+def keyed_refresh(d: Data) -> DataFrame:
+    """First with real exams, for everybody; then all exams of the building-segment students."""
+    mocks_first = F.when(F.col("exam_type") == "mock", F.concat(F.lit("M"), "student_id")).otherwise(F.col("student_id"))
+    return _chosen_refresh(d, d.attempts.withColumn("student_id", mocks_first), d.attempts)
+
+
+@query
+def keyed_refresh_quarantine(d: Data) -> DataFrame:
+    """Every seventh exam has a score above its maximum and goes to the rejects."""
+    score = F.when(F.col("exam_id").cast("bigint") % 7 == 0, 101.0).otherwise(F.col("score"))
+    bad = d.attempts.withColumn("score", score)
+    return _chosen_refresh(d, bad, bad, quarantine=True)
+
+
 def _event_records(d: Data) -> DataFrame:
     """Every event as the intake record of a new student."""
     value, event = F.col("value"), F.col("event_id")
@@ -716,12 +754,20 @@ def intake_refresh(d: Data) -> DataFrame:
     return d.store.read(R.ANALYTICS, S.ANALYTICS)
 
 
+@query
+def intake_repeat(d: Data) -> DataFrame:
+    """A second series of scores for every student and subject, and one repeated run."""
+    for label in ("first", "second", "second"):
+        R.intake_refresh(d.store, _event_records(d), INTAKE_DAY, d.run(label))
+    return d.store.read(R.ANALYTICS, S.ANALYTICS)
+
+
 @query
 def stream_refresh(d: Data) -> DataFrame:
     folder = f"{d.store.root}/incoming"
-    _event_records(d).repartition(2).write.json(folder)
+    _event_records(d).write.json(folder)
     stream = start_intake(
-        d.store, record_stream(d.spark, folder, 1), f"{d.store.root}/stream", d.run("s"), INTAKE_DAY
+        d.store, record_stream(d.spark, folder), f"{d.store.root}/stream", d.run("s"), INTAKE_DAY
     )
     stream.awaitTermination()
     return d.store.read(R.ANALYTICS, S.ANALYTICS)

@@ -27,6 +27,13 @@ def mean(x: str) -> str:
     return f"(CAST(sum(CAST({x} AS DECIMAL(30,10))) AS DOUBLE) / count({x}))"
 
 
+UNIT = "CAST(round_even(score * 1000000, 0) AS HUGEINT)"
+DEVIATION = (
+    f"sqrt(CAST(count(*) * sum({UNIT} * {UNIT}) - sum({UNIT}) * sum({UNIT}) AS DOUBLE)) / (count(*) * CAST(1000000 AS DOUBLE))"
+)
+GAP = f"""{mean("CASE WHEN exam_type = 'real' THEN score END")} - {mean("CASE WHEN exam_type = 'mock' THEN score END")}"""
+
+
 def tenth(x: str) -> str:
     """One decimal from the exact binary value, ties to even; ``x`` is a plain column."""
     t = f"(CAST(({x} - floor({x})) * 72057594037927936 AS BIGINT) * 10)"
@@ -60,6 +67,13 @@ EVENT_ATTEMPTS = """event_attempts AS (
     CAST(ts AS DATE) AS exam_date
   FROM events)"""
 
+# Scores with two decimals, all customers of a nation in one group.
+DECIMAL_ATTEMPTS = ATTEMPTS.replace("attempts AS", "decimal_attempts AS").replace(
+    "'S' || o_custkey AS student_id", "'N' || o_custkey % 25 AS student_id"
+).replace("1 + o_custkey % 12", "1 + o_custkey % 5").replace(
+    "CAST(floor(o_totalprice / 5000) AS DOUBLE)", "round_even(o_totalprice / 50, 0) / 100"
+)
+
 DIRTY = """dirty AS (
   SELECT event_id AS row_index,
     CASE event_id % 41 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE 'S' || user_id END AS student_id,
@@ -133,11 +147,11 @@ def analytics(source: str = "attempts", name: str = "analytics", k: int = 2) ->
     SELECT *, CASE WHEN attempt_count < 2 THEN 'insufficient_data' WHEN latest_score - first_score > 5 THEN 'improving'
       WHEN latest_score - first_score < -5 THEN 'declining' ELSE 'stable' END AS trend
     FROM (
-      SELECT {keys}, count(*) AS attempt_count, {even('avg(score)', 2)} AS average_score,
+      SELECT {keys}, count(*) AS attempt_count, {even(mean('score'), 2)} AS average_score,
         max(score) FILTER (WHERE newest = 1) AS latest_score, max(score) FILTER (WHERE oldest = 1) AS first_score,
-        {even(f'avg(score) FILTER (WHERE newest <= {k})', 2)} AS recent_avg_score,
-        round(stddev_pop(score), 9) AS std,
-        {even("avg(score) FILTER (WHERE exam_type = 'real') - avg(score) FILTER (WHERE exam_type = 'mock')", 2)} AS mock_vs_real_gap
+        {even(mean(f'CASE WHEN newest <= {k} THEN score END'), 2)} AS recent_avg_score,
+        round({DEVIATION}, 9) AS std,
+        {even(GAP, 2)} AS mock_vs_real_gap
       FROM (
         SELECT *,
           row_number() OVER (PARTITION BY {keys} ORDER BY exam_date, attempt_number, exam_id) AS oldest,
@@ -362,7 +376,7 @@ ORACLES: dict[str, str] = {
     )
     + "SELECT u.* REPLACE (coalesce(l.linked, u.student_id) AS student_id) FROM users u LEFT JOIN last l ON lower(trim(u.email)) = l.mail",
     "insert_if_absent": with_(USERS, SIGNUPS)
-    + """SELECT * FROM users WHERE student_id = '' UNION ALL
+    + """SELECT * REPLACE (CASE WHEN student_id = '' THEN email ELSE 'old.' || email END AS email) FROM users UNION ALL
       SELECT id, full_name, lower(trim(email)), '', role, '', '', '', '' FROM signups WHERE place = 1 AND NOT taken""",
     "registration_rejects": with_(USERS, SIGNUPS)
     + "SELECT id, full_name, email, role, seq FROM signups WHERE place > 1 OR taken",
@@ -424,7 +438,7 @@ ORACLES: dict[str, str] = {
     # metrics and insights
     "subject_analytics": with_(*BASE) + "SELECT * FROM analytics",
     "subject_analytics_events": with_(EVENT_ATTEMPTS, analytics("event_attempts")) + "SELECT * FROM analytics",
-    "subject_analytics_one_pass": with_(EVENT_ATTEMPTS, analytics("event_attempts")) + "SELECT * FROM analytics",
+    "subject_analytics_decimals": with_(DECIMAL_ATTEMPTS, analytics("decimal_attempts")) + "SELECT * FROM analytics",
     "recent_average_k3": with_(EVENT_ATTEMPTS, analytics("event_attempts", k=3))
     + "SELECT student_id, grade, subject, latest_score, recent_avg_score FROM analytics",
     "mock_real_gap": with_(*BASE) + "SELECT student_id, grade, subject, mock_vs_real_gap FROM analytics",
@@ -468,12 +482,9 @@ ORACLES: dict[str, str] = {
       '' AS recommended_next_steps, 'low' AS confidence_note, 'ollama' AS llm_provider FROM (
         SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY CAST(exam_id AS BIGINT) DESC) AS place FROM attempts)
       WHERE place = 1""",
-    "explained_summaries": with_(
-        *TOLD, "reals AS (SELECT * FROM attempts WHERE exam_type = 'real')", analytics("reals", "real_analytics"),
-        insights("real_analytics", "real_insights"),
-    )
+    "explained_summaries": with_(*TOLD)
     + """SELECT s.*, e.explanation_summary, e.key_evidence_points, e.confidence_in_insight, e.recommended_focus_area
-      FROM summaries s LEFT JOIN real_insights e ON s.student_id = e.student_id AND s.subject = e.subject""",
+      FROM summaries s LEFT JOIN insights e ON s.student_id = e.student_id AND s.subject = e.subject AND e.grade % 3 <> 0""",
     "processed_flags": with_(*DONE)
     + "SELECT a.student_id, a.exam_id, c.student_id IS NOT NULL AS processed FROM attempts a LEFT JOIN consolidated c ON a.student_id = c.student_id",
     "first_names": with_(ATTEMPTS, META) + "SELECT student_id, student_name AS name FROM meta",
@@ -511,10 +522,12 @@ ORACLES: dict[str, str] = {
       student_id IN (SELECT student_id FROM event_attempts) AS in_subject_analytics
       FROM (SELECT DISTINCT trim(requested) AS student_id FROM requests)""",
     "report_status": with_(*DONE, REQUESTS)
-    + """SELECT student_id, CASE WHEN student_id IN (SELECT student_id FROM attempts WHERE exam_type = 'real')
+    + """SELECT student_id, CASE WHEN student_id IN (SELECT student_id FROM attempts WHERE grade % 3 <> 0)
         AND student_id IN (SELECT student_id FROM consolidated) THEN 'ok'
       WHEN student_id IN (SELECT student_id FROM attempts) THEN 'NOT_FOUND:True' ELSE 'NOT_FOUND:False' END AS status
       FROM (SELECT DISTINCT upper(trim(requested)) AS student_id FROM requests)""",
+    "report_status_no_data": with_(REQUESTS)
+    + "SELECT DISTINCT upper(trim(requested)) AS student_id, 'NO_DATA' AS status FROM requests",
     "cell_normalizer": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '"' || event_type || '"' WHEN 1 THEN replace(props, ' ', '')
       WHEN 2 THEN '[' || user_id || ']' ELSE '""' END AS cell FROM events""",
     "record_export": """SELECT '{"event_id":' || event_id || ',"event_type":"' || event_type || '","props":' || replace(props, ' ', '') || '}'
@@ -562,6 +575,7 @@ ORACLES: dict[str, str] = {
     + "SELECT count(*) FILTER (WHERE contains(lower(student_id), 's12') OR contains(lower(name), 's12')) AS visible, count(*) AS total FROM roster",
     "report_list": """SELECT CAST(doc_id AS VARCHAR) AS "Student ID", text[1:120] || '…' AS "AI Summary (preview)", source AS "Provider"
       FROM documents ORDER BY CAST(doc_id AS VARCHAR) LIMIT 50""",
+    "report_list_total": "SELECT least(count(*), 50) AS shown, count(*) AS total FROM documents",
     "student_accounts": with_(USERS)
     + """SELECT full_name AS "Name", email AS "Email", student_id AS "Student ID" FROM users WHERE role = 'Student'""",
     "linked_ids": with_(USERS)
@@ -570,11 +584,24 @@ ORACLES: dict[str, str] = {
     # refresh jobs
     "full_refresh": with_(*DONE) + "SELECT * FROM consolidated",
     "keyed_refresh": with_(
-        *BASE, "reals AS (SELECT * FROM attempts WHERE exam_type = 'real')", analytics("reals", "old"),
+        *BASE,
+        "firsts AS (SELECT * REPLACE (CASE WHEN exam_type = 'mock' THEN 'M' || student_id ELSE student_id END AS student_id) FROM attempts)",
+        analytics("firsts", "old"),
         "chosen AS (SELECT 'S' || c_custkey AS student_id FROM customer WHERE c_mktsegment = 'BUILDING')",
     )
     + """SELECT * FROM old WHERE student_id NOT IN (SELECT student_id FROM chosen) UNION ALL
       SELECT * FROM analytics WHERE student_id IN (SELECT student_id FROM chosen)""",
+    "keyed_refresh_quarantine": with_(
+        ATTEMPTS, "good AS (SELECT * FROM attempts WHERE CAST(exam_id AS BIGINT) % 7 <> 0)", analytics("good")
+    )
+    + "SELECT * FROM analytics",
+    "intake_repeat": with_(
+        NEW_RECORDS,
+        """twice AS (SELECT * REPLACE (exam_id || '@first' AS exam_id) FROM records
+          UNION ALL SELECT * REPLACE (exam_id || '@second' AS exam_id) FROM records)""",
+        analytics("twice"),
+    )
+    + "SELECT * FROM analytics",
     "intake_refresh": with_(NEW_RECORDS, analytics("records")) + "SELECT * FROM analytics",
     "stream_refresh": with_(NEW_RECORDS, analytics("records")) + "SELECT * FROM analytics",
 }

@@ -23,20 +23,19 @@ def school_mail(number: Column) -> Column:
     return F.concat(F.lit("c"), number.cast("string"), F.lit("@school.test"))
 
 
-def attempts_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order is an exam attempt of its customer in the subject of its priority."""
+def _attempts_of_orders(spark: SparkSession, sf_dir: str, student_id: Column, grades: int, score: Column) -> DataFrame:
     customer, order = F.col("o_custkey"), F.col("o_orderkey")
     pending = F.when(F.col("o_orderstatus") == "P", " P.").otherwise("")
     return conform(
         table(spark, sf_dir, "orders").select(
-            student(customer).alias("student_id"),
+            student_id.alias("student_id"),
             F.concat(F.lit("Student "), customer.cast("string"), pending).alias("Name"),
-            (1 + customer % 12).alias("grade"),
+            (1 + customer % grades).alias("grade"),
             F.col("o_orderpriority").alias("subject"),
             order.cast("string").alias("exam_id"),
             F.when(F.col("o_orderstatus") == "F", "real").otherwise("mock").alias("exam_type"),
             (1 + order % 4).alias("attempt_number"),
-            F.floor(F.col("o_totalprice") / 5000).cast("double").alias("score"),
+            score.alias("score"),
             F.lit(100.0).alias("max_score"),
             F.to_date("o_orderdate").alias("exam_date"),
         ),
@@ -44,6 +43,18 @@ def attempts_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def attempts_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is an exam attempt of its customer in the subject of its priority."""
+    score = F.floor(F.col("o_totalprice") / 5000).cast("double")
+    return _attempts_of_orders(spark, sf_dir, student(F.col("o_custkey")), 12, score)
+
+
+def decimal_attempts_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as attempts with two-decimal scores; customers share 25 students, so groups are large."""
+    shared = F.concat(F.lit("N"), (F.col("o_custkey") % 25).cast("string"))
+    return _attempts_of_orders(spark, sf_dir, shared, 5, F.rint(F.col("o_totalprice") / 50) / 100)
+
+
 def attempts_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event is an attempt of its user in the subject of its type; many attempts per group."""
     user, event = F.col("user_id"), F.col("event_id")

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -96,3 +97,12 @@ def test_explanations_keep_the_last_grade(spark):
         "explanation_summary", F.concat(F.lit("grade "), F.col("grade"))
     )
     assert [r.explanation_summary for r in C.explanations(df).collect()] == ["grade 10"]
+
+
+def test_fixed_texts_are_pinned():
+    """The SQL of the driver queries reads these texts, so only this test sees them change."""
+    texts = [L.SUBJECT_PROMPT, L.STUDENT_PROMPT, L.SUBJECT_INSTRUCTIONS, L.STUDENT_INSTRUCTIONS]
+    texts += [f"{k}={v}" for k, v in sorted(L.FALLBACK.items())]
+    assert hashlib.sha256("\n".join(texts).encode()).hexdigest() == (
+        "d51bda809a01d65c23729f26c0932c4dc16fe35e7cdd9002aec14ca4266c7696"
+    )
