@@ -37,7 +37,7 @@ RATE = 0.004
 SEED = 11
 UNKNOWN = "und"
 #: Least score of an accepted document.
-LEAST = 0.4
+LEAST = 0.3
 LETTER = re.compile(r"[^\W\d_]")
 CHUNK = 64
 

@@ -10,9 +10,9 @@ from scoreflow.llm import (
     chat, decontaminate, embeddings, language, licenses, nearcopies, packing, secretscan, substrings, toxicity,
 )
 from scoreflow.llm.common import table
+from scoreflow.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(build):
