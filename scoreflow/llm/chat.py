@@ -40,7 +40,8 @@ PART = 1 << 16
 CONTROL = re.compile(rf"\\|{OPEN}|{CLOSE}")
 ROLE_CONTROL = re.compile(rf"\\|:|\n|{OPEN}|{CLOSE}")
 ESCAPED = re.compile(r"\\(.)", re.S)
-TURN = re.compile(rf"{OPEN} ((?:[^\\:]+|\\.)*): ((?:[^\\<]+|\\.|<(?!/turn>))*){CLOSE}\n", re.S)
+# Possessive, so that an unfinished turn fails at once.
+TURN = re.compile(rf"{OPEN} ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+){CLOSE}\n", re.S)
 
 FILTERS: dict[str, Callable[[str], str]] = {
     "escape": lambda s: CONTROL.sub(lambda m: "\\" + m[0], s),
