@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from scoreflow.llm.common import stored
 
 
+class Forest:
+    """Union-find over the ids that one task meets."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
 def _with_least(rows: DataFrame) -> DataFrame:
     """Rows (u, v) with the least neighbour of u. The text key makes both sides shuffle for this
     join, so the planner can split a node with very many neighbours."""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreflow.llm.common import stored
-from scoreflow.llm.components import components
+from scoreflow.llm.components import Forest, components
 
 LEAST = 0.95
 PASSES = 24
@@ -88,24 +88,6 @@ def _ordered(classes: DataFrame, passes: int) -> DataFrame:
     return classes.select("vec_id", "v").mapInArrow(emit, "pass long, size long, key long, vec_id long, v binary")
 
 
-class Forest:
-    """Union-find over the ids that one task meets."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up.setdefault(x, x) != x:
-            up[x] = x = up[up[x]]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def _neighbours(ordered: DataFrame, least: float, window: int) -> DataFrame:
     """Links (a, b) between window neighbours, as a spanning forest for each pass and task."""
 

@@ -8,12 +8,13 @@ and linked with nothing. Two sets are linked if 100 * |intersection| >= ``percen
    values for 64 hash evaluations a shingle. Bands of 5 values; a pair at 0.8 shares one of the 25
    bands in all but 5 of 100,000 cases.
 2. Documents of equal sets become one class.
-3. In each bucket of a band, all members are compared with up to ``LEADERS`` leaders (least member of
-   a hashed slot). Pairs pass a loose test on signatures, then the full sets decide.
+3. In each bucket of a band, all members are compared with its leader (of least hash). Pairs pass a
+   loose test on signatures, then the full sets decide.
 4. Pairs of two members that do not lead are still open. Where the members of a bucket lie in
-   several components, those outside its largest one are compared in blocks with all its members;
-   pairs of different components that pass the signature test go to the full sets. So every pair
-   that shares a band is compared or already connected, and no bucket is met whole in one task.
+   several components, those outside its largest one are compared with all its members, full set by full set, in pairs of blocks of
+   bounded size; a pair of blocks sends a spanning forest of the links it finds. So every pair that
+   shares a band is compared or already connected, no bucket is met whole in one task, and no pair
+   is sent but the leaders'.
 5. Components of all links. Only texts of documents that share a bucket are ever sent, compressed.
 
 Defined cases: null and empty texts have n_shingles 0 and stay alone; documents with one set (copies,
@@ -30,15 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreflow.llm.common import hashed, mixed, rolling, slices, stored, texts_of, word_hashes
-from scoreflow.llm.components import components
+from scoreflow.llm.components import Forest, components
 
 K = 4
 PERCENT = 80
 PERMUTATIONS = 64
 BAND = 5
 BANDS = 2 * PERMUTATIONS // BAND
-LEADERS = 8
-BLOCK = 1024
+BLOCK = 512
 #: Estimates of linked pairs have a deviation of at most 0.035; four of them are allowed for.
 SLACK = 0.14
 SEED = 7
@@ -147,8 +147,22 @@ def _with_signs(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b")
 
 
-def _open_pairs(members: DataFrame, leading: DataFrame, found: DataFrame, signs: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components in a bucket that no leader has covered and whose signatures are alike."""
+def shared_sizes(one: np.ndarray, flat: np.ndarray, starts: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of one set with each of the sets in ``flat``.
+
+    Sets hold small numbers; ``seen`` is a row of zeros, one for each number.
+    """
+    seen[one] = 1
+    sizes = np.add.reduceat(seen[flat], starts)
+    seen[one] = 0
+    return sizes
+
+
+def _open_links(members: DataFrame, leading: DataFrame, found: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components in a bucket that its leader has not covered.
+
+    The full sets are compared inside the blocks; a block sends a spanning forest of its links.
+    """
     rest = members.join(leading, ["key", "rep"], "left_anti")
     rest = rest.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     rest = rest.withColumn("component", F.coalesce("component", "rep"))
@@ -159,32 +173,40 @@ def _open_pairs(members: DataFrame, leading: DataFrame, found: DataFrame, signs:
         F.ceil(F.sum("n") / BLOCK).alias("blocks"),
         F.ceil((F.sum("n") - F.max("n")) / BLOCK).alias("stray_blocks"),
     ).where("comps > 1").drop("comps")
-    rest = rest.join(main, "key").join(signs, "rep")
+    rest = rest.join(main, "key").join(texts, "rep")
     h = F.xxhash64("rep")
     all_rows = rest.select(
         "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stray_blocks") - 1)).alias("i"),
-        F.pmod(h, F.col("blocks")).alias("j"), F.lit(False).alias("stray"), "rep", "component", "sign",
+        F.pmod(h, F.col("blocks")).alias("j"), F.lit(False).alias("stray"), "rep", "component", "blob",
     )
     strays = rest.where("component <> main").select(
         "key", F.pmod(h, F.col("stray_blocks")).alias("i"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"),
-        F.lit(True).alias("stray"), "rep", "component", "sign",
+        F.lit(True).alias("stray"), "rep", "component", "blob",
     )
 
     def compare(table: pa.Table) -> pa.Table:
+        open_, cache, forest, links = zstandard.ZstdDecompressor(), word_hashes(), Forest(), []
         stray = table.column("stray").to_numpy(zero_copy_only=False).astype(bool)
         rep, comp = table.column("rep").to_numpy(), table.column("component").to_numpy()
-        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(len(rep), -1)
-        some, every, pairs = np.flatnonzero(stray), np.flatnonzero(~stray), []
-        for s in some.tolist():
-            near = (sign[every] == sign[s]).mean(axis=1) >= least
-            for o in every[near & (comp[every] != comp[s])].tolist():
-                pairs.append((max(rep[s], rep[o]), min(rep[s], rep[o])))
-        columns = list(zip(*pairs)) or [[], []]
+        sets = [shingle_set(open_.decompress(b).split(), cache, k) for b in table.column("blob").to_pylist()]
+        numbers = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        sizes = np.array([len(s) for s in sets])
+        sets = np.split(numbers, np.cumsum(sizes)[:-1])
+        every = np.flatnonzero(~stray)
+        if len(every):
+            flat, starts = np.concatenate([sets[i] for i in every]), np.cumsum(sizes[every]) - sizes[every]
+            seen = np.zeros(int(numbers.max()) + 1, np.int64)
+            for i in np.flatnonzero(stray).tolist():
+                both = shared_sizes(sets[i], flat, starts, seen)
+                linked = 100 * both >= percent * (sizes[i] + sizes[every] - both)
+                for o in every[linked & (comp[every] != comp[i])].tolist():
+                    if forest.join(int(comp[i]), int(comp[o])):
+                        links.append((max(rep[i], rep[o]), min(rep[i], rep[o])))
+        columns = list(zip(*links)) or [[], []]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-    blocks = all_rows.union(strays).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
-    return blocks.distinct()
+    return all_rows.union(strays).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -207,14 +229,13 @@ def near_copies(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFram
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(busy, "rep", "left_semi")
     texts = stored(_compressed(texts).dropDuplicates(["rep"]))
 
-    slot = F.pmod(F.xxhash64("rep"), F.lit(LEADERS))
-    leading = stored(members.groupBy("key", slot.alias("slot")).agg(
-        F.min(F.struct(F.xxhash64(F.lit(1), "rep"), "rep"))["rep"].alias("rep")).select("key", "rep"))
+    least_hash = F.min(F.struct(F.xxhash64(F.lit(1), "rep").alias("h"), "rep"))["rep"]
+    leading = stored(members.groupBy("key").agg(least_hash.alias("rep")))
     led = members.join(leading.withColumnRenamed("rep", "leader"), "key").where("rep <> leader")
     first = led.select(F.greatest("leader", "rep").alias("a"), F.least("leader", "rep").alias("b")).distinct()
     links = stored(_linked(_alike(_with_signs(first, signs), least), texts, k, percent))
     found = stored(components(links))
-    rest = stored(_linked(_open_pairs(members, leading, found, signs, least), texts, k, percent))
+    rest = stored(_open_links(members, leading, found, texts, k, percent))
     if not rest.isEmpty():
         edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = stored(components(edges.union(rest)))
