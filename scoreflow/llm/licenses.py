@@ -121,7 +121,8 @@ def _spans(grams: DataFrame) -> DataFrame:
     full = {no: len(words) - k + 1 for no, (_, words, k) in enumerate(templates()) if k == PHRASE_K}
     width = F.when(F.col("template") < len(full), PHRASE_K).otherwise(TEXT_K)
     needed = F.element_at(F.create_map(*[F.lit(x) for pair in full.items() for x in pair]), F.col("template"))
-    phrases = votes.where((F.col("template") < len(full)) & (F.col("votes") == needed))
+    # Rows repeated under one key vote twice; what that lets through fails the check of its words.
+    phrases = votes.where((F.col("template") < len(full)) & (F.col("votes") >= needed))
     texts = votes.where(F.col("template") >= len(full))
     order = W.partitionBy("doc_id", "key", "template").orderBy("diagonal", "first")
     fresh = (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR) | (F.col("first") - F.lag("last").over(order) > 4 * NEAR)
