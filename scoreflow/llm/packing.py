@@ -17,6 +17,7 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -26,32 +27,100 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from scoreflow.llm.common import Generations, shared, slices, stored, texts_of
+from scoreflow.llm.common import REMEMBERED, shared, slices, stored, texts_of
 
 SIZE = 4096
 END = 2
 #: Pieces of one length and salt that one window sorts, on average.
 SALT_ROWS = 20_000
+#: Special token that separates words while they are encoded; words that hold its start are encoded alone.
+BETWEEN = "<|endoftext|>"
+#: Byte-level symbols: printable Latin-1 characters stand for themselves, the others for those from U+0100 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+SYMBOLS = {b: 256 + i for i, b in enumerate(_HIDDEN) if b != 32}
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 
 
 class WordIds:
-    """Little-endian 32-bit ids of whole texts, put together from remembered words."""
+    """Little-endian 32-bit ids of whole texts, put together from remembered words.
+
+    Of a word whose end is a digit or letter and then ASCII marks, the two parts are encoded apart: a pre-token
+    never spans them. New parts of lower-case letters in composed form are pre-tokens as they are: all of a slice go to the
+    model in one call, and the ids that end a word part them. Other new parts take the tokenizer's whole way, with a special
+    token between them. Texts without combining marks are lower-cased first, as the tokenizer does itself.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.token_to_id(BETWEEN)
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def encode(self, parts: list[bytes]) -> None:
+        plain, other, single = [], [], []
+        for part in parts:
+            if part.isalpha() and part.islower() or self.is_plain(part):
+                plain.append(part)
+            else:
+                (single if b"<|" in part else other).append(part)
+        text = b" ".join(plain).decode("latin-1").translate(SYMBOLS)
+        ids = self.ids(self.model, text)
+        self.keep(plain, ids, np.flatnonzero(self.ends[ids]) + 1, 0)
+        self.tokenizer.encode_special_tokens = False
+        ids = self.ids(self.tokenizer, BETWEEN.join(p.decode() for p in other))
+        self.keep(other, ids, np.append(np.flatnonzero(ids == self.mark), len(ids)), 1)
         self.tokenizer.encode_special_tokens = True
-        self.words = Generations(self.encode)
-
-    def encode(self, word: bytes) -> bytes:
-        found = self.tokenizer.encode_batch_fast([word.decode()], add_special_tokens=False)
-        return np.array(found[0].ids, "<u4").tobytes()
-
-    def __call__(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.words.__getitem__, (text or b"").split()))
+        for part in single:
+            self.parts[part] = self.ids(self.tokenizer, part.decode()).tobytes()
+
+    @staticmethod
+    def ids(tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    @staticmethod
+    def is_plain(part: bytes) -> bool:
+        text = part.decode()
+        return text.isalpha() and max(text) < "\u0590" and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+    def keep(self, parts: list[bytes], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        blob, at = ids.tobytes(), 0
+        for part, end in zip(parts, (4 * ends).tolist()):
+            self.parts[part] = blob[at:end]
+            at = end + 4 * gap
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.words) > REMEMBERED:
+            self.old, self.words, self.parts = self.words, {}, {}
+        split, old = [], self.old.get
+        for word in words - self.words.keys():
+            if (found := old(word)) is not None:
+                self.words[word] = found
+            elif (core := word.rstrip(MARKS)) != word and core and (core[-1:].isalnum() or self.is_plain(core)):
+                split.append((word, core, word[len(core) :]))
+            else:
+                split.append((word, word, b""))
+        self.encode(list(({s[1] for s in split} | {s[2] for s in split if s[2]}) - self.parts.keys()))
+        self.parts[b""] = b""
+        for word, core, tail in split:
+            self.words[word] = self.parts[core] + self.parts[tail]
+
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        words = []
+        for text in texts:
+            text = text or b""
+            words.append((text if b"\xcc" in text or b"\xcd" in text else text.lower()).split())
+        self.learn(set().union(*words))
+        return [b"".join(map(self.words.__getitem__, own)) for own in words]
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
@@ -63,8 +132,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) ->
             keys, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
             for lo, hi in slices(texts):
                 rows = []
-                for key, text in zip(keys[lo:hi], texts[lo:hi]):
-                    ids = ids_of(text) + last
+                for key, ids in zip(keys[lo:hi], ids_of(texts[lo:hi])):
+                    ids += last
                     total = len(ids) // 4
                     for at in range(0, total, size):
                         part = ids[4 * at : 4 * (at + size)]
