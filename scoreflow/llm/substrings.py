@@ -39,7 +39,7 @@ SUB = 8
 #: Bytes of text for each bucket of window hashes, and for each group of documents.
 BUCKET_BYTES = 4 << 20
 GROUP_BYTES = 2 << 20
-SLICE = 16 << 20
+SLICE = 8 << 20
 OTHER = np.uint64(0xC2B2AE3D27D4EB4F | 5)
 RUNS = np.dtype([("doc", "<i8"), ("start", "<u4"), ("n", "<u4")])
 
