@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ ALNUM = bytes(
 SLICE_BYTES = 4 << 20
 #: Words whose hash or ids a task remembers; the older half is forgotten beyond that.
 REMEMBERED = 250_000
+#: The same for hashes, which cost little to compute again.
+HASHED_WORDS = 60_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 LOCAL_FOLDERS: list[tempfile.TemporaryDirectory] = []
 
@@ -77,7 +80,7 @@ class Generations(dict):
 
 def word_hashes() -> Generations:
     """64-bit hash of each word (bytes)."""
-    return Generations(xxhash.xxh3_64_intdigest)
+    return Generations(xxhash.xxh3_64_intdigest, HASHED_WORDS)
 
 
 def hashed(words: list[bytes], cache: Generations) -> np.ndarray:
@@ -121,6 +124,21 @@ def slices(texts: list[bytes | None], limit: int = SLICE_BYTES) -> Iterator[tupl
         yield start, len(texts)
 
 
+def text_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """Ranges of rows of about ``limit`` bytes of text with their texts; only one range is copied at a time."""
+    pa.default_memory_pool().release_unused()
+    column = batch.column("text").cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    start = size = 0
+    for i, n in enumerate(sizes):
+        if i > start and size + n > limit:
+            yield start, i, column.slice(start, i - start).to_pylist()
+            start, size = i, 0
+        size += n
+    if len(sizes) > start:
+        yield start, len(sizes), column.slice(start).to_pylist()
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts: what bucket and partition counts are derived from."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

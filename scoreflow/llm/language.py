@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from scoreflow.llm.common import shared, texts_of
+from scoreflow.llm.common import shared, text_slices, texts_of
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -221,7 +221,7 @@ def identified(docs: DataFrame, model: Network | None) -> DataFrame:
         net = sent()
         folded = Folded(net) if net else None
         for batch in batches:
-            found = predicted(folded, texts_of(batch))
+            found = [f for _, _, texts in text_slices(batch) for f in predicted(folded, texts)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 ["doc_id", "lang_pred", "score"],
@@ -238,7 +238,7 @@ def accepted(docs: DataFrame, model: Network | None, least: float = LEAST) -> Da
         net = sent()
         folded = Folded(net) if net else None
         for batch in batches:
-            found = predicted(folded, texts_of(batch))
+            found = [f for _, _, texts in text_slices(batch) for f in predicted(folded, texts)]
             yield batch.filter(pa.array([f[0] != UNKNOWN and f[1] >= least for f in found], pa.bool_()))
 
     return docs.mapInArrow(choose, docs.schema)

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreflow.llm.common import hashed, mixed, rolling, slices, stored, texts_of, word_hashes
+from scoreflow.llm.common import hashed, mixed, rolling, stored, text_slices, word_hashes
 from scoreflow.llm.components import Forest, components
 
 K = 4
@@ -57,9 +57,8 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
         shift = rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
         cache = word_hashes()
         for batch in batches:
-            texts = texts_of(batch)
-            for lo, hi in slices(texts):
-                sets = [shingle_set((t or b"").lower().split(), cache, k) for t in texts[lo:hi]]
+            for lo, hi, texts in text_slices(batch):
+                sets = [shingle_set((t or b"").lower().split(), cache, k) for t in texts]
                 sizes = np.array([len(s) for s in sets])
                 full = np.flatnonzero(sizes)
                 bands = [None] * len(sets)
@@ -135,7 +134,7 @@ def _compressed(docs: DataFrame) -> DataFrame:
     def emit(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            blobs = [squeeze.compress((t or b"").lower()) for t in texts_of(batch)]
+            blobs = [squeeze.compress((t or b"").lower()) for _, _, texts in text_slices(batch) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(blobs, pa.binary())], ["rep", "blob"])
 
     return docs.mapInArrow(emit, "rep long, blob binary")
