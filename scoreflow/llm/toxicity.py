@@ -2,12 +2,12 @@
 
 Features are words (A-Z lower-cased runs of ASCII digits, letters and non-ASCII characters) and their
 first 4, 5 and 6 bytes, so that inflected and compound forms meet. The feature set is the ``FEATURES`` best
-by chi-square against the label in a bounded sample of labelled documents (``EXAMPLES`` of each label at most, by
+by chi-square against the label, of those at least ``LEAST_RATIO`` times as frequent with one label, in a bounded sample of labelled documents (``EXAMPLES`` of each label at most, by
 a hash of the id); the same sample is the set of examples. Document frequencies are counted over all documents.
 
 The index holds, for each feature, its examples by position in blocks of ``BLOCK``, and the largest weight
-in each block. A query sums these into an upper bound for each block and scores blocks by falling bound, until the next bound
-is below the ``NEIGHBOURS``-th best cosine: the result is exact. Neighbours vote with 1 / (1.05 - cosine),
+in each block. A query sums these into an upper bound for each block, scores the ``SEEDS`` blocks of the highest bounds, and
+then only the blocks whose bound reaches the ``NEIGHBOURS``-th best cosine among those: the result is exact. Neighbours vote with 1 / (1.05 - cosine),
 times the number of documents that an example of its label stands for; the vote is calibrated by isotonic regression of the
 examples' own leave-one-out votes. Evidence: the neighbours and the features that they share with the text.
 
@@ -32,7 +32,11 @@ EXAMPLES = 4000
 FEATURES = 8192
 PREFIXES = (4, 5, 6)
 LEAST_CHI2 = 20.0
+#: A feature is so many times as frequent with one label as with the other; common words are not.
+LEAST_RATIO = 4.0
 BLOCK = 64
+#: Blocks that are scored first.
+SEEDS = 4
 NEIGHBOURS = 11
 SMOOTHING = 0.5
 
@@ -75,7 +79,9 @@ def _chosen_features(sample: DataFrame) -> list[bytes]:
     miss = (n1 * (a - n0) - n0 * (b - n1)).cast("double")
     chi2 = (a + b) * miss * miss / (all_.cast("double") * (a + b - all_) * a * b + 1e-9)
     found = sample.select("text", "label").mapInArrow(count, "feature binary, n0 long, n1 long")
-    found = found.groupBy("feature").agg(chi2.alias("chi2"), all_.alias("n")).where(f"chi2 >= {LEAST_CHI2} and n >= 5")
+    ratio = (n1 / b + 1 / (a + b)) / (n0 / a + 1 / (a + b))
+    found = found.groupBy("feature").agg(chi2.alias("chi2"), all_.alias("n"), ratio.alias("ratio"))
+    found = found.where(f"chi2 >= {LEAST_CHI2} and n >= 5 and (ratio >= {LEAST_RATIO} or ratio <= {1 / LEAST_RATIO})")
     return [bytes(r["feature"]) for r in found.orderBy(F.desc("chi2"), "feature").limit(FEATURES).collect()]
 
 
@@ -133,7 +139,7 @@ class BlockMaxIndex:
         for f, pairs in lists.items():
             place, weight = np.array([p for p, _ in pairs]), np.array([w for _, w in pairs])
             blocks, first = np.unique(place // BLOCK, return_index=True)
-            self.lists[f] = place, weight, blocks, np.append(first, len(place)), np.maximum.reduceat(weight, first)
+            self.lists[f] = place, weight, blocks, np.maximum.reduceat(weight, first)
         self.blocks = -(-len(rows) // BLOCK)
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -144,28 +150,29 @@ class BlockMaxIndex:
     def nearest(self, counts: Counter, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the ``k`` nearest examples with a cosine over 0, best first, ties by position."""
         query = [(*self.lists[f], w) for f, w in zip(*self.vector(counts)) if f in self.lists]
-        bound = np.zeros(self.blocks)
-        for _, _, blocks, _, most, w in query:
-            bound[blocks] += w * most
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best_p, best_c = np.zeros(0, np.int64), np.zeros(0)
-        for b in order.tolist():
-            if len(best_c) == k and bound[b] < best_c[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for place, weight, blocks, first, _, w in query:
-                i = int(np.searchsorted(blocks, b))
-                if i < len(blocks) and blocks[i] == b:
-                    own = slice(first[i], first[i + 1])
-                    score[place[own] - b * BLOCK] += w * weight[own]
-            at = np.flatnonzero(score)
+        if not query:
+            return np.zeros(0, np.int64), np.zeros(0)
+        bound = np.bincount(np.concatenate([q[2] for q in query]), np.concatenate([q[4] * q[3] for q in query]), self.blocks)
+        place = np.concatenate([q[0] for q in query])
+        part = np.concatenate([q[4] * q[1] for q in query])
+        block = place // BLOCK
+
+        def scores(wanted: np.ndarray) -> np.ndarray:
+            own = wanted[block]
+            found = np.bincount(place[own], part[own], len(self.doc))
             if without is not None:
-                at = at[self.doc[np.minimum(at + b * BLOCK, len(self.doc) - 1)] != without]
-            p, c = np.concatenate([best_p, at + b * BLOCK]), np.concatenate([best_c, score[at]])
-            keep = np.lexsort((p, -np.round(c, 12)))[:k]
-            best_p, best_c = p[keep], c[keep]
-        return best_p, best_c
+                found[self.doc == without] = 0
+            return found
+
+        # The blocks of highest bound give a cosine that the k-th best reaches; no block of a lower bound can change the result.
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bound, kind="stable")[:SEEDS]] = True
+        score = scores(first)
+        least = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else 0.0
+        score = scores((bound > 0) & (bound >= least - 1e-9))
+        at = np.flatnonzero(score >= max(least - 1e-9, 1e-300))
+        at = at[np.lexsort((at, -np.round(score[at], 12)))[:k]]
+        return at, score[at]
 
 
 class Scorer:
