@@ -2,12 +2,14 @@
 
 Features are words (A-Z lower-cased runs of ASCII digits, letters and non-ASCII characters) and their
 first 4, 5 and 6 bytes, so that inflected and compound forms meet. The feature set is the ``FEATURES`` best
-by chi-square against the label, of those at least ``LEAST_RATIO`` times as frequent with one label, in a bounded sample of labelled documents (``EXAMPLES`` of each label at most, by
-a hash of the id); the same sample is the set of examples. Document frequencies are counted over all documents.
+by chi-square against the label in a bounded sample of labelled documents (``EXAMPLES`` of each label at most, by
+a hash of the id), however small their chi-square is; a feature of a single example is left out, as no two examples share it.
+The same sample is the set of examples. Document frequencies are counted over all documents.
 
 The index holds, for each feature, its examples by position in blocks of ``BLOCK``, and the largest weight
 in each block. A query sums these into an upper bound for each block, scores the ``SEEDS`` blocks of the highest bounds, and
-then only the blocks whose bound reaches the ``NEIGHBOURS``-th best cosine among those: the result is exact. Neighbours vote with 1 / (1.05 - cosine),
+then only the blocks whose bound reaches the ``NEIGHBOURS``-th best cosine among those (whole lists where most blocks do):
+the result is exact. Neighbours vote with 1 / (1.05 - cosine),
 times the number of documents that an example of its label stands for; the vote is calibrated by isotonic regression of the
 examples' own leave-one-out votes. Evidence: the neighbours and the features that they share with the text.
 
@@ -18,7 +20,7 @@ document the largest counts; repeated rows are scored one by one; empty tables g
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -31,9 +33,6 @@ from scoreflow.llm.common import ALNUM, Generations, shared, texts_of
 EXAMPLES = 4000
 FEATURES = 8192
 PREFIXES = (4, 5, 6)
-LEAST_CHI2 = 20.0
-#: A feature is so many times as frequent with one label as with the other; common words are not.
-LEAST_RATIO = 4.0
 BLOCK = 64
 #: Blocks that are scored first.
 SEEDS = 4
@@ -79,9 +78,7 @@ def _chosen_features(sample: DataFrame) -> list[bytes]:
     miss = (n1 * (a - n0) - n0 * (b - n1)).cast("double")
     chi2 = (a + b) * miss * miss / (all_.cast("double") * (a + b - all_) * a * b + 1e-9)
     found = sample.select("text", "label").mapInArrow(count, "feature binary, n0 long, n1 long")
-    ratio = (n1 / b + 1 / (a + b)) / (n0 / a + 1 / (a + b))
-    found = found.groupBy("feature").agg(chi2.alias("chi2"), all_.alias("n"), ratio.alias("ratio"))
-    found = found.where(f"chi2 >= {LEAST_CHI2} and n >= 5 and (ratio >= {LEAST_RATIO} or ratio <= {1 / LEAST_RATIO})")
+    found = found.groupBy("feature").agg(chi2.alias("chi2"), all_.alias("n")).where("n >= 2")
     return [bytes(r["feature"]) for r in found.orderBy(F.desc("chi2"), "feature").limit(FEATURES).collect()]
 
 
@@ -131,16 +128,19 @@ class BlockMaxIndex:
         rows.sort(key=lambda r: (int(r[3][r[4].argmax()]), r[1], r[0]))
         self.doc, self.label = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
         self.stands_for = np.array([r[2] for r in rows], np.float64)
-        lists = defaultdict(list)
-        for i, r in enumerate(rows):
-            for f, w in zip(r[3].tolist(), r[4].tolist()):
-                lists[f].append((i, w))
-        self.lists = {}
-        for f, pairs in lists.items():
-            place, weight = np.array([p for p, _ in pairs]), np.array([w for _, w in pairs])
-            blocks, first = np.unique(place // BLOCK, return_index=True)
-            self.lists[f] = place, weight, blocks, np.maximum.reduceat(weight, first)
         self.blocks = -(-len(rows) // BLOCK)
+        # Postings by feature and place; (feature, block) has those from its ``starts`` to the next one.
+        place = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
+        feature = np.concatenate([r[3] for r in rows] or [np.zeros(0, np.int64)])
+        order = np.lexsort((place, feature))
+        self.place = place[order]
+        self.weight = np.concatenate([r[4] for r in rows] or [np.zeros(0)])[order]
+        own = feature[order] * self.blocks + self.place // BLOCK
+        self.starts = np.searchsorted(own, np.arange(len(idf) * self.blocks + 1))
+        self.most = np.zeros(len(idf) * self.blocks)
+        np.maximum.at(self.most, own, self.weight)
+        self.most = self.most.reshape(len(idf), self.blocks)
+        self.known = self.most.any(axis=1)
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         f = np.array(sorted(counts), np.int64)
@@ -149,27 +149,38 @@ class BlockMaxIndex:
 
     def nearest(self, counts: Counter, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the ``k`` nearest examples with a cosine over 0, best first, ties by position."""
-        query = [(*self.lists[f], w) for f, w in zip(*self.vector(counts)) if f in self.lists]
-        if not query:
+        f, w = self.vector(counts)
+        bound = w @ self.most[f]
+        if not bound.any():
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = np.bincount(np.concatenate([q[2] for q in query]), np.concatenate([q[4] * q[3] for q in query]), self.blocks)
-        place = np.concatenate([q[0] for q in query])
-        part = np.concatenate([q[4] * q[1] for q in query])
-        block = place // BLOCK
-
-        def scores(wanted: np.ndarray) -> np.ndarray:
-            own = wanted[block]
-            found = np.bincount(place[own], part[own], len(self.doc))
+
+        def scores(blocks: np.ndarray | None) -> np.ndarray:
+            if blocks is None:  # whole lists, which lie together
+                lo, hi = self.starts[f * self.blocks], self.starts[(f + 1) * self.blocks]
+                lists = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist())]
+                at = np.concatenate([self.place[x] for x in lists])
+                part = np.concatenate([self.weight[x] for x in lists]) * np.repeat(w, hi - lo)
+            else:
+                own = (f[:, None] * self.blocks + blocks).ravel()
+                lo = self.starts[own]
+                n = self.starts[own + 1] - lo
+                ends = np.cumsum(n)
+                at = np.repeat(lo - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+                part = self.weight[at] * np.repeat(np.repeat(w, len(blocks)), n)
+                at = self.place[at]
+            found = np.bincount(at, part, len(self.doc))
             if without is not None:
                 found[self.doc == without] = 0
             return found
 
         # The blocks of highest bound give a cosine that the k-th best reaches; no block of a lower bound can change the result.
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[:SEEDS]] = True
-        score = scores(first)
+        order = np.argsort(-bound, kind="stable")
+        score = scores(order[:SEEDS])
         least = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else 0.0
-        score = scores((bound > 0) & (bound >= least - 1e-9))
+        rest = order[SEEDS:]
+        rest = rest[(bound[rest] > 0) & (bound[rest] >= least - 1e-9)]
+        # Reading whole lists costs less than picking more than a third of the blocks out of them.
+        score = scores(None) if 3 * len(rest) > self.blocks else score + scores(rest)
         at = np.flatnonzero(score >= max(least - 1e-9, 1e-300))
         at = at[np.lexsort((at, -np.round(score[at], 12)))[:k]]
         return at, score[at]
@@ -197,7 +208,7 @@ class Scorer:
     def __call__(self, counts: Counter) -> tuple[float, list[tuple[int, int, float]], list[str]]:
         place, cosine = self.index.nearest(counts) if counts else (np.zeros(0, np.int64), np.zeros(0))
         near = list(zip(self.index.doc[place].tolist(), self.index.label[place].tolist(), cosine.tolist()))
-        shared_words = [self.features[f].decode(errors="replace") for f, _ in counts.most_common() if f in self.index.lists]
+        shared_words = [self.features[f].decode(errors="replace") for f, _ in counts.most_common() if self.index.known[f]]
         return self.calibrated(self.vote(place, cosine)), near, shared_words
 
 

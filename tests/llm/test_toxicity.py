@@ -49,6 +49,27 @@ def test_nearest_is_exact():
             assert place.tolist() == order and np.allclose(got, cosine[order])
 
 
+def test_words_of_both_labels_count(spark):
+    # "often" has a chi-square under 20 and is less than four times as frequent with one label; "rare" stands in three texts.
+    words = lambda i: " ".join(["both", *["often"] * (i % 2 == 0 or i % 3 == 0), *["rare"] * (i in (1, 2, 3)), *[f"one{i}"] * (i > 5)])
+    docs = C.documents(spark, [(i, words(i)) for i in range(24)])
+    scorer = T.fitted(docs, spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, toxic int"))
+    assert {b"both", b"often", b"rare"} <= set(scorer.features) and b"one7" not in scorer.features
+    near = {n["doc_id"]: n["cosine"] for n in T.scored(docs, scorer).where("doc_id = 3").first().neighbours}
+    assert near[3] == max(near.values()) and abs(near[3] - 1) < 1e-9 and near[2] > near.get(9, 0.0)
+
+
+def test_skipped_blocks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    examples = [(i, i % 2, 1.0, Counter(rng.integers(0, 400, rng.integers(1, 30)).tolist())) for i in range(700)]
+    index = T.BlockMaxIndex(rng.random(400) + 0.5, examples)
+    got = [index.nearest(c, without=d) for d, _, _, c in examples[::9]]
+    monkeypatch.setattr(T, "SEEDS", index.blocks)
+    for (place, cosine), (d, _, _, c) in zip(got, examples[::9]):
+        all_place, all_cosine = index.nearest(c, without=d)
+        assert place.tolist() == all_place.tolist() and np.allclose(cosine, all_cosine)
+
+
 def test_isotonic_steps_rise():
     rng = np.random.default_rng(0)
     x = rng.random(300)
