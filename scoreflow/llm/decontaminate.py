@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreflow.llm.common import ALNUM, hashed, mixed, rolling, shared, slices, texts_of, word_hashes
@@ -152,19 +152,29 @@ def _windows(rows: DataFrame, key: str, widths: list[int], n: int | None) -> Dat
     return rows.select(key, "text").mapInArrow(emit, "key string, first long, width long, h long, g long")
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    """The same by a shuffle join, for a benchmark too large to broadcast."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn(
-        "key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))
-    )
+def _row_key() -> Column:
+    """Rows of one id and text share their hits."""
+    doc = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    return F.concat_ws(":", doc, F.xxhash64("text").cast("string"))
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """(key, places, items) of the rows that are hit, by a shuffle join."""
+    rows = docs.select(_row_key().alias("key"), "text")
     own = _windows(_bench(benchmark), "item", [], n)
     own = own.select("width", "h", "g", F.col("key").alias("item")).distinct()
     widths = [r.width for r in own.select("width").distinct().collect()]
     hits = _windows(rows, "key", widths, None).join(own, ["width", "h", "g"])
-    hits = hits.groupBy("key").agg(
+    return hits.groupBy("key").agg(
         F.collect_set(F.struct("first", "width")).alias("places"), F.array_sort(F.collect_set("item")).alias("items")
     )
 
+
+def _joined(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """The same by a shuffle join, for a benchmark too large to broadcast."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", _row_key())
+    hits = _hits(docs, benchmark, n)
+
     def finish(batches):
         for batch in batches:
             texts = texts_of(batch)
@@ -196,37 +206,48 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, whole: float = 0.5) -> DataFrame:
     """Documents without their hit spans; one with a share of hit words of ``whole`` or more is dropped.
 
-    All columns stay; ``n_chars``, where it is a column, is counted anew for changed texts. The
-    benchmark is cut into parts of a bounded number of windows if it is too large to broadcast as
-    one; each part is scanned for in the texts that the one before left.
+    All columns stay; ``n_chars``, where it is a column, is counted anew for changed texts. Hits and
+    share are those of the input text, also for a benchmark too large to broadcast.
     """
-    parts = -(-_windows_at_most(benchmark) // BROADCAST_WINDOWS)
-    for part in range(parts):
-        own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        docs = _decontaminated(docs, own, n, whole)
-    return docs
+    if _windows_at_most(benchmark) > BROADCAST_WINDOWS:
+        hits = _hits(docs, benchmark, n).select(F.col("key").alias("_key"), F.col("places").alias("_places"))
+        rows = docs.withColumn("_key", _row_key()).join(hits, "_key", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_places")
 
+        columns = docs.columns
 
-def _decontaminated(docs: DataFrame, benchmark: DataFrame, n: int, whole: float) -> DataFrame:
+        def clean(batches):
+            for batch in batches:
+                texts = texts_of(batch)
+                places = [[(p["first"], p["width"]) for p in x or []] for x in batch.column("_places").to_pylist()]
+                found = [(len((t or b"").translate(ALNUM).split()) if x else 0, merged(x)) for t, x in zip(texts, places)]
+                yield _cut(batch.select(columns), texts, found, whole)
+
+        return rows.mapInArrow(clean, docs.schema)
     grams = shared(docs.sparkSession, gram_set(benchmark, n))
 
-    def clean(batches):
+    def scan(batches):
         own, cache = grams(), word_hashes()
         for batch in batches:
-            texts, keep = texts_of(batch), []
-            counts = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else None
-            for i, (n_words, spans, _) in enumerate(scanned(own, texts, cache)):
-                if spans and sum(b - a + 1 for a, b in spans) >= whole * n_words:
-                    continue
-                keep.append(i)
-                if spans:
-                    texts[i] = without_spans(texts[i], spans)
-                    if counts:
-                        counts[i] = len(texts[i].decode())
-            new = {"text": pa.array(texts, pa.binary()).cast(pa.string())}
-            if counts is not None:
-                new["n_chars"] = pa.array(counts, batch.schema.field("n_chars").type)
-            columns = [new.get(c, batch.column(c)) for c in batch.schema.names]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).take(pa.array(keep, pa.int64()))
-
-    return docs.mapInArrow(clean, docs.schema)
+            texts = texts_of(batch)
+            yield _cut(batch, texts, [f[:2] for f in scanned(own, texts, cache)], whole)
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
+def _cut(batch: pa.RecordBatch, texts: list[bytes | None], found: list[tuple[int, list]], whole: float) -> pa.RecordBatch:
+    """The rows of a batch after the runs in ``found`` (number of words, runs) are cut, without those that are mostly hit."""
+    keep = []
+    counts = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else None
+    for i, (n_words, spans) in enumerate(found):
+        if spans and sum(b - a + 1 for a, b in spans) >= whole * n_words:
+            continue
+        keep.append(i)
+        if spans:
+            texts[i] = without_spans(texts[i], spans)
+            if counts:
+                counts[i] = len(texts[i].decode())
+    new = {"text": pa.array(texts, pa.binary()).cast(pa.string())}
+    if counts is not None:
+        new["n_chars"] = pa.array(counts, batch.schema.field("n_chars").type)
+    columns = [new.get(c, batch.column(c)) for c in batch.schema.names]
+    return pa.RecordBatch.from_arrays(columns, batch.schema.names).take(pa.array(keep, pa.int64()))

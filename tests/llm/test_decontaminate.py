@@ -71,3 +71,16 @@ def test_spans_and_documents_are_removed(spark, monkeypatch, windows):
     assert {r.doc_id: (r.text, r.key) for r in got.collect()} == {
         1: ("One two (!) three four.", "x1"), 3: ("clean text", "x3"), 4: (None, "x4"),
     }
+
+
+@pytest.mark.parametrize("windows", [decontaminate.BROADCAST_WINDOWS, 4])
+def test_hits_and_share_are_those_of_the_input(spark, monkeypatch, windows):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", windows)
+    text = [f"b{i}" for i in range(21)]
+    # Items 1 and 2 share words 8 to 11 of the text; items 3 to 10 hit a tenth of a document each.
+    items = [(1, " ".join(text[:12])), (2, " ".join(text[8:21]))] + [(i, f"part{i}") for i in range(3, 11)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, " ".join(["c"] * 30 + text + ["d"] * 30)), (2, " ".join([f"part{i}" for i in range(3, 9)] + ["e"] * 4)),
+            (3, " ".join([f"part{i}" for i in range(3, 7)] + ["e"] * 6))]
+    got = decontaminate.decontaminate(C.documents(spark, rows + rows[:1]), bench).collect()
+    assert sorted((r.doc_id, r.text.split()) for r in got) == [(1, ["c"] * 30 + ["d"] * 30)] * 2 + [(3, ["e"] * 6)]
