@@ -6,7 +6,7 @@ digits). Positions come from the pieces between matches: a match starts after al
 matches before it.
 
 The method adds ``entropy`` spans: candidate strings of ``WINDOW`` or more characters of the widest
-class, outside base spans, whose best window has an entropy of at least the threshold of the narrowest
+class, not covered by one base span, whose best window has an entropy of at least the threshold of the narrowest
 class that holds the string. The entropy of a window is log2(w) - S / w with S the sum of c * log2(c)
 over its character counts; a step changes only the counts of the character that leaves and the one
 that enters. Strings on the allow list are left out.
@@ -125,8 +125,8 @@ def secret_spans(text: Column, rows: DataFrame) -> DataFrame:
     }
     rows = with_values(rows, spans).drop(*parts)
     base = F.concat("_assign", "_access", "_hex")
-    outside = F.filter("_entropy", lambda e: ~F.exists(base, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return with_values(rows, {"_entropy": outside})
+    added = F.filter("_entropy", lambda e: ~F.exists(base, lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"])))
+    return with_values(rows, {"_entropy": added})
 
 
 def _is_random(value: Column) -> Column:

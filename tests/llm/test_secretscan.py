@@ -77,6 +77,14 @@ def test_spans_are_masked(spark):
     ]
 
 
+def test_a_key_around_a_base_span_is_masked_whole(spark):
+    key = "Xk9QwErTy-deadbeefdeadbeef-Zp3LmN8vB2cR7tY"
+    assert entropy_spans(spark, f"a {key} b") == [key]
+    r = S.found_secrets(C.documents(spark, [(1, f"a {key} b")])).first()
+    assert [tuple(s) for s in r.base] == base_spans(f"a {key} b") != []
+    assert S.redacted(C.documents(spark, [(1, f"a {key} b")])).first().text == "a [SECRET] b"
+
+
 def test_no_python_in_the_plan(spark):
     docs = C.documents(spark, [(1, "a")])
     plan = S.found_secrets(docs)._jdf.queryExecution().toString() + S.redacted(docs)._jdf.queryExecution().toString()
