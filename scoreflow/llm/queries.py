@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreflow.llm import (
-    chat, decontaminate, embeddings, language, licenses, nearcopies, packing, secretscan, substrings, toxicity,
+    chat, collocations, decontaminate, embeddings, language, licenses, nearcopies, packing, prefixtrie, qualityrules,
+    secretscan, substrings, toxicity,
 )
 from scoreflow.llm.common import table
 from scoreflow.llm.oracles import ORACLES  # noqa: F401
@@ -117,3 +118,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256(secretscan.span_text(F.col("base"))).alias("base_sha256"),
         secretscan.span_text(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = qualityrules.kept_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *qualityrules.COUNTS, "base_failed", "kept", F.array_join("broken", ",").alias("broken"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"), stitch=True)
