@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: Spark limits row numbers on the map side up to this many rows of a group
+#: (``spark.sql.optimizer.windowGroupLimitThreshold``).
+MAP_SIDE_LIMIT = 1000
 
 
 def with_values(df: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -31,3 +36,21 @@ def own_shuffle(key: Column) -> Column:
     straight from a shuffle of the join. The aggregated side is the small one.
     """
     return F.concat(key, F.lit(""))
+
+
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, place: str, salts: int = 64) -> DataFrame:
+    """The first ``k`` rows of each group in the total ``order``, numbered in column ``place``.
+
+    Up to ``MAP_SIDE_LIMIT`` rows Spark keeps only a task's first ``k`` before the exchange. For a larger ``k``
+    the rows of a group are dealt to ``salts`` parts, the first ``k`` of each part go on, and the group is put
+    together from those: no task sorts a whole group, whatever its size.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    if k > MAP_SIDE_LIMIT:
+        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in keys]), F.lit(salts)).alias("_salt")
+        salted = df.select("*", salt)
+        part = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
+        df = salted.withColumn("_part", part).filter(F.col("_part") <= k).drop("_part", "_salt")
+    whole = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(place, whole).filter(F.col(place) <= k)

@@ -3,86 +3,100 @@
 Both branches shrink before they shuffle, so a group that holds a large share of all
 attempts reaches its reducer as a few rows per map task:
 
-* counts, means, deviation and first score are partial aggregates;
+* counts, sums and first score are partial aggregates over integer buffers of fixed size;
 * the last ``k`` attempts go through ``row_number() <= k``, which Spark turns into a
-  group limit on the map side.
+  group limit on the map side (a larger ``k`` is taken in two levels).
 
 Both are hash-partitioned by the same keys, so joining them adds no exchange. All sums are
-exact, so no order of rows or tasks moves a result.
+exact for every finite score, so no order of rows or tasks moves a result. Scores from
+2**20 on are summed apart; a scan of a stored table skips that branch by its statistics.
+
+The same sums are also kept as a state for each group (:func:`group_states`). States of disjoint sets of
+attempts merge into the state of all of them, so new attempts need no second look at the old ones.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
 
+from scoreflow.functions import numbers as N
 from scoreflow.functions import rules
-from scoreflow.functions.numbers import exact_deviation, round_even, steady_mean
+from scoreflow.functions.rows import top_rows
 from scoreflow.operators.validation import usable_attempts
-from scoreflow.schemas import ANALYTICS, DEFAULTS, GROUP_KEY, Thresholds
+from scoreflow.schemas import ANALYTICS, DEFAULTS, EXAM_TYPES, GROUP_KEY, STATES, Thresholds
 
 # Total order of attempts; ties on the day are common.
 ATTEMPT_ORDER = ["exam_date", "attempt_number", "exam_id"]
+SUMS = [f.name for f in STATES.fields if f.name not in {*GROUP_KEY, "first", "last", "wide"}]
 
 
 def attempt_order() -> Column:
     return F.struct(*ATTEMPT_ORDER)
 
 
-def _latest_first() -> WindowSpec:
-    return Window.partitionBy(*GROUP_KEY).orderBy(*[F.col(c).desc() for c in ATTEMPT_ORDER])
+def _scored_attempt() -> Column:
+    return F.struct(*ATTEMPT_ORDER, "score")
 
 
 def last_attempts(df: DataFrame, k: int) -> DataFrame:
     """The last ``k`` attempts of each group, numbered from the latest (``recency`` = 1)."""
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    return df.withColumn("recency", F.row_number().over(_latest_first())).filter(F.col("recency") <= k)
+    return top_rows(df, GROUP_KEY, [F.col(c).desc() for c in ATTEMPT_ORDER], k, "recency")
 
 
-def recent_average(df: DataFrame, k: int = 2) -> DataFrame:
-    """Latest score and mean of the last ``k`` scores (of all, where there are fewer)."""
-    return (
-        last_attempts(usable_attempts(df), k)
-        .groupBy(*GROUP_KEY)
-        .agg(
-            F.max(F.when(F.col("recency") == 1, F.col("score"))).alias("latest_score"),
-            round_even(steady_mean(F.col("score")), 2).alias("recent_avg_score"),
-        )
-    )
+def _mean_of_few(scores: str) -> str:
+    """Mean of a short array: exact where all are narrow, else summed in ascending order."""
+    exact = f"aggregate({scores}, cast(0 as decimal(38,10)), (a, x) -> cast(a + try_cast(x as decimal(18,10)) as decimal(38,10)))"
+    plain = f"aggregate(array_sort({scores}), 0D, (a, x) -> a + x / size({scores}))"
+    return f"if(exists({scores}, x -> {N.is_wide('x')}), {plain}, cast({exact} as double) / size({scores}))"
 
 
-def _totals(df: DataFrame) -> DataFrame:
-    score = F.col("score")
-    return df.groupBy(*GROUP_KEY).agg(
-        F.count(F.lit(1)).alias("attempt_count"),
-        round_even(steady_mean(score), 2).alias("average_score"),
-        F.min_by(score, attempt_order()).alias("first_score"),
-        rules.settled(exact_deviation(score)).alias("deviation"),
-        _gap().alias("mock_vs_real_gap"),
+def recent_average(df: DataFrame, k: int = 2) -> DataFrame:
+    """Latest score and mean of the last ``k`` scores (of all, where there are fewer)."""
+    sums = N.narrow_sums("score", [], squares=False)
+    # A group's rows come in the order of the window, so the sum of wide ones has one order too.
+    own = {"latest_score": "max(if(recency = 1, score, null))", "far": f"sum(if({N.is_wide('score')}, score / {k}D, null))"}
+    rows = last_attempts(usable_attempts(df), k).groupBy(*GROUP_KEY).agg(*N.columns(own | sums))
+    mean = F.expr(f"{N.narrow_total()} / n + if(far is null, 0D, far * ({k}D / n))")
+    return rows.select(*GROUP_KEY, "latest_score", N.round_even(mean, 2).alias("recent_avg_score"))
+
+
+def _sums(df: DataFrame) -> DataFrame:
+    """Exact sums and first attempt of each group."""
+    first = F.min_by("score", attempt_order()).alias("first_score")
+    return df.groupBy(*GROUP_KEY).agg(*N.columns(N.narrow_sums("score", EXAM_TYPES)), first)
+
+
+def _wide(df: DataFrame) -> DataFrame:
+    kinds = ", ".join(f"'{kind}'" for kind in EXAM_TYPES)
+    return N.wide_sums(df, GROUP_KEY, "score", f"if(exam_type in ({kinds}), exam_type, 'other')")
+
+
+def _with_figures(sums: DataFrame, wide: DataFrame) -> DataFrame:
+    """Counts, means, deviation and gap from the sums of both ranges."""
+    rows = sums.join(N.wide_figures(wide, GROUP_KEY, EXAM_TYPES), GROUP_KEY, "left")
+    figures = {"attempt_count": "n", "average": N.joint_mean(), "spread": N.joint_deviation()}
+    figures["gap"] = f"{N.joint_mean('_real')} - {N.joint_mean('_mock')}"
+    kept = [c for c in sums.columns if c in {*GROUP_KEY, "first_score", "first", "last"}]
+    return rows.select(*kept, *N.columns(figures)).select(
+        *kept, "attempt_count", N.round_even(F.col("average"), 2).alias("average_score"),
+        rules.settled(F.col("spread")).alias("deviation"), N.round_even(F.col("gap"), 2).alias("mock_vs_real_gap"),
     )
 
 
-def _gap() -> Column:
-    score = F.col("score")
-    real, mock = (steady_mean(F.when(F.col("exam_type") == kind, score)) for kind in ("real", "mock"))
-    return round_even(real - mock, 2)
-
-
 def mock_real_gap(df: DataFrame) -> DataFrame:
     """Mean of real minus mean of mock scores; null where one kind is missing."""
-    return _totals(usable_attempts(df)).select(*GROUP_KEY, "mock_vs_real_gap")
+    attempts = usable_attempts(df)
+    return _with_figures(_sums(attempts), _wide(attempts)).select(*GROUP_KEY, "mock_vs_real_gap")
 
 
-def subject_analytics(df: DataFrame, window: int = 2, thresholds: Thresholds = DEFAULTS) -> DataFrame:
-    """One analytics row per student, grade and subject."""
-    attempts = usable_attempts(df)
-    merged = _totals(attempts).join(recent_average(attempts, window), GROUP_KEY)
+def _judged(rows: DataFrame, thresholds: Thresholds) -> DataFrame:
     count, first, last = F.col("attempt_count"), F.col("first_score"), F.col("latest_score")
     average, deviation = F.col("average_score"), F.col("deviation")
     return (
-        merged.withColumn("trend", rules.trend(count, first, last, thresholds))
+        rows.withColumn("trend", rules.trend(count, first, last, thresholds))
         .withColumns(
             {
                 "improvement_velocity": rules.velocity(count, first, last),
@@ -97,6 +111,50 @@ def subject_analytics(df: DataFrame, window: int = 2, thresholds: Thresholds = D
     )
 
 
+def subject_analytics(df: DataFrame, window: int = 2, thresholds: Thresholds = DEFAULTS) -> DataFrame:
+    """One analytics row per student, grade and subject."""
+    attempts = usable_attempts(df)
+    rows = _with_figures(_sums(attempts), _wide(attempts)).join(recent_average(attempts, window), GROUP_KEY)
+    return _judged(rows, thresholds)
+
+
+def group_states(df: DataFrame, window: int = 2) -> DataFrame:
+    """One state row per group: sums, first attempt, last ``window`` attempts (latest first), wide sums.
+
+    Its size does not depend on the number of attempts.
+    """
+    attempts = usable_attempts(df)
+    sums = N.columns(N.narrow_sums("score", EXAM_TYPES))
+    totals = attempts.groupBy(*GROUP_KEY).agg(*sums, F.min(_scored_attempt()).alias("first"))
+    last = last_attempts(attempts, window).groupBy(*GROUP_KEY).agg(
+        F.sort_array(F.collect_list(_scored_attempt()), asc=False).alias("last")
+    )
+    rows = totals.join(last, GROUP_KEY).join(_wide(attempts), GROUP_KEY, "left")
+    return rows.select(*GROUP_KEY, *SUMS, "first", "last", F.expr(f"{N.merged_wide(f'coalesce(wide, {N.NO_WIDE})')} as wide"))
+
+
+def merge_states(states: list[DataFrame], window: int = 2) -> DataFrame:
+    """States of the union of disjoint sets of attempts. A group has one row in each frame at most."""
+    rows = reduce(DataFrame.unionByName, states)
+    return rows.groupBy(*GROUP_KEY).agg(
+        *N.columns({c: f"sum({c})" for c in SUMS}), F.min("first").alias("first"),
+        F.slice(F.sort_array(F.flatten(F.collect_list("last")), asc=False), 1, window).alias("last"),
+        F.flatten(F.collect_list("wide")).alias("wide"),
+    ).withColumn("wide", F.expr(N.merged_wide("wide")))
+
+
+def analytics_of_states(states: DataFrame, window: int = 2, thresholds: Thresholds = DEFAULTS) -> DataFrame:
+    """The analytics rows of the groups, from their states alone."""
+    recent = _mean_of_few(f"transform(slice(last, 1, {window}), a -> a.score)")
+    rows = _with_figures(states, states.filter("size(wide) > 0")).withColumns(
+        {
+            "first_score": F.expr("first.score"), "latest_score": F.expr("last[0].score"),
+            "recent_avg_score": N.round_even(F.expr(recent), 2),
+        }
+    )
+    return _judged(rows, thresholds)
+
+
 def phase_counters(df: DataFrame) -> DataFrame:
     """Distinct students and records of an output table."""
     return df.agg(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from scoreflow.functions.numbers import as_int, as_number, to_moment
@@ -19,6 +19,11 @@ from scoreflow.sources.tables import conform
 
 DUPLICATE = "Duplicate exam attempts detected"
 INT_LIMIT = float(2**31)
+# Messages of the row rules, in their order (fixed texts).
+MESSAGES = [
+    "student_id missing", "grade out of range", "invalid subject", "invalid exam_type", "invalid attempt_number",
+    "invalid max_score", "score out of range", "invalid exam_date", "exam_date in future",
+]
 
 
 def check_columns(df: DataFrame, ignore: tuple[str, ...] = ("row_index",)) -> DataFrame:
@@ -74,6 +79,19 @@ def classify(raw: DataFrame, as_of) -> DataFrame:
     return coerce_types(check_columns(raw)).withColumn("error", row_error(moment(as_of)))
 
 
+def watched(classified: DataFrame) -> tuple[DataFrame, Observation]:
+    """Classified rows and an observation that the next write of them fills: rows, rejects by kind, students.
+
+    The numbers come with the write, so they cost no job of their own. ``students`` is a sketch (about 2 % off).
+    """
+    seen = Observation()
+    error = F.col("error")
+    kinds = [F.count_if(error == message).alias(message) for message in MESSAGES]
+    total = [F.count(F.lit(1)).alias("rows"), F.count(error).alias("rejected")]
+    students = F.approx_count_distinct("student_id", 0.02).alias("students")
+    return classified.observe(seen, *total, *kinds, students), seen
+
+
 def accepted(classified: DataFrame) -> DataFrame:
     """Valid rows in table types, the date without its time."""
     good = classified.filter(F.col("error").isNull())

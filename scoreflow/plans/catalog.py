@@ -154,6 +154,15 @@ def joined(column: str, separator: str = "|"):
 # --- tables -------------------------------------------------------------------------
 
 
+@query
+def csv_mixed_headers(d: Data) -> DataFrame:
+    """Customers in two sets of files whose columns stand in another order."""
+    path, rows = f"{d.store.root}/mixed_csv", d.table("customer")
+    TB.write_csv(rows.filter("c_custkey % 2 = 0"), f"{path}/a")
+    TB.write_csv(rows.filter("c_custkey % 2 = 1").select(*reversed(rows.columns)), f"{path}/b")
+    return TB.read_csv(d.spark, path)
+
+
 @query
 def csv_roundtrip(d: Data) -> DataFrame:
     path = f"{d.store.root}/documents_csv"
@@ -297,6 +306,15 @@ def gate_report(d: Data) -> DataFrame:
     return validation.gate(d.dirty, A.AS_OF)
 
 
+@query
+def observed_rejects(d: Data) -> DataFrame:
+    """Rows and rejects by kind, taken while the classified rows are written."""
+    rows, seen = validation.watched(validation.classify(d.dirty, A.AS_OF))
+    d.store.scratch("classified", rows)
+    kinds = ["rows", "rejected", *validation.MESSAGES]
+    return d.spark.createDataFrame([(k, seen.get[k]) for k in kinds], "kind string, n bigint")
+
+
 @query
 def chosen_students(d: Data) -> DataFrame:
     busy = d.table("customer").filter("c_mktsegment = 'BUILDING'").select(
@@ -330,6 +348,22 @@ def subject_analytics_decimals(d: Data) -> DataFrame:
     return metrics.subject_analytics(A.decimal_attempts_from_orders(d.spark, d.sf_dir))
 
 
+@query
+def merged_analytics(d: Data) -> DataFrame:
+    """States of three disjoint sets of attempts, merged one after the other, then the metrics."""
+    share = F.pmod(F.xxhash64("exam_id"), F.lit(3))
+    states = [metrics.group_states(d.attempts.filter(share == i)) for i in range(3)]
+    return metrics.analytics_of_states(metrics.merge_states([metrics.merge_states(states[:2]), states[2]]))
+
+
+@query
+def subject_analytics_wide(d: Data) -> DataFrame:
+    """Every fifth order has a score times 2**50, another fifth times 2**70."""
+    rest = F.col("exam_id").cast("bigint") % 5
+    factor = F.when(rest == 0, float(1 << 50)).when(rest == 1, float(1 << 70)).otherwise(1.0)
+    return metrics.subject_analytics(d.attempts.withColumn("score", F.col("score") * factor))
+
+
 @query
 def recent_average_k3(d: Data) -> DataFrame:
     return metrics.recent_average(d.event_attempts, 3)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from scoreflow.operators.narrative import FALLBACK, STUDENT_PROMPT, SUBJECT_PROMPT, SUBJECT_PROMPT_FIELDS
+from scoreflow.operators.validation import MESSAGES
 from scoreflow.schemas import ANALYTICS, SUMMARIES
 
 
@@ -74,6 +75,24 @@ DECIMAL_ATTEMPTS = ATTEMPTS.replace("attempts AS", "decimal_attempts AS").replac
     "CAST(floor(o_totalprice / 5000) AS DOUBLE)", "round_even(o_totalprice / 50, 0) / 100"
 )
 
+# A fifth of the scores times 2**50, a fifth times 2**70.
+WIDE_ATTEMPTS = ATTEMPTS.replace("attempts AS", "wide_attempts AS").replace(
+    "CAST(floor(o_totalprice / 5000) AS DOUBLE)",
+    "CAST(floor(o_totalprice / 5000) AS DOUBLE) * CASE o_orderkey % 5 WHEN 0 THEN 1125899906842624::DOUBLE "
+    "WHEN 1 THEN 1180591620717411303424::DOUBLE ELSE 1 END",
+)
+
+
+def far(x: str) -> str:
+    """Two decimals, ties to even; numbers without a fraction as they are."""
+    return f"CASE WHEN abs({x}) >= 4503599627370496 THEN {x} ELSE {even(x, 2)} END"
+
+
+def whole(x: str) -> str:
+    """Mean of whole numbers of any size."""
+    return f"(CAST(sum(CAST({x} AS HUGEINT)) AS DOUBLE) / count({x}))"
+
+
 DIRTY = """dirty AS (
   SELECT event_id AS row_index,
     CASE event_id % 41 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE 'S' || user_id END AS student_id,
@@ -429,6 +448,8 @@ ORACLES: dict[str, str] = {
     "gate_report": with_(*CHECKED, ACCEPTED, REPEATED)
     + """SELECT *, total_rows > 0 AND rejected_rows = 0 AND repeated_keys = 0 AS passed FROM (
       SELECT count(*) AS total_rows, count(error) AS rejected_rows, (SELECT count(*) FROM repeated) AS repeated_keys FROM classified)""",
+    "observed_rejects": with_(*CHECKED) + "SELECT 'rows' AS kind, count(*) AS n FROM classified UNION ALL SELECT 'rejected', count(error) FROM classified"
+    + "".join(f" UNION ALL SELECT '{m}', count(*) FILTER (error = '{m}') FROM classified" for m in MESSAGES),
     "chosen_students": with_(ATTEMPTS)
     + "SELECT * FROM attempts WHERE student_id IN (SELECT 'S' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
     "usable_attempts": with_(DIRTY, COERCED)
@@ -439,6 +460,31 @@ ORACLES: dict[str, str] = {
     "subject_analytics": with_(*BASE) + "SELECT * FROM analytics",
     "subject_analytics_events": with_(EVENT_ATTEMPTS, analytics("event_attempts")) + "SELECT * FROM analytics",
     "subject_analytics_decimals": with_(DECIMAL_ATTEMPTS, analytics("decimal_attempts")) + "SELECT * FROM analytics",
+    "merged_analytics": with_(*BASE) + "SELECT * FROM analytics",
+    "subject_analytics_wide": with_(WIDE_ATTEMPTS) + f"""SELECT student_id, grade, subject, attempt_count, average_score, latest_score, recent_avg_score, trend,
+      CASE WHEN attempt_count < 2 THEN 0.0::DOUBLE ELSE {far('(latest_score - first_score) / attempt_count')} END AS improvement_velocity,
+      CASE WHEN attempt_count < 2 OR low = high THEN 1.0::DOUBLE WHEN high > 1000 THEN 0.0::DOUBLE
+        ELSE {even('1.0::DOUBLE / (1 + std)', 3)} END AS consistency_score,
+      CASE WHEN attempt_count < 2 THEN 'unknown' WHEN low = high OR std < 5 THEN 'low' WHEN high > 1000 OR std >= 10 THEN 'high'
+        ELSE 'medium' END AS volatility_level, mock_vs_real_gap,
+      CASE WHEN average_score < 60 THEN 'low' WHEN average_score < 80 THEN 'medium' ELSE 'high' END AS performance_band,
+      CASE WHEN average_score < 60 AND trend = 'declining' THEN 'high'
+        WHEN average_score < 60 OR trend = 'declining' THEN 'medium' ELSE 'low' END AS risk_flag,
+      CASE WHEN attempt_count >= 5 THEN 'high' WHEN attempt_count >= 3 THEN 'medium' ELSE 'low' END AS data_confidence_level
+    FROM (SELECT student_id, grade, subject, attempt_count, latest_score, first_score, low, high, std,
+      {far('m')} AS average_score, {far('m2')} AS recent_avg_score, {far('gap')} AS mock_vs_real_gap,
+      CASE WHEN attempt_count < 2 THEN 'insufficient_data' WHEN latest_score - first_score > 5 THEN 'improving'
+        WHEN latest_score - first_score < -5 THEN 'declining' ELSE 'stable' END AS trend
+    FROM (
+      SELECT student_id, grade, subject, count(*) AS attempt_count, min(score) AS low, max(score) AS high,
+        max(score) FILTER (newest = 1) AS latest_score, max(score) FILTER (oldest = 1) AS first_score,
+        {whole('score')} AS m, {whole('CASE WHEN newest <= 2 THEN score END')} AS m2,
+        {whole("CASE WHEN exam_type = 'real' THEN score END")} - {whole("CASE WHEN exam_type = 'mock' THEN score END")} AS gap,
+        CASE WHEN max(score) < 1000 THEN round(stddev_pop(CASE WHEN score < 1000 THEN score END), 9) END AS std
+      FROM (SELECT *, row_number() OVER (PARTITION BY student_id, grade, subject ORDER BY exam_date, attempt_number, exam_id) AS oldest,
+        row_number() OVER (PARTITION BY student_id, grade, subject ORDER BY exam_date DESC, attempt_number DESC, exam_id DESC) AS newest
+        FROM wide_attempts)
+      GROUP BY ALL))""",
     "recent_average_k3": with_(EVENT_ATTEMPTS, analytics("event_attempts", k=3))
     + "SELECT student_id, grade, subject, latest_score, recent_avg_score FROM analytics",
     "mock_real_gap": with_(*BASE) + "SELECT student_id, grade, subject, mock_vs_real_gap FROM analytics",
@@ -581,6 +627,7 @@ ORACLES: dict[str, str] = {
     "linked_ids": with_(USERS)
     + """SELECT u.email, CASE WHEN u.student_id <> '' THEN u.student_id WHEN c.c_acctbal < 1000 THEN 'L' || u.id ELSE '' END AS student_id
       FROM users u JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = u.id WHERE u.role = 'Student'""",
+    "csv_mixed_headers": "SELECT COLUMNS(*)::VARCHAR FROM customer",
     # refresh jobs
     "full_refresh": with_(*DONE) + "SELECT * FROM consolidated",
     "keyed_refresh": with_(

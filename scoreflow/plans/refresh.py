@@ -24,12 +24,14 @@ Model = Callable[[DataFrame], DataFrame]
 RAW = "raw_student_scores"
 VALIDATED = "validated_results"
 REJECTED = "rejected_rows"
+STATES = "attempt_states"
 ANALYTICS = "subject_analytics"
 INSIGHTS = "subject_insights"
 SUMMARIES = "subject_summaries"
 LATEST = "student_consolidated_latest"
 HISTORY = "student_consolidated_history"
 FAILURES = "consolidation_failures"
+MALFORMED = "malformed_records"
 
 
 @dataclass(frozen=True)
@@ -75,32 +77,65 @@ def _file_rejects(store: TableStore, rejected: DataFrame, run: Run, ids: DataFra
     return own
 
 
-def _validated(store: TableStore, raw: DataFrame, run: Run, ids: DataFrame | None = None) -> DataFrame:
-    """Stored valid rows of the batch.
+def _classified(store: TableStore, raw: DataFrame, run: Run) -> tuple[DataFrame, dict]:
+    """Stored classified rows, parsed once, and the counts that came with the write."""
+    rows, seen = validation.watched(validation.classify(raw, run.as_of))
+    stored = store.scratch(run.work("classified"), rows)
+    if not seen.get["rows"]:
+        raise RuntimeError(f"{RAW} is empty")
+    return stored, seen.get
+
 
-    Strict: raises unless every row is valid and every key unique. Quarantine: all other rows go to
-    the rejects, repeated keys included. The raw rows are parsed once.
+def _split(
+    store: TableStore, raw: DataFrame, run: Run, ids: DataFrame | None, put: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, dict]:
+    """(What ``put`` makes of the valid rows, counts). Strict: raises unless every row is valid.
+
+    Quarantine: all other rows go to the rejects, repeated keys included. Without rejects, and without
+    earlier ones to replace, nothing is written.
     """
-    if raw.isEmpty():
-        raise RuntimeError(f"{RAW} is empty")
-    classified = store.scratch(run.work("classified"), validation.classify(raw, run.as_of))
+    classified, counts = _classified(store, raw, run)
     if run.quarantine:
         good, rejected = validation.split_classified(classified)
         _file_rejects(store, rejected, run, ids)
-        return store.scratch(run.work("valid"), good)
-    report = _file_rejects(store, validation.error_report(classified), run, ids)
-    if not report.isEmpty():
-        validation.raise_rejected(report, REJECTED)
-    good = store.scratch(run.work("valid"), validation.accepted(classified))
-    validation.raise_if_repeated(good)
+        return put(good), counts
+    if counts["rejected"] or store.exists(REJECTED):
+        report = _file_rejects(store, validation.error_report(classified), run, ids)
+        if counts["rejected"]:
+            validation.raise_rejected(report, REJECTED)
+    return put(validation.accepted(classified)), counts
+
+
+def _validated(store: TableStore, raw: DataFrame, run: Run, ids: DataFrame) -> DataFrame:
+    """Stored valid rows of the batch of the students in ``ids``."""
+    good, _ = _split(store, raw, run, ids, lambda rows: store.scratch(run.work("valid"), rows))
+    if not run.quarantine:
+        validation.raise_if_repeated(good)
     return good
 
 
-def _analytics(attempts: DataFrame, run: Run) -> DataFrame:
-    return metrics.subject_analytics(attempts, run.window, run.thresholds)
+def _publish_validated(store: TableStore, raw: DataFrame, run: Run) -> dict:
+    """Make the valid rows the whole table. They are written once: staged, checked, then shown."""
+    staged = []
 
+    def stage(rows: DataFrame) -> DataFrame:
+        staged.append(store.stage(VALIDATED, rows, S.ATTEMPT_KEY))
+        return store.read_version(VALIDATED, staged[0], S.VALIDATED)
 
-def _consolidate(store: TableStore, run: Run, analytics: DataFrame, summaries: DataFrame, everybody: bool) -> None:
+    good, counts = _split(store, raw, run, None, stage)
+    try:
+        if not run.quarantine:
+            validation.raise_if_repeated(good)
+    except ValueError:
+        store.discard(VALIDATED, staged[0])
+        raise
+    store.publish(VALIDATED, staged[0])
+    return counts
+
+
+def _consolidate(
+    store: TableStore, run: Run, analytics: DataFrame, summaries: DataFrame, everybody: bool, parts: list[int] | None = None
+) -> None:
     gathered = consolidation.gather_students(analytics, summaries)
     prompts = narrative.student_prompts(gathered, consolidation.ANALYTICS_FIELDS, consolidation.SUMMARY_COLUMNS)
     asked = store.scratch(run.work("student_prompts"), prompts)
@@ -109,12 +144,12 @@ def _consolidate(store: TableStore, run: Run, analytics: DataFrame, summaries: D
     stamped = done.withColumn("run_ts", F.lit(str(run.as_of)).cast("timestamp"))
     store.append(HISTORY, stamped, S.HISTORY, run.run_id)
     latest = store.read_batch(HISTORY, run.run_id, S.HISTORY).drop("run_ts")
-    store.upsert(LATEST, latest, S.CONSOLIDATED, ["student_id"], ["student_id"])
+    store.upsert(LATEST, latest, S.CONSOLIDATED, ["student_id"], ["student_id"], parts=parts)
     failed = store.scratch(run.work("failures"), narrative.unanswered(asked, latest))
     if everybody:
         store.overwrite(FAILURES, failed, ["student_id"])
     else:
-        store.upsert(FAILURES, failed, S.FAILED, ["student_id"], ["student_id"], gone=asked)
+        store.upsert(FAILURES, failed, S.FAILED, ["student_id"], ["student_id"], gone=asked, parts=parts)
     if run.strict_consolidation and not failed.isEmpty():
         raise RuntimeError("LLM failed to produce valid JSON")
 
@@ -125,16 +160,18 @@ def _answered(store: TableStore, prompts: DataFrame, run: Run) -> DataFrame:
     return narrative.subject_summaries(asked, told, run.provider)
 
 
-def full_refresh(store: TableStore, raw: DataFrame, run: Run) -> None:
-    """All phases over the whole raw table.
+def full_refresh(store: TableStore, raw: DataFrame, run: Run) -> dict:
+    """All phases over the whole raw table. Returns the counts of the validation (see ``validation.watched``).
 
     Every output is replaced but the history, which grows, and the latest reports, which are upserted:
     a student who is no longer in the raw table keeps the last report.
     """
     try:
-        store.overwrite(VALIDATED, _validated(store, raw, run), S.ATTEMPT_KEY)
+        counts = _publish_validated(store, raw, run)
         validated = _require(store, VALIDATED, S.VALIDATED, f"{RAW} has no valid row")
-        store.overwrite(ANALYTICS, _analytics(validated, run), S.GROUP_KEY)
+        store.overwrite(STATES, metrics.group_states(validated, run.window), S.GROUP_KEY)
+        states = store.read(STATES, S.STATES)
+        store.overwrite(ANALYTICS, metrics.analytics_of_states(states, run.window, run.thresholds), S.GROUP_KEY)
         analytics = _require(store, ANALYTICS, S.ANALYTICS, "Phase 1 produced no analytics records")
 
         store.overwrite(INSIGHTS, insights.subject_insights(analytics, run.thresholds), S.GROUP_KEY)
@@ -145,6 +182,7 @@ def full_refresh(store: TableStore, raw: DataFrame, run: Run) -> None:
         summaries = _require(store, SUMMARIES, S.SUMMARIES, "Phase 3 produced no summaries")
 
         _consolidate(store, run, analytics, summaries, everybody=True)
+        return counts
     finally:
         store.drop(run.work("")[:-1])
 
@@ -171,23 +209,49 @@ def _keyed(store: TableStore, raw: DataFrame, ids: DataFrame, run: Run) -> None:
         names = [r.student_id for r in some]
         raise ValueError(f"No raw data found for student {names} in {RAW}; {unknown.count()} students in all")
     fresh = _validated(store, chosen, run, ids)
-    store.upsert(VALIDATED, fresh, S.VALIDATED, S.ATTEMPT_KEY, S.ATTEMPT_KEY)
+    store.upsert(VALIDATED, fresh, S.VALIDATED, S.ATTEMPT_KEY, S.ATTEMPT_KEY, parts=parts)
     good = store.scratch(run.work("good_ids"), consolidation.ids_of(fresh))
     if good.isEmpty():
         return
+    rows = validation.of_students(store.read_parts(VALIDATED, S.VALIDATED, parts), good)
+    states = store.scratch(run.work(STATES), metrics.group_states(rows, run.window))
+    store.upsert(STATES, states, S.STATES, S.SUBJECT_KEY, S.GROUP_KEY, parts=parts)
+    _later_phases(store, run, states, good, parts, S.SUBJECT_KEY)
+
+
+def _later_phases(
+    store: TableStore, run: Run, states: DataFrame, students: DataFrame, parts: list[int], keys: list[str]
+) -> None:
+    """Analytics, insights, summaries of the groups in ``states``, then the reports of their students."""
 
     def current(name: str, schema) -> DataFrame:
-        return validation.of_students(store.read_parts(name, schema, parts), good)
+        return validation.of_students(store.read_parts(name, schema, parts), students)
 
     def put(name: str, df: DataFrame, schema) -> DataFrame:
         delta = require_rows(store.scratch(run.work(name), df), f"no rows for {name}")
-        store.upsert(name, delta, schema, S.SUBJECT_KEY, S.GROUP_KEY)
+        store.upsert(name, delta, schema, keys, S.GROUP_KEY, parts=parts)
         return delta
 
-    analytics = put(ANALYTICS, _analytics(current(VALIDATED, S.VALIDATED), run), S.ANALYTICS)
+    analytics = put(ANALYTICS, metrics.analytics_of_states(states, run.window, run.thresholds), S.ANALYTICS)
     found = put(INSIGHTS, insights.subject_insights(analytics, run.thresholds), S.INSIGHTS)
     put(SUMMARIES, _answered(store, narrative.subject_prompts(found), run), S.SUMMARIES)
-    _consolidate(store, run, current(ANALYTICS, S.ANALYTICS), current(SUMMARIES, S.SUMMARIES), everybody=False)
+    _consolidate(store, run, current(ANALYTICS, S.ANALYTICS), current(SUMMARIES, S.SUMMARIES), everybody=False, parts=parts)
+
+
+def _touched(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of the groups in ``groups`` (null keys compare equal)."""
+    wanted = groups.select(S.GROUP_KEY)
+    condition = [rows[k].eqNullSafe(wanted[k]) for k in S.GROUP_KEY]
+    return rows.join(wanted, condition[0] & condition[1] & condition[2], "left_semi")
+
+
+def _known(store: TableStore, good: DataFrame, parts: list[int]) -> bool:
+    """Whether an attempt of the batch is stored already, or attempts are stored without their states."""
+    old = store.read_parts(VALIDATED, S.VALIDATED, parts)
+    if store.exists(VALIDATED) and not store.exists(STATES):
+        return True
+    same = [old[k].eqNullSafe(good[k]) for k in S.ATTEMPT_KEY]
+    return not good.join(old, same[0] & same[1] & same[2], "left_semi").isEmpty()
 
 
 def intake_refresh(store: TableStore, records: DataFrame, exam_date, run: Run) -> None:
@@ -197,6 +261,10 @@ def intake_refresh(store: TableStore, records: DataFrame, exam_date, run: Run) -
     mode files the good rows and stores the others as rejects. Subject and run id are part of the exam
     id, so a second series of a student and subject stands beside the first, and repeating a run
     replaces its rows.
+
+    The rows are parsed and validated once. New attempts are merged into the stored states of their groups, so
+    the students' earlier attempts are not read for their metrics, and only the groups concerned go through the
+    later phases. A repeated run, whose attempts are stored already, refreshes its students from all of their rows.
     """
     rows = intake_attempts(records, exam_date)
     exam = F.concat_ws("@", "exam_id", "subject", F.lit(run.run_id))
@@ -207,17 +275,33 @@ def intake_refresh(store: TableStore, records: DataFrame, exam_date, run: Run) -
             store.scratch(checking.work("rows"), rows), "No exam records to write: no subject has scores"
         )
         ids = store.scratch(checking.work("ids"), consolidation.ids_of(filed))
+        parts = store.parts_of(ids)
         good = _validated(store, filed, checking, ids)
         store.append(RAW, as_text(good).select(S.ATTEMPT_COLUMNS), S.RAW, run.run_id, S.ATTEMPT_KEY)
-        rejected = store.scratch(checking.work("kept"), store.read_parts(REJECTED, S.REJECTS, store.parts_of(ids)))
-        added = store.read_batch(RAW, run.run_id, S.RAW)
-        if added.isEmpty():
+        if good.isEmpty():
             return
-        keyed_refresh(store, store.read_parts(RAW, S.RAW, store.parts_of(added)), added, run)
-        # The refresh has judged filed rows only: the rejects of this batch stay beside its own.
-        own = validation.of_students(rejected, ids)
-        later = validation.of_students(store.read_parts(REJECTED, S.REJECTS, store.parts_of(ids)), ids)
-        both = store.scratch(checking.work("both"), own.unionByName(later).distinct())
-        store.upsert(REJECTED, both, S.REJECTS, ["student_id"], ["student_id"], gone=ids)
+        if _known(store, good, parts):
+            _again(store, ids, parts, checking, run)
+            return
+        store.upsert(VALIDATED, good, S.VALIDATED, S.ATTEMPT_KEY, S.ATTEMPT_KEY, parts=parts)
+        students = store.scratch(checking.work("students"), consolidation.ids_of(good))
+        added = store.scratch(checking.work("added"), metrics.group_states(good, run.window))
+        before = _touched(store.read_parts(STATES, S.STATES, parts), added)
+        states = store.scratch(checking.work(STATES), metrics.merge_states([before, added], run.window))
+        store.upsert(STATES, states, S.STATES, S.GROUP_KEY, S.GROUP_KEY, parts=parts)
+        _later_phases(store, run, states, students, parts, S.GROUP_KEY)
     finally:
         store.drop(checking.work("")[:-1])
+        store.drop(run.work("")[:-1])
+
+
+def _again(store: TableStore, ids: DataFrame, parts: list[int], checking: Run, run: Run) -> None:
+    """Refresh the students of a repeated batch from all rows filed for them; its rejects stay."""
+    rejected = store.scratch(checking.work("kept"), store.read_parts(REJECTED, S.REJECTS, parts))
+    added = store.read_batch(RAW, run.run_id, S.RAW)
+    keyed_refresh(store, store.read_parts(RAW, S.RAW, store.parts_of(added)), added, run)
+    # The refresh has judged filed rows only: the rejects of this batch stay beside its own.
+    own = validation.of_students(rejected, ids)
+    later = validation.of_students(store.read_parts(REJECTED, S.REJECTS, parts), ids)
+    both = store.scratch(checking.work("both"), own.unionByName(later).distinct())
+    store.upsert(REJECTED, both, S.REJECTS, ["student_id"], ["student_id"], gone=ids)

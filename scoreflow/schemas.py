@@ -47,6 +47,25 @@ ANALYTICS = _schema(
     "mock_vs_real_gap double, performance_band string, risk_flag string, "
     "data_confidence_level string"
 )
+# One row per group: integer sums, first attempt, last attempts, sums of very large scores.
+_ATTEMPT = _schema("exam_date date, attempt_number int, exam_id string, score double")
+_WIDE = _schema(
+    "kind string, unit int, n bigint, high bigint, low bigint, hh_high bigint, hh_low bigint, "
+    "hl_high bigint, hl_low bigint, ll_high bigint, ll_low bigint"
+)
+_SUM_NAMES = ["n", "w", "f", "g", *[f"{c}_{kind}" for kind in ("mock", "real") for c in ("n", "w", "f", "g")]]
+_SUM_NAMES += [f"{c}_{limb}" for c in ("ww", "wf", "ff") for limb in ("high", "low")]
+STATES = T.StructType(
+    [
+        *_schema("student_id string, grade int, subject string").fields,
+        *[T.StructField(name, T.LongType()) for name in _SUM_NAMES],
+        T.StructField("first", _ATTEMPT),
+        T.StructField("last", T.ArrayType(_ATTEMPT)),
+        T.StructField("wide", T.ArrayType(_WIDE)),
+    ]
+)
+MALFORMED = _schema("file string, text string")
+
 INSIGHTS = _schema(
     "student_id string, grade int, subject string, primary_issue string, "
     "secondary_issue string, root_cause_category string, academic_risk_level string, "

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,13 +30,47 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def csv_headers(spark: SparkSession, path: str, at_once: int = 200) -> dict[str, tuple[str, ...]]:
+    """Header of each file under ``path``, by file name; files without a line have none.
+
+    Only the first line of a file is read, ``at_once`` files in one job.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    files = sorted(r.path for r in listed.collect() if r.length)
+    headers = {}
+    for start in range(0, len(files), at_once):
+        firsts = [spark.read.text(f).limit(1).select(F.lit(f).alias("file"), "value") for f in files[start : start + at_once]]
+        for row in reduce(DataFrame.unionByName, firsts).collect():
+            headers[row.file] = tuple(next(csv.reader([row.value.removeprefix("\ufeff")]), ()))
+    return headers
+
+
+def read_csv(spark: SparkSession, path: str, multiline: bool = False, columns: list[str] | None = None) -> DataFrame:
     """Header row plus text cells; empty cells are null.
 
-    ``multiline`` is for tables with line breaks inside cells. A file is then read by
-    one task, so write such tables as many files.
+    Each file is read by its own header and aligned by name, so files may differ in the order of their columns.
+    A file whose columns differ from ``columns`` (or else from those of the first file) raises, named. A file
+    with a column named twice raises too. ``multiline`` is for tables with line breaks inside cells. A file is
+    then read by one task, so write such tables as many files.
     """
-    return spark.read.options(**CSV_OPTIONS, multiLine=multiline, inferSchema=False).csv(path)
+    headers = csv_headers(spark, path)
+    if not headers:
+        raise ValueError(f"no CSV header under {path}")
+    wanted = list(columns or next(iter(headers.values())))
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for file, header in headers.items():
+        missing, extra = sorted(set(wanted) - set(header)), sorted(set(header) - set(wanted))
+        doubled = sorted({c for c in header if header.count(c) > 1})
+        if missing or extra or doubled:
+            raise ValueError(f"header of {file} differs: missing {missing}, unexpected {extra}, repeated {doubled}")
+        alike.setdefault(header, []).append(file)
+    # Spark compares the header of each file with the given columns once more while it reads.
+    reader = spark.read.options(**CSV_OPTIONS, multiLine=multiline, enforceSchema=False)
+    frames = [
+        reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in header])).csv(files)
+        for header, files in alike.items()
+    ]
+    return reduce(DataFrame.unionByName, frames).select([F.col(f"`{c}`") for c in wanted])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -278,21 +314,26 @@ class TableStore:
 
     def upsert(
         self, name: str, df: DataFrame, schema: T.StructType, keys: list[str], sort_by: list[str],
-        gone: DataFrame | None = None,
+        gone: DataFrame | None = None, parts: list[int] | None = None,
     ) -> None:
         """Replace the rows whose key occurs in ``df``, a stored frame with a student id.
 
-        ``gone``: stored keys whose old rows go, in place of those of ``df``.
+        ``gone``: stored keys whose old rows go, in place of those of ``df``. ``parts``: parts that hold all
+        students of both, where they are known already.
         """
         new = conform(df, schema)
         leaving = new if gone is None else gone
-        touched = {f"part={p}" for p in {*self.parts_of(new), *self.parts_of(leaving)}}
+        touched = {f"part={p}" for p in (parts if parts is not None else {*self.parts_of(new), *self.parts_of(leaving)})}
 
         def replace() -> None:
             seen, folders = self._current(name)
             hit = [f for f in folders if f.split("/")[-1] in touched or "/" not in f]
             old = self._load(name, hit, schema).drop("v", "part")
             version = self.stage(name, without_keys(old, leaving, keys).unionByName(typed_like(new, keys, old)), sort_by)
-            self._show(name, [*(f for f in folders if f not in hit), *self._part_folders(name, version)], seen)
+            try:
+                self._show(name, [*(f for f in folders if f not in hit), *self._part_folders(name, version)], seen)
+            except ChangedTable:
+                self.discard(name, version)
+                raise
 
         self._again(replace)

@@ -6,16 +6,43 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from scoreflow.plans.refresh import Run, intake_refresh
+from scoreflow.plans.refresh import MALFORMED, Run, intake_refresh
 from scoreflow.schemas import INTAKE
+from scoreflow.schemas import MALFORMED as MALFORMED_COLUMNS
 from scoreflow.sources.tables import TableStore
 
+BROKEN = "_malformed"
+
+
+def _with_broken(reader):
+    schema = T.StructType([*INTAKE.fields, T.StructField(BROKEN, T.StringType())])
+    return reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Nested intake records of JSON files with the text of malformed lines and their file."""
+    return _with_broken(spark.read).json(path).withColumn("_file", F.col("_metadata.file_path"))
+
 
 def record_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Nested intake records from JSON files that arrive in a folder."""
-    return spark.readStream.schema(INTAKE).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    """The same of JSON files that arrive in a folder."""
+    stream = _with_broken(spark.readStream).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    return stream.withColumn("_file", F.col("_metadata.file_path"))
+
+
+def split_records(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(Records that could be read, malformed lines as file and text). A line counts as malformed where it is
+    no JSON object or a field has another type."""
+    good = rows.filter(F.col(BROKEN).isNull()).select(INTAKE.names)
+    # Spark refuses to read the column of malformed lines alone from a file.
+    bad = rows.filter(F.col(BROKEN).isNotNull()).select(
+        F.col("_file").alias("file"), F.coalesce(BROKEN, F.to_json(F.struct(INTAKE.names))).alias("text")
+    )
+    return good, bad
 
 
 def start_intake(
@@ -28,12 +55,18 @@ def start_intake(
 ) -> StreamingQuery:
     """Process what has arrived and stop.
 
-    A replayed batch carries the same id, so it replaces its own rows.
+    A replayed batch carries the same id, so it replaces its own rows. Malformed lines go to a
+    table of their own with their file, and the rest of the batch goes on.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        own = replace(run, run_id=f"{run.run_id}-{batch_id}")
+        if BROKEN in batch.columns:
+            batch, bad = split_records(batch)
+            if not bad.isEmpty():
+                store.append(MALFORMED, bad, MALFORMED_COLUMNS, own.run_id)
         if not batch.isEmpty():
-            refresh(store, batch, exam_date, replace(run, run_id=f"{run.run_id}-{batch_id}"))
+            refresh(store, batch, exam_date, own)
 
     return (
         records.writeStream.foreachBatch(apply)

@@ -193,11 +193,14 @@ def test_group_limit_runs_before_the_shuffle(spark, tmp_path):
     plan = metrics.subject_analytics(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
     lines = [line for line in plan.splitlines() if line.strip()]
     shuffles = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
-    assert len(shuffles) == 2
+    assert len(shuffles) == 4
     assert any("partial_sum" in lines[i + 1] for i in shuffles)
     assert any("WindowGroupLimit" in lines[i + 1] and "Partial" in lines[i + 1] for i in shuffles)
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     assert "PushedFilters: [IsNotNull(student_id), IsNotNull(grade)" in plan
+    # Two of the exchanges are those of wide scores; their scan skips row groups without any.
+    wide = metrics._wide(spark.read.parquet(path)).select("student_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= 1048576.0) OR (score" in wide
     assert "max_score" not in plan.split("ReadSchema")[1]
 
 
@@ -210,7 +213,8 @@ def test_joined_branches_add_no_shuffle(spark, tmp_path):
         plan = metrics.subject_analytics(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" in plan
+    # One each for the two branches, two for the wide scores.
+    assert plan.count("Exchange hashpartitioning") == 4 and "SortMergeJoin" in plan
 
 
 def test_recent_average_rejects_no_rows(spark):
@@ -222,3 +226,87 @@ def test_phase_counters(spark):
     df = metrics.subject_analytics(attempts(spark, random_rows(1)))
     r = metrics.phase_counters(df).first()
     assert r.records == df.count() and r.students == df.select("student_id").distinct().count()
+
+
+def plain(scores):
+    """Mean and population deviation of exact fractions."""
+    exact = [Fraction(x) for x in scores]
+    mean = sum(exact) / len(exact)
+    return float(mean), float(sum((x - mean) ** 2 for x in exact) / len(exact)) ** 0.5
+
+
+@pytest.mark.parametrize(
+    "scores",
+    [[1e21], [1e300, 1e300], [1e14, 50.0], [50.0, 1e14], [1e14, 1e14 + 4, 1e14 + 8], [2.0**20, 2.0**20 - 0.5, 1.25],
+     [1e21, 1e21 + 2**18, 3.0], [1.7e308, 1.7e308, 1.0], [4e15 + 1, 4e15 + 3], [1048576.25] * 3],
+)
+def test_every_finite_score_has_exact_figures(spark, scores):
+    r = one(spark, scores)
+    mean = float(sum(map(Fraction, scores)) / len(scores))
+    assert r.average_score == pytest.approx(mean, rel=1e-14, abs=0.00501) and r.attempt_count == len(scores)
+    exact = [Fraction(x) for x in scores]
+    spread = sum((x - sum(exact) / len(exact)) ** 2 for x in exact) / len(exact)
+    deviation = float(spread) ** 0.5 if spread < 10**300 else float("inf")
+    want = 1.0 if len(scores) == 1 else round(1 / (1 + deviation), 3)
+    assert r.consistency_score == pytest.approx(want, abs=1e-9)
+    assert r.recent_avg_score == pytest.approx(float(sum(exact[-2:]) / len(exact[-2:])), rel=1e-14, abs=0.00501)
+    states = metrics.group_states(scored(spark, scores))
+    assert metrics.analytics_of_states(states).collect() == [r]
+
+
+def test_wide_scores_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(8)
+    scores = [rng.choice([rng.uniform(0, 100), rng.uniform(1e6, 1e9), 10.0 ** rng.randrange(7, 25), 0.1]) for _ in range(400)]
+    df = scored(spark, scores)
+    seen = {tuple(metrics.subject_analytics(df.orderBy(F.rand(seed)).repartition(1 + seed)).first()) for seed in range(4)}
+    assert len(seen) == 1
+    mean, _ = plain(scores)
+    assert next(iter(seen))[4] == pytest.approx(mean, rel=1e-13)
+
+
+def many_attempts(spark, n=900, seed=4):
+    rng = random.Random(seed)
+    start = dt.date(2024, 1, 1)
+    rows = [
+        (f"S{rng.randrange(5)}", 5, rng.choice(["Art", "Math"]), f"E{i}", rng.choice(["mock", "real"]), 1 + i % 3,
+         rng.choice([round(rng.uniform(0, 100), 2), round(rng.uniform(0, 100), 6), 1e21 * rng.random() if i % 50 == 0 else 7.5]),
+         str(start + dt.timedelta(days=rng.randrange(40))))
+        for i in range(n)
+    ]
+    return attempts(spark, rows)
+
+
+@pytest.mark.parametrize("window", [1, 2, 7])
+def test_merged_states_equal_a_full_recompute(spark, window):
+    df = many_attempts(spark).withColumn("part", F.pmod(F.xxhash64("exam_id"), F.lit(4)))
+    parts = [metrics.group_states(df.filter(F.col("part") == i).drop("part"), window) for i in range(4)]
+    whole = metrics.group_states(df.drop("part"), window)
+    merged = metrics.merge_states([metrics.merge_states(parts[:2], window), parts[3], parts[2]], window)
+    assert table(merged) == table(whole)
+    got = metrics.analytics_of_states(merged, window)
+    assert table(got) == table(metrics.subject_analytics(df.drop("part"), window))
+
+
+def test_state_size_does_not_grow(spark):
+    row = metrics.group_states(many_attempts(spark, 1500), 3).first()
+    assert len(row.last) == 3 and len(row.wide) <= 3 * 30
+
+
+def test_metrics_use_no_decimal_buffers(spark):
+    """The sums are bigint buffers; decimals appear only after the last exchange."""
+    plan = metrics._sums(many_attempts(spark, 10))._jdf.queryExecution().executedPlan().toString()
+    assert "decimal" not in plan
+
+
+def test_large_windows_are_taken_in_two_levels(spark):
+    rows = [("S1", 5, "Art", f"E{i:05}", "mock", 1, i % 101, "2024-01-01") for i in range(6000)]
+    rows += [(f"S{2 + i}", 5, "Art", "E", "mock", 1, 3, "2024-01-01") for i in range(300)]
+    df = attempts(spark, rows).repartition(8)
+    for k in (3, 1000, 1001, 5000, 9000):
+        got = metrics.last_attempts(df, k)
+        own = sorted((r.recency, r.exam_id) for r in got.filter("student_id = 'S1'").collect())
+        assert own == [(i + 1, f"E{5999 - i:05}") for i in range(min(k, 6000))]
+        assert got.filter("student_id <> 'S1'").count() == 300
+    # The first level deals a group to parts, so no task holds the whole of it.
+    parts = metrics.last_attempts(df, 1001)._jdf.queryExecution().optimizedPlan().toString()
+    assert parts.count("row_number()") == 2 and "_salt" in parts

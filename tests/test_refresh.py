@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helpers import attempts, table
 from scoreflow import schemas as S
+from scoreflow.operators import metrics
 from scoreflow.plans import refresh as R
 from scoreflow.sources import adapters as A
 from scoreflow.sources.tables import TableStore, as_text
@@ -206,3 +207,117 @@ def test_thresholds_and_window_of_a_run(spark, store):
     R.full_refresh(store, data, run("r", window=3, thresholds=S.Thresholds(low_score=30.0, high_score=35.0)))
     r = store.read(R.ANALYTICS, S.ANALYTICS).first()
     assert (r.recent_avg_score, r.performance_band) == (40.0, "high")
+
+
+@pytest.mark.parametrize("quarantine", [False, True])
+def test_a_very_large_valid_score_stops_no_refresh(spark, store, tmp_path, quarantine):
+    """Full, keyed, intake and stream refresh with scores up to 1e300; the other students go on."""
+    data = raw(spark, 40).withColumn("max_score", F.lit("1e308")).withColumn(
+        "score", F.expr("case exam_id when 'E3' then '1e21' when 'E7' then '1e300' when 'E9' then '1e14' else score end")
+    )
+    R.full_refresh(store, data, run("r1", quarantine=quarantine))
+    whole = state(store)
+    assert store.read(R.VALIDATED, S.VALIDATED).count() == 40
+    assert store.read(R.ANALYTICS, S.ANALYTICS).agg(F.max("average_score")).first()[0] > 1e299
+    R.keyed_refresh(store, data, data.select("student_id").distinct(), run("r2", quarantine=quarantine))
+    assert state(store)[R.ANALYTICS] == whole[R.ANALYTICS]
+    big = spark.createDataFrame([("S1", "N", 5, [("Math", [1e21, 50.0], 1e30)]), ("S50", "N", 5, [("Art", [70.0], 100.0)])], S.INTAKE)
+    R.intake_refresh(store, big, "2024-06-01", run("r3", quarantine=quarantine))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    subject = {"name": "Math", "scores": [1e300, 2], "max_score": 1e301}
+    (folder / "a.json").write_text(json.dumps({"student_id": "S60", "name": "N", "grade": 5, "subjects": [subject]}))
+    start_intake(
+        store, record_stream(spark, str(folder)), f"{tmp_path}/check", run("s", quarantine=quarantine), "2024-06-01"
+    ).awaitTermination()
+    got = {(r.student_id, r.subject, r.grade): r.average_score for r in store.read(R.ANALYTICS, S.ANALYTICS).collect()}
+    assert got[("S1", "Math", 5)] == 5e20 and got[("S50", "Art", 5)] == 70.0 and got[("S60", "Math", 5)] == pytest.approx(5e299)
+
+
+def recomputed(store):
+    return table(metrics.subject_analytics(store.read(R.VALIDATED, S.VALIDATED)).na.fill(-99.0))
+
+
+def test_intake_merges_states_and_equals_a_recompute(spark, store, monkeypatch):
+    data = raw(spark, 150).withColumn("score", F.expr("cast(cast(score as double) / 7 as string)"))
+    R.full_refresh(store, data, run("r0"))
+    read, asked = [], []
+    kept = metrics.group_states
+    monkeypatch.setattr(metrics, "group_states", lambda df, window: (read.append(df.count()), kept(df, window))[1])
+
+    def model(prompts):
+        asked.append(prompts.count())
+        return A.subject_responses(prompts)
+
+    for i in range(3):
+        batch = records(spark, record("S1", ("Math", [50 + i / 3, 60])), record("S2", ("Art", [i])), record(f"N{i}", ("Art", [1, 2, 3])))
+        R.intake_refresh(store, batch, f"2024-0{7 + i}-01", R.Run("2030-01-01", model, A.student_responses, f"i{i}"))
+    assert table(store.read(R.ANALYTICS, S.ANALYTICS).na.fill(-99.0)) == recomputed(store)
+    assert read == [6, 6, 6]  # the new attempts only
+    assert asked == [3, 3, 3]  # the groups concerned only
+    states = store.read(R.STATES, S.STATES)
+    assert table(states.drop("last", "wide", "first")) == table(kept(store.read(R.VALIDATED, S.VALIDATED)).drop("last", "wide", "first"))
+
+
+def test_intake_without_stored_states_and_with_earlier_ones(spark, store):
+    R.intake_refresh(store, records(spark, record("S1", ("Math", [10, 20]))), "2024-06-01", run("a"))
+    store.drop(R.STATES)
+    R.intake_refresh(store, records(spark, record("S1", ("Math", [30]))), "2024-06-02", run("b"))
+    assert counts(store) == {("S1", "Math"): 3}
+    R.intake_refresh(store, records(spark, record("S1", ("Math", [40]))), "2024-06-03", run("c"))
+    assert counts(store) == {("S1", "Math"): 4}
+    assert table(store.read(R.ANALYTICS, S.ANALYTICS).na.fill(-99.0)) == recomputed(store)
+
+
+def test_one_student_in_two_grades(spark, store):
+    R.intake_refresh(store, records(spark, record("S1", ("Math", [10]))), "2024-06-01", run("a"))
+    later = spark.createDataFrame([("S1", "N", 6, [("Math", [90.0], 100.0)])], S.INTAKE)
+    R.intake_refresh(store, later, "2024-06-02", run("b"))
+    assert sorted((r.grade, r.average_score) for r in store.read(R.ANALYTICS, S.ANALYTICS).collect()) == [(5, 10.0), (6, 90.0)]
+
+
+def test_malformed_lines_of_the_stream_are_kept_and_the_rest_goes_on(spark, store, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    good = json.dumps({"student_id": "S1", "name": "N", "grade": 5, "subjects": [{"name": "Math", "scores": [50], "max_score": 100}]})
+    (folder / "a.json").write_text(good + "\n{\"student_id\": \"S2\", \"na\n" + good.replace("S1", "S3") + "\n")
+    (folder / "b.json").write_text("[1, 2\n" + good.replace("S1", "S4").replace("5,", "\"five\",") + "\n")
+    start_intake(store, record_stream(spark, str(folder)), f"{tmp_path}/check", run("s"), "2024-06-01").awaitTermination()
+    assert counts(store) == {("S1", "Math"): 1, ("S3", "Math"): 1}
+    lost = {(r.file.split("/")[-1], r.text[:12]) for r in store.read(R.MALFORMED, S.MALFORMED).collect()}
+    assert lost == {("a.json", '{"student_id'), ("b.json", "[1, 2"), ("b.json", '{"student_id')}
+
+
+def test_only_malformed_lines(spark, store, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text("nothing\n")
+    start_intake(store, record_stream(spark, str(folder)), f"{tmp_path}/check", run("s"), "2024-06-01").awaitTermination()
+    assert [r.text for r in store.read(R.MALFORMED, S.MALFORMED).collect()] == ["nothing"]
+    assert not store.exists(R.VALIDATED)
+
+
+def test_counts_come_with_the_write(spark, store):
+    """A full refresh reports rows, rejects by kind and students, and writes no rejects where there are none."""
+    data = raw(spark, 60)
+    seen = R.full_refresh(store, data, run("r1"))
+    assert (seen["rows"], seen["rejected"], seen["students"]) == (60, 0, data.select("student_id").distinct().count())
+    assert not store.exists(R.REJECTED)
+    bad = data.withColumn("score", F.when(F.col("exam_id").isin("E3", "E4"), "x").otherwise(F.col("score")))
+    bad = bad.withColumn("subject", F.when(F.col("exam_id") == "E5", " ").otherwise(F.col("subject")))
+    seen = R.full_refresh(store, bad, run("r2", quarantine=True))
+    assert {k: v for k, v in seen.items() if v} == {
+        "rows": 60, "rejected": 3, "score out of range": 2, "invalid subject": 1, "students": seen["students"]
+    }
+    R.full_refresh(store, data, run("r3"))
+    assert store.read(R.REJECTED, S.REJECTS).isEmpty()
+
+
+def test_valid_rows_are_written_once(spark, store, tmp_path):
+    R.full_refresh(store, raw(spark, 20), run("r1"))
+    versions = [d.name for d in (tmp_path / "tables" / R.VALIDATED).iterdir() if d.name.startswith("v=")]
+    assert len(versions) == 1
+    data = raw(spark, 20)
+    with pytest.raises(ValueError, match="Duplicate"):
+        R.full_refresh(store, data.union(data.limit(1)), run("r2"))
+    assert [d.name for d in (tmp_path / "tables" / R.VALIDATED).iterdir() if d.name.startswith("v=")] == versions

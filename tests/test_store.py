@@ -143,3 +143,57 @@ def test_retention_and_compaction(spark, tmp_path):
     assert len(store._folders("h")) == 1 and store.read("h", S.VALIDATED).count() == 2
     store.drop("h")
     assert not store.exists("h")
+
+
+def csv_files(tmp_path, **texts):
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    return str(tmp_path)
+
+
+def test_files_with_another_column_order_are_aligned_by_name(spark, tmp_path):
+    path = csv_files(tmp_path, a="student_id,score\nS1,70\n", b="score,student_id\n80,S2\n,S3\n", c="﻿score,student_id\n\"9,5\",S4\n", d="")
+    df = TB.read_csv(spark, path)
+    assert df.columns == ["student_id", "score"]
+    assert sorted(tuple(r) for r in df.collect()) == [("S1", "70"), ("S2", "80"), ("S3", None), ("S4", "9,5")]
+    assert TB.read_csv(spark, path, columns=["score", "student_id"]).columns == ["score", "student_id"]
+
+
+@pytest.mark.parametrize("header, said", [
+    ("student_id,score,extra", "unexpected \\['extra'\\]"), ("student_id", "missing \\['score'\\]"),
+    ("student_id,score,score", "repeated \\['score'\\]"),
+])
+def test_a_file_with_other_columns_is_named(spark, tmp_path, header, said):
+    path = csv_files(tmp_path, a="student_id,score\nS1,70\n", b="score,student_id\n80,S2\n", c=f"{header}\nS3,1,2\n")
+    with pytest.raises(ValueError, match=f"c.csv differs: .*{said}"):
+        TB.read_csv(spark, path)
+
+
+def test_headers_read_in_several_jobs(spark, tmp_path):
+    path = csv_files(tmp_path, **{f"f{i}": f"{'x,y' if i % 2 else 'y,x'}\n{i},{i}\n" for i in range(7)})
+    headers = TB.csv_headers(spark, path, at_once=3)
+    assert len(headers) == 7 and set(headers.values()) == {("x", "y"), ("y", "x")}
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "a.csv").write_text("")
+    with pytest.raises(ValueError, match="no CSV header"):
+        TB.read_csv(spark, str(tmp_path / "empty"))
+
+
+def test_a_lost_try_of_an_upsert_leaves_no_folder(spark, store, tmp_path, monkeypatch):
+
+
+    schema = "student_id string, n int"
+    store.overwrite("t", spark.createDataFrame([("S1", 1)], schema), ["student_id"])
+    show, tries = TB.TableStore._show, []
+
+    def lose(self, name, folders, seen):
+        tries.append(name)
+        if len(tries) < 3:
+            raise TB.ChangedTable("another run was faster")
+        return show(self, name, folders, seen)
+
+    monkeypatch.setattr(TB.TableStore, "_show", lose)
+    df = spark.createDataFrame([("S1", 2)], schema)
+    store.upsert("t", df, df.schema, ["student_id"], ["student_id"])
+    assert [tuple(r) for r in store.read("t", df.schema).collect()] == [("S1", 2)]
+    assert len([d for d in (tmp_path / "tables" / "t").iterdir() if d.name.startswith("v=")]) == 2
