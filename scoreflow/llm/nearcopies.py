@@ -18,8 +18,8 @@ and linked with nothing. Two sets are linked if 100 * |intersection| >= ``percen
 5. Components of all links. Only texts of documents that share a bucket are ever sent, compressed.
 
 Defined cases: null and empty texts have n_shingles 0 and stay alone; documents with one set (copies,
-repeated rows) are linked; rows that share a doc_id get one component each by that id; empty tables
-give no rows; other columns are not read, and ``without_copies`` keeps them.
+repeated rows) are linked; rows that share a doc_id are one document: what is near to any of their texts is
+linked to it; rows with a null doc_id are not linked and get nulls; empty tables give no rows; other columns are not read, and ``without_copies`` keeps them.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from scoreflow.llm.common import hashed, mixed, rolling, stored, text_slices, wo
 from scoreflow.llm.components import Forest, components
 
 K = 4
+#: Row ids of texts that share an id with others start here.
+OWN_ID = 1 << 62
 PERCENT = 80
 PERMUTATIONS = 64
 BAND = 5
@@ -209,7 +211,24 @@ def _open_links(members: DataFrame, leading: DataFrame, found: DataFrame, texts:
 
 
 def near_copies(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
+    """Per document: doc_id, n_shingles, component_id, kept.
+
+    Rows of an id that occurs more than once take part under an id of their own text, tied to the shared id.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared_ids = stored(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").drop("n"))
+    if shared_ids.isEmpty():
+        return _copies(ids, k, percent, None)
+    # Above all real ids, so a component's least id is a real one.
+    own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(OWN_ID - 1)).bitwiseOR(F.lit(OWN_ID))
+    marked = ids.join(shared_ids.withColumn("shared", F.lit(True)), "doc_id", "left")
+    named = stored(marked.select(F.when(F.col("shared"), own).otherwise(F.col("doc_id")).alias("own"), "doc_id", "text", "shared"))
+    ties = stored(named.where("shared").select(F.col("own").alias("a"), F.col("doc_id").alias("b")).distinct())
+    return _copies(named.select(F.col("own").alias("doc_id"), "text"), k, percent, ties)
+
+
+def _copies(docs: DataFrame, k: int, percent: int, ties: DataFrame | None) -> DataFrame:
+    """The same where equal ids have equal texts. ``ties`` (a, b): id b that the row id a stands for."""
     least = percent / 100 - SLACK
     sets = stored(_signatures(docs, k))
     reps = sets.where("n_shingles > 0").groupBy(_set_key().alias("set")).agg(F.min("doc_id").alias("rep"))
@@ -238,10 +257,17 @@ def near_copies(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFram
     if not rest.isEmpty():
         edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = stored(components(edges.union(rest)))
+    if ties is not None:
+        edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        tied = member_of.join(ties, F.col("doc_id") == F.col("a")).select(F.col("rep").alias("a"), "b")
+        found = stored(components(edges.union(tied)))
     rows = sets.select("doc_id", "n_shingles").join(
         member_of.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left"
     )
     rows = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    if ties is not None:
+        back = ties.select(F.col("a").alias("doc_id"), F.col("b").alias("real"))
+        rows = rows.join(back, "doc_id", "left").withColumn("doc_id", F.coalesce("real", "doc_id"))
     root = F.coalesce("component", "rep", "doc_id")
     return rows.select("doc_id", "n_shingles", root.alias("component_id"), (root == F.col("doc_id")).alias("kept"))
 

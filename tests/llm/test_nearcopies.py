@@ -67,6 +67,26 @@ def test_repeated_rows_and_empty_table(spark):
     assert nearcopies.near_copies(C.documents(spark, [])).collect() == []
 
 
+def test_an_id_with_several_texts_is_one_document(spark):
+    """What is near to one of its texts and what is near to another are in one component, in any order of rows."""
+    a, b = C.prose(1, 80, 5000), C.prose(2, 80, 5000)
+    rows = [(5, a), (5, b), (6, a + " more"), (3, b + " more"), (9, b), (8, "alone here"), (5, None), (5, a)]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = nearcopies.near_copies(C.documents(spark, rows)).collect()
+        own = {(r.doc_id, r.component_id, r.kept) for r in got if r.n_shingles}
+        assert own == {(5, 3, False), (6, 3, False), (3, 3, True), (9, 3, False), (8, 8, True)}
+        assert len(got) == 8 and [(r.component_id, r.kept) for r in got if not r.n_shingles] == [(5, True)]
+    text = nearcopies.near_copies(C.documents(spark, [(7, a), (7, b), (1, "other")])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in text) == [(1, 1, True), (7, 7, True), (7, 7, True)]
+
+
+def test_null_ids(spark):
+    a = C.prose(1, 80, 5000)
+    got = nearcopies.near_copies(C.documents(spark, [(None, "some text"), (None, None), (2, a), (4, a)])).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in got) == [("2", 2), ("4", 2), ("None", None), ("None", None)]
+
+
 def test_one_of_each_group_stays(spark):
     text = C.prose(1, 60, 5000)
     docs = C.documents(spark, [(5, text), (4, text + " more"), (6, "other text"), (7, None)])
