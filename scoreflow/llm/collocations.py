@@ -38,8 +38,8 @@ from scoreflow.llm.common import BASE, mixed, power_of_two, shared, stored, text
 LEAST = 10
 BEST = 2000
 #: Entries of a task's tries, and words they may name, before subtrees are spilled.
-ENTRIES = 1_000_000
-WORDS = 1_000_000
+ENTRIES = 750_000
+WORDS = 750_000
 #: Entries of a container before it bursts.
 BURST = 1 << 14
 #: Bytes of text for each prefix partition.
@@ -86,7 +86,7 @@ class HatTrie:
         cuts = np.append(np.flatnonzero(np.diff(digits, prepend=-1)), len(keys)).tolist()
         before = node.size
         for lo, hi in zip(cuts, cuts[1:]):
-            digit, kid = int(digits[lo]), None
+            digit = int(digits[lo])
             kid = node.kids.get(digit)
             if kid is None:
                 kid = node.kids[digit] = {}
@@ -129,15 +129,23 @@ class HatTrie:
             yield from self._containers(kid)
 
 
+class Ids(dict):
+    """Numbers words from 1 as they are asked for; 0 is no word, -1 the end of a piece."""
+
+    def __missing__(self, word: bytes) -> int:
+        new = self[word] = len(self) - 1
+        return new
+
+
 class Names:
-    """Word ids of a task, their words and 64-bit hashes; id 0 is no word."""
+    """Word ids of a task, their words and 64-bit hashes."""
 
     def __init__(self):
-        self.ids, self.hashes = {b"": 0, b"\n": -1}, np.zeros(1, np.uint64)
+        self.ids, self.hashes = Ids({b"": 0, b"\n": -1}), np.zeros(1, np.uint64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         ids, n = self.ids, len(self.ids) - 1
-        out = np.fromiter((ids.setdefault(w, len(ids) - 1) for w in words), np.int64, len(words))
+        out = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
         if len(ids) - 1 > n:
             new = list(ids)[n + 1 :]
             self.hashes = np.append(self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)))
