@@ -17,6 +17,7 @@ from scoreflow.operators import (
     consolidation, dashboard, insights, keyed, listings, metrics, narrative, reports, roster, validation,
 )
 from scoreflow.plans import refresh as R
+from scoreflow.plans.asking import ask_in_rounds
 from scoreflow.sources import adapters as A
 from scoreflow.sources import intake
 from scoreflow.sources import tables as TB
@@ -452,6 +453,15 @@ def subject_summaries(d: Data) -> DataFrame:
     return d.summaries
 
 
+@stored_query
+def retry_rounds(d: Data) -> DataFrame:
+    """Subject prompts asked in rounds: how often each was asked, and the answer that ended it."""
+    prompts = narrative.subject_prompts(d.insights)
+    told, _ = ask_in_rounds(d.store, "rounds", prompts, A.subject_response, S.GROUP_KEY, S.SUMMARY_FIELDS)
+    asked = told.groupBy(S.GROUP_KEY).agg(F.count("*").alias("times_asked"))
+    return narrative.subject_summaries(prompts, told).join(asked, S.GROUP_KEY)
+
+
 @query
 def nested_to_text(d: Data) -> DataFrame:
     """Values of several JSON shapes built from the event's fields."""
@@ -805,3 +815,16 @@ def stream_refresh(d: Data) -> DataFrame:
     )
     stream.awaitTermination()
     return d.store.read(R.ANALYTICS, S.ANALYTICS)
+
+
+@query
+def stream_repeats(d: Data) -> DataFrame:
+    """Every record is sent twice, the second time after a restart of the stream, and counts once."""
+    folder = f"{d.store.root}/incoming"
+    for _ in range(2):
+        _event_records(d).write.mode("append").json(folder)
+        stream = start_intake(
+            d.store, record_stream(d.spark, folder), f"{d.store.root}/stream", d.run("s"), INTAKE_DAY, repeats_within="1 day"
+        )
+        stream.awaitTermination()
+    return d.store.read(R.ANALYTICS, S.ANALYTICS)

@@ -509,6 +509,8 @@ ORACLES: dict[str, str] = {
             FROM orders WHERE o_orderkey % 5 < 3 AND o_orderkey % 3 <> 0)
       WHERE place = 1""",
     "subject_summaries": with_(*TOLD) + "SELECT * FROM summaries",
+    "retry_rounds": with_(*TOLD)
+    + """SELECT *, CASE WHEN grade % 3 = 2 THEN 1 WHEN grade % 4 <> 0 THEN 2 ELSE 3 END::BIGINT AS times_asked FROM summaries""",
     "nested_to_text": """SELECT event_id, CAST(event_id AS VARCHAR) AS f_n, event_type AS f_s, '[' || user_id || ',"a"]' AS f_l,
       '{"p":' || replace(props, ' ', '') || '}' AS f_o, 'True' AS f_t, '' AS f_z, 'low' AS f_absent FROM events""",
     "consolidated_rows": with_(*DONE) + "SELECT * FROM consolidated",
@@ -651,4 +653,5 @@ ORACLES: dict[str, str] = {
     + "SELECT * FROM analytics",
     "intake_refresh": with_(NEW_RECORDS, analytics("records")) + "SELECT * FROM analytics",
     "stream_refresh": with_(NEW_RECORDS, analytics("records")) + "SELECT * FROM analytics",
+    "stream_repeats": with_(NEW_RECORDS, analytics("records")) + "SELECT * FROM analytics",
 }

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from scoreflow import schemas as S
 from scoreflow.operators import consolidation, insights, metrics, narrative, validation
+from scoreflow.plans.asking import ask_in_rounds
 from scoreflow.sources.intake import intake_attempts, require_rows
 from scoreflow.sources.tables import TableStore, as_text
 
@@ -38,7 +39,8 @@ MALFORMED = "malformed_records"
 class Run:
     """Settings of one refresh.
 
-    The models turn prompt rows into response rows: (key, attempt, response).
+    The models turn prompt rows into response rows: (key, attempt, response). With ``rounds`` they get the
+    number of the attempt with each prompt and answer that attempt only; what has no usable answer is asked again.
     """
 
     as_of: dt.datetime | dt.date | str
@@ -49,6 +51,7 @@ class Run:
     row_limit: int | None = None
     quarantine: bool = False
     strict_consolidation: bool = False
+    rounds: bool = False
     window: int = 2
     thresholds: S.Thresholds = S.DEFAULTS
 
@@ -139,7 +142,7 @@ def _consolidate(
     gathered = consolidation.gather_students(analytics, summaries)
     prompts = narrative.student_prompts(gathered, consolidation.ANALYTICS_FIELDS, consolidation.SUMMARY_COLUMNS)
     asked = store.scratch(run.work("student_prompts"), prompts)
-    told = store.scratch(run.work("student_responses"), run.student_model(asked))
+    told = _told(store, run, "student", asked, run.student_model, ["student_id"], S.CONSOLIDATED_FIELDS)
     done, _ = narrative.consolidated_rows(asked, told, run.provider)
     stamped = done.withColumn("run_ts", F.lit(str(run.as_of)).cast("timestamp"))
     store.append(HISTORY, stamped, S.HISTORY, run.run_id)
@@ -154,9 +157,18 @@ def _consolidate(
         raise RuntimeError("LLM failed to produce valid JSON")
 
 
+def _told(
+    store: TableStore, run: Run, name: str, asked: DataFrame, model: Model, keys: list[str], fields: list[str]
+) -> DataFrame:
+    """Stored responses of the model to stored prompts."""
+    if run.rounds:
+        return ask_in_rounds(store, run.work(name), asked, model, keys, fields)[0]
+    return store.scratch(run.work(f"{name}_responses"), model(asked))
+
+
 def _answered(store: TableStore, prompts: DataFrame, run: Run) -> DataFrame:
     asked = store.scratch(run.work("subject_prompts"), prompts)
-    told = store.scratch(run.work("subject_responses"), run.subject_model(asked))
+    told = _told(store, run, "subject", asked, run.subject_model, S.GROUP_KEY, S.SUMMARY_FIELDS)
     return narrative.subject_summaries(asked, told, run.provider)
 
 

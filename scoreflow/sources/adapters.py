@@ -186,8 +186,8 @@ def forms_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def subject_responses(prompts: DataFrame) -> DataFrame:
-    """Scripted model for tests: three tries per subject prompt, not all of them usable."""
+def _subject_tries() -> Column:
+    """Three scripted tries for a subject prompt, not all of them usable."""
     told = F.format_string(
         '{"performance_summary": "%s in grade %s", "improvement_plan": "Plan for %s", '
         '"motivation_note": "Keep going", "confidence_note": "medium"}',
@@ -201,7 +201,17 @@ def subject_responses(prompts: DataFrame) -> DataFrame:
     )
     second = F.when(F.col("grade") % 4 == 0, "still nothing").when(F.col("grade") % 4 == 1, short).otherwise(told)
     third = F.when(F.col("grade") % 12 == 0, "").otherwise(told)
-    tries = F.posexplode(F.array(first, second, third)).alias("place", "response")
+    return F.array(first, second, third)
+
+
+def subject_response(asked: DataFrame) -> DataFrame:
+    """Scripted model for tests: the try of the prompt's ``attempt``."""
+    return asked.select("student_id", "grade", "subject", F.get(_subject_tries(), F.col("attempt") - 1).alias("response"))
+
+
+def subject_responses(prompts: DataFrame) -> DataFrame:
+    """Scripted model for tests: all three tries of each subject prompt."""
+    tries = F.posexplode(_subject_tries()).alias("place", "response")
     return prompts.select("student_id", "grade", "subject", tries).select(
         "student_id", "grade", "subject", (F.col("place") + 1).alias("attempt"), "response"
     )

@@ -98,6 +98,13 @@ def part_of(student_id: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(clean_id(student_id)), F.lit(parts)).cast("int")
 
 
+#: Trimmed id of a row in tables split by student: lookups compare it, so Parquet's filters can skip rows.
+TRIMMED = "_trimmed_id"
+#: Columns of the files that are no columns of the table.
+HIDDEN = ("v", "part", TRIMMED)
+BLOOM = {f"parquet.bloom.filter.enabled#{TRIMMED}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
+
 class ChangedTable(RuntimeError):
     """Another run has published a version of the table since it was read."""
 
@@ -176,7 +183,8 @@ class TableStore:
         else:
             # Rebalancing groups the rows of a part and splits a part that is too large.
             placed = df.withColumn("part", part_of(F.col("student_id"), self.parts)).hint("rebalance", "part")
-            writer = placed.sortWithinPartitions("part", *sort_by).write.partitionBy("part")
+            placed = placed.withColumn(TRIMMED, clean_id(F.col("student_id")))
+            writer = placed.sortWithinPartitions("part", TRIMMED, *sort_by).write.options(**BLOOM).partitionBy("part")
         writer.parquet(self._folder(name, folder))
 
     def stage(self, name: str, df: DataFrame, sort_by: list[str] | None = None, label: str | None = None) -> str:
@@ -245,7 +253,7 @@ class TableStore:
         """Rewrite an appended table as one version; its batch labels are lost."""
         seen, folders = self._current(name)
         if folders:
-            version = self.stage(name, self._load(name, folders, schema).drop("v", "part"), sort_by)
+            version = self.stage(name, self._load(name, folders, schema).drop(*HIDDEN), sort_by)
             self._show(name, self._part_folders(name, version), seen)
 
     # --- reads
@@ -262,14 +270,14 @@ class TableStore:
 
     def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         """All rows; an absent table is an empty frame of the given schema."""
-        return self._load(name, self._folders(name), schema).drop("v", "part")
+        return self._load(name, self._folders(name), schema).drop(*HIDDEN)
 
     def read_version(self, name: str, version: str, schema: T.StructType) -> DataFrame:
-        return self._load(name, [version], schema).drop("v", "part")
+        return self._load(name, [version], schema).drop(*HIDDEN)
 
     def read_batch(self, name: str, batch: str, schema: T.StructType) -> DataFrame:
         own = [f for f in self._folders(name) if f.startswith(f"v={batch}~")]
-        return self._load(name, own, schema).drop("v", "part")
+        return self._load(name, own, schema).drop(*HIDDEN)
 
     def parts_of(self, ids: DataFrame) -> list[int]:
         """Parts that hold the given students; never more than ``parts`` numbers."""
@@ -278,14 +286,22 @@ class TableStore:
     def read_parts(self, name: str, schema: T.StructType, parts: list[int]) -> DataFrame:
         """Rows of the given parts; the other parts are pruned before the scan."""
         rows = self._load(name, self._folders(name), schema)
-        return (rows.filter(F.col("part").isin(parts)) if "part" in rows.columns else rows).drop("v", "part")
+        return (rows.filter(F.col("part").isin(parts)) if "part" in rows.columns else rows).drop(*HIDDEN)
 
     def read_student(self, name: str, schema: T.StructType, student_id: str) -> DataFrame:
-        """Rows of one student (id compared trimmed)."""
+        """Rows of one student (id compared trimmed).
+
+        The rows of a file are sorted by the trimmed id, which has a bloom filter: besides the part, the scan reads
+        only the row groups and pages that may hold the student.
+        """
         wanted = student_id.strip()
         one = self.spark.range(1).select(F.lit(wanted).alias("student_id"))
-        rows = self.read_parts(name, schema, self.parts_of(one))
-        return rows.filter(clean_id(F.col("student_id")) == wanted)
+        rows = self._load(name, self._folders(name), T.StructType([*schema.fields, T.StructField(TRIMMED, T.StringType())]))
+        if "part" in rows.columns:
+            own = rows.filter(F.col("part").isin(self.parts_of(one)) & (F.col(TRIMMED) == wanted))
+        else:
+            own = rows.filter(clean_id(F.col("student_id")) == wanted)
+        return own.drop(*HIDDEN)
 
     # --- writes
 
@@ -328,7 +344,7 @@ class TableStore:
         def replace() -> None:
             seen, folders = self._current(name)
             hit = [f for f in folders if f.split("/")[-1] in touched or "/" not in f]
-            old = self._load(name, hit, schema).drop("v", "part")
+            old = self._load(name, hit, schema).drop(*HIDDEN)
             version = self.stage(name, without_keys(old, leaving, keys).unionByName(typed_like(new, keys, old)), sort_by)
             try:
                 self._show(name, [*(f for f in folders if f not in hit), *self._part_folders(name, version)], seen)

@@ -16,6 +16,8 @@ from scoreflow.schemas import MALFORMED as MALFORMED_COLUMNS
 from scoreflow.sources.tables import TableStore
 
 BROKEN = "_malformed"
+FORM = "_form"
+ARRIVED = "_arrived"
 
 
 def _with_broken(reader):
@@ -45,6 +47,20 @@ def split_records(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def first_seen(rows: DataFrame, within: str) -> DataFrame:
+    """A stream's rows without repeats of a record that came at most ``within`` earlier, e.g. "7 days".
+
+    The state store keeps a digest of each record for that time, counted from its first arrival, over batches and
+    restarts from the same checkpoint. Time is that of the batch, so no record is late. Two malformed
+    lines are repeats only within one file.
+    """
+    names = [c for c in rows.columns if c != "_file"]
+    file = F.when(F.col(BROKEN).isNotNull(), F.col("_file")) if BROKEN in names and "_file" in rows.columns else F.lit(None)
+    digest = F.sha2(F.to_json(F.struct(*names, file.cast("string").alias("_of"))), 256)
+    marked = rows.withColumn(FORM, digest).withColumn(ARRIVED, F.current_timestamp()).withWatermark(ARRIVED, within)
+    return marked.dropDuplicatesWithinWatermark([FORM]).drop(FORM, ARRIVED)
+
+
 def start_intake(
     store: TableStore,
     records: DataFrame,
@@ -52,12 +68,16 @@ def start_intake(
     run: Run,
     exam_date,
     refresh: Callable = intake_refresh,
+    repeats_within: str | None = None,
 ) -> StreamingQuery:
     """Process what has arrived and stop.
 
     A replayed batch carries the same id, so it replaces its own rows. Malformed lines go to a
-    table of their own with their file, and the rest of the batch goes on.
+    table of their own with their file, and the rest of the batch goes on. With ``repeats_within`` a record
+    that is sent again within that time counts once (see ``first_seen``); a checkpoint is used with one setting.
     """
+    if repeats_within:
+        records = first_seen(records, repeats_within)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         own = replace(run, run_id=f"{run.run_id}-{batch_id}")

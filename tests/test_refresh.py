@@ -1,14 +1,16 @@
 import datetime as dt
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import attempts, table
 from scoreflow import schemas as S
-from scoreflow.operators import metrics
+from scoreflow.operators import metrics, narrative
 from scoreflow.plans import refresh as R
+from scoreflow.plans.asking import ask_in_rounds
 from scoreflow.sources import adapters as A
 from scoreflow.sources.tables import TableStore, as_text
 from scoreflow.streaming.intake_stream import record_stream, start_intake
@@ -321,3 +323,68 @@ def test_valid_rows_are_written_once(spark, store, tmp_path):
     with pytest.raises(ValueError, match="Duplicate"):
         R.full_refresh(store, data.union(data.limit(1)), run("r2"))
     assert [d.name for d in (tmp_path / "tables" / R.VALIDATED).iterdir() if d.name.startswith("v=")] == versions
+
+
+def test_rounds_ask_only_what_has_no_usable_answer(spark, store):
+    """Counts of prompts asked in each round, and the summaries of the table form."""
+    data = raw(spark, 200)
+    R.full_refresh(store, data, run("r1"))
+    prompts = narrative.subject_prompts(store.read(R.INSIGHTS, S.INSIGHTS))
+    asked = []
+
+    def model(rows):
+        asked.append(sorted((r.student_id, r.subject) for r in rows.collect()))
+        return A.subject_response(rows)
+
+    told, counts = ask_in_rounds(store, "rounds", prompts, model, S.GROUP_KEY, S.SUMMARY_FIELDS)
+    grades = {(r.student_id, r.subject): r.grade for r in prompts.collect()}
+    second = sorted(k for k, g in grades.items() if g % 3 != 2)
+    third = [k for k in second if grades[k] % 4 == 0]
+    assert asked == [sorted(grades), second, third] and counts == [len(grades), len(second), len(third)]
+    whole = narrative.subject_summaries(prompts, A.subject_responses(prompts))
+    assert table(narrative.subject_summaries(prompts, told)) == table(whole)
+    # All answered in the first round: nothing is asked again.
+    easy = prompts.filter("grade % 3 = 2")
+    assert ask_in_rounds(store, "easy", easy, A.subject_response, S.GROUP_KEY, S.SUMMARY_FIELDS)[1] == [easy.count()]
+    assert ask_in_rounds(store, "none", prompts.limit(0), A.subject_response, S.GROUP_KEY, S.SUMMARY_FIELDS)[1] == [0]
+
+
+def test_refresh_in_rounds_equals_the_table_form(spark, tmp_path):
+    data = raw(spark)
+    whole, rounds = TableStore(spark, f"{tmp_path}/a", 4), TableStore(spark, f"{tmp_path}/b", 4)
+    R.full_refresh(whole, data, run("r1"))
+    R.full_refresh(rounds, data, R.Run("2030-01-01", A.subject_response, A.student_responses, "r1", rounds=True))
+    assert state(rounds) == state(whole)
+
+
+def test_repeated_records_of_a_stream_count_once(spark, store, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def send(name, *scores, student="S1", tail=""):
+        subject = {"name": "Math", "scores": list(scores), "max_score": 100}
+        text = json.dumps({"student_id": student, "name": "N", "grade": 5, "subjects": [subject]})
+        (folder / name).write_text(f"{text}\n{tail}")
+        records = record_stream(spark, str(folder))
+        start_intake(store, records, f"{tmp_path}/check", run("s"), "2024-06-01", repeats_within="1 hour").awaitTermination()
+        return counts(store)
+
+    assert send("a.json", 50, 60, tail="broken\nbroken\n") == {("S1", "Math"): 2}
+    assert send("b.json", 50, 60, tail="broken\n") == {("S1", "Math"): 2}  # after a restart
+    assert send("c.json", 50, 61) == {("S1", "Math"): 4}
+    assert send("d.json", 50, 60, student="S2") == {("S1", "Math"): 4, ("S2", "Math"): 2}
+    assert store.read(R.RAW, S.RAW).count() == 6
+    assert sorted(r.file.split("/")[-1] for r in store.read(R.MALFORMED, S.MALFORMED).collect()) == ["a.json", "b.json"]
+
+
+def test_memory_of_repeats_expires(spark, store, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i, score in enumerate((50, 60, 50)):
+        subject = {"name": "Math", "scores": [score], "max_score": 100}
+        record = {"student_id": "S1", "name": "N", "grade": 5, "subjects": [subject]}
+        (folder / f"{i}.json").write_text(json.dumps(record))
+        records = record_stream(spark, str(folder))
+        start_intake(store, records, f"{tmp_path}/check", run("s"), "2024-06-01", repeats_within="1 second").awaitTermination()
+        time.sleep(2)
+    assert counts(store) == {("S1", "Math"): 3}

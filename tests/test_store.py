@@ -2,6 +2,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helpers import attempts, table
 from scoreflow import schemas as S
@@ -60,6 +61,44 @@ def test_lookup_prunes_parts(spark, store):
     assert "PartitionFilters: [isnotnull(part" in plan or "part#" in plan.split("PartitionFilters")[1]
 
 
+def scanned_rows(df):
+    """Rows that the file scan of a frame gave out when it was run."""
+    df.collect()
+    plan, scans = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            scans.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return sum(scans)
+
+
+def test_lookup_reads_few_rows_of_a_part(spark, tmp_path):
+    store = TB.TableStore(spark, str(tmp_path / "t"), parts=1)
+    data = spark.range(60000).select(
+        F.concat(F.lit(" S"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit(" ")).alias("student_id"), F.col("id").alias("row_index"),
+        F.lit("text").alias("error"),
+    )
+    store.overwrite("t", data, ["student_id"])
+    found = store.read_student("t", S.REJECTS, "S012345 ")
+    assert [r.row_index for r in found.collect()] == [12345] and found.columns == S.REJECTS.names
+    assert scanned_rows(found) == 20000  # one page of the sorted file
+    assert store.read_student("t", S.REJECTS, "S099999").collect() == [] and scanned_rows(store.read_student("t", S.REJECTS, "S012345x")) == 0
+    assert sorted(store.read("t").columns) == sorted(S.REJECTS.names)
+
+
+def test_lookup_in_a_table_not_split_by_student(spark, store):
+    store.overwrite("t", rows(spark, "S1", " S7 ").select("student_id", "score"))
+    schema = S.VALIDATED["student_id"], S.VALIDATED["score"]
+    assert [r.student_id for r in store.read_student("t", T.StructType(list(schema)), "S7").collect()] == [" S7 "]
+
+
 def test_sanitized_numbers(spark, store):
     bad = rows(spark, "S1").withColumn("score", F.lit(float("nan"))).withColumn("max_score", F.lit(float("inf")))
     store.overwrite("t", bad)
