@@ -4,10 +4,12 @@ Words are maximal runs of ASCII digits, letters (A-Z lower-cased) and non-ASCII
 window is ``n`` consecutive words of a benchmark item; an item of fewer words, but not none, is one
 window. A document word inside an occurrence of a window is hit.
 
-The n-gram set is broadcast while the benchmark has at most ``limit`` windows; beyond that the
-windows of both sides meet in a shuffle join on 128 hash bits, with the same result.
+The n-gram set is broadcast while the benchmark has at most ``limit`` windows; beyond that a bitmap of fixed
+size (16 MB) of their hashes is, and only the text windows that it lets pass are shuffled, to a join on their words.
+Both ways compare words, not hashes, and give the same result.
 
-Defined cases: a null or empty text has no words and no hits; an item without words is ignored;
+Defined cases: a null or empty text has no words and no hits; an item without words is ignored, one without an id
+has the empty id;
 items that share a window all count; repeated rows are judged one by one; empty tables give empty
 or clean results; other columns are not read, and ``decontaminate`` keeps them.
 """
@@ -23,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreflow.llm.common import ALNUM, hashed, mixed, rolling, shared, slices, texts_of, word_hashes
+from scoreflow.llm.common import ALNUM, hashed, mixed, rolling, shared, slices, stored, text_slices, texts_of, word_hashes
 
 #: Benchmark windows that are broadcast at most (about 200 bytes each).
 BROADCAST_WINDOWS = 200_000
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 FILTER_BITS = 20
+BITMAP_BITS = 27
 HITS = "doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
 
 
@@ -93,7 +96,7 @@ def scanned(grams: NgramSet, texts: list[bytes | None], cache) -> Iterator[tuple
 
 
 def _bench(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
 
 
 def _windows_at_most(benchmark: DataFrame) -> int:
@@ -102,7 +105,7 @@ def _windows_at_most(benchmark: DataFrame) -> int:
 
 
 def gram_set(benchmark: DataFrame, n: int = 10) -> NgramSet:
-    return NgramSet([(r.item or "", r.text.encode()) for r in _bench(benchmark).collect()], n)
+    return NgramSet([(r.item, r.text.encode()) for r in _bench(benchmark).collect()], n)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, limit: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -129,27 +132,69 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, limit: int
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, HITS)
 
 
-def _windows(rows: DataFrame, key: str, widths: list[int], n: int | None) -> DataFrame:
-    """(key, first, width, two hashes) of every window; ``n``: item windows instead of all ``widths``."""
-    other = np.uint64(0xC2B2AE3D27D4EB4F | 5)
+def _item_windows(benchmark: DataFrame, n: int) -> DataFrame:
+    """(words, width, place, item) of every window of the items; ``place``: that of its hash in the bitmap, from 1."""
 
     def emit(batches):
         cache = word_hashes()
         for batch in batches:
-            keys, texts = batch.column(key).to_pylist(), texts_of(batch)
-            for k, text in zip(keys, texts):
-                words = hashed((text or b"").translate(ALNUM).split(), cache)
-                for width in ([min(n, len(words))] if n else widths):
-                    h = rolling(words, width) if width else words[:0]
-                    if len(h):
-                        g = rolling(words, width, other)
+            items = batch.column("item")
+            for lo, hi, texts in text_slices(batch):
+                for i, text in zip(range(lo, hi), texts):
+                    words = text.translate(ALNUM).split()
+                    width = min(n, len(words))
+                    if not width:
+                        continue
+                    at = mixed(rolling(hashed(words, cache), width)) >> np.uint64(64 - BITMAP_BITS)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([b" ".join(words[j : j + width]) for j in range(len(at))], pa.binary()),
+                         pa.array(np.full(len(at), width)), pa.array(at.astype(np.int64) + 1),
+                         items.take(pa.array(np.full(len(at), i)))],
+                        ["words", "width", "place", "item"],
+                    )
+
+    return _bench(benchmark).mapInArrow(emit, "words binary, width long, place long, item string")
+
+
+def _bitmap(own: DataFrame) -> bytes:
+    """Bitmap of the windows' hashes: at most 2 ** BITMAP_BITS / 32768 blocks of 4 KB."""
+    blocks = own.groupBy(F.bitmap_bucket_number("place").alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    )
+    out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+    for r in blocks.collect():
+        out[(r.block - 1) * 4096 : r.block * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out.tobytes()
+
+
+def _candidates(rows: DataFrame, widths: list[int], bitmap: bytes) -> DataFrame:
+    """(key, first, width, words) of the text windows whose hash is in the bitmap."""
+    sent = shared(rows.sparkSession, bitmap)
+
+    def emit(batches):
+        bits, cache = np.frombuffer(sent(), np.uint8), word_hashes()
+        for batch in batches:
+            keys = batch.column("key")
+            for lo, _, texts in text_slices(batch):
+                words = [(t or b"").translate(ALNUM).split() for t in texts]
+                starts = np.concatenate([[0], np.cumsum([len(x) for x in words])])
+                flat = [w for x in words for w in x]
+                hashes = hashed(flat, cache)
+                for width in widths:
+                    place = mixed(rolling(hashes, width)) >> np.uint64(64 - BITMAP_BITS)
+                    seen = bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1
+                    at = np.flatnonzero(seen)
+                    row = np.searchsorted(starts, at, side="right") - 1
+                    whole = at + width <= starts[row + 1]
+                    at, row = at[whole], row[whole]
+                    if len(at):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([k] * len(h), pa.string()), pa.array(np.arange(len(h))),
-                             pa.array(np.full(len(h), width)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))],
-                            ["key", "first", "width", "h", "g"],
+                            [keys.take(pa.array(lo + row)), pa.array(at - starts[row]), pa.array(np.full(len(at), width)),
+                             pa.array([b" ".join(flat[i : i + width]) for i in at.tolist()], pa.binary())],
+                            ["key", "first", "width", "words"],
                         )
 
-    return rows.select(key, "text").mapInArrow(emit, "key string, first long, width long, h long, g long")
+    return rows.select("key", "text").mapInArrow(emit, "key string, first long, width long, words binary")
 
 
 def _row_key() -> Column:
@@ -159,15 +204,15 @@ def _row_key() -> Column:
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    """(key, places, items) of the rows that are hit, by a shuffle join."""
+    """(key, places, items) of the rows that are hit: candidates of a bitmap, verified by a join on the words."""
     rows = docs.select(_row_key().alias("key"), "text")
-    own = _windows(_bench(benchmark), "item", [], n)
-    own = own.select("width", "h", "g", F.col("key").alias("item")).distinct()
-    widths = [r.width for r in own.select("width").distinct().collect()]
-    hits = _windows(rows, "key", widths, None).join(own, ["width", "h", "g"])
-    return hits.groupBy("key").agg(
-        F.collect_set(F.struct("first", "width")).alias("places"), F.array_sort(F.collect_set("item")).alias("items")
-    )
+    own = stored(_item_windows(benchmark, n))
+    # At most ``n`` widths.
+    widths = sorted(r.width for r in own.select("width").distinct().collect())
+    windows = stored(own.groupBy("words").agg(F.collect_set("item").alias("own")))
+    hits = _candidates(rows, widths, _bitmap(own)).join(windows, "words")
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("own"))))
+    return hits.groupBy("key").agg(F.collect_set(F.struct("first", "width")).alias("places"), items.alias("items"))
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:

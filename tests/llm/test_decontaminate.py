@@ -84,3 +84,18 @@ def test_hits_and_share_are_those_of_the_input(spark, monkeypatch, windows):
             (3, " ".join([f"part{i}" for i in range(3, 7)] + ["e"] * 6))]
     got = decontaminate.decontaminate(C.documents(spark, rows + rows[:1]), bench).collect()
     assert sorted((r.doc_id, r.text.split()) for r in got) == [(1, ["c"] * 30 + ["d"] * 30)] * 2 + [(3, ["e"] * 6)]
+
+
+def test_broadcast_and_join_agree_on_odd_ids_and_hashes(spark, monkeypatch):
+    """Null ids of items and documents, one id with two texts, and a bitmap so small that most windows pass it."""
+    monkeypatch.setattr(decontaminate, "BITMAP_BITS", 15)
+    rows, items = cases()
+    rows += [(None, items[3][1]), (None, "clean"), (5, items[12][1]), (5, C.prose(7, 40, 500))]
+    bench = spark.createDataFrame(items + [(None, "no name here"), (None, items[3][1])], "item_id long, text string")
+    docs = C.documents(spark, rows + [(200, "there is no name here")])
+    got = [
+        sorted((str(r.doc_id), r.n_words, str(r.spans), r["items"]) for r in decontaminate.contamination(docs, bench, limit=x).collect())
+        for x in (decontaminate.BROADCAST_WINDOWS, 0)
+    ]
+    assert got[0] == got[1]
+    assert [g[3] for g in got[0] if g[0] == "200"] == [[""]] and sorted(["", "3"]) in [g[3] for g in got[0] if g[0] == "None"]
