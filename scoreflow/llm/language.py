@@ -5,32 +5,34 @@ filters of several widths, each with max pooling over the window and a rectifier
 the shares of the languages. A document's shares are the mean over all its windows, weighted by their bytes.
 
 The network is fitted on a bounded sample: of each language ``PER_LANGUAGE`` documents at most, chosen by a
-hash of the id, and ``WINDOWS`` windows of each, spread over the whole text. The ``LANGUAGES`` most frequent
-tags are learned. For use, embedding and filters are folded into tables indexed by a byte pair or byte.
+hash of the id (fewer where all would be more than ``SAMPLE``), and ``WINDOWS`` windows of each, spread over the whole
+text. Every tag is learned; more than ``LANGUAGES`` tags raise. For use, embedding and filters are folded into tables indexed by a byte pair or byte.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0; repeated rows are judged one by one;
+Defined cases: a text that is null or has no letter (a character of a Unicode category L) is ``und`` with score 0; repeated rows are judged one by one;
 without any labelled document every text is ``und``; empty tables give no rows. Other columns are not
 read, and ``accepted`` keeps them.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from scoreflow.functions.rows import top_rows
 from scoreflow.llm.common import shared, text_slices, texts_of
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDED = 8
-LANGUAGES = 256
+#: Tags that the network can tell apart; more of them raise.
+LANGUAGES = 8192
+#: Documents of a language, and of all languages together, in the sample.
 PER_LANGUAGE = 1500
+SAMPLE = 400_000
 WINDOWS = 4
 EPOCHS = 6
 RATE = 0.004
@@ -38,17 +40,18 @@ SEED = 11
 UNKNOWN = "und"
 #: Least score of an accepted document.
 LEAST = 0.3
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 CHUNK = 64
 
 
 def _sampled(docs: DataFrame, labelled: Column) -> DataFrame:
     """Windows (lang, window) of the sample."""
     tags = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    common = tags.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = tags.join(F.broadcast(common.select("lang")), "lang").withColumn("n", F.row_number().over(order))
-    chosen = chosen.where(F.col("n") <= PER_LANGUAGE).select("doc_id", "lang").distinct()
+    languages = tags.select("lang").distinct().count()
+    if languages > LANGUAGES:
+        raise ValueError(f"{languages} language tags, more than {LANGUAGES}")
+    quota = min(PER_LANGUAGE, SAMPLE // max(languages, 1))
+    chosen = top_rows(tags, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], quota, "n").select("doc_id", "lang").distinct()
 
     def cut(batches):
         for batch in batches:
@@ -63,7 +66,7 @@ def _sampled(docs: DataFrame, labelled: Column) -> DataFrame:
                     windows.append(text[at : at + size])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.binary())], ["lang", "window"])
 
-    # At most LANGUAGES * PER_LANGUAGE ids.
+    # At most SAMPLE ids.
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"])
     key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("key")
     return rows.select("lang", "text", key).mapInArrow(cut, "lang string, window binary")

@@ -92,3 +92,27 @@ def test_nothing_to_learn_from(spark):
     model = L.fitted(docs, F.lit(True))
     assert model is None and L.identified(docs, model).first().lang_pred == "und"
     assert L.identified(docs.limit(0), model).collect() == []
+
+
+def test_digits_of_other_kinds_are_no_letters(spark, model):
+    rows = [(1, "² ½ ٣ _ Ⅳ"), (2, "é"), (3, "ª"), (4, "12 я")]
+    assert {r.doc_id: r.lang_pred == "und" for r in L.identified(C.documents(spark, rows), model).collect()} == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_every_tag_is_learned_and_the_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i % 300}") for i in range(1200)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(L, "SAMPLE", 600)
+    langs = [r.lang for r in L._sampled(docs, F.lit(True)).collect()]
+    assert len(langs) == 600 and len(set(langs)) == 300
+    monkeypatch.setattr(L, "LANGUAGES", 299)
+    with pytest.raises(ValueError, match="300 language tags"):
+        L.fitted(docs, F.lit(True))
+
+
+def test_sample_of_a_hot_language_is_taken_in_two_levels(spark):
+    docs = spark.range(10000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("en").alias("lang"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    want = {r.doc_id for r in docs.orderBy(*order).limit(L.PER_LANGUAGE).collect()}
+    got = L.top_rows(docs.select("doc_id", "lang"), ["lang"], order, L.PER_LANGUAGE, "n")
+    assert {r.doc_id for r in got.collect()} == want
+    assert "_salt" in got._jdf.queryExecution().optimizedPlan().toString()
