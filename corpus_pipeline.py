@@ -2,7 +2,7 @@
 
 1. Language ID: a network learned from the stage's own rows that carry a tag; rows without a letter, or
    whose language is unsure, go.
-2. MinHash near-dedup: the document of smallest id of each group of near copies stays.
+2. MinHash near-dedup: the document of smallest id of each group of near copies (shingles of five words) stays.
 3. Benchmark decontamination: hit spans are cut out; a document that is mostly benchmark text goes.
 4. Secret scans: every span found is masked.
 5. Packing: token pieces with their sequence and offset.
@@ -26,7 +26,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearcopies.without_copies(docs)
+    return nearcopies.without_copies(docs, k=5)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ def shingles(text, k=4):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
 
 
-def brute(rows):
-    sets = {d: shingles(t) for d, t in rows}
+def brute(rows, k=4):
+    sets = {d: shingles(t, k) for d, t in rows}
     ids = sorted(sets)
     links = []
     for i, a in enumerate(ids):

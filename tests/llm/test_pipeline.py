@@ -23,7 +23,7 @@ def test_each_stage_against_brute_force(spark):
     assert all(s.columns == columns for s in steps[:-1])
     rows = {k: sorted((r.doc_id, r.text) for r in s.collect()) for k, s in enumerate(steps[:-1])}
     assert len(rows[1]) >= 0.99 * len(rows[0]) and set(rows[1]) <= set(rows[0])
-    kept = near_copies(rows[1])
+    kept = near_copies(rows[1], k=5)
     assert rows[2] == [r for r in rows[1] if kept[r[0]][2]]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     after, before = dict(rows[3]), dict(rows[2])
