@@ -132,12 +132,15 @@ def base_status(analytics: DataFrame, summaries: DataFrame) -> str:
 
 def numerical_performance(analytics: DataFrame) -> DataFrame:
     """Per student the five performance fields of each subject, sorted by subject."""
+    return _performance(analytics.withColumn("student_id", clean_id(F.col("student_id"))))
+
+
+def _performance(analytics: DataFrame) -> DataFrame:
+    """The same for rows whose ids are trimmed."""
     rest = [c for c in PERFORMANCE if c != "subject"]
     rows = F.array_sort(F.collect_list(F.struct("subject", "grade", *rest)))
     trimmed = F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in PERFORMANCE]))
-    return analytics.groupBy(clean_id(F.col("student_id")).alias("student_id")).agg(
-        trimmed.alias("numerical_performance")
-    )
+    return analytics.groupBy("student_id").agg(trimmed.alias("numerical_performance"))
 
 
 def report_rows(
@@ -153,7 +156,7 @@ def report_rows(
     )
     analysed = ids_of(analytics)
     return (
-        _explained(summaries.drop("grade", "llm_provider"), insights)
+        trimmed_explained(summaries.drop("grade", "llm_provider"), insights)
         .join(overall, "student_id")
         .join(analysed, "student_id", "left_semi")
         .join(meta, "student_id", "left")
@@ -161,7 +164,7 @@ def report_rows(
     )
 
 
-def _explained(summaries: DataFrame, insights: DataFrame) -> DataFrame:
+def trimmed_explained(summaries: DataFrame, insights: DataFrame) -> DataFrame:
     """Summaries with explanations, ids of both sides trimmed."""
     trimmed = (df.withColumn("student_id", clean_id(F.col("student_id"))) for df in (summaries, insights))
     return explained_summaries(*trimmed)
@@ -196,9 +199,17 @@ def report_documents(
     Every input is reduced per student on its own, so the joins of the reduced frames
     reuse the partitioning by student.
     """
+    rows = analytics.withColumn("student_id", clean_id(F.col("student_id")))
+    told = trimmed_explained(summaries, insights)
+    return documents(student_metadata(validated), rows, told, first_consolidated(consolidated))
+
+
+def documents(meta: DataFrame, analytics: DataFrame, told: DataFrame, overall: DataFrame) -> DataFrame:
+    """Reports from frames with trimmed ids: metadata and consolidated row (one for each student), analytics,
+    summaries with explanations. Inputs partitioned by student alone are not shuffled.
+    """
     texts = [c for c in SUMMARIES.names if c not in ("student_id", "grade", "subject")]
-    rows = _explained(summaries, insights)
-    per_subject = rows.select(
+    per_subject = told.select(
         "student_id", "grade", "subject",
         *[normalize_cell(F.col(c)).alias(c) for c in texts],
         _explanation().alias("explainability"),
@@ -217,11 +228,10 @@ def report_documents(
         ),
     )
     joined = (
-        first_consolidated(consolidated)
-        .withColumnRenamed("grade", "_grade")
-        .join(numerical_performance(analytics), "student_id")
+        overall.withColumnRenamed("grade", "_grade")
+        .join(_performance(analytics), "student_id")
         .join(summaries_json, "student_id")
-        .join(student_metadata(validated), "student_id", "left")
+        .join(meta, "student_id", "left")
     )
     head = F.to_json(
         F.struct(

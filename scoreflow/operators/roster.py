@@ -27,18 +27,24 @@ def roster_trend() -> Column:
 
 def class_roster(analytics: DataFrame, validated: DataFrame, consolidated: DataFrame) -> DataFrame:
     """Name, first grade, average, worst risk, trend, subjects and processed flag per student."""
-    rows = analytics.withColumn("student_id", clean_id(F.col("student_id")))
-    per_student = rows.groupBy("student_id").agg(
+    rows = per_student(analytics.withColumn("student_id", clean_id(F.col("student_id"))))
+    return listed(processed_flags(rows.join(first_names(validated), "student_id", "left"), consolidated))
+
+
+def per_student(rows: DataFrame) -> DataFrame:
+    """What the roster takes from analytics, ids trimmed."""
+    return rows.groupBy("student_id").agg(
         F.coalesce(F.min("grade").cast("string"), F.lit(NO_RISK)).alias("grade"),
         F.coalesce(round_tenth(steady_mean(as_number(rows, "average_score"))), F.lit(0.0)).alias("overall_avg"),
         worst_risk(F.col("risk_flag")).alias("risk_level"),
         roster_trend().alias("trend"),
         F.array_sort(F.collect_set(strip(F.col("subject")))).alias("subjects"),
     )
-    named = per_student.join(first_names(validated), "student_id", "left").withColumn(
-        "name", F.coalesce("name", F.lit(NO_RISK))
-    )
-    return processed_flags(named, consolidated).select(
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """The columns of the roster."""
+    return rows.withColumn("name", F.coalesce("name", F.lit(NO_RISK))).select(
         "student_id", "name", "grade", "overall_avg", "risk_level", "trend", "subjects", "processed"
     )
 

@@ -17,6 +17,7 @@ from scoreflow.operators import (
     consolidation, dashboard, insights, keyed, listings, metrics, narrative, reports, roster, validation,
 )
 from scoreflow.plans import refresh as R
+from scoreflow.plans import serving
 from scoreflow.plans.asking import ask_in_rounds
 from scoreflow.sources import adapters as A
 from scoreflow.sources import intake
@@ -579,6 +580,17 @@ def report_documents(d: Data) -> DataFrame:
     return reports.report_documents(d.attempts, d.analytics, d.insights, d.summaries, d.consolidated)
 
 
+def _served(d: Data) -> serving.Served:
+    """The report tables of the scratch store, laid out by student."""
+    tables = d.attempts, d.analytics, d.insights, d.summaries, d.consolidated
+    return serving.publish(d.spark, f"{scratch_root(d.spark)}/served", d.store.parts, *tables)
+
+
+@stored_query
+def served_documents(d: Data) -> DataFrame:
+    return _served(d).report_documents()
+
+
 @query
 def live_reports(d: Data) -> DataFrame:
     return reports.live_reports(d.consolidated, d.attempts)
