@@ -700,9 +700,14 @@ def class_roster(d: Data) -> DataFrame:
     return d.roster.withColumn("subjects", F.array_join("subjects", ","))
 
 
+@stored_query
+def served_roster(d: Data) -> DataFrame:
+    return _served(d).class_roster().withColumn("subjects", F.array_join("subjects", ","))
+
+
 @stored_query
 def class_kpis(d: Data) -> DataFrame:
-    return roster.class_indicators(d.roster, d.analytics).withColumn("subjects", F.array_join("subjects", ","))
+    return roster.class_indicators(d.roster, d.analytics, list_subjects=False)
 
 
 @query

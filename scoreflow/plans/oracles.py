@@ -610,11 +610,10 @@ ORACLES: dict[str, str] = {
       FROM analytics GROUP BY student_id)""",
     "class_roster": with_(*RANKED) + "SELECT * FROM roster",
     "class_kpis": with_(*RANKED)
-    + f"""SELECT total_students, {tenth('mean')} AS class_average, at_risk, processed, subject_count, subjects FROM (
+    + f"""SELECT total_students, {tenth('mean')} AS class_average, at_risk, processed, subject_count FROM (
       SELECT count(*) AS total_students, {mean('CASE WHEN overall_avg > 0 THEN overall_avg END')} AS mean,
         count(*) FILTER (WHERE risk_level IN ('high', 'critical')) AS at_risk, count(*) FILTER (WHERE processed) AS processed,
-        (SELECT count(DISTINCT subject) FROM analytics) AS subject_count,
-        (SELECT string_agg(DISTINCT subject, ',' ORDER BY subject) FROM analytics) AS subjects FROM roster)""",
+        (SELECT count(DISTINCT subject) FROM analytics) AS subject_count FROM roster)""",
     "class_subjects": with_(*BASE) + "SELECT DISTINCT subject FROM analytics",
     "roster_search": with_(*RANKED)
     + """SELECT student_id, name, overall_avg, risk_level FROM roster
