@@ -4,7 +4,9 @@
 2. Each pass orders the classes lexicographically by concatenated random hashes (quantised random
    projections, the first one leading) and compares each with its next ``WINDOW`` neighbours by
    cosine in double precision. A task sends a spanning forest of the links it finds, so a group of
-   near copies costs one link for each member and pass, not one for each pair.
+   near copies costs one link for each member and pass, not one for each pair. It also sends the first and
+   last ``WINDOW`` rows of its partition; these, still in order, are compared in the same way in far fewer tasks,
+   until one holds them all. So each window is compared whole, wherever a partition ends.
 3. The links of all passes are united to components.
 4. The windows are bounded, so links inside a component are completed exactly: its members are dealt
    into blocks, and each pair of blocks is multiplied and counted. No pair is sent. Every link
@@ -12,8 +14,8 @@
 
 A pair at cosine 0.95 shares a hash with probability about 0.87, and about log2(n / WINDOW) / 1.9
 hashes name its window: at 50,000 vectors a pass finds a lone pair in about 45 of 100 cases, 24
-passes miss it once in a million. At a thousand million vectors they miss about 1.5 of 100 such
-pairs; raise ``passes`` there.
+passes miss it once in a million. The number of passes follows from that estimate and the number of distinct vectors
+(``passes_for``): ``PASSES`` at least, 79 at a thousand million.
 
 Defined cases: null, empty or zero vectors and those with null or non-finite components link with
 nothing (n_links 0, own component); so do vectors of other lengths with each other. Repeated rows
@@ -22,6 +24,8 @@ count as vectors of their own. Empty tables give no rows; other columns are not
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,9 +39,19 @@ PASSES = 24
 WINDOW = 32
 HASHES = 16
 BLOCK = 512
+#: Rows at partition borders that one task compares.
+BORDER_ROWS = 1 << 16
+#: Estimated chance that all passes miss a lone pair.
+MISSED = 1e-6
 SEED = 20240229
 
 
+def passes_for(n: int, window: int = WINDOW) -> int:
+    """Passes over ``n`` vectors after which a lone pair at ``LEAST`` is missed with a chance of ``MISSED`` by estimate."""
+    found = 0.87 ** (max(0.0, math.log2(max(n, 1) / window)) / 1.9)
+    return max(PASSES, math.ceil(math.log(MISSED) / math.log(1 - min(found, 0.9))))
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
@@ -88,13 +102,32 @@ def _ordered(classes: DataFrame, passes: int) -> DataFrame:
     return classes.select("vec_id", "v").mapInArrow(emit, "pass long, size long, key long, vec_id long, v binary")
 
 
+ORDER = ["pass", "size", "key", "vec_id"]
+
+
 def _neighbours(ordered: DataFrame, least: float, window: int) -> DataFrame:
     """Links (a, b) between window neighbours, as a spanning forest for each pass and task."""
+    names = ["a", "b", *ORDER, "v"]
+    kinds = dict.fromkeys(names, pa.int64()) | {"v": pa.binary()}
+
+    def rows(count: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[c]) if c in columns else pa.nulls(count, kinds[c]) for c in names], names)
+
+    def border(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return rows(batch.num_rows, **{c: batch.column(c).to_pylist() for c in names[2:]})
 
     def compare(batches):
         known = tail_ids = tail = None
-        forest = Forest()
+        forest, seen, end = Forest(), 0, []
         for batch in batches:
+            first = min(max(0, window - seen), batch.num_rows)
+            seen += batch.num_rows
+            if first:
+                yield border(batch.slice(0, first))
+            # The last rows after those; a few batches hold them.
+            end.append(batch.slice(max(first, batch.num_rows - window)))
+            while sum(b.num_rows for b in end[1:]) >= window:
+                end.pop(0)
             ids, blobs = batch.column("vec_id").to_numpy(), batch.column("v").to_pylist()
             group = np.stack([batch.column("pass").to_numpy(), batch.column("size").to_numpy()], 1)
             bounds = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1).tolist(), len(ids)]
@@ -117,10 +150,26 @@ def _neighbours(ordered: DataFrame, least: float, window: int) -> DataFrame:
                             links.append((a, b))
                 known, tail_ids, tail = here, own[-window:], x[-window:]
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
-
-    spread = ordered.repartitionByRange("pass", "size", "key", "vec_id")
-    return spread.sortWithinPartitions("pass", "size", "key", "vec_id").mapInArrow(compare, "a long, b long").distinct()
+                a, b = zip(*links)
+                yield rows(len(links), a=a, b=b)
+        extra = sum(b.num_rows for b in end) - window
+        for batch in end:
+            cut = min(max(0, extra), batch.num_rows)
+            extra -= cut
+            if cut < batch.num_rows:
+                yield border(batch.slice(cut))
+
+    found, tasks = None, None
+    schema = ", ".join(f"{c} {'binary' if c == 'v' else 'long'}" for c in names)
+    while True:
+        spread = ordered.repartitionByRange(*ORDER) if tasks is None else ordered.repartitionByRange(tasks, *ORDER)
+        out = stored(spread.sortWithinPartitions(*ORDER).mapInArrow(compare, schema))
+        links = out.where("a is not null").select("a", "b")
+        found = links if found is None else found.union(links)
+        ordered = out.where("a is null").select(*ORDER, "v")
+        if tasks == 1 or not (left := ordered.count()):
+            return found.distinct()
+        tasks = -(-left // max(BORDER_ROWS, 8 * window))
 
 
 def _links_within(classes: DataFrame, found: DataFrame, least: float) -> DataFrame:
@@ -167,10 +216,11 @@ def _links_within(classes: DataFrame, found: DataFrame, least: float) -> DataFra
 
 
 def near_vectors(
-    vectors: DataFrame, least: float = LEAST, passes: int = PASSES, window: int = WINDOW
+    vectors: DataFrame, least: float = LEAST, passes: int | None = None, window: int = WINDOW
 ) -> DataFrame:
-    """Per vector: vec_id, n_links, component_id, kept."""
+    """Per vector: vec_id, n_links, component_id, kept. Without ``passes`` their number follows from that of the vectors."""
     classes = stored(_classes(vectors))
+    passes = passes or passes_for(classes.count(), window)
     found = stored(components(_neighbours(_ordered(classes, passes), least, window)))
     links = _links_within(classes, found, least)
     ids = F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(7)).alias("h2")

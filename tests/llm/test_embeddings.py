@@ -48,13 +48,63 @@ def test_blocks(spark, monkeypatch):
     assert found(table(spark, cases()), window=4) == brute(cases())
 
 
-def test_recall_on_the_driver_table(spark):
+def near(rng, v, cosine):
+    """A vector at ``cosine`` to ``v``."""
+    v = np.array(v, float) / np.linalg.norm(v)
+    side = rng.standard_normal(len(v))
+    side -= (side @ v) * v
+    return cosine * v + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+
+
+def test_recall_of_planted_links_among_the_driver_vectors(spark):
+    """Lone pairs just over the limit, chains, and a component of thousands, over a table that holds no link itself."""
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()]
-    want, got = brute(rows), found(df)
-    total = sum(w[0] for w in want.values())
+    rng = np.random.default_rng(9)
+    new = [near(rng, rows[k][1], 0.9505) for k in range(0, 1000)]
+    for k in range(1000, 1040):
+        v = rows[k][1]
+        for _ in range(10):
+            v = near(rng, v, 0.955)
+            new.append(v)
+    new += [near(rng, rows[1100][1], 0.98) for _ in range(2500)]
+    first = 1 + max(i for i, _ in rows)
+    rows += [(first + i, [float(np.float32(x)) for x in v]) for i, v in enumerate(new)]
+    want, got = brute(rows), found(table(spark, rows))
+    pairs = sum(want[first + k][0] for k in range(1000))
+    assert pairs >= 1000 and sum(w[0] for w in want.values()) > 1_000_000
     assert all(got[i][0] <= want[i][0] for i in want)
-    assert sum(g[0] for g in got.values()) >= 0.99 * total
+    assert sum(got[first + k][0] for k in range(1000)) >= 0.99 * pairs
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+
+
+def test_windows_cross_partition_borders(spark, monkeypatch):
+    """Partitions smaller and larger than a window link what windows over the whole order link."""
+    rows, window = [(i, v) for i, v in cases() if i < 1000], 5
+    classes = embeddings._classes(table(spark, rows))
+    ordered = embeddings._ordered(classes, 2)
+    monkeypatch.setattr(embeddings, "BORDER_ROWS", 200)
+    for partitions in ("3", "60", "400"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = [(r.a, r.b) for r in embeddings._neighbours(ordered, 0.8, window).collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        whole = sorted(ordered.collect(), key=lambda r: (r["pass"], r.size, r.key, r.vec_id))
+        links = []
+        for i, r in enumerate(whole):
+            for q in whole[i + 1 : i + 1 + window]:
+                x, y = np.frombuffer(r.v), np.frombuffer(q.v)
+                if r["pass"] == q["pass"] and x @ y >= 0.8 * np.linalg.norm(x) * np.linalg.norm(y):
+                    links.append((r.vec_id, q.vec_id))
+        ids = {r.vec_id for r in whole}
+        assert len(set(links)) > 100 and C.least_reachable(ids, got) == C.least_reachable(ids, links)
+
+
+def test_passes_grow_with_the_table():
+    assert [embeddings.passes_for(n) for n in (0, 1, 50_000, 10**9)] == [24, 24, 24, 79]
 
 
 def test_other_lengths_repeated_rows_and_empty_table(spark):
