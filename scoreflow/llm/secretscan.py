@@ -8,7 +8,7 @@ matches before it.
 The method adds ``entropy`` spans: candidate strings of ``WINDOW`` or more characters of the widest
 class, not covered by one base span, whose best window has an entropy of at least the threshold of the narrowest
 class that holds the string. The entropy of a window is log2(w) - S / w with S the sum of c * log2(c)
-over its character counts; a step changes only the counts of the character that leaves and the one
+over its character counts, which a step carries on: it changes only those of the character that leaves and the one
 that enters. Strings on the allow list are left out.
 
 Defined cases: a null text counts as empty; offsets are code points, ends exclusive; repeated rows are
@@ -53,27 +53,35 @@ def _xlogx(count: Column) -> Column:
     return F.when(count > 1, count * F.log2(count)).otherwise(0.0)
 
 
-def _count(window: Column, char: Column) -> Column:
-    return (F.length(window) - F.length(F.replace(window, char, F.lit("")))).cast("double")
-
-
 def best_entropy(text: Column, width: int = WINDOW) -> Column:
-    """Largest entropy of a window of ``width`` characters; the text has at least so many."""
-    head = F.substring(text, 1, width)
-    start = F.aggregate(
-        F.array_distinct(F.split(head, "")), F.lit(0.0), lambda s, c: s + F.when(c == "", 0.0).otherwise(_xlogx(_count(head, c)))
-    )
+    """Largest entropy of a window of ``width`` characters; the text has at least so many.
 
-    def step(state: Column, i: Column) -> Column:
-        window, old, new = text.substr(i, F.lit(width)), text.substr(i, F.lit(1)), text.substr(i + width, F.lit(1))
-        leaving = _count(window, old)
-        entering = _count(window, new) - F.when(old == new, 1.0).otherwise(0.0)
-        s = state["s"] - _xlogx(leaving) + _xlogx(leaving - 1) + _xlogx(entering + 1) - _xlogx(entering)
-        return once(s, lambda v: F.struct(v.alias("s"), F.least(state["least"], v).alias("least")))
+    Characters are numbered by their first place in the text. The state holds the counts of the window by number.
+    """
 
-    first = once(start, lambda s: F.struct(s.alias("s"), s.alias("least")))
-    moves = F.when(F.length(text) > width, F.sequence(F.lit(1), F.length(text) - width)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(moves, first, step)["least"]
+    def numbered(chars: Column) -> Column:
+        return once(F.array_distinct(chars), lambda known: F.transform(chars, lambda c: F.array_position(known, c).cast("int")))
+
+    def least_sum(numbers: Column) -> Column:
+        def count(k: Column) -> Column:
+            return F.size(F.filter(F.slice(numbers, 1, width), lambda c: c == k))
+
+        def step(state: Column, i: Column) -> Column:
+            old, new, counts = F.get(numbers, i), F.get(numbers, i + width), state["counts"]
+            leaving, entering = F.element_at(counts, old).cast("double"), F.element_at(counts, new).cast("double")
+            s = state["s"] - _xlogx(leaving) + _xlogx(leaving - 1) + _xlogx(entering + 1) - _xlogx(entering)
+            moved = F.transform(counts, lambda c, k: c - (k + 1 == old).cast("int") + (k + 1 == new).cast("int"))
+            one = once(s, lambda v: F.struct(moved.alias("counts"), v.alias("s"), F.least(state["least"], v).alias("least")))
+            return F.when(old == new, state).otherwise(one)
+
+        counts = F.transform(F.sequence(F.lit(1), F.array_max(numbers)), count)
+        total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, n: s + _xlogx(n.cast("double")))
+        first = once(counts, lambda c: once(total(c), lambda s: F.struct(c.alias("counts"), s.alias("s"), s.alias("least"))))
+        last = F.size(numbers) - width
+        moves = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(moves, first, step)["least"]
+
+    least = once(F.filter(F.split(text, ""), lambda c: c != ""), lambda chars: once(numbered(chars), least_sum))
     return math.log2(width) - least / width
 
 
