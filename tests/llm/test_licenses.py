@@ -40,6 +40,37 @@ def test_texts_with_inserted_and_missing_words(spark):
     assert [s[2] for s in own[6]] == ["mit", "mit"]
 
 
+def test_each_whole_text_is_found_in_place(spark):
+    """Every text with changed case and line breaks, some words in seven changed, between other words."""
+    whole = [(label, text.split()) for label, text in L.TEXTS if len(text.split()) >= 20]
+    rows = []
+    for i, (_, words) in enumerate(whole):
+        changed = ["other" if k % 29 == 14 else w for k, w in enumerate(words)]
+        rows.append((i, f"{C.prose(i, 300)}\n * " + "\n * ".join(changed).upper() + f"\n{C.prose(i + 99, 300)}"))
+    got = places(spark, rows)
+    for i, (label, words) in enumerate(whole):
+        n = len(C.alnum_words(" ".join(words)))
+        own = [(s["first"], s["last"]) for s in got[i].spans if s["label"] == label and not s["base"]]
+        assert any(abs(a - 300) <= 4 and abs(b - 300 - n + 1) <= 4 for a, b in own), label
+
+
+def test_the_best_fitting_label_stands(spark):
+    whole = [(label, text) for label, text in L.TEXTS if label in ("lgpl", "agpl", "cc-by-sa", "cc-by-nc", "bsl", "gpl", "cc0")]
+    got = places(spark, [(i, f"so: {text} end") for i, (_, text) in enumerate(whole)])
+    for i, (label, text) in enumerate(whole):
+        assert {s["label"] for s in got[i].spans if not s["base"]} == {label}, text
+
+
+def test_scattered_words_of_a_license_are_none(spark):
+    """All of a text's word groups in order, each group in the middle of a paragraph of its own."""
+    words = C.alnum_words(L.TEXTS[0][1])
+    groups = [" ".join(words[i : i + 6]) for i in range(0, len(words), 6)]
+    text = " ".join(f"{g} {C.prose(k, 5)}" for k, g in enumerate(groups))
+    far = " ".join(f"{g} {C.prose(k, 40)}" for k, g in enumerate(groups))
+    got = places(spark, [(1, text), (2, far), (3, C.prose(3, 3000))])
+    assert all(not r.spans for r in got.values())
+
+
 def test_repeated_rows_and_empty_table(spark):
     got = L.license_places(C.documents(spark, [(1, "mit license"), (1, "mit license"), (1, "cc by")])).collect()
     assert sorted([s["label"] for s in r.spans] for r in got) == [["cc-by"], ["mit"], ["mit"]]
