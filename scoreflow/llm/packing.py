@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from scoreflow.llm.common import REMEMBERED, shared, slices, stored, texts_of
+from scoreflow.llm.common import REMEMBERED, shared, stored, text_slices
 
 SIZE = 4096
 END = 2
@@ -39,6 +39,8 @@ BETWEEN = "<|endoftext|>"
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 SYMBOLS = {b: 256 + i for i, b in enumerate(_HIDDEN) if b != 32}
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of text that a task holds as words at once.
+SLICE = 2 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 
@@ -129,10 +131,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) ->
     def cut(batches):
         ids_of, last = WordIds(tokenizer), np.array([end], "<u4").tobytes()
         for batch in batches:
-            keys, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
-            for lo, hi in slices(texts):
+            keys = batch.column("doc_id").to_pylist()
+            for lo, hi, texts in text_slices(batch, SLICE):
                 rows = []
-                for key, ids in zip(keys[lo:hi], ids_of(texts[lo:hi])):
+                for key, ids in zip(keys[lo:hi], ids_of(texts)):
                     ids += last
                     total = len(ids) // 4
                     for at in range(0, total, size):
