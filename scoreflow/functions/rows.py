@@ -38,6 +38,15 @@ def own_shuffle(key: Column) -> Column:
     return F.concat(key, F.lit(""))
 
 
+def grows(side: DataFrame) -> DataFrame:
+    """Side of a join that grows with the data: it is shuffled and merged, never sent whole to every task.
+
+    The planner takes the compressed size of files for the size of stored rows, so it would broadcast
+    millions of short keys through the driver.
+    """
+    return side.hint("merge")
+
+
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, place: str, salts: int = 64) -> DataFrame:
     """The first ``k`` rows of each group in the total ``order``, numbered in column ``place``.
 

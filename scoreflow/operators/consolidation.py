@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreflow.functions.rows import own_shuffle
+from scoreflow.functions.rows import grows, own_shuffle
 from scoreflow.functions.text import clean_id
 from scoreflow.operators.metrics import attempt_order
 from scoreflow.schemas import ANALYTICS, CONSOLIDATED, SUBJECT_KEY, SUMMARIES
@@ -45,7 +45,7 @@ def gather_students(analytics: DataFrame, summaries: DataFrame) -> DataFrame:
     s = summaries.groupBy("student_id").agg(
         record_list(SUMMARY_COLUMNS, ["grade", "subject"]).alias("summaries")
     )
-    return a.join(s, "student_id")
+    return a.join(grows(s), "student_id")
 
 
 def latest_from_history(history: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Keyed writes as joins: upsert, keyed column update, insert-if-absent.
 
-No side is forced to be broadcast: the adaptive planner does that only below its size
-threshold and splits skewed partitions of the sort-merge join otherwise.
+No side is forced to be broadcast: keys that replace stored rows are always merged (see ``rows.grows``), other
+sides are broadcast only below the planner's size threshold. Skewed partitions of a merge join are split.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreflow.functions.rows import own_shuffle
+from scoreflow.functions.rows import grows, own_shuffle
 from scoreflow.functions.text import email_key, strip
 
 
@@ -36,7 +36,7 @@ def without_keys(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFr
     condition = same[0]
     for part in same[1:]:
         condition = condition & part
-    return existing.join(replaced, condition, "left_anti")
+    return existing.join(grows(replaced), condition, "left_anti")
 
 
 def upsert_rows(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

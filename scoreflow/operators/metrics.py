@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from scoreflow.functions import numbers as N
 from scoreflow.functions import rules
-from scoreflow.functions.rows import top_rows
+from scoreflow.functions.rows import grows, top_rows
 from scoreflow.operators.validation import usable_attempts
 from scoreflow.schemas import ANALYTICS, DEFAULTS, EXAM_TYPES, GROUP_KEY, STATES, Thresholds
 
@@ -114,7 +114,7 @@ def _judged(rows: DataFrame, thresholds: Thresholds) -> DataFrame:
 def subject_analytics(df: DataFrame, window: int = 2, thresholds: Thresholds = DEFAULTS) -> DataFrame:
     """One analytics row per student, grade and subject."""
     attempts = usable_attempts(df)
-    rows = _with_figures(_sums(attempts), _wide(attempts)).join(recent_average(attempts, window), GROUP_KEY)
+    rows = _with_figures(_sums(attempts), _wide(attempts)).join(grows(recent_average(attempts, window)), GROUP_KEY)
     return _judged(rows, thresholds)
 
 
@@ -129,7 +129,7 @@ def group_states(df: DataFrame, window: int = 2) -> DataFrame:
     last = last_attempts(attempts, window).groupBy(*GROUP_KEY).agg(
         F.sort_array(F.collect_list(_scored_attempt()), asc=False).alias("last")
     )
-    rows = totals.join(last, GROUP_KEY).join(_wide(attempts), GROUP_KEY, "left")
+    rows = totals.join(grows(last), GROUP_KEY).join(_wide(attempts), GROUP_KEY, "left")
     return rows.select(*GROUP_KEY, *SUMS, "first", "last", F.expr(f"{N.merged_wide(f'coalesce(wide, {N.NO_WIDE})')} as wide"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreflow.functions.rows import with_values
+from scoreflow.functions.rows import grows, with_values
 from scoreflow.functions.text import field_text, is_filled_object, recover_json
 from scoreflow.schemas import CONSOLIDATED_FIELDS, GROUP_KEY, SUMMARIES, SUMMARY_FIELDS
 
@@ -183,7 +183,7 @@ def subject_summaries(
 ) -> DataFrame:
     """One summary per prompt; fallback texts where no usable response exists."""
     answers = first_usable(responses, GROUP_KEY, SUMMARY_FIELDS)
-    filled = prompts.join(answers, GROUP_KEY, "left").withColumns(
+    filled = prompts.join(grows(answers), GROUP_KEY, "left").withColumns(
         {f: F.coalesce(F.col(f), F.lit(FALLBACK[f])) for f in SUMMARY_FIELDS}
     )
     return filled.withColumn("llm_provider", F.lit(provider)).select(SUMMARIES.names)
@@ -195,11 +195,11 @@ def consolidated_rows(
     """(consolidated row per answered student, students without a usable response)."""
     answers = first_usable(responses, ["student_id"], CONSOLIDATED_FIELDS).drop("attempt")
     base = students.select("student_id", "grade")
-    done = base.join(answers, "student_id").withColumn("llm_provider", F.lit(provider))
+    done = base.join(grows(answers), "student_id").withColumn("llm_provider", F.lit(provider))
     return done, unanswered(base, answers)
 
 
 def unanswered(students: DataFrame, answered: DataFrame) -> DataFrame:
     """Students without a consolidated row, as error rows."""
-    missing = students.select("student_id", "grade").join(answered, "student_id", "left_anti")
+    missing = students.select("student_id", "grade").join(grows(answered), "student_id", "left_anti")
     return missing.withColumn("error", F.lit("LLM failed to produce valid JSON"))

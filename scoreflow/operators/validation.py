@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from scoreflow.functions.numbers import as_int, as_number, to_moment
-from scoreflow.functions.rows import own_shuffle, with_values
+from scoreflow.functions.rows import grows, own_shuffle, with_values
 from scoreflow.functions.text import clean_id, is_blank
 from scoreflow.schemas import ATTEMPT_COLUMNS, ATTEMPT_KEY, EXAM_TYPES, GROUP_KEY, VALIDATED
 from scoreflow.sources.tables import conform
@@ -131,12 +131,12 @@ def split_classified(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
     doubled = duplicate_keys(good).select(ATTEMPT_KEY).withColumn("exam_id", own_shuffle(F.col("exam_id")))
     same = [F.col(f"g.{k}").eqNullSafe(F.col(f"d.{k}")) for k in ATTEMPT_KEY]
     condition = same[0] & same[1] & same[2]
-    unique = good.alias("g").join(doubled.alias("d"), condition, "left_anti")
+    unique = good.alias("g").join(grows(doubled.alias("d")), condition, "left_anti")
     repeated = classified.filter(F.col("error").isNull()).withColumn(
         "attempt_number", F.col("attempt_number").cast("int")
     )
     repeated = (
-        repeated.alias("g").join(doubled.alias("d"), condition, "left_semi").withColumn("error", F.lit(DUPLICATE))
+        repeated.alias("g").join(grows(doubled.alias("d")), condition, "left_semi").withColumn("error", F.lit(DUPLICATE))
     )
     return unique, error_report(classified).unionByName(error_report(repeated))
 
@@ -199,7 +199,7 @@ def of_students(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of the students in ``ids``; ids are compared trimmed and stored trimmed."""
     wanted = ids.select(clean_id(F.col("student_id")).alias("student_id"))
     trimmed = df.withColumn("student_id", clean_id(F.col("student_id")))
-    return trimmed.join(wanted, "student_id", "left_semi").select(df.columns)
+    return trimmed.join(grows(wanted), "student_id", "left_semi").select(df.columns)
 
 
 def usable_attempts(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from scoreflow.functions.rows import grows
 from scoreflow.operators.narrative import MAX_ATTEMPTS, parse_responses
 from scoreflow.sources.tables import TableStore
 
@@ -41,5 +42,6 @@ def ask_in_rounds(
         counts.append(seen.get["rows"])
         responses = model(asked).select(*keys, F.lit(attempt).alias("attempt"), "response")
         told.append(store.scratch(f"{name}-told-{attempt}", responses))
-        todo = asked.drop("attempt").join(parse_responses(told[-1], keys, fields).select(*keys), keys, "left_anti")
+        usable = parse_responses(told[-1], keys, fields).select(*keys)
+        todo = asked.drop("attempt").join(grows(usable), keys, "left_anti")
     return reduce(DataFrame.unionByName, told), counts

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreflow import schemas as S
+from scoreflow.functions.rows import grows
 from scoreflow.operators import consolidation, insights, metrics, narrative, validation
 from scoreflow.plans.asking import ask_in_rounds
 from scoreflow.sources.intake import intake_attempts, require_rows
@@ -215,7 +216,7 @@ def _keyed(store: TableStore, raw: DataFrame, ids: DataFrame, run: Run) -> None:
     ids = store.scratch(run.work("ids"), consolidation.ids_of(ids))
     parts = store.parts_of(ids)
     chosen = validation.of_students(raw, ids)
-    unknown = ids.join(consolidation.ids_of(chosen), "student_id", "left_anti")
+    unknown = ids.join(grows(consolidation.ids_of(chosen)), "student_id", "left_anti")
     some = unknown.limit(5).collect()
     if some:
         names = [r.student_id for r in some]
@@ -254,7 +255,7 @@ def _touched(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows of the groups in ``groups`` (null keys compare equal)."""
     wanted = groups.select(S.GROUP_KEY)
     condition = [rows[k].eqNullSafe(wanted[k]) for k in S.GROUP_KEY]
-    return rows.join(wanted, condition[0] & condition[1] & condition[2], "left_semi")
+    return rows.join(grows(wanted), condition[0] & condition[1] & condition[2], "left_semi")
 
 
 def _known(store: TableStore, good: DataFrame, parts: list[int]) -> bool:
@@ -263,7 +264,7 @@ def _known(store: TableStore, good: DataFrame, parts: list[int]) -> bool:
     if store.exists(VALIDATED) and not store.exists(STATES):
         return True
     same = [old[k].eqNullSafe(good[k]) for k in S.ATTEMPT_KEY]
-    return not good.join(old, same[0] & same[1] & same[2], "left_semi").isEmpty()
+    return not good.join(grows(old), same[0] & same[1] & same[2], "left_semi").isEmpty()
 
 
 def intake_refresh(store: TableStore, records: DataFrame, exam_date, run: Run) -> None:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from helpers import table
 from scoreflow import schemas as S
 from scoreflow.operators import consolidation as C
-from scoreflow.operators import keyed, validation
+from scoreflow.operators import keyed, narrative, validation
+from scoreflow.plans import refresh
 
 
 @pytest.fixture
@@ -91,3 +92,21 @@ def test_processed_flags(sort_merge):
     out = C.processed_flags(df, sort_merge.createDataFrame([("HOT",)], "student_id string"))
     assert "skew=true" in final_plan(out)
     assert table(out.groupBy("processed").count()) == [(False, 20000), (True, 10000)]
+
+
+def test_stored_keys_are_never_broadcast(spark, store):
+    """Files of short keys look small to the planner however many rows they hold."""
+    rows = store.scratch("rows", skewed(spark, "student_id").withColumn("subject", F.lit("Art")).withColumn("grade", F.lit(5)))
+    ids = store.scratch("ids", C.ids_of(rows))
+    asked = rows.select(*S.GROUP_KEY).distinct().withColumn("prompt", F.lit("?"))
+    prompts = store.scratch("asked", asked)
+    told = store.scratch("told", prompts.select(*S.GROUP_KEY, F.lit(1).alias("attempt"), F.lit('{"a": 1}').alias("response")))
+    frames = {
+        "of_students": validation.of_students(rows, ids),
+        "without_keys": keyed.without_keys(rows, ids, ["student_id"]),
+        "touched": refresh._touched(rows, prompts),
+        "summaries": narrative.subject_summaries(prompts, told),
+        "unanswered": narrative.unanswered(prompts, ids),
+    }
+    for name, df in frames.items():
+        assert "Broadcast" not in final_plan(df), name
