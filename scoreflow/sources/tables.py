@@ -25,21 +25,34 @@ CSV_OPTIONS = {
     "ignoreTrailingWhiteSpace": False,
 }
 
+# A whole line as one cell: no quotes, and a separator that no header holds.
+LINE_OPTIONS = {
+    "header": False, "multiLine": True, "sep": "\x01", "quote": "", "escape": "", "maxColumns": 2,
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
 
 def as_text(df: DataFrame) -> DataFrame:
     return df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
+def file_lines(spark: SparkSession, file: str) -> DataFrame:
+    """Lines of one file in column ``value``, read by one task however large the file is, so their order is the file's."""
+    return spark.read.schema("value string").options(**LINE_OPTIONS).csv(file)
+
+
 def csv_headers(spark: SparkSession, path: str, at_once: int = 200) -> dict[str, tuple[str, ...]]:
     """Header of each file under ``path``, by file name; files without a line have none.
 
-    Only the first line of a file is read, ``at_once`` files in one job.
+    Only the start of a file is read, ``at_once`` files in one job. A large file is not split for it, so the
+    first line is that of the file and not that of a later split. Blank lines before it are skipped, as
+    they are when the rows are read.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     files = sorted(r.path for r in listed.collect() if r.length)
     headers = {}
     for start in range(0, len(files), at_once):
-        firsts = [spark.read.text(f).limit(1).select(F.lit(f).alias("file"), "value") for f in files[start : start + at_once]]
+        firsts = [file_lines(spark, f).limit(1).select(F.lit(f).alias("file"), "value") for f in files[start : start + at_once]]
         for row in reduce(DataFrame.unionByName, firsts).collect():
             headers[row.file] = tuple(next(csv.reader([row.value.removeprefix("\ufeff")]), ()))
     return headers

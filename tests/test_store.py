@@ -236,3 +236,20 @@ def test_a_lost_try_of_an_upsert_leaves_no_folder(spark, store, tmp_path, monkey
     store.upsert("t", df, df.schema, ["student_id"], ["student_id"])
     assert [tuple(r) for r in store.read("t", df.schema).collect()] == [("S1", 2)]
     assert len([d for d in (tmp_path / "tables" / "t").iterdir() if d.name.startswith("v=")]) == 2
+
+
+def test_csv_headers_of_files_that_are_read_in_splits(spark, tmp_path):
+    """The header is the first line of the file, not of a later split."""
+    for name, columns in (("a", ["id", "name"]), ("b", ["name", "id"])):
+        made = spark.range(20000).select(F.col("id").cast("string"), F.concat(F.lit("line\n"), "id").alias("name"))
+        TB.write_csv(made.select(*columns).coalesce(1), f"{tmp_path}/t/{name}")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        # Splits of a file would reach the limit in any order on a cluster.
+        assert all(TB.file_lines(spark, f).rdd.getNumPartitions() == 1 for f in TB.csv_headers(spark, f"{tmp_path}/t"))
+        assert set(TB.csv_headers(spark, f"{tmp_path}/t").values()) == {("id", "name"), ("name", "id")}
+        got = TB.read_csv(spark, f"{tmp_path}/t", multiline=True)
+        assert got.distinct().count() == 20000 and got.filter("name = concat('line\n', id)").count() == 40000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
