@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scoreflow import schemas as S
 from scoreflow.functions import text as X
-from scoreflow.functions.rows import with_values
+from scoreflow.functions.rows import grows, with_values
 from scoreflow.operators import (
     consolidation, dashboard, insights, keyed, listings, metrics, narrative, reports, roster, validation,
 )
@@ -776,7 +776,7 @@ def _chosen_refresh(d: Data, first: DataFrame, then: DataFrame, **settings) -> D
     segment = d.table("customer").select(
         A.student(F.col("c_custkey")).alias("student_id"), (F.col("c_mktsegment") == "BUILDING").alias("wanted")
     )
-    ids = d.attempts.join(segment, "student_id").filter("wanted").select("student_id").distinct()
+    ids = d.attempts.join(grows(segment), "student_id").filter("wanted").select("student_id").distinct()
     R.keyed_refresh(d.store, TB.as_text(then), ids, d.run("some", **settings))
     return d.store.read(R.ANALYTICS, S.ANALYTICS)
 
