@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreflow.functions.rows import once
+from scoreflow.functions.rows import once, with_values
 
 # Characters removed around ids and names (fixed value).
 BLANKS = " \t\n\r\x0b\x0c"
@@ -69,44 +69,67 @@ JSON_SCALAR = r"^(-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?|true|false|null)$"
 
 def _looks_like_json(text: Column) -> Column:
     """Cheap test before parsing: a failed parse costs far more than a look at both ends."""
-    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
-    return ends.isin("{}", "[]", '""') | text.rlike(JSON_SCALAR)
+    ends = [F.startswith(text, F.lit(a)) & F.endswith(text, F.lit(b)) for a, b in ("{}", "[]", '""')]
+    return ends[0] | ends[1] | ends[2] | text.rlike(JSON_SCALAR)
 
 
-def parse_json_text(text: Column) -> Column:
-    """VARIANT of a text that is exactly one JSON value, else null.
+def _json_values(text: Column) -> Column:
+    """VARIANTs in a text, separated by commas; null where it is no JSON.
 
-    The parser stops after the first value, so the text is parsed as the only element of
+    The parser stops after the first value, so the text is parsed as the elements of
     an array; a second value or trailing text then shows.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    values = F.when(_looks_like_json(text), F.try_variant_get(wrapped, "$", "array<variant>"))
-    return once(values, lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
+    return F.when(_looks_like_json(text), F.try_variant_get(wrapped, "$", "array<variant>"))
+
+
+def _only(values: Column) -> Column:
+    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+
+
+def _braces(text: Column) -> Column:
+    return F.regexp_extract(text, r"(?s)\{.*\}", 0)
+
+
+def parse_json_text(text: Column) -> Column:
+    """VARIANT of a text that is exactly one JSON value, else null."""
+    return once(_json_values(text), _only)
 
 
 def recover_json(text: Column) -> Column:
     """VARIANT of a JSON text; else of the part from its first ``{`` to its last ``}``."""
-    braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.coalesce(parse_json_text(strip(text)), parse_json_text(braces))
+    return F.coalesce(parse_json_text(strip(text)), parse_json_text(_braces(text)))
 
 
-def is_filled_object(value: Column) -> Column:
-    """True for a JSON object that has at least one key."""
-    shape = F.schema_of_variant(value)
-    return F.coalesce(shape.startswith("OBJECT<") & (shape != "OBJECT<>"), F.lit(False))
+def with_recovered_json(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add :func:`recover_json` of the column ``text``, step by step in columns of their own.
+
+    Every step is compiled and done once per row, which the one expression for all of them is not.
+    """
+    part = f"_{name}_part"
+    rows = df.withColumn(part, strip(F.col(text)))
+    rows = with_values(rows, {name: _json_values(F.col(part))})
+    one = F.size(name) == 1
+    rows = rows.withColumn(part, F.when(one, F.lit(None)).otherwise(_braces(F.col(text))))
+    rows = with_values(rows, {name: F.when(one, F.col(name)).otherwise(_json_values(F.col(part)))})
+    return with_values(rows.drop(part), {name: _only(F.col(name))})
 
 
-def variant_text(value: Column) -> Column:
-    """Variant as cell text: nested values as JSON, null as empty, booleans capitalized."""
-    text = F.try_variant_get(value, "$", "string")
-    boolean = F.schema_of_variant(value) == "BOOLEAN"
-    return F.when(boolean, F.initcap(text)).otherwise(F.coalesce(text, F.lit("")))
+def is_filled_object(value: Column) -> Column:
+    """True for a JSON object that has at least one key."""
+    return F.coalesce(F.size(F.try_variant_get(value, "$", "map<string,variant>")) > 0, F.lit(False))
 
 
 def field_text(value: Column, key: str, default: str = "") -> Column:
-    """Field of a JSON object as cell text; ``default`` only where the key is absent."""
+    """Field of a JSON object as cell text: nested values as JSON, null as empty, booleans capitalized.
+
+    ``default`` only where the key is absent. The field's type is looked up only where its text leaves it open.
+    """
+    text = F.try_variant_get(value, f"$.{key}", "string")
     field = F.try_variant_get(value, f"$.{key}", "variant")
-    return F.when(field.isNull(), F.lit(default)).otherwise(variant_text(field))
+    boolean = text.isin("true", "false") & (F.schema_of_variant(field) == "BOOLEAN")
+    none = F.when(field.isNull(), F.lit(default)).otherwise(F.lit("")) if default else F.lit("")
+    return F.when(boolean, F.initcap(text)).otherwise(F.coalesce(text, none))
 
 
 def normalize_cell(text: Column) -> Column:
@@ -115,6 +138,25 @@ def normalize_cell(text: Column) -> Column:
     return F.coalesce(parse_json_text(cell), cell.cast("variant"))
 
 
+def with_json_strings(df: DataFrame, names: list[str]) -> DataFrame:
+    """The text columns as JSON strings; null stays null."""
+    wrapped = df.withColumns({n: F.when(F.col(n).isNotNull(), F.to_json(F.struct(F.col(n).alias("v")))) for n in names})
+    return wrapped.withColumns({n: F.substring(n, F.lit(6), F.length(n) - 6) for n in names})
+
+
+def with_cell_json(df: DataFrame, names: list[str]) -> DataFrame:
+    """The text columns as JSON texts of :func:`normalize_cell`.
+
+    Only a cell that looks like JSON is parsed; plain text is just quoted. Every step has columns of its own, so
+    none is done twice.
+    """
+    own = {n: f"_cell_{n}" for n in names}
+    rows = df.withColumns({n: F.coalesce(strip(F.col(n)), F.lit("")) for n in names})
+    parsed = {c: F.when(_looks_like_json(F.col(n)), F.to_json(parse_json_text(F.col(n)))) for n, c in own.items()}
+    rows = with_json_strings(rows.withColumns(parsed), names)
+    return rows.withColumns({n: F.coalesce(c, n) for n, c in own.items()}).drop(*own.values())
+
+
 def next_steps(text: Column) -> Column:
     """Free text, JSON list or JSON object as an array of step texts."""
     blank = F.coalesce(text, F.lit("")) == ""

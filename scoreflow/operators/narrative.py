@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreflow.functions.rows import grows, with_values
-from scoreflow.functions.text import field_text, is_filled_object, recover_json
+from scoreflow.functions.rows import grows
+from scoreflow.functions.text import field_text, is_filled_object, with_recovered_json
 from scoreflow.schemas import CONSOLIDATED_FIELDS, GROUP_KEY, SUMMARIES, SUMMARY_FIELDS
 
 MAX_ATTEMPTS = 3
@@ -156,7 +156,7 @@ def parse_responses(responses: DataFrame, keys: list[str], fields: list[str]) ->
 
     Usable means a JSON object with at least one key; absent keys get their default.
     """
-    parsed = with_values(responses, {"parsed": recover_json(F.col("response"))})
+    parsed = with_recovered_json(responses, "response", "parsed")
     return parsed.filter(is_filled_object(F.col("parsed"))).select(
         *keys,
         "attempt",

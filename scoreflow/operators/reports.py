@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreflow.functions.rows import own_shuffle
-from scoreflow.functions.text import clean_id, is_blank, match_id, normalize_cell
+from scoreflow.functions.text import clean_id, is_blank, match_id, normalize_cell, with_cell_json, with_json_strings
 from scoreflow.operators.consolidation import EXPLANATION, explained_summaries, ids_of
 from scoreflow.operators.metrics import attempt_order
-from scoreflow.schemas import CONSOLIDATED_FIELDS, SUMMARIES
+from scoreflow.schemas import CONSOLIDATED_FIELDS, GROUP_KEY, SUMMARIES
 
 PERFORMANCE = ["subject", "average_score", "latest_score", "trend", "risk_flag"]
 
@@ -170,25 +170,17 @@ def trimmed_explained(summaries: DataFrame, insights: DataFrame) -> DataFrame:
     return explained_summaries(*trimmed)
 
 
-def _explanation() -> Column:
-    """Explanation of a summary row as JSON text: ``{}`` where it has none."""
-    cells = {c: normalize_cell(F.col(c)) for c in EXPLANATION}
-    no_points = is_blank(F.col("key_evidence_points"))
-    cells["key_evidence_points"] = F.when(no_points, F.parse_json(F.lit("[]"))).otherwise(
-        cells["key_evidence_points"]
-    )
-    filled = F.to_json(F.struct(*[cells[c].alias(c) for c in sorted(cells)]))
-    return F.when(F.col("explanation_summary").isNotNull(), filled).otherwise(F.lit("{}"))
-
-
-def _with_json_field(text: Column, name: str, value: Column) -> Column:
-    """A JSON object text with one more field at its end, given as JSON text."""
-    return F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(f',"{name}":'), value, F.lit("}"))
+def _object(fields: dict[str, Column]) -> Column:
+    """JSON object text of fields given as JSON text; null ones are left out."""
+    named = [F.concat(F.lit(f'"{name}":'), value) for name, value in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *named), F.lit("}"))
 
 
-def _joined_json(first: Column, second: Column) -> Column:
-    """Two JSON object texts, neither empty, as one."""
-    return F.concat(F.substring(first, F.lit(1), F.length(first) - 1), F.lit(","), F.substring(second, F.lit(2), F.length(second)))
+def _explanation() -> Column:
+    """Explanation of a row as JSON text, from its cells as JSON texts: ``{}`` where it has none."""
+    cells = {c: F.col(c) for c in sorted(EXPLANATION)}
+    cells["key_evidence_points"] = F.when(F.col("_no_points"), F.lit("[]")).otherwise(cells["key_evidence_points"])
+    return F.when(F.col("_explained"), _object(cells)).otherwise(F.lit("{}"))
 
 
 def report_documents(
@@ -208,18 +200,19 @@ def documents(meta: DataFrame, analytics: DataFrame, told: DataFrame, overall: D
     """Reports from frames with trimmed ids: metadata and consolidated row (one for each student), analytics,
     summaries with explanations. Inputs partitioned by student alone are not shuffled.
     """
-    texts = [c for c in SUMMARIES.names if c not in ("student_id", "grade", "subject")]
-    per_subject = told.select(
-        "student_id", "grade", "subject",
-        *[normalize_cell(F.col(c)).alias(c) for c in texts],
-        _explanation().alias("explainability"),
-    )
     # Records are JSON texts that are put together, never parsed again.
-    names = sorted(["student_id", "grade", "subject", *texts])
-    head, tail = (F.to_json(F.struct(*[n for n in names if (n < "explainability") == first])) for first in (True, False))
-    record = _joined_json(_with_json_field(head, "explainability", F.col("explainability")), tail)
+    ids = {"_id": "student_id", "_subject": "subject"}
+    texts = [c for c in SUMMARIES.names if c not in GROUP_KEY]
+    rows = told.select(
+        *GROUP_KEY, *[F.col(c).alias(n) for n, c in ids.items()], *texts, *EXPLANATION,
+        F.col("explanation_summary").isNotNull().alias("_explained"), is_blank(F.col("key_evidence_points")).alias("_no_points"),
+    )
+    rows = with_json_strings(with_cell_json(rows, [*texts, *EXPLANATION]), list(ids))
+    cells = {c: F.col(c) for c in texts} | {c: F.col(n) for n, c in ids.items()}
+    cells |= {"grade": F.col("grade").cast("string"), "explainability": _explanation()}
+    per_subject = rows.select(*GROUP_KEY, _object({c: cells[c] for c in sorted(cells)}).alias("json"))
     listed = per_subject.groupBy("student_id").agg(
-        F.array_sort(F.collect_list(F.struct("grade", "subject", record.alias("json")))).alias("l")
+        F.array_sort(F.collect_list(F.struct("grade", "subject", "json"))).alias("l")
     )
     summaries_json = listed.select(
         "student_id",
@@ -233,22 +226,26 @@ def documents(meta: DataFrame, analytics: DataFrame, told: DataFrame, overall: D
         .join(summaries_json, "student_id")
         .join(meta, "student_id", "left")
     )
-    head = F.to_json(
-        F.struct(
-            "student_id",
-            F.coalesce("student_name", F.lit("")).alias("student_name"),
-            "grade",
-            normalize_cell(F.col("overall_summary")).alias("overall_summary"),
-            normalize_cell(F.col("recommended_next_steps")).alias("recommended_next_steps"),
-            "numerical_performance",
-        )
-    )
-    tail = F.to_json(
-        F.struct(F.lit("cached").alias("mode"), F.coalesce("llm_provider", F.lit("ollama")).alias("llm_provider_used"))
+    rows = joined.select(
+        "student_id", "grade", "overall_summary", "recommended_next_steps", "subject_summaries",
+        F.col("student_id").alias("_id"),
+        F.coalesce("student_name", F.lit("")).alias("_name"),
+        F.coalesce("llm_provider", F.lit("ollama")).alias("_provider"),
+        F.to_json(F.struct("numerical_performance")).alias("_figures"),
     )
-    listed = _with_json_field(head, "subject_summaries", F.col("subject_summaries"))
-    document = _joined_json(listed, tail)
-    return joined.select("student_id", document.alias("report"))
+    rows = with_json_strings(with_cell_json(rows, ["overall_summary", "recommended_next_steps"]), ["_id", "_name", "_provider"])
+    document = {
+        "student_id": F.col("_id"),
+        "student_name": F.col("_name"),
+        "grade": F.col("grade").cast("string"),
+        "overall_summary": F.col("overall_summary"),
+        "recommended_next_steps": F.col("recommended_next_steps"),
+        "numerical_performance": F.substring("_figures", F.lit(len('{"numerical_performance":') + 1), F.length("_figures") - len('{"numerical_performance":}')),
+        "subject_summaries": F.col("subject_summaries"),
+        "mode": F.lit('"cached"'),
+        "llm_provider_used": F.col("_provider"),
+    }
+    return rows.select("student_id", _object(document).alias("report"))
 
 
 def live_reports(consolidated: DataFrame, validated: DataFrame) -> DataFrame:
