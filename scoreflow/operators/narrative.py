@@ -117,18 +117,19 @@ def subject_prompts(insights: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
-def _json_scalar(value: Column) -> Column:
-    """One JSON value, non-ASCII characters escaped; null as empty text."""
-    wrapped = F.to_json(F.struct(value.alias("v")), {"writeNonAsciiCharacterAsCodePoint": "true"})
-    return F.when(value.isNull(), F.lit('""')).otherwise(wrapped.substr(F.lit(6), F.length(wrapped) - 6))
-
-
 def json_records(records: Column, names: list[str]) -> Column:
-    """Array of structs as JSON text with an indent of two."""
+    """Array of structs as JSON text with an indent of two, non-ASCII characters escaped; null as empty text.
+
+    A record is written once, a field to a line. Strings hold no raw line breaks, so a pattern that is tied to the
+    start or end of a line never meets the inside of one.
+    """
+    options = {"pretty": "true", "ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"}
 
     def one(record: Column) -> Column:
-        lines = [F.concat(F.lit(f'    "{n}": '), _json_scalar(record[n])) for n in names]
-        return F.concat(F.lit("  {\n"), F.concat_ws(",\n", *lines), F.lit("\n  }"))
+        lines = F.to_json(F.struct(*[record[n].alias(n) for n in names]), options)
+        lines = F.regexp_replace(lines, r"(?m) : null(,?)$", ' : ""$1')
+        lines = F.regexp_replace(lines, r'(?m)^  ("[^"]+") : ', "    $1: ")
+        return F.concat(F.lit("  "), F.rtrim(lines, F.lit("}")), F.lit("  }"))
 
     return F.concat(F.lit("[\n"), F.array_join(F.transform(records, one), ",\n"), F.lit("\n]"))
 

@@ -64,6 +64,18 @@ def test_responses_are_parsed_in_compiled_steps(spark):
     assert "lambda" not in text and text.count("parsejson(concat(") == 2  # the whole text, the part in braces
 
 
+def test_records_of_prompts_are_written_once(spark):
+    odd = 'a\n"b" : null,\n  "c" : \\ } é '
+    rows = spark.createDataFrame([([(odd, None, 1.5), (None, 3, 1e20)],)], "r array<struct<a string, b int, c double>>")
+    df = rows.repartition(1).select(L.json_records(F.col("r"), ["b", "a", "c"]).alias("t"))
+    assert plan(df).count("StructsToJsonEvaluator(") == 1
+    want = [{"b": "", "a": odd, "c": 1.5}, {"b": 3, "a": "", "c": 1e20}]
+    text = df.first().t
+    assert json.loads(text) == want
+    assert text.replace("1.0E20", "1e+20").lower() == json.dumps(want, indent=2).lower()
+    assert rows.select(L.json_records(F.slice("r", 1, 0), ["a"])).first()[0] == "[\n\n]"
+
+
 def test_plain_cells_of_reports_are_no_variants(spark):
     told = spark.createDataFrame(
         [("S1", None, "Art", "say \"é\"", '{"k": 1}', None, "low", "x", "why", '""', None, "f"),
