@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,13 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(BLANKS))
 
 
+def strip_column(name: str) -> Column:
+    """:func:`strip` of a text column. A text without a blank at its end, as most are, is not walked through."""
+    text = F.col(f"`{name}`")
+    ends = [F.endswith(text, F.lit(blank)) for blank in BLANKS]
+    return F.when(reduce(Column.__or__, ends), strip(text)).otherwise(F.ltrim(text, F.lit(BLANKS)))
+
+
 def clean_id(column: Column) -> Column:
     """Ids are compared as trimmed text."""
     return strip(column.cast("string"))
@@ -45,8 +54,9 @@ def split_list(text: Column, separator: str = ",") -> Column:
     return F.filter(parts, lambda part: part != "")
 
 
-def bullet_lines(points: Column) -> Column:
-    return F.array_join(F.transform(points, lambda p: F.concat(F.lit("- "), p)), "\n")
+def bullet_lines(*points: Column) -> Column:
+    """The given texts without nulls, in the given order, a line with a dash for each."""
+    return F.concat_ws("\n", *[F.concat(F.lit("- "), p) for p in points])
 
 
 def strip_bullets(text: Column) -> Column:
@@ -107,7 +117,7 @@ def with_recovered_json(df: DataFrame, text: str, name: str) -> DataFrame:
     Every step is compiled and done once per row, which the one expression for all of them is not.
     """
     part = f"_{name}_part"
-    rows = df.withColumn(part, strip(F.col(text)))
+    rows = df.withColumn(part, strip_column(text))
     rows = with_values(rows, {name: _json_values(F.col(part))})
     one = F.size(name) == 1
     rows = rows.withColumn(part, F.when(one, F.lit(None)).otherwise(_braces(F.col(text))))
@@ -140,8 +150,15 @@ def normalize_cell(text: Column) -> Column:
 
 def with_json_strings(df: DataFrame, names: list[str]) -> DataFrame:
     """The text columns as JSON strings; null stays null."""
-    wrapped = df.withColumns({n: F.when(F.col(n).isNotNull(), F.to_json(F.struct(F.col(n).alias("v")))) for n in names})
-    return wrapped.withColumns({n: F.substring(n, F.lit(6), F.length(n) - 6) for n in names})
+    own = {n: f"_json_{n}" for n in names}
+    wrapped = df.withColumns({j: F.when(F.col(n).isNotNull(), F.to_json(F.struct(F.col(n).alias("v")))) for n, j in own.items()})
+    return wrapped.withColumns({n: only_field(j, "v") for n, j in own.items()}).drop(*own.values())
+
+
+def only_field(json: str, field: str) -> Column:
+    """JSON text of the only field of the objects in the column ``json``, cut out as bytes: characters need not be counted."""
+    start = len(f'{{"{field}":')
+    return F.substring(F.col(json).cast("binary"), F.lit(start + 1), F.octet_length(json) - (start + 1)).cast("string")
 
 
 def with_cell_json(df: DataFrame, names: list[str]) -> DataFrame:
@@ -151,7 +168,7 @@ def with_cell_json(df: DataFrame, names: list[str]) -> DataFrame:
     none is done twice.
     """
     own = {n: f"_cell_{n}" for n in names}
-    rows = df.withColumns({n: F.coalesce(strip(F.col(n)), F.lit("")) for n in names})
+    rows = df.withColumns({n: F.coalesce(strip_column(n), F.lit("")) for n in names})
     parsed = {c: F.when(_looks_like_json(F.col(n)), F.to_json(parse_json_text(F.col(n)))) for n, c in own.items()}
     rows = with_json_strings(rows.withColumns(parsed), names)
     return rows.withColumns({n: F.coalesce(c, n) for n, c in own.items()}).drop(*own.values())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreflow.functions import rules
 from scoreflow.functions.numbers import as_int, as_number
-from scoreflow.functions.text import bullet_lines, present
+from scoreflow.functions.text import bullet_lines
 from scoreflow.schemas import DEFAULTS, INSIGHT_INPUT, INSIGHTS, Thresholds
 
 
@@ -25,9 +25,9 @@ def usable_analytics(df: DataFrame) -> DataFrame:
     ).na.drop(subset=["average_score"])
 
 
-def evidence_points(t: Thresholds = DEFAULTS) -> Column:
-    """Evidence sentences of an analytics row in fixed order (fixed texts)."""
-    return present(
+def evidence_points(t: Thresholds = DEFAULTS) -> list[Column]:
+    """Evidence sentences of an analytics row in fixed order (fixed texts), null where one does not apply."""
+    return [
         F.format_string(
             "Average score is %s, classified as %s",
             F.col("average_score").cast("string"),
@@ -46,7 +46,7 @@ def evidence_points(t: Thresholds = DEFAULTS) -> Column:
             F.col("risk_flag"),
             F.col("data_confidence_level"),
         ),
-    )
+    ]
 
 
 def subject_insights(analytics: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
@@ -69,7 +69,7 @@ def subject_insights(analytics: DataFrame, thresholds: Thresholds = DEFAULTS) ->
         rules.focus_area(urgency).alias("recommended_focus_area"),
         F.when(urgency == "high", "yes").otherwise("no").alias("teacher_intervention_needed"),
         F.col("f.primary_issue").alias("explanation_summary"),
-        bullet_lines(evidence_points(thresholds)).alias("key_evidence_points"),
+        bullet_lines(*evidence_points(thresholds)).alias("key_evidence_points"),
         F.col("data_confidence_level").alias("confidence_in_insight"),
         F.format_string("%s performer with %s risk", F.col("performance_band"), F.col("risk_flag")).alias(
             "summary_signal"

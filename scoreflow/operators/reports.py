@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreflow.functions.rows import own_shuffle
-from scoreflow.functions.text import clean_id, is_blank, match_id, normalize_cell, with_cell_json, with_json_strings
+from scoreflow.functions.rows import grows, own_shuffle
+from scoreflow.functions.text import (
+    clean_id, is_blank, match_id, normalize_cell, only_field, with_cell_json, with_json_strings,
+)
 from scoreflow.operators.consolidation import EXPLANATION, explained_summaries, ids_of
 from scoreflow.operators.metrics import attempt_order
 from scoreflow.schemas import CONSOLIDATED_FIELDS, GROUP_KEY, SUMMARIES
@@ -71,6 +73,22 @@ def student_metadata(validated: DataFrame) -> DataFrame:
     )
 
 
+def named_metadata(validated: DataFrame) -> DataFrame:
+    """:func:`student_metadata` with ``name`` of :func:`consolidation.first_names`, null for a null id: one pass for both."""
+    name = F.min_by("Name", F.when(F.col("Name").isNotNull(), attempt_order())).alias("name")
+    first = F.min_by(F.struct("Name", "grade"), attempt_order()).alias("m")
+    return (
+        validated.groupBy(clean_id(F.col("student_id")).alias("student_id"))
+        .agg(first, name)
+        .select(
+            "student_id",
+            F.coalesce(F.col("m.Name"), F.lit("")).alias("student_name"),
+            F.col("m.grade").alias("grade"),
+            F.when(F.col("student_id").isNotNull(), F.col("name")).alias("name"),
+        )
+    )
+
+
 def existence_flags(ids: DataFrame, validated: DataFrame, analytics: DataFrame) -> DataFrame:
     """Requested ids with: known from validated rows, known from analytics."""
     known = ids_of(validated).withColumn("_v", F.lit(True))
@@ -222,9 +240,9 @@ def documents(meta: DataFrame, analytics: DataFrame, told: DataFrame, overall: D
     )
     joined = (
         overall.withColumnRenamed("grade", "_grade")
-        .join(_performance(analytics), "student_id")
-        .join(summaries_json, "student_id")
-        .join(meta, "student_id", "left")
+        .join(grows(_performance(analytics)), "student_id")
+        .join(grows(summaries_json), "student_id")
+        .join(grows(meta), "student_id", "left")
     )
     rows = joined.select(
         "student_id", "grade", "overall_summary", "recommended_next_steps", "subject_summaries",
@@ -240,7 +258,7 @@ def documents(meta: DataFrame, analytics: DataFrame, told: DataFrame, overall: D
         "grade": F.col("grade").cast("string"),
         "overall_summary": F.col("overall_summary"),
         "recommended_next_steps": F.col("recommended_next_steps"),
-        "numerical_performance": F.substring("_figures", F.lit(len('{"numerical_performance":') + 1), F.length("_figures") - len('{"numerical_performance":}')),
+        "numerical_performance": only_field("_figures", "numerical_performance"),
         "subject_summaries": F.col("subject_summaries"),
         "mode": F.lit('"cached"'),
         "llm_provider_used": F.col("_provider"),

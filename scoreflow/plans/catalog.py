@@ -583,7 +583,8 @@ def report_documents(d: Data) -> DataFrame:
 def _served(d: Data) -> serving.Served:
     """The report tables of the scratch store, laid out by student."""
     tables = d.attempts, d.analytics, d.insights, d.summaries, d.consolidated
-    return serving.publish(d.spark, f"{scratch_root(d.spark)}/served", d.store.parts, *tables)
+    buckets = serving.buckets_for(d.analytics.count(), d.store.parts)
+    return serving.publish(d.spark, f"{scratch_root(d.spark)}/served", buckets, *tables)
 
 
 @stored_query

@@ -31,6 +31,8 @@ META = T.StructType(
 TOLD = T.StructType([*S.SUMMARIES.fields, *[T.StructField(c, _TEXT) for c in consolidation.EXPLANATION]])
 SERVED = {"meta": META, "analytics": S.ANALYTICS, "told": TOLD, "overall": S.CONSOLIDATED}
 LAYOUT = "layout"
+#: Rows of the largest table in a bucket: some hundred megabytes of reports.
+BUCKET_ROWS = 200_000
 
 
 def _quoted(text: str) -> str:
@@ -82,6 +84,11 @@ class Served:
         return roster.listed(rows.withColumn("processed", F.coalesce("_done", F.lit(False))))
 
 
+def buckets_for(rows: int, least: int) -> int:
+    """Buckets for report tables whose largest has ``rows`` rows: a bucket, and so a task, does not grow with the data."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def publish(
     spark: SparkSession, path: str, buckets: int,
     validated: DataFrame, analytics: DataFrame, insights: DataFrame, summaries: DataFrame, consolidated: DataFrame,
@@ -91,9 +98,8 @@ def publish(
     The layout is written last, so :func:`opened` never sees a part of them. Choose ``buckets`` so that a bucket
     of the largest table is some hundred megabytes; all four tables take the same number.
     """
-    meta = reports.student_metadata(validated).join(consolidation.first_names(validated), "student_id", "left")
     frames = {
-        "meta": meta,
+        "meta": reports.named_metadata(validated),
         "analytics": analytics.withColumn("student_id", clean_id(F.col("student_id"))),
         "told": reports.trimmed_explained(summaries, insights),
         "overall": reports.first_consolidated(consolidated),
