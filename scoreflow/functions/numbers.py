@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreflow.functions.rows import with_values
+
 # Accepted number texts. Spark alone would also take suffixes such as 1.5d.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 # Whole dates only: a plain cast would also take 2024 and 2024-02.
@@ -170,15 +172,30 @@ def _united(wide: str) -> str:
     )
 
 
-def wide_figures(df: DataFrame, keys: list[str], kinds: list[str]) -> DataFrame:
-    """Rows (keys, wide_deviation, and wide_n, wide_total, wide_mean, the same for each kind) of a frame with ``wide`` sums."""
-    found = df.select(*keys, *columns({"_all": _united("array_sort(wide)")} | {
+def _united_kinds(kinds: list[str]) -> dict[str, str]:
+    """Figures of all ``wide`` entries of a row and of those of each kind, by column name."""
+    return {"_all": _united("array_sort(wide)")} | {
         f"_{kind}": _united(f"array_sort(filter(wide, e -> e.kind = '{kind}'))") for kind in kinds
-    }))
+    }
+
+
+def _wide_columns(kinds: list[str]) -> dict[str, str]:
     figures = {"wide_deviation": "_all.deviation"}
     for name, kind in [("", "all"), *((f"_{kind}", kind) for kind in kinds)]:
         figures |= {f"wide_{c}{name}": f"_{kind}.{c}" for c in ("n", "total", "mean")}
-    return found.select(*keys, *columns(figures))
+    return figures
+
+
+def wide_figures(df: DataFrame, keys: list[str], kinds: list[str]) -> DataFrame:
+    """Rows (keys, wide_deviation, and wide_n, wide_total, wide_mean, the same for each kind) of a frame with ``wide`` sums."""
+    found = df.select(*keys, *columns(_united_kinds(kinds)))
+    return found.select(*keys, *columns(_wide_columns(kinds)))
+
+
+def with_wide_figures(df: DataFrame, kinds: list[str]) -> DataFrame:
+    """The columns of :func:`wide_figures` beside those of a frame whose rows hold their ``wide`` sums; null where a row has none."""
+    found = {name: F.expr(f"if(size(wide) > 0, {text}, null)") for name, text in _united_kinds(kinds).items()}
+    return with_values(df, found).select(*df.columns, *columns(_wide_columns(kinds)))
 
 
 def joint_mean(suffix: str = "") -> str:
@@ -190,15 +207,18 @@ def joint_mean(suffix: str = "") -> str:
     return f"if(n{suffix} > 0, if(wide_n{suffix} > 0, {total}, {near} / n{suffix}), null)"
 
 
-def joint_deviation() -> str:
-    """Deviation of narrow and wide values together, from both parts and the distance of their means."""
-    near = "(n - cast(wide_n as bigint))"
-    own = f"if({near} > 0, {narrow_deviation(near)}, 0D)"
-    apart = f"if({near} > 0, wide_mean - {narrow_total()} / {near}, 0D)"
-    within = f"hypot({own} * sqrt({near} / n), wide_deviation * sqrt(wide_n / n))"
-    return (
-        f"if(wide_n > 0, hypot({within}, {apart} * sqrt({near} / n) * sqrt(wide_n / n)), {narrow_deviation('n')})"
-    )
+def deviation_steps() -> dict[str, str]:
+    """Steps to the deviation ``spread`` of narrow and wide values together: from both parts and the distance of their means.
+
+    Each step is a column of its own that the next ones read: ``near`` and ``own`` are count and deviation of the narrow values.
+    """
+    apart = f"if(near > 0, wide_mean - {narrow_total()} / near, 0D)"
+    within = "hypot(own * sqrt(near / n), wide_deviation * sqrt(wide_n / n))"
+    return {
+        "near": "n - coalesce(cast(wide_n as bigint), 0L)",
+        "own": f"if(near > 0, {narrow_deviation('near')}, 0D)",
+        "spread": f"if(wide_n > 0, hypot({within}, {apart} * sqrt(near / n) * sqrt(wide_n / n)), own)",
+    }
 
 
 def to_number(text: Column) -> Column:

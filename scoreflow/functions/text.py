@@ -65,6 +65,16 @@ def strip_bullets(text: Column) -> Column:
     return F.transform(lines, lambda line: strip(F.ltrim(line, F.lit("- "))))
 
 
+def filled_text(template: str, *values: Column) -> Column:
+    """The template with each ``%s`` replaced by a text; a null is written ``null``. Put together in compiled code, which
+    ``format_string`` is not."""
+    pieces = template.split("%s")
+    parts = [F.lit(pieces[0])]
+    for value, piece in zip(values, pieces[1:], strict=True):
+        parts += [F.coalesce(value, F.lit("null")), F.lit(piece)]
+    return F.concat(*parts)
+
+
 def present(*items: Column) -> Column:
     """Array of the given texts without nulls, in the given order."""
     return F.array_compact(F.array(*items))

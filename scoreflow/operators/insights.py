@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreflow.functions import rules
 from scoreflow.functions.numbers import as_int, as_number
-from scoreflow.functions.text import bullet_lines
+from scoreflow.functions.text import bullet_lines, filled_text
 from scoreflow.schemas import DEFAULTS, INSIGHT_INPUT, INSIGHTS, Thresholds
 
 
@@ -28,12 +28,12 @@ def usable_analytics(df: DataFrame) -> DataFrame:
 def evidence_points(t: Thresholds = DEFAULTS) -> list[Column]:
     """Evidence sentences of an analytics row in fixed order (fixed texts), null where one does not apply."""
     return [
-        F.format_string(
+        filled_text(
             "Average score is %s, classified as %s",
             F.col("average_score").cast("string"),
             F.col("performance_band"),
         ),
-        F.format_string("Score trend is '%s', indicating learning direction over time", F.col("trend")),
+        filled_text("Score trend is '%s', indicating learning direction over time", F.col("trend")),
         F.when(
             F.col("volatility_level") == "high", "Scores show high volatility, suggesting inconsistency"
         ),
@@ -41,7 +41,7 @@ def evidence_points(t: Thresholds = DEFAULTS) -> list[Column]:
             rules.under_pressure(F.col("mock_vs_real_gap"), t),
             "Mock scores significantly higher than real exam scores, indicating exam pressure",
         ),
-        F.format_string(
+        filled_text(
             "Academic risk flagged as '%s' with %s confidence",
             F.col("risk_flag"),
             F.col("data_confidence_level"),
@@ -71,7 +71,7 @@ def subject_insights(analytics: DataFrame, thresholds: Thresholds = DEFAULTS) ->
         F.col("f.primary_issue").alias("explanation_summary"),
         bullet_lines(*evidence_points(thresholds)).alias("key_evidence_points"),
         F.col("data_confidence_level").alias("confidence_in_insight"),
-        F.format_string("%s performer with %s risk", F.col("performance_band"), F.col("risk_flag")).alias(
+        filled_text("%s performer with %s risk", F.col("performance_band"), F.col("risk_flag")).alias(
             "summary_signal"
         ),
     ).select(INSIGHTS.names)

@@ -21,6 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from scoreflow.functions import numbers as N
 from scoreflow.functions import rules
@@ -76,16 +77,20 @@ def _wide(df: DataFrame) -> DataFrame:
 
 def _with_figures(sums: DataFrame, wide: DataFrame) -> DataFrame:
     """Counts, means, deviation and gap from the sums of both ranges."""
-    rows = sums.join(N.wide_figures(wide, GROUP_KEY, EXAM_TYPES), GROUP_KEY, "left")
-    figures = {"average": N.joint_mean(), "spread": N.joint_deviation()}
-    figures["gap"] = f"{N.joint_mean('_real')} - {N.joint_mean('_mock')}"
+    return _figures(sums.join(N.wide_figures(wide, GROUP_KEY, EXAM_TYPES), GROUP_KEY, "left"), sums.columns)
+
+
+def _figures(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The same of rows that hold both sums; ``columns``: names that go on where they are keys or scores."""
+    figures = {"average": N.joint_mean()} | N.deviation_steps()
+    figures |= {"real": N.joint_mean("_real"), "mock": N.joint_mean("_mock")}
     # A step for each figure: in one, the generated method is too long to be compiled, and every row is interpreted.
     for name, text in figures.items():
         rows = with_values(rows, {name: F.expr(text)})
-    kept = [c for c in sums.columns if c in {*GROUP_KEY, "first_score", "first", "last"}]
+    kept = [c for c in columns if c in {*GROUP_KEY, "first_score", "first", "last"}]
     return rows.select(
         *kept, F.col("n").alias("attempt_count"), N.round_even(F.col("average"), 2).alias("average_score"),
-        rules.settled(F.col("spread")).alias("deviation"), N.round_even(F.col("gap"), 2).alias("mock_vs_real_gap"),
+        rules.settled(F.col("spread")).alias("deviation"), N.round_even(F.col("real") - F.col("mock"), 2).alias("mock_vs_real_gap"),
     )
 
 
@@ -126,13 +131,14 @@ def group_states(df: DataFrame, window: int = 2) -> DataFrame:
 
     Its size does not depend on the number of attempts.
     """
+    if window < 1:
+        raise ValueError("k must be at least 1")
     attempts = usable_attempts(df)
     sums = N.columns(N.narrow_sums("score", EXAM_TYPES))
-    totals = attempts.groupBy(*GROUP_KEY).agg(*sums, F.min(_scored_attempt()).alias("first"))
-    last = last_attempts(attempts, window).groupBy(*GROUP_KEY).agg(
-        F.sort_array(F.collect_list(_scored_attempt()), asc=False).alias("last")
-    )
-    rows = totals.join(grows(last), GROUP_KEY).join(_wide(attempts), GROUP_KEY, "left")
+    # Spark's own aggregate of the greatest values holds at most ``window`` attempts of a group in each task.
+    last = InternalFunction.collect_top_k(_scored_attempt(), window, False).alias("last")
+    totals = attempts.groupBy(*GROUP_KEY).agg(*sums, F.min(_scored_attempt()).alias("first"), last)
+    rows = totals.join(_wide(attempts), GROUP_KEY, "left")
     return rows.select(*GROUP_KEY, *SUMS, "first", "last", F.expr(f"{N.merged_wide(f'coalesce(wide, {N.NO_WIDE})')} as wide"))
 
 
@@ -149,7 +155,8 @@ def merge_states(states: list[DataFrame], window: int = 2) -> DataFrame:
 def analytics_of_states(states: DataFrame, window: int = 2, thresholds: Thresholds = DEFAULTS) -> DataFrame:
     """The analytics rows of the groups, from their states alone."""
     recent = _mean_of_few(f"transform(slice(last, 1, {window}), a -> a.score)")
-    rows = _with_figures(states, states.filter("size(wide) > 0")).withColumns(
+    # A row holds its own wide sums, so nothing is joined and the rows stay where they lie.
+    rows = _figures(N.with_wide_figures(states, EXAM_TYPES), states.columns).withColumns(
         {
             "first_score": F.expr("first.score"), "latest_score": F.expr("last[0].score"),
             "recent_avg_score": N.round_even(F.expr(recent), 2),

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreflow.functions.rows import grows
-from scoreflow.functions.text import field_text, is_filled_object, with_recovered_json
+from scoreflow.functions.rows import grows, once
+from scoreflow.functions.text import field_text, filled_text, is_filled_object, with_recovered_json
 from scoreflow.schemas import CONSOLIDATED_FIELDS, GROUP_KEY, SUMMARIES, SUMMARY_FIELDS
 
 MAX_ATTEMPTS = 3
@@ -112,26 +112,28 @@ def first_rows(insights: DataFrame, limit: int | None) -> DataFrame:
 
 def subject_prompts(insights: DataFrame, limit: int | None = None) -> DataFrame:
     fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in SUBJECT_PROMPT_FIELDS]
-    return first_rows(insights, limit).select(
-        *GROUP_KEY, F.format_string(SUBJECT_PROMPT, *fields).alias("prompt")
-    )
+    return first_rows(insights, limit).select(*GROUP_KEY, filled_text(SUBJECT_PROMPT, *fields).alias("prompt"))
 
 
 def json_records(records: Column, names: list[str]) -> Column:
     """Array of structs as JSON text with an indent of two, non-ASCII characters escaped; null as empty text.
 
-    A record is written once, a field to a line. Strings hold no raw line breaks, so a pattern that is tied to the
-    start or end of a line never meets the inside of one.
+    All records are written at once, a field to a line. Strings hold no raw line breaks and no bare quotes, so the patterns,
+    which start or end with one, never meet the inside of a string. They start with fixed texts of four characters or
+    more, which Java looks for by leaps.
     """
     options = {"pretty": "true", "ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"}
+    lines = F.to_json(F.transform(records, lambda r: F.struct(*[r[n].alias(n) for n in names])), options)
+    lines = F.regexp_replace(lines, r'\n  "([^"]+)" : ', '\n    "$1": ')
+    lines = F.regexp_replace(lines, r'": null(,?)\n', '": ""$1\n')
+    lines = F.regexp_replace(lines, r"\n}, \{\n", "\n  },\n  {\n")
+    start, end = len("[ {"), len("\n} ]")
 
-    def one(record: Column) -> Column:
-        lines = F.to_json(F.struct(*[record[n].alias(n) for n in names]), options)
-        lines = F.regexp_replace(lines, r"(?m) : null(,?)$", ' : ""$1')
-        lines = F.regexp_replace(lines, r'(?m)^  ("[^"]+") : ', "    $1: ")
-        return F.concat(F.lit("  "), F.rtrim(lines, F.lit("}")), F.lit("  }"))
+    def framed(text: Column) -> Column:
+        inner = F.substring(text.cast("binary"), F.lit(start + 1), F.octet_length(text) - (start + end)).cast("string")
+        return F.concat(F.lit("[\n  {"), inner, F.lit("\n  }\n]"))
 
-    return F.concat(F.lit("[\n"), F.array_join(F.transform(records, one), ",\n"), F.lit("\n]"))
+    return F.when(F.size(records) == 0, "[\n\n]").otherwise(once(lines, framed))
 
 
 def student_prompts(gathered: DataFrame, analytics: list[str], summaries: list[str]) -> DataFrame:
@@ -139,7 +141,7 @@ def student_prompts(gathered: DataFrame, analytics: list[str], summaries: list[s
     return gathered.select(
         "student_id",
         "grade",
-        F.format_string(
+        filled_text(
             STUDENT_PROMPT,
             F.col("student_id"),
             F.col("grade").cast("string"),

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from scoreflow import schemas as S
 from scoreflow.functions.rows import grows
+from scoreflow.functions.text import clean_id
 from scoreflow.operators import consolidation, insights, metrics, narrative, validation
 from scoreflow.plans.asking import ask_in_rounds
 from scoreflow.sources.intake import intake_attempts, require_rows
-from scoreflow.sources.tables import TableStore, as_text
+from scoreflow.sources.tables import TableStore, as_text, conform
 
 Model = Callable[[DataFrame], DataFrame]
 
@@ -81,60 +82,48 @@ def _file_rejects(store: TableStore, rejected: DataFrame, run: Run, ids: DataFra
     return own
 
 
-def _classified(store: TableStore, raw: DataFrame, run: Run) -> tuple[DataFrame, dict]:
-    """Stored classified rows, parsed once, and the counts that came with the write."""
+def _classified(store: TableStore, raw: DataFrame, run: Run, empty: Exception | None = None) -> tuple[DataFrame, dict]:
+    """Stored classified rows, parsed once, and the counts that came with the write. ``empty`` is raised where there is no row."""
     rows, seen = validation.watched(validation.classify(raw, run.as_of))
     stored = store.scratch(run.work("classified"), rows)
     if not seen.get["rows"]:
-        raise RuntimeError(f"{RAW} is empty")
+        raise empty or RuntimeError(f"{RAW} is empty")
     return stored, seen.get
 
 
-def _split(
-    store: TableStore, raw: DataFrame, run: Run, ids: DataFrame | None, put: Callable[[DataFrame], DataFrame]
-) -> tuple[DataFrame, dict]:
-    """(What ``put`` makes of the valid rows, counts). Strict: raises unless every row is valid.
+def _valid(store: TableStore, classified: DataFrame, counts: dict, run: Run, ids: DataFrame | None) -> DataFrame:
+    """The valid rows. Strict: raises unless every row is valid.
 
     Quarantine: all other rows go to the rejects, repeated keys included. Without rejects, and without
     earlier ones to replace, nothing is written.
     """
-    classified, counts = _classified(store, raw, run)
     if run.quarantine:
         good, rejected = validation.split_classified(classified)
         _file_rejects(store, rejected, run, ids)
-        return put(good), counts
+        return good
     if counts["rejected"] or store.exists(REJECTED):
         report = _file_rejects(store, validation.error_report(classified), run, ids)
         if counts["rejected"]:
             validation.raise_rejected(report, REJECTED)
-    return put(validation.accepted(classified)), counts
+    return validation.accepted(classified)
 
 
-def _validated(store: TableStore, raw: DataFrame, run: Run, ids: DataFrame) -> DataFrame:
-    """Stored valid rows of the batch of the students in ``ids``."""
-    good, _ = _split(store, raw, run, ids, lambda rows: store.scratch(run.work("valid"), rows))
-    if not run.quarantine:
-        validation.raise_if_repeated(good)
-    return good
+def _staged_valid(
+    store: TableStore, classified: DataFrame, counts: dict, run: Run, ids: DataFrame | None
+) -> tuple[DataFrame, str]:
+    """Valid rows as a version of their table that is not shown yet, and its label.
 
-
-def _publish_validated(store: TableStore, raw: DataFrame, run: Run) -> dict:
-    """Make the valid rows the whole table. They are written once: staged, checked, then shown."""
-    staged = []
-
-    def stage(rows: DataFrame) -> DataFrame:
-        staged.append(store.stage(VALIDATED, rows, S.ATTEMPT_KEY))
-        return store.read_version(VALIDATED, staged[0], S.VALIDATED)
-
-    good, counts = _split(store, raw, run, None, stage)
+    They are written once: staged, checked for repeated keys, read by the later steps, then shown.
+    """
+    version = store.stage(VALIDATED, _valid(store, classified, counts, run, ids), S.ATTEMPT_KEY)
+    good = store.read_version(VALIDATED, version, S.VALIDATED)
     try:
         if not run.quarantine:
             validation.raise_if_repeated(good)
     except ValueError:
-        store.discard(VALIDATED, staged[0])
+        store.discard(VALIDATED, version)
         raise
-    store.publish(VALIDATED, staged[0])
-    return counts
+    return good, version
 
 
 def _consolidate(
@@ -180,7 +169,8 @@ def full_refresh(store: TableStore, raw: DataFrame, run: Run) -> dict:
     a student who is no longer in the raw table keeps the last report.
     """
     try:
-        counts = _publish_validated(store, raw, run)
+        classified, counts = _classified(store, raw, run)
+        store.publish(VALIDATED, _staged_valid(store, classified, counts, run, None)[1])
         validated = _require(store, VALIDATED, S.VALIDATED, f"{RAW} has no valid row")
         store.overwrite(STATES, metrics.group_states(validated, run.window), S.GROUP_KEY)
         states = store.read(STATES, S.STATES)
@@ -212,43 +202,64 @@ def keyed_refresh(store: TableStore, raw: DataFrame, ids: DataFrame, run: Run) -
         store.drop(run.work("")[:-1])
 
 
-def _keyed(store: TableStore, raw: DataFrame, ids: DataFrame, run: Run) -> None:
+def _keyed(store: TableStore, raw: DataFrame, ids: DataFrame, run: Run, filed: bool = False) -> None:
+    """``filed``: the raw table is known to hold rows of all the students."""
     ids = store.scratch(run.work("ids"), consolidation.ids_of(ids))
     parts = store.parts_of(ids)
     chosen = validation.of_students(raw, ids)
-    unknown = ids.join(grows(consolidation.ids_of(chosen)), "student_id", "left_anti")
-    some = unknown.limit(5).collect()
-    if some:
-        names = [r.student_id for r in some]
-        raise ValueError(f"No raw data found for student {names} in {RAW}; {unknown.count()} students in all")
-    fresh = _validated(store, chosen, run, ids)
-    store.upsert(VALIDATED, fresh, S.VALIDATED, S.ATTEMPT_KEY, S.ATTEMPT_KEY, parts=parts)
-    good = store.scratch(run.work("good_ids"), consolidation.ids_of(fresh))
+    if not filed:
+        unknown = ids.join(grows(consolidation.ids_of(chosen)), "student_id", "left_anti")
+        some = unknown.limit(5).collect()
+        if some:
+            names = [r.student_id for r in some]
+            raise ValueError(f"No raw data found for student {names} in {RAW}; {unknown.count()} students in all")
+    classified, counts = _classified(store, chosen, run)
+    fresh, version = _staged_valid(store, classified, counts, run, ids)
+    store.admit(VALIDATED, version, S.VALIDATED, S.ATTEMPT_KEY, S.ATTEMPT_KEY, parts=parts)
+    # Without rejects all students have valid rows.
+    good = store.scratch(run.work("good_ids"), consolidation.ids_of(fresh)) if run.quarantine else ids
     if good.isEmpty():
         return
     rows = validation.of_students(store.read_parts(VALIDATED, S.VALIDATED, parts), good)
-    states = store.scratch(run.work(STATES), metrics.group_states(rows, run.window))
-    store.upsert(STATES, states, S.STATES, S.SUBJECT_KEY, S.GROUP_KEY, parts=parts)
-    _later_phases(store, run, states, good, parts, S.SUBJECT_KEY)
+    version = store.stage(STATES, metrics.group_states(rows, run.window), S.GROUP_KEY)
+    _later_phases(store, run, version, good, parts, S.SUBJECT_KEY)
 
 
 def _later_phases(
-    store: TableStore, run: Run, states: DataFrame, students: DataFrame, parts: list[int], keys: list[str]
+    store: TableStore, run: Run, staged: str, students: DataFrame, parts: list[int], keys: list[str]
 ) -> None:
-    """Analytics, insights, summaries of the groups in ``states``, then the reports of their students."""
+    """States, analytics, insights, summaries of the groups in the staged version of the states, then the reports of
+    their students.
 
-    def current(name: str, schema) -> DataFrame:
-        return validation.of_students(store.read_parts(name, schema, parts), students)
+    Every delta is written once, as a version of its table. The states are split by student, and what follows from
+    them row by row stays split as they are.
+    """
 
-    def put(name: str, df: DataFrame, schema) -> DataFrame:
-        delta = require_rows(store.scratch(run.work(name), df), f"no rows for {name}")
-        store.upsert(name, delta, schema, keys, S.GROUP_KEY, parts=parts)
+    def current(name: str, schema, delta: DataFrame) -> DataFrame:
+        rows = store.read_parts(name, schema, parts)
+        if rows.count() == delta.count():
+            # The parts hold the rows of the delta and no others.
+            return rows.withColumn("student_id", clean_id(F.col("student_id")))
+        return validation.of_students(rows, students)
+
+    def put(name: str, df: DataFrame, schema, placed: bool) -> DataFrame:
+        version = store.stage(name, conform(df, schema), S.GROUP_KEY, placed=placed)
+        delta = store.read_version(name, version, schema)
+        try:
+            require_rows(delta, f"no rows for {name}")
+        except ValueError:
+            store.discard(name, version)
+            raise
+        store.admit(name, version, schema, keys, S.GROUP_KEY, parts=parts)
         return delta
 
-    analytics = put(ANALYTICS, metrics.analytics_of_states(states, run.window, run.thresholds), S.ANALYTICS)
-    found = put(INSIGHTS, insights.subject_insights(analytics, run.thresholds), S.INSIGHTS)
-    put(SUMMARIES, _answered(store, narrative.subject_prompts(found), run), S.SUMMARIES)
-    _consolidate(store, run, current(ANALYTICS, S.ANALYTICS), current(SUMMARIES, S.SUMMARIES), everybody=False, parts=parts)
+    states = store.read_version(STATES, staged, S.STATES)
+    store.admit(STATES, staged, S.STATES, keys, S.GROUP_KEY, parts=parts)
+    analytics = put(ANALYTICS, metrics.analytics_of_states(states, run.window, run.thresholds), S.ANALYTICS, True)
+    found = put(INSIGHTS, insights.subject_insights(analytics, run.thresholds), S.INSIGHTS, True)
+    told = put(SUMMARIES, _answered(store, narrative.subject_prompts(found), run), S.SUMMARIES, False)
+    everything = current(ANALYTICS, S.ANALYTICS, analytics), current(SUMMARIES, S.SUMMARIES, told)
+    _consolidate(store, run, *everything, everybody=False, parts=parts)
 
 
 def _touched(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -258,13 +269,17 @@ def _touched(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(grows(wanted), condition[0] & condition[1] & condition[2], "left_semi")
 
 
-def _known(store: TableStore, good: DataFrame, parts: list[int]) -> bool:
-    """Whether an attempt of the batch is stored already, or attempts are stored without their states."""
+def _known(store: TableStore, good: DataFrame, parts: list[int]) -> tuple[bool, int]:
+    """Whether an attempt of the batch is stored already, or attempts are stored without their states; and the number of
+    the mark of the table in which that was looked up."""
+    seen = store.number(VALIDATED)
+    if not store.exists(VALIDATED):
+        return False, seen
+    if not store.exists(STATES):
+        return True, seen
     old = store.read_parts(VALIDATED, S.VALIDATED, parts)
-    if store.exists(VALIDATED) and not store.exists(STATES):
-        return True
     same = [old[k].eqNullSafe(good[k]) for k in S.ATTEMPT_KEY]
-    return not good.join(grows(old), same[0] & same[1] & same[2], "left_semi").isEmpty()
+    return not good.join(grows(old), same[0] & same[1] & same[2], "left_semi").isEmpty(), seen
 
 
 def intake_refresh(store: TableStore, records: DataFrame, exam_date, run: Run) -> None:
@@ -281,28 +296,32 @@ def intake_refresh(store: TableStore, records: DataFrame, exam_date, run: Run) -
     """
     rows = intake_attempts(records, exam_date)
     exam = F.concat_ws("@", "exam_id", "subject", F.lit(run.run_id))
-    rows = as_text(rows.withColumn("exam_id", exam)).select(S.ATTEMPT_COLUMNS)
+    rows = rows.withColumn("exam_id", exam).select(S.ATTEMPT_COLUMNS)
     checking = replace(run, run_id=f"{run.run_id}-intake")
     try:
-        filed = require_rows(
-            store.scratch(checking.work("rows"), rows), "No exam records to write: no subject has scores"
-        )
-        ids = store.scratch(checking.work("ids"), consolidation.ids_of(filed))
+        nothing = ValueError("No exam records to write: no subject has scores")
+        classified, counts = _classified(store, rows, checking, nothing)
+        ids = store.scratch(checking.work("ids"), consolidation.ids_of(classified))
         parts = store.parts_of(ids)
-        good = _validated(store, filed, checking, ids)
-        store.append(RAW, as_text(good).select(S.ATTEMPT_COLUMNS), S.RAW, run.run_id, S.ATTEMPT_KEY)
+        good, version = _staged_valid(store, classified, counts, checking, ids)
+        store.append(RAW, as_text(good).select(S.ATTEMPT_COLUMNS), S.RAW, run.run_id, S.ATTEMPT_KEY, placed=True)
         if good.isEmpty():
+            store.discard(VALIDATED, version)
             return
-        if _known(store, good, parts):
+        known, seen = _known(store, good, parts)
+        if known:
+            store.discard(VALIDATED, version)
             _again(store, ids, parts, checking, run)
             return
-        store.upsert(VALIDATED, good, S.VALIDATED, S.ATTEMPT_KEY, S.ATTEMPT_KEY, parts=parts)
-        students = store.scratch(checking.work("students"), consolidation.ids_of(good))
-        added = store.scratch(checking.work("added"), metrics.group_states(good, run.window))
-        before = _touched(store.read_parts(STATES, S.STATES, parts), added)
-        states = store.scratch(checking.work(STATES), metrics.merge_states([before, added], run.window))
-        store.upsert(STATES, states, S.STATES, S.GROUP_KEY, S.GROUP_KEY, parts=parts)
-        _later_phases(store, run, states, students, parts, S.GROUP_KEY)
+        store.admit(VALIDATED, version, S.VALIDATED, S.ATTEMPT_KEY, S.ATTEMPT_KEY, parts=parts, unmet=seen)
+        # Without rejects all students of the batch have valid rows.
+        students = store.scratch(checking.work("students"), consolidation.ids_of(good)) if run.quarantine else ids
+        states = metrics.group_states(good, run.window)
+        if store.exists(STATES):
+            added = store.scratch(checking.work("added"), states)
+            before = _touched(store.read_parts(STATES, S.STATES, parts), added)
+            states = metrics.merge_states([before, added], run.window)
+        _later_phases(store, run, store.stage(STATES, conform(states, S.STATES), S.GROUP_KEY), students, parts, S.GROUP_KEY)
     finally:
         store.drop(checking.work("")[:-1])
         store.drop(run.work("")[:-1])
@@ -310,9 +329,12 @@ def intake_refresh(store: TableStore, records: DataFrame, exam_date, run: Run) -
 
 def _again(store: TableStore, ids: DataFrame, parts: list[int], checking: Run, run: Run) -> None:
     """Refresh the students of a repeated batch from all rows filed for them; its rejects stay."""
-    rejected = store.scratch(checking.work("kept"), store.read_parts(REJECTED, S.REJECTS, parts))
+    kept = store.exists(REJECTED)
+    rejected = store.scratch(checking.work("kept"), store.read_parts(REJECTED, S.REJECTS, parts)) if kept else None
     added = store.read_batch(RAW, run.run_id, S.RAW)
-    keyed_refresh(store, store.read_parts(RAW, S.RAW, store.parts_of(added)), added, run)
+    _keyed(store, store.read_parts(RAW, S.RAW, store.parts_of(added)), added, run, filed=True)
+    if not kept:
+        return
     # The refresh has judged filed rows only: the rejects of this batch stay beside its own.
     own = validation.of_students(rejected, ids)
     later = validation.of_students(store.read_parts(REJECTED, S.REJECTS, parts), ids)

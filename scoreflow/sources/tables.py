@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from scoreflow.functions.numbers import finite
 from scoreflow.functions.text import clean_id
-from scoreflow.operators.keyed import typed_like, without_keys
+from scoreflow.operators.keyed import without_keys
 
 # RFC 4180: quotes inside a field are doubled.
 CSV_OPTIONS = {
@@ -137,6 +137,8 @@ class TableStore:
 
     RETRIES = 5
     END = "."
+    #: Folders of a part from which on a write that replaces nothing puts them together.
+    FOLDERS = 8
 
     def __init__(self, spark: SparkSession, root: str, parts: int = 16, retain: int | None = None):
         self.spark = spark
@@ -185,29 +187,36 @@ class TableStore:
         parts = [f"{version}/{n}" for n in sorted(inner) if n.startswith("part=")]
         return parts or [version]
 
+    def number(self, name: str) -> int:
+        """Number of the newest mark; 0 for an absent table."""
+        return self._current(name)[0]
+
     def exists(self, name: str) -> bool:
         return bool(self._folders(name))
 
     # --- versions
 
-    def _write(self, name: str, folder: str, df: DataFrame, sort_by: list[str] | None) -> None:
+    def _write(self, name: str, folder: str, df: DataFrame, sort_by: list[str] | None, placed: bool) -> None:
         if sort_by is None:
             writer = df.write
         else:
+            rows = df.withColumn("part", part_of(F.col("student_id"), self.parts))
             # Rebalancing groups the rows of a part and splits a part that is too large.
-            placed = df.withColumn("part", part_of(F.col("student_id"), self.parts)).hint("rebalance", "part")
-            placed = placed.withColumn(TRIMMED, clean_id(F.col("student_id")))
+            placed = (rows if placed else rows.hint("rebalance", "part")).withColumn(TRIMMED, clean_id(F.col("student_id")))
             writer = placed.sortWithinPartitions("part", TRIMMED, *sort_by).write.options(**BLOOM).partitionBy("part")
         writer.parquet(self._folder(name, folder))
 
-    def stage(self, name: str, df: DataFrame, sort_by: list[str] | None = None, label: str | None = None) -> str:
+    def stage(
+        self, name: str, df: DataFrame, sort_by: list[str] | None = None, label: str | None = None, placed: bool = False
+    ) -> str:
         """Write a new version without showing it; returns its label.
 
         With ``sort_by`` the rows are split by student and sorted inside their part;
-        without it they are written as they come, with no shuffle.
+        without it they are written as they come, with no shuffle. ``placed``: the rows come row by row from a
+        version split by student, so they lie by part already and are not shuffled for it again.
         """
         version = f"v={label + '~' if label else ''}{uuid.uuid4().hex}"
-        self._write(name, version, sanitize(df), sort_by)
+        self._write(name, version, sanitize(df), sort_by, placed)
         return version
 
     def _show(self, name: str, folders: list[str], seen: int) -> None:
@@ -327,13 +336,13 @@ class TableStore:
         return self.read(name)
 
     def append(
-        self, name: str, df: DataFrame, schema: T.StructType, batch: str, sort_by: list[str] | None = None
+        self, name: str, df: DataFrame, schema: T.StructType, batch: str, sort_by: list[str] | None = None, placed: bool = False
     ) -> None:
         """Add rows under a batch label; writing the same label again replaces its rows at once.
 
         A header that differs from ``schema`` raises and leaves the table as it is.
         """
-        version = self.stage(name, conform(df, schema), sort_by, batch)
+        version = self.stage(name, conform(df, schema), sort_by, batch, placed)
 
         def add() -> None:
             seen, folders = self._current(name)
@@ -345,24 +354,68 @@ class TableStore:
         self, name: str, df: DataFrame, schema: T.StructType, keys: list[str], sort_by: list[str],
         gone: DataFrame | None = None, parts: list[int] | None = None,
     ) -> None:
-        """Replace the rows whose key occurs in ``df``, a stored frame with a student id.
+        """Replace the rows whose key occurs in ``df``, a frame with a student id.
 
         ``gone``: stored keys whose old rows go, in place of those of ``df``. ``parts``: parts that hold all
         students of both, where they are known already.
         """
-        new = conform(df, schema)
+        self.admit(name, self.stage(name, conform(df, schema), sort_by), schema, keys, sort_by, gone, parts)
+
+    def admit(
+        self, name: str, version: str, schema: T.StructType, keys: list[str], sort_by: list[str],
+        gone: DataFrame | None = None, parts: list[int] | None = None, unmet: int | None = None,
+    ) -> None:
+        """:meth:`upsert` of the rows of a staged version, which are not written again.
+
+        Only the rows that stay of the old ones are, in a version of their own, so a part has a folder for them and
+        one for the new rows. ``unmet``: number of a mark in which no key of the version occurs. While it is the
+        newest, nothing is replaced and no old row is written, but a part of many folders is put together.
+        """
+        new = self.read_version(name, version, schema)
         leaving = new if gone is None else gone
-        touched = {f"part={p}" for p in (parts if parts is not None else {*self.parts_of(new), *self.parts_of(leaving)})}
+        own = self._part_folders(name, version)
+        if parts is not None:
+            touched = {f"part={p}" for p in parts}
+        else:
+            touched = {f.split("/")[-1] for f in own} | {f"part={p}" for p in (self.parts_of(gone) if gone is not None else [])}
 
         def replace() -> None:
             seen, folders = self._current(name)
             hit = [f for f in folders if f.split("/")[-1] in touched or "/" not in f]
-            old = self._load(name, hit, schema).drop(*HIDDEN)
-            version = self.stage(name, without_keys(old, leaving, keys).unionByName(typed_like(new, keys, old)), sort_by)
+            if unmet is not None and unmet == seen:
+                hit = self._crowded(hit)
+                stays = self._load(name, hit, schema).drop(*HIDDEN) if hit else None
+            else:
+                stays = self._staying(self._load(name, hit, schema).drop(*HIDDEN), leaving, keys) if hit else None
+            kept = None if stays is None else self.stage(name, stays, sort_by)
+            rest = [f for f in self._part_folders(name, kept) if "/" in f] if kept else []
             try:
-                self._show(name, [*(f for f in folders if f not in hit), *self._part_folders(name, version)], seen)
+                self._show(name, [*(f for f in folders if f not in hit), *rest, *own], seen)
             except ChangedTable:
-                self.discard(name, version)
+                if kept:
+                    self.discard(name, kept)
                 raise
+            if kept and not rest:
+                self.discard(name, kept)
+
+        try:
+            self._again(replace)
+        except ChangedTable:
+            self.discard(name, version)
+            raise
 
-        self._again(replace)
+    def _crowded(self, folders: list[str]) -> list[str]:
+        """Those of the folders whose part has ``FOLDERS`` of them or more."""
+        places = [f.split("/")[-1] for f in folders]
+        return [f for f, place in zip(folders, places, strict=True) if "/" in f and places.count(place) >= self.FOLDERS]
+
+    def _staying(self, old: DataFrame, leaving: DataFrame, keys: list[str]) -> DataFrame | None:
+        """Old rows whose key does not occur in ``leaving``; None where that is known to be no row.
+
+        Where as many rows come as there are, the keys alone are compared first: if all are replaced, as in a repeated
+        run, the old rows need not be shuffled whole for it. Both counts come from the footers of the files.
+        """
+        there = old.count()
+        if not there or (leaving.count() >= there and without_keys(old.select(keys), leaving, keys).isEmpty()):
+            return None
+        return without_keys(old, leaving, keys)
