@@ -81,12 +81,18 @@ def start_intake(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         own = replace(run, run_id=f"{run.run_id}-{batch_id}")
-        if BROKEN in batch.columns:
-            batch, bad = split_records(batch)
-            if not bad.isEmpty():
-                store.append(MALFORMED, bad, MALFORMED_COLUMNS, own.run_id)
-        if not batch.isEmpty():
-            refresh(store, batch, exam_date, own)
+        arrived = replace(own, run_id=f"{own.run_id}-arrived")
+        try:
+            # Every look at the batch itself would read its files, and look for its repeats, once more.
+            batch = store.scratch(arrived.work("records"), batch)
+            if BROKEN in batch.columns:
+                batch, bad = split_records(batch)
+                if not bad.isEmpty():
+                    store.append(MALFORMED, bad, MALFORMED_COLUMNS, own.run_id)
+            if not batch.isEmpty():
+                refresh(store, batch, exam_date, own)
+        finally:
+            store.drop(arrived.work("")[:-1])
 
     return (
         records.writeStream.foreachBatch(apply)

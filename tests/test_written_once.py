@@ -1,5 +1,6 @@
 """Deltas of a refresh are written once, lie where their source lies, and replace old rows without shuffling them whole."""
 
+import json
 import os
 
 import pytest
@@ -12,6 +13,7 @@ from scoreflow.operators import metrics, narrative
 from scoreflow.plans import refresh as R
 from scoreflow.sources import adapters as A
 from scoreflow.sources.tables import TableStore
+from scoreflow.streaming.intake_stream import record_stream, start_intake
 
 SCHEMA = "student_id string, n int, x string"
 
@@ -151,3 +153,25 @@ def test_prompt_texts_are_put_together_in_compiled_code(spark):
     prompts = narrative.subject_prompts(df.select("*", *fields))
     assert "format_string" not in prompts._jdf.queryExecution().optimizedPlan().toString()
     assert "Subject: Math %s\n" in prompts.first().prompt and "Primary issue: \n" in prompts.first().prompt
+
+
+def test_a_batch_of_a_stream_is_read_once(spark, store, tmp_path):
+    """What the refresh and the look for malformed lines read is stored, so repeats are looked for once."""
+    folder, plans = tmp_path / "in", []
+    folder.mkdir()
+    subject = {"name": "Math", "scores": [50, 60], "max_score": 100}
+    text = json.dumps({"student_id": "S1", "name": "N", "grade": 5, "subjects": [subject]})
+    (folder / "a.json").write_text(f"{text}\nbroken\n{text}\n")
+
+    def refresh(store, batch, day, run):
+        plans.append(batch._jdf.queryExecution().executedPlan().toString())
+        R.intake_refresh(store, batch, day, run)
+
+    stream = start_intake(
+        store, record_stream(spark, str(folder)), f"{tmp_path}/check", run("s"), "2024-06-01", refresh, repeats_within="1 hour"
+    )
+    stream.awaitTermination()
+    assert len(plans) == 1 and "parquet" in plans[0] and "Deduplicate" not in plans[0] and "JSON" not in plans[0]
+    assert [(r.student_id, r.attempt_count) for r in store.read(R.ANALYTICS, S.ANALYTICS).collect()] == [("S1", 2)]
+    assert [r.text for r in store.read(R.MALFORMED, S.MALFORMED).collect()] == ["broken"]
+    assert not [d for d in os.listdir(store.root) if d.startswith("work")]
